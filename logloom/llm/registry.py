@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import bitplanes, exact_dedup, packing, sharding
+from . import bitplanes, exact_dedup, jaccard_join, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_bit_planes": bitplanes.op1_bit_planes,
         "op3_packing": packing.op3_packing,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_slots": sharding.op6_slots,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
