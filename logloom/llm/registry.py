@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import bitplanes, exact_dedup, jaccard_join, packing, sharding
+from . import bitplanes, exact_dedup, jaccard_join, language, packing, sharding, winnowing
 
 
 def queries() -> dict:
@@ -8,7 +8,9 @@ def queries() -> dict:
         "op1_bit_planes": bitplanes.op1_bit_planes,
         "op3_packing": packing.op3_packing,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_winnowing": winnowing.op5_winnowing,
         "op6_slots": sharding.op6_slots,
+        "op8_language_id": language.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
