@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import bitplanes, exact_dedup, jaccard_join, language, packing, sharding, winnowing
+from . import bitplanes, exact_dedup, jaccard_join, language, packing, ppm, sharding, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_winnowing": winnowing.op5_winnowing,
         "op6_slots": sharding.op6_slots,
+        "op7_ppm": ppm.op7_ppm,
         "op8_language_id": language.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
