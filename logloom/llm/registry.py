@@ -1,11 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import bitplanes, exact_dedup, jaccard_join, language, packing, ppm, sharding, winnowing
+from . import bitplanes, exact_dedup, jaccard_join, language, mixing, packing, ppm, secrets, sharding, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_bit_planes": bitplanes.op1_bit_planes,
+        "op2_pfair_mix": mixing.op2_pfair_mix,
         "op3_packing": packing.op3_packing,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_winnowing": winnowing.op5_winnowing,
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op7_ppm": ppm.op7_ppm,
         "op8_language_id": language.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
