@@ -171,6 +171,29 @@ def members(docs: DataFrame, smallest: bool = True, normalise: Column | None = N
     )
 
 
+def deduplicate(docs: DataFrame, smallest: bool = True, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The texts of the rows are not shuffled again: what goes is a narrow list, sent to all tasks if
+    it has at most ``broadcast_rows`` rows and joined otherwise.
+    """
+    found = shared.materialize(members(docs, smallest).select("doc_id", "keep_id", "text_sha256"), "members")
+    digest = F.sha2(shared.text_or_empty().cast("binary"), 256)
+
+    def without(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
+        gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+        return rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows._digest == gone._sha), how)
+
+    pair = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    out = without(docs.withColumn("_digest", digest), found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(pair).distinct(), "left_anti")
+    again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().where("count > 1").select(pair)
+    again = shared.materialize(again, "repeated")
+    if not again.isEmpty():
+        once = without(out, again, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        out = without(out, again, "left_anti").union(once)
+    return out.drop("_digest")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(shared.documents(spark, sf_dir), smallest=False)
 

@@ -156,30 +156,37 @@ def _identity(own: np.ndarray) -> tuple[int, int]:
     return int(a[0] >> np.uint64(1)), int(b[0] >> np.uint64(1))
 
 
-SETS = "doc_id long, n_shingles long, set_id long, set_check long, failed boolean, keys array<long>"
+
+
+def text_key():
+    """Tells apart rows that share a doc_id."""
+    return F.xxhash64(shared.text_or_empty())
+
+
+SETS = "doc_id long, text_key long, n_shingles long, set_id long, set_check long, failed boolean, keys array<long>"
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """A row per document: its set's size, identity and, at the first sight of the set in a task, its keys."""
     plan = Plan(percent)
     names = [x.split()[0] for x in SETS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
     def sign(batches):
         seen: set[int] = set()
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for k, own in _sets(batch, 1, size):
+            ids, rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), []
+            for k, own in _sets(batch, 2, size):
                 if not len(own):
-                    rows.append((ids[k], 0, None, None, False, []))
+                    rows.append((*ids[k], 0, None, None, False, []))
                     continue
                 one, two = _identity(own)
                 keys, failed = (own[:0], False) if one in seen else keys_of(own, plan)
                 seen.add(one)
-                rows.append((ids[k], len(own), one, two, failed, keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 6, types, strict=True)], names=names)
+                rows.append((*ids[k], len(own), one, two, failed, keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 7, types, strict=True)], names=names)
 
-    return docs.select("doc_id", shared.text_or_empty().alias("text")).mapInArrow(sign, SETS)
+    return docs.select("doc_id", text_key().alias("text_key"), shared.text_or_empty().alias("text")).mapInArrow(sign, SETS)
 
 
 class _Forest:
@@ -288,7 +295,7 @@ def _fallback_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) -
 
 
 def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, block_shingles: int = 4_000_000) -> DataFrame:
-    """Each row's doc_id, n_shingles, set_id and component_id over texts in ``docs`` (doc_id, text).
+    """Each row's doc_id, text_key, n_shingles, set_id, component (a set_id) and component_id over texts in ``docs`` (doc_id, text).
 
     Shuffled are the keys (16 bytes for about a third of the shingles) and the sets of clusters.
     """
@@ -337,10 +344,25 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, block_shingl
     named = identity.select("set_id", "doc_id").join(linked.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = named.select("set_id", "label").distinct().join(least, "label").select("set_id", "component_id")
+    of = named.select("set_id", "label").distinct().join(least, "label").select("set_id", F.col("label").alias("component"), "component_id")
     # Many rows can have one set; the other side has a row for each set, so skew handling can split them.
-    out = sets.select("doc_id", "n_shingles", "set_id").join(of, "set_id", "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", "text_key", "n_shingles", "set_id").join(of, "set_id", "left")
+    return out.select("doc_id", "text_key", "n_shingles", "set_id", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` less all but one row of each component: the one with the least doc_id stays (nulls last, then by text hash).
+
+    Rows with the empty set all stay. The rows that go are a narrow list; texts aren't shuffled for it.
+    """
+    found = shared.materialize(similar_sets(docs, size, percent).where("component IS NOT NULL").select("doc_id", "text_key", "component"), "similar")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
+    stays = found.groupBy("component").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select("component", "stays")
+    gone = found.join(stays, "component").where(~((F.col("text_key") == F.col("stays.text_key")) & F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))))
+    gone = shared.materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rows = docs.withColumn("_text_key", text_key())
+    return rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows._text_key == gone._key), "left_anti").drop("_text_key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

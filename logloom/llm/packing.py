@@ -16,7 +16,7 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -53,12 +53,16 @@ class FirstFit:
         return found, at
 
 
-def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0, seed: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces of the encoded ``docs``: doc_id, start, length, ids_crc32, doc_tokens, deal (the random number of the group) and, if asked for, ids (binary)."""
+def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0, seed: int = 1, with_ids: bool = False, window: Column | None = None) -> DataFrame:
+    """Pieces of the encoded ``docs``: doc_id, start, length, ids_crc32, doc_tokens, deal (the random number of the group), window and, if asked for, ids (binary).
+
+    ``window`` is an integer: documents of different windows never meet in a sequence, and sequence_ids
+    go up with it, so an order of the documents (a mix of sources) survives packing at that grain.
+    """
     import xxhash
     from pyspark import TaskContext
 
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("deal", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("deal", pa.int64()), ("window", pa.int32())]
     fields += [("ids", pa.binary())] if with_ids else []
 
     def batch(rows):
@@ -66,20 +70,21 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0
 
     def cut(batches):
         task, out = TaskContext.get().partitionId(), []
-        for k, ((doc_id,), ids) in enumerate(encoded(batches, tokenizer, end_id)):
+        for k, ((doc_id, own), ids) in enumerate(encoded(batches, tokenizer, end_id)):
             deal = xxhash.xxh64_intdigest(struct.pack("<qqq", -1 if doc_id is None else doc_id, task, k), seed) >> 1
             n, view = len(ids) // 4, memoryview(ids)
             for start in range(0, n, seq_len):
                 part = view[4 * start : 4 * (start + seq_len)]
-                out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, deal, *([bytes(part)] if with_ids else [])))
+                out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, deal, own, *([bytes(part)] if with_ids else [])))
             if len(out) >= 4096:
                 yield batch(out)
                 out = []
         if out:
             yield batch(out)
 
-    rows = docs.select("doc_id", shared.text_or_empty().alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long" + ", ids binary" * with_ids)
+    window = F.lit(0) if window is None else F.coalesce(window, F.lit(0))
+    rows = docs.select("doc_id", window.cast("int").alias("window"), shared.text_or_empty().alias("text"))
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, window int" + ", ids binary" * with_ids)
 
 
 def pack(cut: DataFrame, seq_len: int = 1024, group_pieces: int = 16384) -> DataFrame:
@@ -88,21 +93,22 @@ def pack(cut: DataFrame, seq_len: int = 1024, group_pieces: int = 16384) -> Data
     Without ids only about 60 bytes a piece are shuffled. A group is one task's rows and of bounded size.
     """
     cut = shared.materialize(cut, "pieces")
-    groups = max(1, -(-cut.count() // group_pieces))
-    names = [c for c in cut.columns if c != "deal"]
+    size = cut.agg(F.count("*").alias("n"), F.coalesce(F.countDistinct("window"), F.lit(0)).alias("windows")).first()
+    groups = max(1, -(-size.n // (group_pieces * max(1, size.windows))))
+    names = [c for c in cut.columns if c not in ("deal", "window")]
 
     def fill(key, table):
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_pylist()
-        bins, base = FirstFit(seq_len, len(lengths)), key[0].as_py() << 32
+        bins, base = FirstFit(seq_len, len(lengths)), (key[0].as_py() * groups + key[1].as_py()) << 32
         # Pieces of seq_len come first, each into the next bin, as first fit would.
         placed = [bins.place(n) for n in lengths]
         table = table.select(names)
         table = table.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
         return table.append_column("offset", pa.array([at for _, at in placed], pa.int64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "deal")
-    grouped = cut.withColumn("group", F.pmod("deal", F.lit(groups)).cast("int")).groupBy("group")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
+    grouped = cut.withColumn("group", F.pmod("deal", F.lit(groups)).cast("int")).groupBy("window", "group")
     return grouped.applyInArrow(fill, schema + ", sequence_id long, offset long")
 
 

@@ -1,5 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+import corpus_pipeline
+
 from . import bitplanes, exact_dedup, jaccard_join, language, mixing, packing, ppm, secrets, sharding, winnowing
 
 
@@ -15,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
