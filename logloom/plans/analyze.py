@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +13,9 @@ from ..functions import text as t
 from ..functions.paths import in_tree
 from ..operators import contents, detectors, graph, order, parse
 from ..sources import logs
+from ..tables import keep
 from .normalise import canonical
 
-#: Eight detectors read the same tables, so these are kept; what memory can't hold goes to the executors' disks, and a lost part is made again.
-KEPT = StorageLevel.MEMORY_AND_DISK
 REDACTED = "session_id string, line_no int, line string, counts map<string,int>"
 
 
@@ -93,20 +91,13 @@ def redaction_summary(lines: DataFrame) -> DataFrame:
 
 
 def parsed(lines: DataFrame) -> Session:
-    """The derived tables of lines (session_id, line_no, line); one exchange by session serves them all."""
-    numbered = parse.lines(lines.repartition("session_id")).persist(KEPT)
-    records = parse.records(numbered).persist(KEPT)
-    blocks = parse.blocks(records).persist(KEPT)
-    calls = parse.calls(blocks).persist(KEPT)
-    edits = parse.edits(calls).persist(KEPT)
-    reads = parse.reads(calls).persist(KEPT)
-    return Session(numbered, records, blocks, calls, edits, reads, parse.session_meta(numbered, records, blocks, calls).persist(KEPT))
-
-
-def release(s: Session) -> None:
-    """Give back what ``parsed`` keeps, once the last action on its tables is over."""
-    for table in (s.meta, s.reads, s.edits, s.calls, s.blocks, s.records, s.numbered):
-        table.unpersist()
+    """The derived tables of lines (session_id, line_no, line); eight detectors read them, so they are written once."""
+    numbered = keep(parse.lines(lines.repartition("session_id")), "lines")
+    records = parse.records(numbered)
+    blocks = parse.blocks(records)
+    calls = keep(parse.calls(blocks), "calls")
+    edits, reads = keep(parse.edits(calls), "edits"), keep(parse.reads(calls), "reads")
+    return Session(numbered, records, blocks, calls, edits, reads, keep(parse.session_meta(numbered, records, blocks, calls), "meta"))
 
 
 def flat(calls: DataFrame) -> DataFrame:
@@ -134,17 +125,19 @@ def detect(s: Session) -> tuple[DataFrame, DataFrame]:
     calls = flat(s.calls).join(eligible, "session_id", "left_semi")
     edits = s.edits.join(eligible, "session_id", "left_semi")
     reads = s.reads.join(eligible, "session_id", "left_semi")
+    calls, edits, reads = keep(calls, "eligible-calls"), keep(edits, "eligible-edits"), keep(reads, "eligible-reads")
     walked = graph.graph(s.records.join(eligible, "session_id", "left_semi"))
     back = contents.returned(contents.steps_of(calls))
     left = detectors.abandoned(detectors.returned_states(calls, back), detectors.revert_pairs(edits), detectors.git_reverts(calls, edits), detectors.abandoned_branches(edits, walked))
+    left = keep(left, "abandoned")
     parts = [
         left, detectors.test_modified(calls, edits), detectors.external_dependencies(calls, edits), detectors.never_read(edits, reads),
         detectors.unverified_fix(calls, edits), detectors.error_suppressed(calls, edits), detectors.stale_context(calls, looks(calls, reads)),
         detectors.without_reported(detectors.destructive(calls), left),
     ]
     signals = parts[0]
-    for part in parts[1:]:
-        signals = signals.unionByName(part)
+    for k, part in enumerate(parts[1:]):
+        signals = signals.unionByName(keep(part, f"signals-{k}"))
     inside = F.udf(in_tree, "boolean")
     signals = signals.join(s.meta.select("session_id", "cwd"), "session_id", "left")
     # Only absolute paths can lie outside of the project.
