@@ -395,15 +395,15 @@ _FILL = "SELECT o_orderkey, coalesce(last_value(CASE WHEN o_orderkey % 3 <> 0 TH
 
 def merge_timeline(spark, sf):
     o, li = _table(spark, sf, "orders"), _table(spark, sf, "lineitem")
-    seq = lambda by, key: (F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1).cast("int").alias("seq")
+    seq = lambda by, *key: (F.row_number().over(Window.partitionBy(by).orderBy(*key)) - 1).cast("int").alias("seq")
     parent = o.select(F.col("o_custkey").alias("session_id"), seq("o_custkey", "o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.unix_millis("o_orderdate")).alias("at"))
-    child = li.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.lit("a").alias("stream"), seq("o_custkey", "l_orderkey"), F.when(F.col("l_orderkey") % 7 != 0, F.unix_millis("l_shipdate")).alias("at"), F.lit(0).alias("start_seq"), F.lit(None).cast("long").alias("start_at"))
+    child = li.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.lit("a").alias("stream"), seq("o_custkey", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey"), F.when(F.col("l_orderkey") % 7 != 0, F.unix_millis("l_shipdate")).alias("at"), F.lit(0).alias("start_seq"), F.lit(None).cast("long").alias("start_at"))
     return order.merge_streams(parent, child).select("session_id", "record_index", "stream", "seq")
 
 
 _MERGE = """WITH p0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_ms(o_orderdate) END AS ms FROM orders),
 p AS (SELECT *, coalesce(last_value(ms IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 4611686018427387904) AS bound FROM p0),
-c0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) - 1 AS seq, CASE WHEN l_orderkey % 7 <> 0 THEN epoch_ms(l_shipdate) END AS ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+c0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_shipdate, l_partkey, l_suppkey) - 1 AS seq, CASE WHEN l_orderkey % 7 <> 0 THEN epoch_ms(l_shipdate) END AS ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
 c1 AS (SELECT *, coalesce(last_value(ms IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS filled FROM c0),
 c AS (SELECT *, max(filled) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS m FROM c1),
 j AS (SELECT c.session_id, c.seq, c.m, coalesce(min(p.seq), 4611686018427387904) AS place FROM c LEFT JOIN p ON p.session_id = c.session_id AND p.seq > 0 AND p.bound >= c.m GROUP BY ALL),
