@@ -289,8 +289,7 @@ _ASSIGNMENT = rf"SELECT doc_id, md5(regexp_replace(text, '{_SQL_ASSIGNMENT}', '\
 
 def redact_counts(spark, sf):
     d = _table(spark, sf, "documents")
-    found = d.select(F.explode(redaction.counts_by_type(F.col("text"))).alias("type", "n"))
-    return found.groupBy("type").agg(F.sum("n").alias("n"))
+    return redaction.counts_by_type(d)
 
 
 _COUNTS = rf"""WITH e AS (SELECT len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}\b')) AS email,
