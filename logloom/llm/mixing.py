@@ -54,41 +54,53 @@ def earliest_deadline_first(blocks: list[int], weights: list[int]):
         phase += 1
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """``docs`` with _rank, a row's place inside its source, without putting a source into one task.
+#: Rows of a small table that is sent to all tasks; a larger one is joined.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _ranked(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The ``carry`` columns and source with _rank, a row's place inside its source, and each source's rows (source, n). No source is put into one task.
 
     Rows are sorted over ranges of (source, hash), so a large source spans many tasks; a place is
     the row's place in its task less what comes before its source there, plus the source's rows in
     earlier tasks. That table has a row per task and source that meet, about as many as tasks.
     """
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("_key", key).repartitionByRange("source", "_key").sortWithinPartitions("source", "_key", "doc_id", "text")
+    keys = [F.xxhash64("doc_id", "text").alias("_key"), F.xxhash64("text", F.lit(1)).alias("_tie")]
+    rows = docs.select(*carry, *([] if "source" in carry else ["source"]), *keys)
+    rows = rows.repartitionByRange("source", "_key").sortWithinPartitions("source", "_key", "_tie").drop("_key", "_tie")
     rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.spark_partition_id())
     rows = shared.materialize(rows, "by-source")
     met = rows.groupBy("_task", "source").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.select(F.col("_task").alias("_t"), F.col("source").alias("_s"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(met, (F.col("_task") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select(*docs.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"))
+    met = met.select(F.col("_task").alias("_t"), F.col("source").alias("_s"), "_first", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = shared.materialize(met, "met")
+    joined = rows.join(_small(met.drop("_n")), (F.col("_task") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
+    per_source = met.groupBy(F.col("_s").alias("source")).agg(F.sum("_n").alias("n"))
+    return joined.select(*rows.drop("_at", "_task").columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank")), per_source
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 8, most_blocks: int = 1 << 20) -> DataFrame:
-    """``docs`` (doc_id, text, source and others) with source_block, slot, release, deadline and phase.
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 8, most_blocks: int = 1 << 20, carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (all by default) of ``docs`` (doc_id, text, source, ...) with source_block, slot, release, deadline, phase and source_rank.
 
     ``weights`` maps each source to a positive integer; by default a source weighs the square root
     of its rows, which lifts small sources. Blocks grow beyond ``block_rows`` so that there are
     about ``most_blocks`` at most, for the schedule is made by one task from the sources' counts.
+    Carried columns are shuffled once, by source; ranks and slots reach them through small tables.
     """
-    if clash := {*PLACES, "_rank", "_key", "_at", "_task"} & {*docs.columns}:
+    if clash := {*PLACES, "source_rank", "_rank", "_key", "_tie", "_at", "_task"} & {*docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are names of this operator")
-    ranked = shared.materialize(_ranked(docs), "ranked")
-    per_source = ranked.groupBy("source").agg(F.count("*").alias("n"))
-    total = ranked.count()
+    carry = carry or docs.columns
+    ranked, per_source = _ranked(docs, carry)
+    total = per_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     block_rows = max(block_rows, -(-total // most_blocks))
 
     def schedule(batches):
         found = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        found.sort(key=lambda r: (r[0] is not None, r[0]))
+        found.sort(key=lambda r: (r[0] is not None, r[0] or ""))
         if weights is None:
             own = [max(1, round(1000 * n**0.5)) for _, n in found]
         elif missing := [s for s, _ in found if s not in weights]:
@@ -100,20 +112,19 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 8, most_
         for s, *rest in rows:
             held.append((found[s][0], *rest))
             if len(held) == 65536:
-                yield pa.RecordBatch.from_arrays([pa.array(held_c, t) for held_c, t in zip(zip(*held), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names=names)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held_c, t) for held_c, t in zip(zip(*held), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names=names)
 
     types = [pa.string(), *[pa.int64()] * 5]
     # One row a source: the only table that meets in one task.
     slots = per_source.coalesce(1).mapInArrow(schedule, "_source string, source_block long, slot long, release long, deadline long, phase long")
-    slots = shared.materialize(slots, "slots")
+    slots = _small(shared.materialize(slots, "slots"))
     blocked = ranked.withColumn("_block", F.floor(F.col("_rank") / F.lit(block_rows)))
     joined = blocked.join(slots, (F.col("_block") == F.col("source_block")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select(*docs.columns, *PLACES, "_rank").withColumnRenamed("_rank", "source_rank")
+    return joined.select(*carry, *PLACES, F.col("_rank").alias("source_rank"))
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "source", "source_rank", *PLACES)
+    return mix(shared.documents(spark, sf_dir), carry=["doc_id", "source"]).select("doc_id", "source", "source_rank", *PLACES)
