@@ -1,33 +1,64 @@
-"""Connected components of an edge table by label propagation with pointer jumping."""
+"""Connected components of an edge table by contracting neighbourhoods.
+
+An edge goes to the partitions of both its ends. A partition joins what its edges connect (a
+vectorised union of whatever met there, not of single neighbourhoods) and replaces the edges by
+stars around the least node. That is repeated until no partition finds a new edge; then every node
+has one edge, to the least node of its component. A round is one exchange of two numbers an edge;
+it is written to the shared folder, and only a count reaches the driver.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
+EDGES = "a long, b long, fresh boolean"
+
+
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for every node but the least ones."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        # Labels of both ends and of their present labels go down; then each label is followed once.
+        for at in (x, y, label[x], label[y]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(batches):
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not found or not sum(len(x) for x, _ in found):
+        return
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    node, least = local_stars(a, b)
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+    made = np.stack([node, least], axis=1)
+    kind = np.dtype([("a", np.int64), ("b", np.int64)])
+    known = np.isin(np.ascontiguousarray(made).view(kind).ravel(), np.ascontiguousarray(pairs).view(kind).ravel()) if len(made) else np.zeros(0, bool)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(~known)], names=["a", "b", "fresh"])
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) for each node of ``edges`` (a, b); label is the smallest node that can be reached.
-
-    A round takes the least label of the neighbours (a sum-like aggregate, combined before the
-    shuffle) and then the label's own label, so paths shorten by more than half a round. Each round
-    is written to the shared folder; the loop ends when no label changes. Only a count reaches the
-    driver.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = shared.materialize(both, f"{name}-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
-    labels = shared.materialize(labels, f"{name}-labels")
+    """(node, label) for each node of ``edges`` (a, b of long); label is the smallest node that can be reached."""
+    now = edges.where("a <> b").select("a", "b")
     while True:
-        of = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
-        near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        jump = met.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        # A label is a node, so each finds its own row; what is far away is reached in few rounds.
-        new = met.join(jump, "label").select("node", "was", F.least("label", "further").alias("label"))
-        new = shared.materialize(new, f"{name}-labels")
-        labels = new.select("node", "label")
-        if new.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+        both = now.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
+        new = shared.materialize(both.repartition("end").select("a", "b").mapInArrow(_contract, EDGES), name)
+        now = new.select("a", "b")
+        if new.where("fresh").isEmpty():
+            break
+    labels = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    return labels.union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

@@ -189,80 +189,61 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), shared.text_or_empty().alias("text")).mapInArrow(sign, SETS)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def link_sets(sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly what all links connect. With ``sides`` only pairs across them are looked at.
 
-    Sets go by size. A set is first tried on the last member of each component in its size range;
-    only if some component stays apart are the inverted lists scanned for its true overlaps.
+    Sets go by size. A set is first tried on the one before it, which in a group of copies is mostly
+    enough. While some set in its size range is in another component, the inverted lists are
+    scanned: of each set they hold the shingles that are rarest among these sets, one more than a
+    partner can lack, so every partner is met; its own component is passed over.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    forest, links = _Forest(len(sets)), []
+    links: list[tuple[int, int]] = []
     if len(sets) < 2:
         return links
     sizes = np.array([len(sets[k]) for k in order], np.int64)
     flat = np.concatenate([sets[k] for k in order])
     owner = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(flat, kind="stable")
-    ranks = np.empty(len(flat), np.int64)
-    ordered = flat[by]
-    heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    ranks[by] = np.cumsum(heads) - 1
-    posts, first = owner[by], np.append(np.flatnonzero(heads), len(flat))
+    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
+    by = np.lexsort((token, df[token], owner))
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(len(flat)) - starts[owner]
+    kept = place < (sizes - (percent * sizes + 99) // 100 + 1)[owner]
+    mine = token[by][kept]  # each set's rarest shingles, set by set
+    prefix = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(order)))])
+    lists = np.argsort(mine, kind="stable")
+    posts = owner[kept][lists]
+    heads = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=len(df)))])
+    root = np.arange(len(order))
+    side = None if sides is None else np.array([sides[k] for k in order])
 
     def linked(i: int, j: int) -> bool:
         both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-        return 100 * both >= percent * (sizes[i] + sizes[j] - both)
+        return bool(100 * both >= percent * (sizes[i] + sizes[j] - both))
+
+    def join(i: int, j: int) -> None:
+        links.append((order[i], order[j]))
+        root[root == root[j]] = root[i]
 
     low = 0
-    last: dict[int, int] = {}  # of a root: its latest member
-    for j in range(len(order)):
+    for j in range(1, len(order)):
         while 100 * sizes[low] < percent * sizes[j]:
             low += 1
-        last = {root: i for root, i in last.items() if i >= low}
-        apart = False
-        if sides is None:
-            for root, i in sorted(last.items(), key=lambda x: -x[1]):
-                if forest.find(i) == forest.find(j):
-                    continue
-                if linked(i, j):
-                    forest.join(i, j)
-                    links.append((order[i], order[j]))
-                else:
-                    apart = True
-        if apart or sides is not None:
-            own = ranks[starts[j] : starts[j + 1]]
-            a, b = first[own], first[own + 1]
-            lengths = b - a
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-            both = np.bincount(posts[at], minlength=len(order))[low:j]
-            hits = np.flatnonzero(100 * both >= percent * (sizes[low:j] + sizes[j] - both)) + low
-            for i in hits.tolist():
-                if (sides is None or sides[order[i]] != sides[order[j]]) and forest.join(i, j):
-                    links.append((order[i], order[j]))
-        merged: dict[int, int] = {}
-        for i in [*last.values(), j]:
-            root = forest.find(i)
-            merged[root] = max(merged.get(root, -1), i)
-        last = merged
+        if low < j and (side is None or side[j - 1] != side[j]) and root[j - 1] != root[j] and linked(j - 1, j):
+            join(j - 1, j)
+        apart = root[low:j] != root[j]
+        if side is not None:
+            apart &= side[low:j] != side[j]
+        if not apart.any():
+            continue
+        own = mine[prefix[j] : prefix[j + 1]]
+        a, n = heads[own], heads[own + 1] - heads[own]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        near = np.unique(posts[at])
+        near = near[(near >= low) & (near < j)]
+        for i in near[apart[near - low]][::-1].tolist():
+            if root[i] != root[j] and linked(i, j):
+                join(i, j)
     return links
 
 
