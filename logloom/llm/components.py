@@ -39,24 +39,35 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches):
-    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not found or not sum(len(x) for x, _ in found):
+    """Stars of the edges (a, b, end) of a partition, ``end`` being what brought an edge here.
+
+    An edge that was here before and belongs to a node that is looked after elsewhere is left to
+    that partition, so a star isn't written by both its centre's partition and its leaves'.
+    """
+    found = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not found:
         return
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b, end = (np.concatenate(x) for x in zip(*found, strict=True))
     node, least = local_stars(a, b)
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-    made = np.stack([node, least], axis=1)
     kind = np.dtype([("a", np.int64), ("b", np.int64)])
-    known = np.isin(np.ascontiguousarray(made).view(kind).ravel(), np.ascontiguousarray(pairs).view(kind).ravel()) if len(made) else np.zeros(0, bool)
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(~known)], names=["a", "b", "fresh"])
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+    made = np.ascontiguousarray(np.stack([node, least], axis=1)).view(kind).ravel()
+    fresh = ~np.isin(made, np.ascontiguousarray(pairs).view(kind).ravel())
+    kept = fresh | np.isin(node, end)
+    yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(least[kept]), pa.array(fresh[kept])], names=["a", "b", "fresh"])
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) for each node of ``edges`` (a, b of long); label is the smallest node that can be reached."""
-    now = edges.where("a <> b").select("a", "b")
+    """(node, label) for each node of ``edges`` (a, b of long); label is the smallest node that can be reached.
+
+    The first round goes by ``b`` alone: where ``a`` are centres and ``b`` members, a member's
+    several centres become one edge for it and few between centres.
+    """
+    first = edges.where("a <> b").select("a", "b", F.col("b").alias("end")).repartition("end")
+    now = shared.materialize(first.mapInArrow(_contract, EDGES), name).select("a", "b")
     while True:
         both = now.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
-        new = shared.materialize(both.repartition("end").select("a", "b").mapInArrow(_contract, EDGES), name)
+        new = shared.materialize(both.repartition("end").mapInArrow(_contract, EDGES), name)
         now = new.select("a", "b")
         if new.where("fresh").isEmpty():
             break
