@@ -162,8 +162,7 @@ def same_paths(files: DataFrame, looks: DataFrame) -> DataFrame:
     named = above.join(plain.select("session_id", "path", bare.alias("key")), ["session_id", "key"])
     shorter = files.select("session_id", "file_path", F.explode(ends(F.col("file_path"))).alias("key")).join(plain.where(~F.col("path").startswith("/")).select("session_id", "path", F.col("path").alias("key")), ["session_id", "key"])
     longer = plain.select("session_id", "path", F.explode(ends(F.col("path"))).alias("key")).join(files.where(~F.col("file_path").startswith("/")).select("session_id", "file_path", F.col("file_path").alias("key")), ["session_id", "key"])
-    match = F.udf(shell.same_path, "boolean")
-    globbed = globs.join(files, "session_id").where(match("path", "file_path"))
+    globbed = globs.join(files, "session_id").where(shell.same_path_of(F.col("path"), F.col("file_path")))
     parts = [x.select("session_id", "file_path", "path") for x in (named, shorter, longer, globbed)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
 

@@ -212,11 +212,10 @@ def session_meta(numbered: DataFrame, recs: DataFrame, blks: DataFrame, uses: Da
     ran = F.col("result").isNotNull() | F.col("is_sidechain") | (F.col("record_index") > F.col("last_stop"))
     ok = ~F.coalesce(F.col("result.is_error"), F.lit(False))
     keys = F.expr("json_object_keys(to_json(input))")
-    may_write = F.udf(shell.may_write, "boolean")  # only for tools that no list names
     named = (*fixed.EDIT_TOOLS, *fixed.LOOKUP_TOOLS, *fixed.BYSTANDER_TOOLS, "Bash")
     writer = F.col("name").isin(*fixed.EDIT_TOOLS) | F.coalesce("unread", F.lit(False))
     writer = writer | F.coalesce(F.when(F.col("command").isNotNull(), shell.writes_of(F.col("command"))), F.lit(False))
-    writer = writer | F.coalesce(F.when(~F.col("name").isin(*named), may_write("name", keys)), F.lit(False))
+    writer = writer | F.coalesce(F.when(~F.col("name").isin(*named), shell.may_write_of(F.col("name"), keys)), F.lit(False))
     commits = F.coalesce(F.array_contains(shell.git_commands_of(F.col("command")), "commit"), F.lit(False))
     unseen = F.col("name").isin(*fixed.DELEGATION_TOOLS) & ok & F.col("linked").isNull() & ~F.col("counted")
     acts = u.groupBy("session_id").agg(

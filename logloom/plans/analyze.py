@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, redaction
-from ..functions import text as t
-from ..functions.paths import in_tree
+from ..functions.paths import in_tree_of
 from ..operators import contents, detectors, graph, order, parse
 from ..sources import logs
 from ..tables import keep
@@ -138,10 +137,9 @@ def detect(s: Session) -> tuple[DataFrame, DataFrame]:
     signals = parts[0]
     for k, part in enumerate(parts[1:]):
         signals = signals.unionByName(keep(part, f"signals-{k}"))
-    inside = F.udf(in_tree, "boolean")
     signals = signals.join(s.meta.select("session_id", "cwd"), "session_id", "left")
     # Only absolute paths can lie outside of the project.
-    signals = signals.where(F.col("file_path").isNull() | ~F.col("file_path").rlike(r"^(?:\\\\|[\\/]|[A-Za-z]:[\\/])") | inside("file_path", "cwd")).drop("cwd", "seq")
+    signals = signals.where(F.col("file_path").isNull() | ~F.col("file_path").rlike(r"^(?:\\\\|[\\/]|[A-Za-z]:[\\/])") | in_tree_of(F.col("file_path"), F.col("cwd"))).drop("cwd", "seq")
     return gated, detectors.in_order(signals)
 
 
@@ -149,7 +147,3 @@ def analyze(spark: SparkSession, path: str | list[str], extra_patterns: list[str
     """Gate and signals of all sessions below a path."""
     lines = redacted(merged(streams(spark, path)), extra_patterns)
     return detect(parsed(lines.select("session_id", "line_no", "line")))
-
-
-def text_report(signals: DataFrame) -> DataFrame:
-    return signals.select(F.format_string("%s %s", F.col("category"), t.basename(F.coalesce("file_path", F.lit("")))).alias("line"))
