@@ -61,15 +61,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) for each node of ``edges`` (a, b of long); label is the smallest node that can be reached.
 
     The first round goes by ``b`` alone: where ``a`` are centres and ``b`` members, a member's
-    several centres become one edge for it and few between centres.
+    several centres become one edge for it and few between centres. Leaves, which then have one edge
+    and are nobody's centre, wait for their centre's label; only the rest takes part in the rounds,
+    so a centre's many leaves never meet in one task.
     """
     first = edges.where("a <> b").select("a", "b", F.col("b").alias("end")).repartition("end")
     now = shared.materialize(first.mapInArrow(_contract, EDGES), name).select("a", "b")
-    while True:
+    centres = now.select(F.col("b").alias("a")).distinct()
+    single = now.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1").select("a", "b")
+    leaves = shared.materialize(single.join(centres, "a", "left_anti"), f"{name}-leaves")
+    now = shared.materialize(now.join(leaves.select("a"), "a", "left_anti"), f"{name}-inner")
+    while not now.isEmpty():
         both = now.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
         new = shared.materialize(both.repartition("end").mapInArrow(_contract, EDGES), name)
         now = new.select("a", "b")
         if new.where("fresh").isEmpty():
             break
-    labels = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return labels.union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    inner = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    inner = inner.union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    inner = shared.materialize(inner.union(centres.select(F.col("a").alias("node")).join(inner, "node", "left_anti").select("node", F.col("node").alias("label"))), f"{name}-inner-labels")
+    outer = leaves.join(inner.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+    return inner.union(outer)
