@@ -130,6 +130,7 @@ def _owners(batches, smallest: bool, budget: int, with_text: bool):
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), types, strict=True)], names=names)
 
+    shared.own_worker("dedup")
     trie = Patricia(better)
     for batch in batches:
         for text, owner, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):

@@ -173,6 +173,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
     def sign(batches):
+        shared.own_worker("jaccard")
         seen: set[int] = set()
         for batch in batches:
             ids, rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), []

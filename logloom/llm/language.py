@@ -106,6 +106,7 @@ def fit(train: DataFrame, per_language: int = 300, max_languages: int = 200, cen
     names.sort()
 
     def count(batches):
+        shared.own_worker("language")
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, counts in _counts(batch, 1, dims):
@@ -143,17 +144,20 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     inside = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry or [])]
-    rows = docs.select("doc_id", *inside, F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER).alias("_letters"), shared.text_or_empty().alias("_text"))
+    # A text that is carried is scored where it is carried; it goes to Python once.
+    own = [] if "text" in (carry or []) else [F.col("text").alias("_text")]
+    rows = docs.select("doc_id", *inside, *own, F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER).alias("_letters"))
     fields = [f for f in rows.schema.fields if f.name not in ("_letters", "_text")]
+    at = 1 + (carry or []).index("text") if not own else len(fields)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def score(batches):
+        shared.own_worker("language")
         m = held.value
         for batch in batches:
-            n = batch.num_columns
-            letters = batch.column(n - 2).to_pylist()
+            letters = batch.column(batch.num_columns - 1).to_pylist()
             names, scores, rejected = [], [], []
-            for first, counts in _counts(batch, n - 1, m.dims):
+            for first, counts in _counts(batch, at, m.dims):
                 if not len(m.languages):
                     names += ["und"] * len(counts)
                     scores += [0.0] * len(counts)
@@ -167,7 +171,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                     names.append(m.languages[m.owner[j]] if ok else "und")
                     scores.append(cosine if ok else 0.0)
                     rejected.append(not ok or cosine < m.floors[_length_class(c.sum())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n - 2)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(f.name for f in fields), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(f.name for f in fields), "lang_pred", "score", "rejected"])
 
     out = rows.mapInArrow(score, f"{schema}, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", *(F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry or [])), "lang_pred", "score", "rejected")

@@ -48,6 +48,17 @@ def cleanup(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_owner: list = ["", None]
+
+
+def own_worker(name: str, drop=None) -> None:
+    """Called where a task begins: a Python worker, which outlives its tasks, keeps the cache of one operator at a time."""
+    if _owner[0] != name:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [name, drop]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

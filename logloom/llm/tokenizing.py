@@ -11,8 +11,10 @@ import os
 import re
 import struct
 
+from . import shared
+
 #: Chunks that a worker remembers, about 200 bytes each; at this size the cache starts anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 _SPACES = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 #: Marks that the splitting pattern always parts from a letter before them, at the end of a chunk.
@@ -83,6 +85,7 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches, path: str, end_id: int, at_once: int = 256):
     """(row values, ids as bytes with the end id) of Arrow batches whose last column is the text."""
+    shared.own_worker("tokens", _encoders.clear)
     enc, end = encoder(path), int(end_id).to_bytes(4, "little")
     for batch in batches:
         for i in range(0, batch.num_rows, at_once):
