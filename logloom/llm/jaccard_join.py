@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -284,8 +284,9 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, block_shingl
     sets = shared.materialize(signatures(docs, size, percent), "sets")
     keyed = sets.where("set_id IS NOT NULL").select("set_id", F.explode("keys").alias("key"))
     # A key's rows are one per set and task at most; the least set of each key is the centre of its star.
-    centre = keyed.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("key", "a")
-    stars = keyed.join(centre, "key").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    # A window over one exchange: nearly all keys are single, so a sum before the shuffle would not shrink it.
+    centre = F.min("set_id").over(Window.partitionBy("key"))
+    stars = keyed.withColumn("a", centre).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
     if not sets.where("failed").isEmpty():
         stars = stars.union(_fallback_edges(docs, sets, size, percent))
     cluster = components(shared.materialize(stars, "stars"), "clusters")
