@@ -7,9 +7,11 @@ an escape (half a count for each distinct symbol of the context: method D) leads
 shorter context, where the symbols of the longer one are excluded, and at last to a uniform code.
 
 Counts come from all training texts: a task counts what it reads, and tasks' counts are added by
-key. Lower orders are sums of the highest. The trie is a model of bounded size: if its nodes would
-exceed ``max_nodes``, nodes seen less often than a threshold are left out in every order above 0, which
-keeps longer contexts' symbols a subset of shorter ones'.
+key. The trie is a table and keeps every node: it is dealt out by the last ``NEAR`` bytes of the context, so
+that a task has a context and all its suffixes down to those bytes, and lower orders as sums of the
+highest; the orders below, which the alphabet bounds, are sent to all tasks. Each task gives the
+probabilities of its keys. A text's frequent keys are looked up in a table of the ``cached`` most
+used ones that all tasks get, its others by a join; that size decides only where a key is looked up.
 
 The word model that it is held against needs the count of every word. The ``common`` most frequent
 words are sent to all tasks (a bounded table); a text's other words are looked up by a join.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,10 @@ END = 10
 #: The key of the end token among word hashes.
 END_WORD = int(mix(np.array([END], np.uint64))[0].view(np.int64))
 #: Values that a task holds before it adds them up.
-_HELD = 4_000_000
+_HELD = 1_000_000
+#: Bytes of a context by which the trie is dealt out, and keys a task gets of it.
+NEAR = 3
+_DEALT = 500_000
 
 
 def stream(octets: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,35 +102,38 @@ class _Adder:
             self.held, self.size = [], 0
 
 
-def counts(train: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, key, n): kind 0 are words and the end token, kind 1 symbols in their context of ``order`` bytes."""
+def counts(docs: DataFrame, order: int = ORDER, held_out: Column | None = None) -> DataFrame:
+    """(kind, key, n, used): kind 0 are words and the end token, kind 1 symbols in their context of ``order`` bytes. ``n`` counts training texts; ``used`` also those ``held_out``, whose words are left out."""
 
     def count(batches):
         shared.own_worker("ppm", _built.clear)
-        found, texts = (_Adder(), _Adder()), 0
+        found, texts = (_Adder(), _Adder(), _Adder()), 0
 
         def flush():
-            for kind, adder in enumerate(found):
+            for at, adder in enumerate(found):
                 adder.fold()
                 for i in range(0, len(adder.keys), 1 << 18):
-                    part = adder.keys[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(adder.counts[i : i + (1 << 18)])], names=["kind", "key", "n"])
+                    part, n = adder.keys[i : i + (1 << 18)], adder.counts[i : i + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), min(at, 1), np.int8)), pa.array(part.view(np.int64)), pa.array(n if at < 2 else np.zeros_like(n)), pa.array(n)], names=["kind", "key", "n", "used"])
                 adder.__init__()
 
         for batch in batches:
-            for part, octets, offsets in slices(batch, 0):
-                hashes, firsts = words(octets, offsets)
-                found[0].add(hashes)
-                found[1].add(grams(*stream(octets, offsets, firsts, order), order)[0])
-                texts += part.num_rows
-                if len(found[0].keys) > _HELD:
-                    yield from flush()
+            for out in (False, True):
+                for part, octets, offsets in slices(batch.filter(pc.equal(batch.column(1), out)), 0):
+                    hashes, firsts = words(octets, offsets)
+                    found[1 + out].add(grams(*stream(octets, offsets, firsts, order), order)[0])
+                    if not out:
+                        found[0].add(hashes)
+                        texts += part.num_rows
+                    if max(len(adder.keys) for adder in found) > _HELD:
+                        yield from flush()
         yield from flush()
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_WORD], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_WORD], pa.int64()), pa.array([texts], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n", "used"])
 
-    made = train.select(shared.text_or_empty().alias("text")).mapInArrow(count, "kind byte, key long, n long")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
+    made = docs.select(shared.text_or_empty().alias("text"), out.alias("out")).mapInArrow(count, "kind byte, key long, n long, used long")
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("used").alias("used"))
 
 
 def _find(keys: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +192,8 @@ class Trie:
 
 
 def fit(counted: DataFrame, order: int = ORDER, max_nodes: int = 4_000_000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The levels of a ``Trie`` from a table of ``counts``; the driver gets at most ``max_nodes`` nodes."""
-    levels = [counted.where("kind = 1").select("key", "n")]
+    """The levels of a ``Trie`` in memory, of at most ``max_nodes`` nodes above order 0, from a table of ``counts``: a small model, nodes below a count left out. ``probabilities`` keeps all."""
+    levels = [counted.where("kind = 1 AND n > 0").select("key", "n")]
     for i in range(order - 1, -1, -1):
         suffix = F.col("key").bitwiseAND((1 << (8 * (i + 1))) - 1).alias("key")
         levels.insert(0, shared.materialize(levels[0].groupBy(suffix).agg(F.sum("n").alias("n")), f"level-{i}"))
@@ -208,6 +217,55 @@ def fit(counted: DataFrame, order: int = ORDER, max_nodes: int = 4_000_000) -> l
     return found
 
 
+def _shorter(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the keys' last ``order`` bytes of context and symbol."""
+    short, where = np.unique(keys & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
+    return short, np.bincount(where, n, len(short)).astype(np.int64)
+
+
+def probabilities(counted: DataFrame, order: int = ORDER, dealt: int | None = None) -> DataFrame:
+    """(key, used, p): log10 of the probability of each key of ``counts``, with every node of the trie."""
+    keys = counted.where("kind = 1").select("key", "n", "used")
+    near = min(NEAR, order)
+    low = keys.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * near)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low_keys, low_n = low.column("key").to_numpy().astype(np.uint64), low.column("n").to_numpy()
+    lower = keys.sparkSession.sparkContext.broadcast([_shorter(low_keys, low_n, i) for i in range(near)])
+
+    def run(batches):
+        shared.own_worker("ppm", _built.clear)
+        held = [tuple(batch.column(k).to_numpy() for k in range(3)) for batch in batches]
+        if not held:
+            return
+        own, n, used = (np.concatenate([h[k] for h in held]) for k in range(3))
+        del held
+        own, seen = own.astype(np.uint64), n > 0
+        higher = [_shorter(own[seen], n[seen], order)]
+        for i in range(order - 1, near - 1, -1):
+            higher.insert(0, _shorter(*higher[0], i))
+        model = Trie(lower.value + higher)
+        for i in range(0, len(own), 1 << 18):
+            part = slice(i, i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(own[part].view(np.int64)), pa.array(used[part]), pa.array(model.log10(own[part]))], names=["key", "used", "p"])
+
+    dealt = dealt or max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // _DEALT))
+    by = F.shiftright("key", 8).bitwiseAND((1 << (8 * near)) - 1)
+    return keys.repartition(dealt, by).mapInArrow(run, "key long, used long, p double")
+
+
+def _most_used(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of at most ``size`` of the keys that are used most."""
+    least, held = 0, 0
+    for r in table.groupBy(F.floor(8 * F.log2("used")).alias("at")).count().orderBy(F.desc("at")).collect():
+        held += r["count"]
+        if held > size:
+            least = r["at"] + 1
+            break
+    top = table.where(F.floor(8 * F.log2("used")) >= least).select("key", "p").toArrow()
+    keys, p = top.column("key").to_numpy().astype(np.uint64), top.column("p").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], p[by]
+
+
 #: The trie that a worker built last, with the number of its broadcast.
 _built: dict[int, Trie] = {}
 
@@ -219,25 +277,30 @@ def _trie(number: int, levels: list) -> Trie:
     return _built[number]
 
 
-def score(docs: DataFrame, levels: list, counted: DataFrame, held_out: Column, common: int = 1 << 17) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
+def score(docs: DataFrame, levels: list | DataFrame, counted: DataFrame, held_out: Column, common: int = 1 << 17, cached: int = 3_000_000, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
+
+    ``levels`` are those of a trie in memory, or the table of ``probabilities`` of order ``order`` over all of ``docs``."""
     from pyspark import TaskContext
 
+    table = levels if isinstance(levels, DataFrame) else None
+
     spark = docs.sparkSession
     vocabulary = counted.where("kind = 0").select("key", "n")
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = vocabulary.orderBy(F.desc("n"), "key").limit(common).toArrow()
     keys, n = top.column("key").to_numpy(), top.column("n").to_numpy()
     by = np.argsort(keys)
-    held = spark.sparkContext.broadcast((levels, keys[by], np.log10(n[by] + 0.1), int(totals.n)))
-    order, number = len(levels) - 1, held._jbroadcast.id()
-    names = ["doc_id", "held_out", "row", "n_tokens", "known", "sum", "score", "rare"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+    whole_trie = table is None
+    held = spark.sparkContext.broadcast((levels if whole_trie else _most_used(table, cached), keys[by], np.log10(n[by] + 0.1), int(totals.n)))
+    order, number = len(levels) - 1 if whole_trie else order, held._jbroadcast.id()
+    names = ["doc_id", "held_out", "row", "n_tokens", "known", "sum", "score", "rare", "rare_keys"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         shared.own_worker("ppm", _built.clear)
         tables, common_keys, logs, _ = held.value
-        model = _trie(number, tables)
+        model = _trie(number, tables) if whole_trie else None
         common_keys, row = common_keys.view(np.uint64), TaskContext.get().partitionId() << 33
         sort = np.argsort(common_keys)
         common_keys, logs = common_keys[sort], logs[sort]
@@ -247,7 +310,15 @@ def score(docs: DataFrame, levels: list, counted: DataFrame, held_out: Column, c
                 hashes, firsts = words(octets, offsets)
                 keys, begins = grams(*stream(octets, offsets, firsts, order), order)
                 distinct, where = np.unique(keys, return_inverse=True)
-                sums = np.concatenate([[0.0], np.cumsum(model.log10(distinct)[where])])
+                if model:
+                    p, cached_there = model.log10(distinct), np.ones(len(distinct), bool)
+                else:
+                    at, cached_there = _find(tables[0], distinct)
+                    p = np.where(cached_there, tables[1][at] if len(tables[1]) else 0.0, 0.0)
+                sums = np.concatenate([[0.0], np.cumsum(p[where])])
+                asked = ~cached_there[where]
+                asked_of = np.concatenate([[0], np.cumsum(asked)])[begins]
+                key_lists = pa.ListArray.from_arrays(pa.array(asked_of.astype(np.int32)), pa.array(keys[asked].view(np.int64)))
                 at, there = _find(common_keys, hashes)
                 word_sums = np.concatenate([[0.0], np.cumsum(np.where(there, logs[at], 0.0) if len(logs) else np.zeros(len(hashes)))])
                 known = np.concatenate([[0], np.cumsum(there)])
@@ -259,14 +330,17 @@ def score(docs: DataFrame, levels: list, counted: DataFrame, held_out: Column, c
                     lists = pa.array([[*x, END_WORD] for x in lists.to_pylist()], types[-1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(row + np.arange(rows)), pa.array(b - a + 1), pa.array(known[b] - known[a] + (end is not None)),
-                     pa.array(word_sums[b] - word_sums[a] + (end or 0.0)), pa.array(sums[begins[1:]] - sums[begins[:-1]]), lists], names=names)
+                     pa.array(word_sums[b] - word_sums[a] + (end or 0.0)), pa.array(sums[begins[1:]] - sums[begins[:-1]]), lists, key_lists], names=names)
                 row += rows
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, sum double, score double, rare array<long>"
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, sum double, score double, rare array<long>, rare_keys array<long>"
     made = shared.materialize(docs.select("doc_id", held_out.alias("held_out"), shared.text_or_empty().alias("text")).mapInArrow(run, schema), "scored")
     rare = made.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_sum"), F.count("n").alias("rare_known"))
     out = made.select("doc_id", "held_out", "row", "n_tokens", "known", "sum", "score").join(rare, "row", "left")
+    if table is not None:
+        asked = made.select("row", F.explode("rare_keys").alias("key")).join(table.select("key", "p"), "key")
+        out = out.join(asked.groupBy("row").agg(F.sum("p").alias("asked_sum")), "row", "left").withColumn("score", F.col("score") + F.coalesce("asked_sum", F.lit(0.0)))
     whole = float(np.log10(totals.n + 0.1 * (totals.v + 1)))
     return out.select(
         "doc_id",
@@ -282,5 +356,5 @@ def score(docs: DataFrame, levels: list, counted: DataFrame, held_out: Column, c
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
-    counted = shared.materialize(counts(docs.where(~out)), "counts")
-    return score(docs, fit(counted), counted, out)
+    counted = shared.materialize(counts(docs, held_out=out), "counts")
+    return score(docs, shared.materialize(probabilities(counted), "probabilities"), counted, out)

@@ -292,6 +292,35 @@ def test_pruned_trie_still_sums_to_one(spark, docs):
     assert abs((10 ** trie.log10(keys)).sum() - 1) < 1e-9
 
 
+def test_table_of_probabilities_keeps_every_node(spark, docs):
+    """Against a trie in memory that nothing is left out of, with most keys looked up by a join."""
+    out = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(True))
+    for order in (2, 3, 6):
+        counted = shared.materialize(ppm.counts(docs, order, out), "counts")
+        whole = ppm.fit(shared.materialize(ppm.counts(docs.where(~out), order), "counts"), order, max_nodes=1 << 60)
+        table = shared.materialize(ppm.probabilities(counted, order, dealt=5), "probabilities")
+        trie = ppm.Trie(whole)
+        got = {r.key: r.p for r in table.collect()}
+        assert len(got) == table.count() == counted.where("kind = 1").count()
+        keys = np.array(list(got), np.int64)
+        assert np.allclose(trie.log10(keys.view(np.uint64)), list(got.values()))
+        shown = lambda d: sorted(((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in d.collect()))
+        want = shown(ppm.score(docs, whole, counted, out))
+        for cached in (0, 20, 10**6):
+            assert shown(ppm.score(docs, table, counted, out, cached=cached, order=order)) == want
+
+
+def test_op7_scores_do_not_depend_on_a_size(spark, tmp_path, monkeypatch):
+    """The registered query, with a trie in memory held to few nodes and few keys in the cache."""
+    d = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 97}" for j in range(40))) for k in range(60)], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r.doc_id: r.score for r in ppm.op7_ppm(spark, str(tmp_path)).collect()}
+    for function, small in ((ppm.fit, (ppm.ORDER, 100)), (ppm.score, (1 << 17, 10, ppm.ORDER))):
+        monkeypatch.setattr(function, "__defaults__", small)
+    got = {r.doc_id: r.score for r in ppm.op7_ppm(spark, str(tmp_path)).collect()}
+    assert len(got) == 60 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 # --- 8 language ---
 def test_language_held_out(spark, sf, docs, empty):
     d = shared.documents(spark, sf)
