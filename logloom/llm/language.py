@@ -3,8 +3,8 @@
 A text's vector holds the normalised TF-IDF of its byte n-grams (1 to 3, hashed into ``dims``
 places), with letters in lower case and all that is no letter as one blank. Each language has
 several centroids, from spherical k-means over its training vectors; the prediction is the language
-of the centroid with the largest cosine. A text further from every centroid than nearly all training
-texts of its length are is marked as rejected.
+of the centroid with the largest cosine. A text is marked as rejected if its cosine is below half of
+what nearly all training texts of its length have to centroids that were learned without them.
 
 Bounds: training takes at most ``per_language`` texts a language, those with the smallest hash of
 doc_id, and of languages the ``max_languages`` most frequent; both are parameters. All else covers
@@ -18,6 +18,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,6 +98,30 @@ def _cluster(v: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def _left_out(v: np.ndarray, langs: np.ndarray, folds: np.ndarray, centroids: int, seed: int) -> np.ndarray:
+    """Each text's largest cosine to centroids of the texts of other folds. Equal texts share a fold."""
+    best = np.zeros(len(v), np.float32)
+    for fold in np.unique(folds):
+        own = folds == fold
+        # A single fold has no others: its own centroids must do.
+        rest = ~own if not own.all() else own
+        groups = [_cluster(v[rest & (langs == k)], centroids, seed + int(k)) for k in np.unique(langs[rest])]
+        best[own] = (v[own] @ np.concatenate(groups).T).max(axis=1)
+    return best
+
+
+def _floors(best: np.ndarray, classes: np.ndarray, share: float, quantile: float = 0.01, least: int = 20) -> np.ndarray:
+    """``share`` of a low quantile of each length class, pooled with its neighbours up to ``least`` texts; the lowest text never sets it alone."""
+    floors = np.zeros(16, np.float32)
+    for k in range(16 if len(best) else 0):
+        for around in range(16):
+            own = np.sort(best[np.abs(classes - k) <= around])
+            if len(own) >= least:
+                break
+        floors[k] = share * own[min(len(own) - 1, 1 + int(quantile * len(own)))]
+    return floors
+
+
 def fit(train: DataFrame, per_language: int = 300, max_languages: int = 200, centroids: int = 4, dims: int = 8192, seed: int = 7, floor_share: float = 0.5) -> Model:
     """Learn from ``train`` (doc_id, text, lang). What reaches the driver is sparse counts of the bounded sample."""
     known = train.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER)).select("doc_id", "lang", "text")
@@ -128,14 +153,9 @@ def fit(train: DataFrame, per_language: int = 300, max_languages: int = 200, cen
     groups = [_cluster(v[langs == k], centroids, seed + k) for k in range(len(names))]
     owner = np.repeat(np.arange(len(names)), [len(g) for g in groups]) if groups else np.zeros(0, np.int64)
     centres = np.concatenate(groups) if groups else np.zeros((0, dims), np.float32)
-    floors = np.zeros(16, np.float32)
-    if len(rows):
-        best = (v @ centres.T).max(axis=1)
-        classes = np.array([_length_class(c.sum()) for c in counts])
-        # Half of the least cosine among training texts no longer than this; texts shorter than any are accepted down to a tenth of it.
-        for k in range(16):
-            own = best[classes <= k]
-            floors[k] = floor_share * own.min() if len(own) else 0
+    folds = np.array([zlib.crc32(bytes(r.places) + bytes(r.counts)) % 4 for r in rows], np.int64)
+    classes = np.array([_length_class(c.sum()) for c in counts], np.int64)
+    floors = _floors(_left_out(v, langs, folds, centroids, seed), classes, floor_share)
     return Model(names, centres, owner, idf, floors, dims)
 
 

@@ -344,6 +344,25 @@ def test_noise_is_rejected(spark, sf):
     assert language.predict(d, model).where("rejected").count() == 0
 
 
+ITALIAN = "Il governo ha annunciato ieri nuove misure per sostenere le famiglie e le piccole imprese, mentre il parlamento discute la legge di bilancio per il prossimo anno. "
+
+
+def test_long_noise_and_an_unlearned_language_are_rejected(spark, sf):
+    rng = random.Random(5)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choices(base, k=k)) for k in (2500, 2500, 2500, 20000, 20000)] + ["".join(rng.choices(base[26:52], k=2500)) for _ in range(5)] + [ITALIAN, ITALIAN * 10]
+    noise = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for seed in (7, 8):
+        model = language.fit(shared.documents(spark, sf), seed=seed)
+        assert language.predict(noise, model).where("NOT rejected").count() == 0
+
+
+def test_one_text_sets_no_floor_and_no_other_class():
+    best, classes = np.array([0.01] + [0.8] * 30 + [0.1] * 30, np.float32), np.array([13] * 31 + [5] * 30)
+    floors = language._floors(best, classes, 0.5)
+    assert abs(floors[13] - 0.4) < 1e-6 and abs(floors[5] - 0.05) < 1e-6
+
+
 # --- 9 exact dedup ---
 @given(st.lists(st.binary(max_size=6), max_size=40), st.integers(0, 3000))
 @settings(max_examples=150, deadline=None)
@@ -397,6 +416,7 @@ def test_secrets_held_out_and_scan(spark, docs, empty):
     assert secrets.scan(empty, forest).count() == 0
 
 
+
 # --- shared pieces ---
 @given(st.lists(st.text(alphabet="aB \t\n\x0bé漢", max_size=20), max_size=6))
 @settings(max_examples=100, deadline=None)
