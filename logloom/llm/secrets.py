@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false positives.
 
-Patterns find candidates: runs of key-like characters, values assigned to a name, private-key
-blocks. A forest then decides which are secrets from the candidate's length, its character
+Patterns find candidates: runs of key-like characters, values assigned to a name (of 8 characters or
+more, quoted or not, with or without blanks; of 6 or more, and with blanks in quotes, behind a name
+that speaks of secrets), private-key blocks. A forest then decides which are secrets from the candidate's length, its character
 transitions, the share of it that dictionary words cover, the document's source (path), and the
 neighbouring words. It learns from labelled findings (text, start, end, label); those built in are
 made from templates by ``labelled_findings``, with secrets and look-alikes (hashes and ids in
@@ -29,7 +30,9 @@ FINDINGS = "doc_id long, start long, end long, kind string, length long, value_s
 
 #: A run of key-like characters, or a value behind a naming word.
 CANDIDATE = re.compile(r"(?P<block>-----BEGIN [A-Z ]*PRIVATE KEY-----)|(?<![A-Za-z0-9+/_=-])(?P<run>[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_-])|(?<=[=:]\s)[\"'](?P<quoted>[^\"'\s]{8,})[\"']|(?<=[=:])[\"']?(?P<plain>[^\s\"'=:,;|]{12,})")
-_QUICK = re.compile(r"[A-Za-z0-9+/_-]{20}|[=:]\s?[\"']?[^\s]{8}")
+#: A value assigned to a name, whatever its characters.
+_ASSIGNED = re.compile(r"[=:]>?[ \t]*(?:\"(?P<double>[^\"\n]{6,})\"|'(?P<single>[^'\n]{6,})'|(?P<plain>[^\s\"'=:,;|][^\s\"',;|]{5,}))")
+_QUICK = re.compile(r"[A-Za-z0-9+/_-]{20}|[=:]>?\s*[\"']?[^\s]{6}")
 _LOUD = re.compile(r"(?i)token|secret|passw|api|key|auth|bearer|credential|private|access")
 _QUIET = re.compile(r"(?i)sha|md5|hash|commit|checksum|digest|uuid|id\b|rev|etag|version|example|sample|test|dummy")
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -80,9 +83,35 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int
         return xs[rng.integers(0, len(xs))]
 
     out = []
+    def password() -> str:
+        if rng.random() < 0.4:
+            return run(base[:62] + "!#$%&*+-.?@^_~", int(rng.integers(7, 20))) + pick("!", "7", "#2", "Q9")
+        return pick(str.title, str.lower, str.upper)(pick(*words)) + pick("", "!", "_", "@", "-", ".") + pick(str.title, str.lower)(pick(*words, "")) + pick("", "#", "!", "$") + run("0123456789", int(rng.integers(2, 5))) + pick("", "!", "#", "?")
+
+    def plain_value() -> str:
+        return pick(
+            lambda: prose(int(1)) + run("etaoinshrdlu", 6), lambda: (run("etaoinshrdlu", 8)).title() + pick("", ".", "!"), lambda: f"20{run('0123456789', 2)}-{run('01', 2)}-{run('012', 2)}",
+            lambda: f"{run('0123456789', 1)}.{run('0123456789', 2)}.{run('0123456789', 1)}-beta", lambda: pick(*words) + pick("_", "-", "/") + pick(*words) + pick(".py", ".txt", "", "/"),
+            lambda: "//www." + pick(*words) + ".org/" + pick(*words), lambda: run("0123456789", int(rng.integers(6, 14))), lambda: pick(*words) + pick(*words) + pick("(", "()", ""), lambda: pick(*words) + "@" + pick(*words) + ".org",
+        )()
+
     for k in range(n):
         label = k % 2
-        if label:
+        short = k % 6 >= 4
+        if short and label:
+            value = password()
+            value += run("0123456789", max(0, 6 - len(value)))
+            name = pick("password", "db_password", "secret", "passwd", "DB_PASSWORD", "api_key", "auth_token", "client_secret")
+            head, tail = pick((f"{name}: ", ""), (f"{name} = ", ""), (f"{name}=", ""), (f'{name}="', '"'), (f'{name} = "', '"'), (f"{name}: '", "'"), (f'"{name}": "', '"'))
+            source = pick("src3", "app.env", "config.yml", "notes.md", "")
+        elif short:
+            loud = rng.random() < 0.3
+            value = pick("changeme", "required", "${DB_PASSWORD}", "<password>", "your_password", "********", "xxxxxxxx", "undefined", "os.environ[0]", "get_password()", "settings.token") if loud else plain_value()
+            value += "x" * max(0, 6 - len(value))
+            name = pick("password", "secret", "api_key", "token") if loud else pick("name", "note", "title", "date", "version", "path", "url", "https", "see", "color", "phone", "id", "mail")
+            head, tail = pick((f"{name}: ", ""), (f"{name} = ", ""), (f"{name}=", ""), (f'{name}="', '"'), (f'{name} = "', '"'), (f"{name}:", ""))
+            source = pick("src3", "app.env", "config.yml", "notes.md", "")
+        elif label:
             value = pick(lambda: run(hexes, 40), lambda: run(hexes, int(pick(32, 48, 64))), lambda: run(base[:62], int(rng.integers(20, 48))), lambda: run(base, 40), lambda: pick("sk-", "ghp_", "AKIA", "xoxb-") + run(base[:62], int(rng.integers(20, 40))))()
             name = pick("token", "secret", "api_key", "password", "auth_token", "access_key", "client_secret", "private_key", "Authorization")
             head, tail = pick((f'{name} = "', '"'), (f"{name}: ", ""), (f"{name}=", ""), (f"{name}: '", "'"), (f'"{name}": "', '"'))
@@ -166,7 +195,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, over the whole text."""
     if not _QUICK.search(text) and "PRIVATE KEY" not in text:
         return []
-    return [(*m.span(m.lastgroup), m.lastgroup) for m in CANDIDATE.finditer(text)]
+    found = [(*m.span(m.lastgroup), m.lastgroup) for m in CANDIDATE.finditer(text)]
+    more, k = [], 0
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span(m.lastgroup)
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        if k < len(found) and found[k][0] < b:
+            continue
+        loud = _LOUD.search(text, max(0, m.start() - 24), m.start())
+        if loud or (b - a >= 8 and not re.search(r"\s", m[m.lastgroup])):
+            more.append((a, b, "plain" if m.lastgroup == "plain" else "quoted"))
+    return sorted(found + more)
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:

@@ -416,6 +416,16 @@ def test_secrets_held_out_and_scan(spark, docs, empty):
     assert secrets.scan(empty, forest).count() == 0
 
 
+def test_ordinary_secrets_are_found(spark):
+    lines = ["password: S3cure!Pass#2024", "db_password = S3cure!Pass#2024", 'password="hunter22!"', 'password = "hunter22!"', "DB_PASSWORD=Tr0ub4dor&3", "  secret:   'k9$Lm2@pQx'", '{"user": "bob", "passwd": "Zx7!pw"}', "password => 'G7h!kk02x'"]
+    values = ["S3cure!Pass#2024", "S3cure!Pass#2024", "hunter22!", "hunter22!", "Tr0ub4dor&3", "k9$Lm2@pQx", "Zx7!pw", "G7h!kk02x"]
+    plain = ["note: everything was found.", "https://www.site.org/a/b", "password: required", "see: tomorrow", "date: 2024-01-02", "name = something", "password = ${DB_PASSWORD}"]
+    assert [[x[a:b] for a, b, _ in secrets.candidates(x) if x[a:b] == v] for x, v in zip(lines, values, strict=True)] == [[v] for v in values]
+    assert [(t[a:b], kind) for t in ['password = "correct horse 9"', 'title = "a b c d e f"'] for a, b, kind in secrets.candidates(t)] == [("correct horse 9", "quoted")]
+    d = spark.createDataFrame([(k, x, "app.yml") for k, x in enumerate(lines + plain)], "doc_id long, text string, source string")
+    got = secrets.scan(d, secrets.fit(secrets.labelled_findings())).collect()
+    assert sorted({r.doc_id for r in got if r.is_secret}) == list(range(len(lines)))
+
 
 # --- shared pieces ---
 @given(st.lists(st.text(alphabet="aB \t\n\x0bé漢", max_size=20), max_size=6))
