@@ -410,6 +410,15 @@ u AS (SELECT session_id, NULL AS stream, seq, seq AS place, 1 AS late, 0 AS m FR
 SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY place, late, m, stream, seq) - 1 AS INTEGER) AS record_index, stream, CAST(seq AS INTEGER) AS seq FROM u"""
 
 
+def merge_timeline_whole(spark, sf):
+    """``merge_timeline`` over all line items. It has no SQL; tests hold it against brute force."""
+    o, li = _table(spark, sf, "orders"), _table(spark, sf, "lineitem")
+    seq = lambda by, *key: (F.row_number().over(Window.partitionBy(by).orderBy(*key)) - 1).cast("int").alias("seq")
+    parent = o.select(F.col("o_custkey").alias("session_id"), seq("o_custkey", "o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.unix_millis("o_orderdate")).alias("at"))
+    child = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.lit("a").alias("stream"), seq("o_custkey", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"), F.when(F.col("l_orderkey") % 7 != 0, F.unix_millis("l_shipdate")).alias("at"), F.lit(0).alias("start_seq"), F.lit(None).cast("long").alias("start_at"))
+    return order.merge_streams(parent, child).select("session_id", "record_index", "stream", "seq")
+
+
 def sessions_editing(spark, sf):
     files = spark.range(7).select(F.concat(F.lit("c"), F.col("id")).alias("sha"), F.concat(F.lit("src/f"), F.col("id"), F.lit(".py")).alias("file"))
     files = files.unionByName(spark.range(1).select(F.lit("all").alias("sha"), F.lit("src").alias("file")))
@@ -450,7 +459,7 @@ _QUERIES = {
     "is_test_file": (is_test_file, _TESTFILE), "fingerprint": (fingerprint, _FINGER), "changed_sessions": (changed_sessions, _CHANGED), "retry_due": (retry_due, _DUE),
     "lru_prune": (lru_prune, _PRUNE), "commit_marks": (commit_marks, _MARKS), "unseen_signals": (unseen_signals, _UNSEEN), "dedupe_keep_best": (dedupe_keep_best, _DEDUPE),
     "forward_fill": (forward_fill, _FILL), "merge_timeline": (merge_timeline, _MERGE), "sessions_editing": (sessions_editing, _EDITING), "shared_lines": (shared_lines, _SHARED),
-    "break_length": (break_lengths, _BREAKS),
+    "break_length": (break_lengths, _BREAKS), "merge_timeline_whole": (merge_timeline_whole, None),
 }
 
 
@@ -459,4 +468,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items()}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}

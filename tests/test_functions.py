@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logloom.functions import dependencies, fixed, patch, paths, redaction, shell
 from logloom.functions import text as t
 from logloom.operators import commits, contents, graph, incremental, order
-from logloom.plans import normalise
+from logloom.plans import normalise, queries
 from logloom.sources import logs
 
 
@@ -200,6 +200,32 @@ def test_merge_and_fill(spark):
     assert [(r.stream, r.seq) for r in got] == [(None, 0), (None, 1), ("a", 0), (None, 2), ("a", 1), (None, 3)]
 
 
+def test_merge_of_all_line_items_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    orders, items = (queries._table(spark, sf, name) for name in ("orders", "lineitem"))
+    parents, children = {}, {}
+    for k, c, ms in sorted(map(tuple, orders.select("o_orderkey", "o_custkey", F.unix_millis("o_orderdate")).collect())):
+        parents.setdefault(c, []).append(ms if k % 5 else None)
+    keys = ["l_orderkey", F.unix_millis("l_shipdate"), "l_partkey", "l_suppkey", "l_linenumber"]
+    for c, k, ms, *_ in sorted(map(tuple, items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", *keys).collect())):
+        children.setdefault(c, []).append(ms if k % 7 else None)
+    want, far = set(), 1 << 62
+    for c, own in parents.items():
+        placed, bounds, last = [], [], far
+        for k, ms in enumerate(own):
+            last = last if ms is None else ms
+            bounds.append(last)
+            placed.append((k, 1, 0, None, k))
+        last = top = 0
+        for k, ms in enumerate(children.get(c, [])):
+            last = last if ms is None else ms
+            top = max(top, last)
+            placed.append((next((i for i, b in enumerate(bounds) if i and b >= top), far), 0, top, "a", k))
+        want |= {(c, at, stream, k) for at, (*_, stream, k) in enumerate(sorted(placed, key=lambda r: (*r[:3], r[4])))}
+    got = [tuple(r) for r in queries.queries()["merge_timeline_whole"](spark, sf).collect()]
+    assert len(got) == orders.count() + items.count() and set(got) == want
+
+
 def test_commits(spark):
     head = spark.createDataFrame([("c", "f", "b1"), ("c", "g", "000")], "sha string, file string, blob string")
     marked = spark.createDataFrame([("s", "x", "b1"), ("t", "h", "000")], "session_id string, file string, blob string")
