@@ -1,31 +1,34 @@
 """Exact Jaccard self-join of shingle sets: a size-aware heavy-light join.
 
-Two sets of sizes a <= b with Jaccard similarity p% or more differ in at most
-(100-p)(a+b)/(100+p) shingles. That bound decides all below; nothing is sampled.
+Two sets link at p% or more if their overlap is at least p% of their union, so each shares at least
+p% of the larger one's shingles. Nothing is sampled and no list is cut.
 
 *Light* sets are small enough to enumerate fixed-size subsets: for each pair of sizes the overlap
 that a link needs is one number, and both sets list all their subsets of that size. *Heavy* sets
-are looked up in inverted lists. The boundary is the largest size at which listing subsets costs no
-more rows than the inverted lists do.
-
-The inverted lists aren't keyed by single shingles, as a passage that many documents share would
-make long lists of unrelated sets. In each class of sizes the shingles are dealt by hash into a few
-more parts than linked sets can differ in shingles, so a linked pair has a part in which they
-agree, and the key is that whole part. A set that leaves too many parts empty for this to hold
-(hash luck; about one in 10^8) is looked up by its single shingles instead, in a second pass.
-
-What shares a key forms clusters: connected components of a star per key, linear in its members.
-A cluster's sets are read again from the texts, once, and linked inside the cluster by scanning its
-own inverted lists; links inside a component that is already known are not looked for. A cluster
-above ``block_shingles`` is cut into blocks and each pair of blocks is a task of its own, so memory
-is bounded and no candidate is dropped. Equal sets are one set throughout.
+scan inverted lists of single shingles: a set of n enters the lists of its first
+``n - ceil(p n) + SHARED`` shingles in one order of all shingles, and two sets that link then meet in
+at least ``SHARED`` of those lists (fewer only for sets that have fewer shingles to share). The order
+puts shingles with long lists last, by counts over all documents, so that a passage that many
+documents share makes no list unless a set has little else. The light-heavy boundary is the largest
+size at which enumerating subsets writes no more rows than the lists make a set scan, from the mean
+length of the lists that were counted.
+
+Of what meets in a list not all pairs are made, as a group of near copies would give the square of
+its size. In a round each set is compared with the one leader that shares most lists with it; what
+links gets one label, and lists whose sets have one label are done. When few pairs with different
+labels are left, all of them are compared. So links inside a component that is known already are not
+looked for, and every other pair that can link is.
+
+To compare, sets are read again from the texts and sent to the pair's centre, in parts of bounded
+size (a centre may have any number of partners), where they stream past it. Equal sets are one set.
 
 Cases: null text, empty text and text of spaces have the empty set, which links with nothing; a
 text of fewer words than a shingle has one shingle; repeated rows and doc_ids are kept, and rows
 with null doc_ids take part but never name a component unless it has no other id; an empty table
-gives an empty table; further columns of the input are ignored.
+gives an empty table; further columns of the input are ignored, whatever their names.
 
-Sets are compared as 64-bit shingle hashes and set identity as 128 bits of them.
+Shingles are compared as 64-bit hashes; a set is identified by 63 bits made of all its shingles, so
+two of N different sets are taken for one with a chance of about N^2 / 2^64.
 """
 
 from __future__ import annotations
@@ -41,20 +44,42 @@ from . import shared
 from .components import components
 from .words import mix, shingles, slices, words
 
-#: Growth of the sizes from one class to the next.
-_GROWTH = 1.4
 _SALT = np.uint64(0xA0761D6478BD642F)
-#: Cluster members up to this number are sent to the tasks that read the texts; more are joined.
-BROADCAST_ROWS = 2_000_000
+#: Lists that a linked pair of large sets shares at least.
+SHARED = 4
+#: A list longer than this goes to the end of the order.
+LONG_LIST = 64
+#: Long lists that are sent to all tasks, 16 bytes each; with more of them, only the longest are.
+MOST_LONG = 1_000_000
+#: Sets that are enumerated by subsets have at most this many shingles, whatever lists cost.
+MOST_LIGHT = 16
+#: Partners that meet a centre in one part.
+PART = 512
+#: Ids up to this number are sent to the tasks that read the texts; more are joined.
+BROADCAST_ROWS = 500_000
+
+
+def least_overlap(n: int, percent: int) -> int:
+    """The fewest shingles that a set of ``n`` shares with any set it links with."""
+    return -(-percent * n // 100)
+
+
+def meetings(n: int, percent: int) -> int:
+    """Lists in which a set of ``n`` meets a linked set that is not smaller."""
+    return min(SHARED, least_overlap(n, percent))
 
 
-def most_apart(a: int, b: int, percent: int) -> int:
-    """The most shingles in which linked sets of these sizes differ."""
-    return (100 - percent) * (a + b) // (100 + percent)
+def prefix_size(n: int, percent: int) -> int:
+    return n - least_overlap(n, percent) + meetings(n, percent)
+
+
+def counted_size(n: int, percent: int) -> int:
+    """Shingles of a set that are counted for the order: half as many again as it enters lists, so that there are others if some are long."""
+    return min(n, 3 * prefix_size(n, percent) // 2 + 8)
 
 
 def partner_sizes(n: int, percent: int) -> range:
-    return range(-(-percent * n // 100), 100 * n // percent + 1)
+    return range(least_overlap(n, percent), 100 * n // percent + 1)
 
 
 def overlaps(n: int, light: int, percent: int) -> set[int]:
@@ -74,68 +99,45 @@ def overlaps(n: int, light: int, percent: int) -> set[int]:
     return found
 
 
-class Plan:
-    """Size classes, parts per class and the light-heavy boundary of one similarity."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.bounds = [1]
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * _GROWTH)))
-        self.light = 1
-        while self.subset_rows(self.light + 1) <= self.list_rows(self.light + 1):
-            self.light += 1
-
-    def subset_rows(self, n: int) -> int:
-        return sum(comb(n, k) for k in overlaps(n, n * 2, self.percent))
-
-    def list_rows(self, n: int) -> int:
-        return sum(self.parts(k) for k in self.classes(n, 0))
-
-    def class_of(self, n: int) -> int:
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
-
-    def classes(self, n: int, light: int | None = None) -> range:
-        """Classes of the larger set of the pairs that a set of ``n`` can be in, where that one is heavy."""
-        least = max(n, (self.light if light is None else light) + 1)
-        most = 100 * n // self.percent
-        return range(self.class_of(least), self.class_of(most) + 1) if most >= least else range(0)
-
-    def parts(self, k: int) -> int:
-        most = most_apart(self.bounds[k + 1] - 1, self.bounds[k + 1] - 1, self.percent)
-        return most + 8 + most // 64
-
-
-def keys_of(own: np.ndarray, plan: Plan) -> tuple[np.ndarray, bool]:
-    """Keys of a sorted set of mixed hashes, and whether the parts can't answer for it as the larger set."""
-    n, found, failed = len(own), [], False
-    if n <= plan.light:
-        whole = own.sum(dtype=np.uint64)
-        for size in sorted(overlaps(n, plan.light, plan.percent)):
-            sums = np.zeros(1, np.uint64)
-            if size == n:
-                sums = sums + whole
-            else:
-                sums = _subset_sums(own, size)
-            found.append(mix(sums ^ np.uint64(size * int(_SALT) % (1 << 64))))
-    high = own >> np.uint64(32)
-    for k in plan.classes(n):
-        parts = plan.parts(k)
-        index = (high * np.uint64(parts)) >> np.uint64(32)
-        heads = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-        sums = np.add.reduceat(own, heads)
-        found.append(mix(sums ^ mix(index[heads] + np.uint64(k << 40))))
-        if k == plan.class_of(n) and n > plan.light:
-            failed = len(heads) <= most_apart(n, n, plan.percent)
-    return (np.concatenate(found) if found else own[:0]), failed
-
-
-def _subset_sums(own: np.ndarray, size: int) -> np.ndarray:
-    """Sums of all subsets of ``size``; those of light sets are few by the choice of the boundary."""
+def subset_rows(n: int, percent: int) -> int:
+    return sum(comb(n, k) for k in overlaps(n, 2 * n, percent))
+
+
+def boundary(mean_list: float, percent: int) -> int:
+    """The largest light size: subsets cost their rows, lists the entries that a set meets in them."""
+    light = 1
+    while light < MOST_LIGHT and subset_rows(light + 1, percent) <= prefix_size(light + 1, percent) * mean_list:
+        light += 1
+    return light
+
+
+def subset_keys(own: np.ndarray, light: int, percent: int) -> np.ndarray:
+    """Keys of all subsets by which a light set meets others."""
     from itertools import combinations
 
-    left_out = np.array(list(combinations(range(len(own)), len(own) - size)), np.int64)
-    return own.sum(dtype=np.uint64) - own[left_out].sum(axis=1, dtype=np.uint64)
+    n, found = len(own), [np.zeros(0, np.uint64)]
+    whole = own.sum(dtype=np.uint64)
+    for size in sorted(overlaps(n, light, percent)) if n <= light else ():
+        if size == n:
+            sums = np.array([whole])
+        else:
+            left_out = np.array(list(combinations(range(n), n - size)), np.int64)
+            sums = whole - own[left_out].sum(axis=1, dtype=np.uint64)
+        found.append(mix(sums ^ np.uint64(size * int(_SALT) % (1 << 64))))
+    return np.concatenate(found)
+
+
+def list_keys(own: np.ndarray, light: int, percent: int, long_keys: np.ndarray) -> np.ndarray:
+    """Keys of the inverted lists that a sorted set enters; none if all its partners are light like itself."""
+    n = len(own)
+    if 100 * n // percent <= light:
+        return own[:0]
+    size = prefix_size(n, percent)
+    if not len(long_keys):
+        return own[:size]
+    at = np.minimum(np.searchsorted(long_keys, own), len(long_keys) - 1)
+    long = long_keys[at] == own
+    return np.concatenate([own[~long], own[long]])[:size] if long[:size].any() else own[:size]
 
 
 def _sets(batch: pa.RecordBatch, column: int, size: int):
@@ -148,14 +150,11 @@ def _sets(batch: pa.RecordBatch, column: int, size: int):
         at += part.num_rows
 
 
-def _identity(own: np.ndarray) -> tuple[int, int]:
-    """Two 63-bit numbers of a set."""
-    n = np.uint64(len(own))
-    a = mix(own.sum(dtype=np.uint64, keepdims=True) + n)
-    b = mix(mix(own ^ _SALT).sum(dtype=np.uint64, keepdims=True) ^ n)
-    return int(a[0] >> np.uint64(1)), int(b[0] >> np.uint64(1))
-
-
+def identity(own: np.ndarray) -> int:
+    """63 bits of a set."""
+    a = mix(own.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))
+    b = mix(own ^ _SALT).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(a ^ b)[0] >> np.uint64(1))
 
 
 def text_key():
@@ -163,171 +162,220 @@ def text_key():
     return F.xxhash64(shared.text_or_empty())
 
 
-SETS = "doc_id long, text_key long, n_shingles long, set_id long, set_check long, failed boolean, keys array<long>"
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_key().alias("text_key"), shared.text_or_empty().alias("text"))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: its set's size, identity and, at the first sight of the set in a task, its keys."""
-    plan = Plan(percent)
-    names = [x.split()[0] for x in SETS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    """A row per document: its set's size and identity and, at the first sight of the set in a task, the shingles that are counted for the order."""
 
     def sign(batches):
         shared.own_worker("jaccard")
         seen: set[int] = set()
         for batch in batches:
-            ids, rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), []
-            for k, own in _sets(batch, 2, size):
-                if not len(own):
-                    rows.append((*ids[k], 0, None, None, False, []))
+            n, ids, low = [], [], []
+            for _, own in _sets(batch, 2, size):
+                one = identity(own) if len(own) else None
+                n.append(len(own))
+                ids.append(one)
+                low.append(own[: counted_size(len(own), percent)] if one is not None and one not in seen else own[:0])
+                seen.add(one)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), _lists(low)], names=["doc_id", "text_key", "n_shingles", "set_id", "low"])
+
+    return _rows(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, set_id long, low array<long>")
+
+
+def long_lists(sets: DataFrame) -> tuple[np.ndarray, float]:
+    """Sorted keys of the lists above LONG_LIST, the longest ones if there are more than MOST_LONG, and the mean length of the list that an entry of the others is in."""
+    counted = sets.select(F.explode("low").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = shared.materialize(counted, "list-lengths")
+    entries = sets.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).cast("double")).first()[0]
+    least, held, met, longer = 0, 0, 0.0, 0.0
+    for r in counted.groupBy(F.floor(8 * F.log2("n")).alias("at")).agg(F.count("*").alias("keys"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("met")).orderBy(F.desc("at")).collect():
+        if 2 ** (r["at"] / 8) > LONG_LIST and held + r["keys"] <= MOST_LONG and not least < 0:
+            least, held, longer = r["at"], held + r["keys"], longer + r["n"]
+        else:
+            least, met = -abs(least), met + r["met"] - r["n"]
+    least = abs(least)
+    if not held:
+        return np.zeros(0, np.uint64), 1.0 + met / max(1.0, entries)
+    keys = counted.where(F.floor(8 * F.log2("n")) >= least).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
+    return np.sort(keys), 1.0 + met / max(1.0, entries - longer)
+
+
+def postings(docs: DataFrame, size: int, percent: int, light: int, long_keys: np.ndarray) -> DataFrame:
+    """(set_id, n, lists, keys) of each set of a task: the first ``lists`` keys are of inverted lists, the others of subsets."""
+    held = docs.sparkSession.sparkContext.broadcast(long_keys)
+
+    def emit(batches):
+        shared.own_worker("jaccard")
+        seen: set[int] = set()
+        for batch in batches:
+            ids, n, lists, keys = [], [], [], []
+            for _, own in _sets(batch, 2, size):
+                one = identity(own) if len(own) else None
+                if one is None or one in seen:
                     continue
-                one, two = _identity(own)
-                keys, failed = (own[:0], False) if one in seen else keys_of(own, plan)
                 seen.add(one)
-                rows.append((*ids[k], len(own), one, two, failed, keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 7, types, strict=True)], names=names)
+                entered, subsets = list_keys(own, light, percent, held.value), subset_keys(own, light, percent)
+                ids.append(one)
+                n.append(len(own))
+                lists.append(len(entered))
+                keys.append(np.concatenate([entered, subsets]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(lists, pa.int32()), _lists(keys)], names=["set_id", "n", "lists", "keys"])
 
-    return docs.select("doc_id", text_key().alias("text_key"), shared.text_or_empty().alias("text")).mapInArrow(sign, SETS)
+    return _rows(docs).mapInArrow(emit, "set_id long, n int, lists int, keys array<long>")
 
 
-def link_sets(sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect exactly what all links connect. With ``sides`` only pairs across them are looked at.
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """(key, set_id, n, weight) of all keys that two sets have. A subset weighs as much as all lists that a pair must share.
 
-    Sets go by size. A set is first tried on the one before it, which in a group of copies is mostly
-    enough. While some set in its size range is in another component, the inverted lists are
-    scanned: of each set they hold the shingles that are rarest among these sets, one more than a
-    partner can lack, so every partner is met; its own component is passed over.
+    Which keys those are is known from sums that start before the shuffle, and the join with them can be split at a hot key.
     """
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    links: list[tuple[int, int]] = []
-    if len(sets) < 2:
-        return links
-    sizes = np.array([len(sets[k]) for k in order], np.int64)
-    flat = np.concatenate([sets[k] for k in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
-    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
-    by = np.lexsort((token, df[token], owner))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(len(flat)) - starts[owner]
-    kept = place < (sizes - (percent * sizes + 99) // 100 + 1)[owner]
-    mine = token[by][kept]  # each set's rarest shingles, set by set
-    prefix = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(order)))])
-    lists = np.argsort(mine, kind="stable")
-    posts = owner[kept][lists]
-    heads = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=len(df)))])
-    root = np.arange(len(order))
-    side = None if sides is None else np.array([sides[k] for k in order])
-
-    def linked(i: int, j: int) -> bool:
-        both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-        return bool(100 * both >= percent * (sizes[i] + sizes[j] - both))
-
-    def join(i: int, j: int) -> None:
-        links.append((order[i], order[j]))
-        root[root == root[j]] = root[i]
-
-    low = 0
-    for j in range(1, len(order)):
-        while 100 * sizes[low] < percent * sizes[j]:
-            low += 1
-        if low < j and (side is None or side[j - 1] != side[j]) and root[j - 1] != root[j] and linked(j - 1, j):
-            join(j - 1, j)
-        apart = root[low:j] != root[j]
-        if side is not None:
-            apart &= side[low:j] != side[j]
-        if not apart.any():
-            continue
-        own = mine[prefix[j] : prefix[j + 1]]
-        a, n = heads[own], heads[own + 1] - heads[own]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        near = np.unique(posts[at])
-        near = near[(near >= low) & (near < j)]
-        for i in near[apart[near - low]][::-1].tolist():
-            if root[i] != root[j] and linked(i, j):
-                join(i, j)
-    return links
+    rows = posted.select("set_id", "n", "lists", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("key", "set_id", "n", F.when(F.col("at") < F.col("lists"), 1).otherwise(SHARED).alias("weight"))
+    several = rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key").distinct()
 
 
-def _fallback_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of each set that the parts can't answer for and every set that shares one of its prefix shingles.
+def _near(n, m, percent: int):
+    """Sizes that can link."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if percent else F.lit(True)
 
-    Its smallest hashes, one more than linked sets can differ in, hold a shingle of each partner.
-    """
-    names, types = ["set_id", "n_shingles", "token"], [pa.int64(), pa.int64(), pa.int64()]
-
-    def tokens(prefix: bool):
-        def emit(batches):
-            for batch in batches:
-                for _, own in _sets(batch, 1, size):
-                    if len(own):
-                        one, _ = _identity(own)
-                        some = own[: most_apart(len(own), len(own), percent) + 1] if prefix else own
-                        yield pa.RecordBatch.from_arrays([pa.array([one] * len(some), types[0]), pa.array([len(own)] * len(some), types[1]), pa.array(some.view(np.int64), types[2])], names=names)
-
-        return emit
-
-    text = docs.select("doc_id", shared.text_or_empty().alias("text"))
-    schema = "set_id long, n_shingles long, token long"
-    failed = sets.where("failed").select("set_id").distinct()
-    ask = text.mapInArrow(tokens(True), schema).join(F.broadcast(failed) if failed.count() <= BROADCAST_ROWS else failed, "set_id", "left_semi").distinct()
-    ask = ask.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), "token")
-    near = (100 * F.col("n_shingles") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_shingles"))
-    found = text.mapInArrow(tokens(False), schema).join(ask, "token").where(near & (F.col("a") != F.col("set_id")))
-    return found.select("a", F.col("set_id").alias("b")).distinct()
-
-
-def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, block_shingles: int = 4_000_000) -> DataFrame:
-    """Each row's doc_id, text_key, n_shingles, set_id, component (a set_id) and component_id over texts in ``docs`` (doc_id, text).
 
-    Shuffled are the keys (16 bytes for about a third of the shingles) and the sets of clusters.
-    """
-    sets = shared.materialize(signatures(docs, size, percent), "sets")
-    keyed = sets.where("set_id IS NOT NULL").select("set_id", F.explode("keys").alias("key"))
-    # A key's rows are one per set and task at most; the least set of each key is the centre of its star.
-    # A window over one exchange: nearly all keys are single, so a sum before the shuffle would not shrink it.
-    centre = F.min("set_id").over(Window.partitionBy("key"))
-    stars = keyed.withColumn("a", centre).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
-    if not sets.where("failed").isEmpty():
-        stars = stars.union(_fallback_edges(docs, sets, size, percent))
-    cluster = components(shared.materialize(stars, "stars"), "clusters")
-
-    # The clusters' sets, from the row with the least doc_id of each set.
-    identity = sets.where("set_id IS NOT NULL").groupBy("set_id", "set_check").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    inside = identity.join(cluster.select(F.col("node").alias("set_id"), F.col("label").alias("cluster")), "set_id")
-    inside = shared.materialize(inside, "cluster-sets")
-    weights = inside.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    few = inside.count() <= BROADCAST_ROWS
-    wanted = inside.select("set_id", "set_check", "cluster").join(weights, "cluster").select("set_id", "set_check", "cluster", F.ceil(F.col("weight") / block_shingles).cast("int").alias("blocks"))
-    wanted_docs = inside.select("doc_id").distinct()
-    text = docs.select("doc_id", shared.text_or_empty().alias("text"))
-    text = text.join(F.broadcast(wanted_docs) if few else wanted_docs, text.doc_id.eqNullSafe(wanted_docs.doc_id), "left_semi")
+def _enough(percent: int, n, m):
+    """The summed weight that a pair of these sizes has if it links."""
+    return F.least(F.lit(SHARED), F.ceil(F.least(n, m) * percent / 100))
+
+
+def _open(now: DataFrame, turn: int) -> DataFrame:
+    """Lists whose sets have several labels: key, rows, those without the most frequent label (rest), that label (major), and the hash of the leader."""
+    per_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.xxhash64("set_id", F.lit(turn))).alias("first"))
+    per_key = per_label.groupBy("key").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"), F.min("first").alias("first"))
+    return per_key.where("rows > most").select("key", "rows", (F.col("rows") - F.col("most")).alias("rest"), "major", "first")
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, weight) that share enough lists, from rows (a, b, n, m, weight) of lists."""
+    met = met.where(_near(F.col("n"), F.col("m"), percent))
+    return met.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _enough(percent, F.col("n"), F.col("m")))
+
+
+def _led(now: DataFrame, opened: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each set and a list's leader with another label."""
+    first = now.join(opened.select("key", "first"), "key").where(F.xxhash64("set_id", F.lit(turn)) == F.col("first"))
+    leaders = first.select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("label").alias("leading"))
+    met = now.join(leaders, "key").where("label <> leading").select("a", F.col("set_id").alias("b"), F.col("n"), "m", "weight")
+    return _pairs(met, percent)
+
+
+def _apart(now: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets that meet in a list and have different labels."""
+    marked = now.join(opened.select("key", "major"), "key")
+    rest = marked.where("label <> major").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    met = marked.join(rest, "key").where((F.col("label") != F.col("other")) & ((F.col("label") == F.col("major")) | (F.col("set_id") < F.col("b"))))
+    swap = F.col("set_id") > F.col("b")
+    met = met.select(
+        F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"),
+        F.when(swap, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("m"), "weight",
+    )
+    return _pairs(met, percent)
+
+
+def linked_pairs(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b of set ids; a is the centre) that link. ``known`` has a row (set_id, doc_id, text_key) of each set."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b").join(degree, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    dealt = shared.materialize(dealt, "pairs")
+    to = dealt.select("centre", "part", F.lit(1).alias("role"), F.col("b").alias("set_id"))
+    to = to.union(dealt.select("centre", "part").distinct().select("centre", "part", F.lit(0).alias("role"), F.col("centre").alias("set_id")))
+    wanted = shared.materialize(known.join(to.select("set_id").distinct(), "set_id").select("doc_id", "text_key").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    text = _rows(docs)
+    text = text.join(F.broadcast(wanted) if few else wanted, text.doc_id.eqNullSafe(wanted._id) & (text.text_key == wanted._key), "left_semi")
 
     def expand(batches):
+        shared.own_worker("jaccard")
+        seen: set[int] = set()
+        for batch in batches:
+            ids, sets = [], []
+            for _, own in _sets(batch, 2, size):
+                if len(own) and (one := identity(own)) not in seen:
+                    seen.add(one)
+                    ids.append(one)
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "hashes"])
+
+    sent = text.mapInArrow(expand, "set_id long, hashes binary").join(F.broadcast(to) if few and dealt.count() <= 4 * BROADCAST_ROWS else to, "set_id")
+
+    def compare(batches):
+        held, centre = None, None
         for batch in batches:
-            rows = [(*_identity(own), own.tobytes()) for _, own in _sets(batch, 1, size) if len(own)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["set_id", "set_check", "hashes"])
-
-    whole = text.mapInArrow(expand, "set_id long, set_check long, hashes binary")
-    whole = whole.join(F.broadcast(wanted) if few else wanted, ["set_id", "set_check"]).dropDuplicates(["set_id", "set_check"])
-    block = F.pmod(F.xxhash64("set_id", "set_check"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    met = whole.withColumn("block", block).select("*", F.explode(pairs).alias("pair")).select("cluster", "pair.i", "pair.j", "block", "set_id", "hashes")
-
-    def link(key, table):
-        across = key[1].as_py() != key[2].as_py()
-        blocks, ids = table.column("block").to_pylist(), table.column("set_id").to_pylist()
-        sets_in = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        found = link_sets(sets_in, percent, blocks if across else None)
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
-
-    links = shared.materialize(met.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "links")
-    linked = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "linked")
-
-    named = identity.select("set_id", "doc_id").join(linked.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
-    named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = named.select("set_id", "label").distinct().join(least, "label").select("set_id", F.col("label").alias("component"), "component_id")
+            found = []
+            for at, part, role, one, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                own = np.frombuffer(data, np.uint64)
+                if not role:
+                    held, centre = (at, part), own
+                    continue
+                if held != (at, part):
+                    raise ValueError("a part has no centre")
+                place = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                both = int((centre[place] == own).sum())
+                if 100 * both >= percent * (len(own) + len(centre) - both):
+                    found.append((at, one))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    ordered = sent.select("centre", "part", "role", "set_id", "hashes").repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
+def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, rounds: int = 3, light: int | None = None) -> DataFrame:
+    """Each row's doc_id, text_key, n_shingles, set_id, component (a set_id) and component_id over texts in ``docs`` (doc_id, text).
+
+    ``light`` sets the boundary by hand. Results depend on neither it nor ``rounds``.
+    """
+    sets = shared.materialize(signatures(docs, size, percent), "sets")
+    long_keys, mean_list = long_lists(sets)
+    light = boundary(mean_list, percent) if light is None else light
+    posted = shared.materialize(postings(docs, size, percent, light, long_keys), "postings")
+    lists = shared.materialize(shared_lists(posted), "lists")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+    known = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(first).select("set_id", "first.doc_id", "first.text_key")
+    known = shared.materialize(known, "known")
+
+    spark = docs.sparkSession
+    labels = spark.createDataFrame([], "node long, label long")
+    links = checked = spark.createDataFrame([], "a long, b long")
+    entries = lists.count()
+    for turn in range(rounds + 1):
+        now = lists.join(labels, lists.set_id == labels.node, "left").select("key", "set_id", "n", "weight", F.coalesce("label", "set_id").alias("label"))
+        opened = shared.materialize(_open(now, turn), "open")
+        left = opened.agg(F.coalesce(F.sum(F.col("rows").cast("double") * F.col("rest")), F.lit(0.0))).first()[0]
+        if not left:
+            break
+        last = turn == rounds or (turn > 0 and left <= 4 * entries)
+        asked = _apart(now, opened, percent) if last else _led(now, opened, turn, percent)
+        asked = asked.select("a", "b", "weight").join(checked, ["a", "b"], "left_anti")
+        if not last:
+            best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
+            asked = asked.withColumn("best", F.row_number().over(best)).where("best = 1")
+        asked = shared.materialize(asked.select("a", "b"), "asked")
+        links = shared.materialize(links.union(linked_pairs(docs, known, asked, size, percent)), "links")
+        checked = checked.union(asked).union(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = shared.materialize(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "labels")
+        if last:
+            break
+
+    named = known.select("set_id", "doc_id").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
+    named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = named.select("set_id", "component").join(least, "component")
     # Many rows can have one set; the other side has a row for each set, so skew handling can split them.
     out = sets.select("doc_id", "text_key", "n_shingles", "set_id").join(of, "set_id", "left")
     return out.select("doc_id", "text_key", "n_shingles", "set_id", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -336,17 +384,22 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, block_shingl
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less all but one row of each component: the one with the least doc_id stays (nulls last, then by text hash).
 
-    Rows with the empty set all stay. The rows that go are a narrow list; texts aren't shuffled for it.
+    Rows with the empty set all stay. Rows that repeat in doc_id and text all go or all stay. The rows
+    that go are a narrow list; texts aren't shuffled for it unless it is long. Columns may have any names.
     """
     found = shared.materialize(similar_sets(docs, size, percent).where("component IS NOT NULL").select("doc_id", "text_key", "component"), "similar")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
     stays = found.groupBy("component").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select("component", "stays")
     gone = found.join(stays, "component").where(~((F.col("text_key") == F.col("stays.text_key")) & F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))))
-    gone = shared.materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rows = docs.withColumn("_text_key", text_key())
-    return rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows._text_key == gone._key), "left_anti").drop("_text_key")
+    gone = shared.materialize(gone.select("doc_id", "text_key").distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    gone = gone.select(F.struct("doc_id", "text_key").alias("_gone"))
+    # One struct column on the left holds the row, so no column name can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.struct("doc_id", text_key().alias("text_key")).alias("_at"))
+    same = F.col("_at.doc_id").eqNullSafe(F.col("_gone.doc_id")) & (F.col("_at.text_key") == F.col("_gone.text_key"))
+    return rows.join(F.broadcast(gone) if few else gone, same, "left_anti").select("_row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's set size and the smallest doc_id of its component, over whole texts."""
     return similar_sets(shared.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -150,54 +150,64 @@ def brute_components(pairs, size, percent):
     return Counter((pairs[k][0], len(sets[k]), least[find(k)]) for k in range(len(pairs)))
 
 
-@pytest.mark.parametrize("size,percent,block", [(4, 85, 4_000_000), (5, 80, 40)])
-def test_similar_sets_equals_brute_force(spark, docs, size, percent, block):
-    rng, made = random.Random(3), []
+def near_texts(seed=3):
+    """Texts of few and many words, each with near copies, and a passage that many share."""
+    rng, made = random.Random(seed), []
     base = [[f"t{rng.randrange(60)}" for _ in range(n)] for n in (5, 8, 12, 17, 25, 60, 150)]
+    passage = [f"p{k}" for k in range(40)]
     for k in range(90):
         w = list(rng.choice(base))
         for _ in range(rng.randrange(3)):
             w[rng.randrange(len(w))] = f"n{rng.randrange(1000)}"
         made.append((100 + k, " ".join(w)))
-    more = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_sets(more, size, percent, block_shingles=block).collect())
+    for k in range(40):
+        made.append((300 + k, " ".join([*passage, *(f"u{k}x{j}" for j in range(rng.choice([1, 5, 60])))])))
+    return made
+
+
+@pytest.mark.parametrize("size,percent,light,long,part", [(4, 85, None, 64, 512), (5, 80, 1, 3, 7), (5, 80, 9, 10**6, 2), (4, 85, 12, 10, 512)])
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_similar_sets_equals_brute_force(spark, docs, monkeypatch, size, percent, light, long, part, rounds):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0 if part == 7 else 1000)
+    more = spark.createDataFrame(near_texts(), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_sets(more, size, percent, rounds, light).collect())
     assert got == brute_components(rows(more), size, percent)
 
 
-def test_fallback_finds_what_parts_miss(spark, monkeypatch):
-    """If every set failed its guarantee, the prefix pass alone still finds all links."""
-    rng = random.Random(5)
-    base = [f"t{k}" for k in range(80)]
-    made = [(k, " ".join([*base[:40], f"n{rng.randrange(99)}", *base[41:]])) for k in range(12)]
-    df = spark.createDataFrame(made, "doc_id long, text string")
-    sets = jaccard_join.signatures(df, 4, 85).withColumn("failed", F.lit(True))
-    edges = jaccard_join._fallback_edges(df, sets, 4, 85)
-    found = components.components(edges)
-    assert found.select("label").distinct().count() == 1
+@given(st.integers(1, 40), st.integers(0, 12), st.integers(0, 12), st.sampled_from([80, 85, 90]), st.integers(1, 14), st.integers(0, 30), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_linked_sets_meet_often_enough(both, left, right, percent, light, longs, rng):
+    """Whatever the boundary and the long lists are, linked sets meet with the weight that is asked for."""
+    make = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    common = make(both)
+    x, y = (np.unique(np.array(common + make(k), np.uint64)) for k in (left, right))
+    if (x.tolist() == y.tolist()) or 100 * both < percent * (len(x) + len(y) - both):
+        return
+    long_keys = np.sort(np.array(rng.sample(sorted({*x.tolist(), *y.tolist()}), min(longs, len({*x.tolist(), *y.tolist()}))), np.uint64))
+    lists = len(np.intersect1d(*(jaccard_join.list_keys(s, light, percent, long_keys) for s in (x, y))))
+    subsets = len(np.intersect1d(*(jaccard_join.subset_keys(s, light, percent) for s in (x, y))))
+    asked = min(jaccard_join.meetings(len(s), percent) for s in (x, y))
+    assert lists + jaccard_join.SHARED * subsets >= asked
+    assert (subsets > 0) if max(len(x), len(y)) <= light else lists >= asked
+
+
+def test_boundary_follows_the_lists():
+    found = [jaccard_join.boundary(mean, 85) for mean in (1.0, 5.0, 50.0, 1e9)]
+    assert found == sorted(found) and found[0] >= 1 and found[-1] == jaccard_join.MOST_LIGHT
 
 
 def test_jaccard_empty_and_stage(spark, docs, empty):
     assert jaccard_join.similar_sets(empty).count() == 0
+    for clash in ("_row", "_at", "_gone", "text_key", "_key", "a b.c`d"):
+        assert jaccard_join.one_of_each(docs.withColumn(clash, F.lit(1))).columns == [*docs.columns, clash]
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 5 in ids and 7 not in ids and 3 in ids and 2 in ids
 
 
-def test_bounds():
-    for percent in (80, 85, 90):
-        plan = jaccard_join.Plan(percent)
-        assert plan.light >= 5
-        for a in range(1, 60):
-            for b in range(a, 70):
-                d = jaccard_join.most_apart(a, b, percent)
-                linked = [x for x in range(a + 1) if 100 * x >= percent * (a + b - x)]
-                assert (min(a + b - 2 * x for x in linked) if linked else d + 1) >= 0
-                assert max((a + b - 2 * x for x in linked), default=-1) <= d
-                if linked and b > plan.light:
-                    assert plan.class_of(b) in plan.classes(a) and plan.class_of(b) in plan.classes(b)
-
-
 # --- 5 fingerprints ---
 @given(st.text(alphabet="ab \n漢𝄞", max_size=200))
 @settings(max_examples=100, deadline=None)
