@@ -8,8 +8,9 @@ place in the stream, the crc32 of the block, and the documents that start in the
 of the index alone never touches a plane.
 
 Cases: null text is empty text (its one id is the end id); null doc_ids come first; rows that share
-a doc_id are ordered by text, and repeated rows are all kept; an empty table gives an empty table;
-further columns of the input are ignored; a document may span any number of blocks.
+a doc_id are ordered by the xxhash64 of their text, then by text, and repeated rows are all kept; an
+empty table gives an empty table; further columns of the input are ignored; a document may span any
+number of blocks.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block
             yield block(b"".join(held))
 
     rows = docs.select("doc_id", shared.text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(write, CHUNK_SCHEMA).write.mode("overwrite").parquet(path)
 
 

@@ -5,7 +5,8 @@ where a string ends stores its owner and its counts. Tasks first put the rows th
 trie of their own, so a text with any number of copies leaves a task once. The survivors are
 exchanged by length and content hash, equal texts meet in one trie, and its terminal nodes name the
 owner. A trie that outgrows ``budget`` spills its largest subtrees: their terminals are emitted as
-partial owners, and a last sum over (length, digest) joins partial owners of a text.
+partial owners, and a last sum over (length, digest) joins partial owners of a text. Only those pieces
+of one text that were spilled at different times are joined by length and SHA-256 instead of by bytes.
 
 Cases: null text equals empty text; null doc_ids rank below all others; of equal texts exactly one
 row stays even if a doc_id repeats; an empty table gives an empty table; further columns are
@@ -155,9 +156,10 @@ def members(docs: DataFrame, smallest: bool = True, normalise: Column | None = N
     """Each row of ``docs`` with keep_id, group_size, kept and text_sha256; ``carry`` names the columns kept beside doc_id.
 
     The join on the digest is left to skew handling: a group's owner is one row, its copies are split.
+    Rows that repeat in doc_id and text are numbered in one task; a table whose doc_ids are distinct has none.
     """
     text = F.coalesce(F.col("text") if normalise is None else normalise, F.lit("")).cast("binary")
-    inside = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry or [])]
+    inside = [shared.column(c).alias(f"_carry_{i}") for i, c in enumerate(carry or [])]
     rows = docs.select("doc_id", *inside, F.unhex(F.sha2(text, 256)).alias("_digest"))
     again = F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy(*(f"_carry_{i}" for i in range(len(inside))), F.lit(0)))
     own = owners(docs, smallest, normalise, budget).select(F.col("digest").alias("_digest"), F.col("owner").alias("keep_id"), F.col("n_rows").alias("group_size"))
@@ -172,27 +174,30 @@ def members(docs: DataFrame, smallest: bool = True, normalise: Column | None = N
     )
 
 
-def deduplicate(docs: DataFrame, smallest: bool = True, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def deduplicate(docs: DataFrame, smallest: bool = True, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, whatever these are named.
 
     The texts of the rows are not shuffled again: what goes is a narrow list, sent to all tasks if
-    it has at most ``broadcast_rows`` rows and joined otherwise.
+    it has at most ``broadcast_rows`` rows and joined otherwise. Of rows that repeat in doc_id and
+    text one stays, any one of them.
     """
     found = shared.materialize(members(docs, smallest).select("doc_id", "keep_id", "text_sha256"), "members")
-    digest = F.sha2(shared.text_or_empty().cast("binary"), 256)
+    # Structs hold the row and its key, so no column name can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.struct("doc_id", F.sha2(shared.text_or_empty().cast("binary"), 256).alias("sha")).alias("_at"))
 
-    def without(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
-        gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-        return rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows._digest == gone._sha), how)
+    def without(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        listed = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
+        return rows.join(listed, rows._at.doc_id.eqNullSafe(listed._gone.doc_id) & (rows._at.sha == listed._gone.sha), how)
 
-    pair = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
-    out = without(docs.withColumn("_digest", digest), found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(pair).distinct(), "left_anti")
+    pair = F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("_gone")
+    gone = shared.materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(pair).distinct(), "gone")
+    out = without(rows, gone, "left_anti")
     again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").count().where("count > 1").select(pair)
     again = shared.materialize(again, "repeated")
     if not again.isEmpty():
-        once = without(out, again, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        once = without(out, again, "left_semi").dropDuplicates(["_at"])
         out = without(out, again, "left_anti").union(once)
-    return out.drop("_digest")
+    return out.select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

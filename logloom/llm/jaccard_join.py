@@ -6,18 +6,20 @@ p% of the larger one's shingles. Nothing is sampled and no list is cut.
 *Light* sets are small enough to enumerate fixed-size subsets: for each pair of sizes the overlap
 that a link needs is one number, and both sets list all their subsets of that size. *Heavy* sets
 scan inverted lists of single shingles: a set of n enters the lists of its first
-``n - ceil(p n) + SHARED`` shingles in one order of all shingles, and two sets that link then meet in
-at least ``SHARED`` of those lists (fewer only for sets that have fewer shingles to share). The order
-puts shingles with long lists last, by counts over all documents, so that a passage that many
-documents share makes no list unless a set has little else. The light-heavy boundary is the largest
-size at which enumerating subsets writes no more rows than the lists make a set scan, from the mean
-length of the lists that were counted.
+``n - ceil(p n) + SHARED`` shingles in one order of all shingles, and two sets that link meet in
+``SHARED`` lists or more (fewer only for sets that have fewer shingles to share). The order puts
+shingles with long lists last, by counts over all documents. So a set's own shingles come first, a
+passage that many documents share makes no list unless a set has little else, and the places at which
+two sets meet bound what they can share: near copies that miss the threshold don't become candidates.
+The light-heavy boundary is the largest size at which enumerating subsets writes no more rows than the
+lists make a set scan, from the mean length of the lists that were counted.
 
 Of what meets in a list not all pairs are made, as a group of near copies would give the square of
-its size. In a round each set is compared with the one leader that shares most lists with it; what
-links gets one label, and lists whose sets have one label are done. When few pairs with different
-labels are left, all of them are compared. So links inside a component that is known already are not
-looked for, and every other pair that can link is.
+its size. In a round each set is compared with the leaders that share most lists with it; what links
+gets one label, and lists whose sets have one label are done. When few pairs are left, or rounds no
+longer find much, all pairs with different labels that meet often enough, at places that allow a link,
+are compared. So links inside a component that is known already are not looked for, and every other
+pair that can link is.
 
 To compare, sets are read again from the texts and sent to the pair's centre, in parts of bounded
 size (a centre may have any number of partners), where they stream past it. Equal sets are one set.
@@ -48,15 +50,15 @@ _SALT = np.uint64(0xA0761D6478BD642F)
 #: Lists that a linked pair of large sets shares at least.
 SHARED = 4
 #: A list longer than this goes to the end of the order.
-LONG_LIST = 64
-#: Long lists that are sent to all tasks, 16 bytes each; with more of them, only the longest are.
-MOST_LONG = 1_000_000
+LONG_LIST = 16
+#: Long lists that are known to all tasks, 4 bytes each; where there are more, the longest are.
+MOST_LONG = 4_000_000
 #: Sets that are enumerated by subsets have at most this many shingles, whatever lists cost.
 MOST_LIGHT = 16
 #: Partners that meet a centre in one part.
 PART = 512
-#: Ids up to this number are sent to the tasks that read the texts; more are joined.
-BROADCAST_ROWS = 500_000
+#: Rows of a small table that is sent to all tasks; a larger one is joined.
+BROADCAST_ROWS = 200_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -70,12 +72,13 @@ def meetings(n: int, percent: int) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
+    """Lists that a set of ``n`` enters."""
     return n - least_overlap(n, percent) + meetings(n, percent)
 
 
-def counted_size(n: int, percent: int) -> int:
-    """Shingles of a set that are counted for the order: half as many again as it enters lists, so that there are others if some are long."""
-    return min(n, 3 * prefix_size(n, percent) // 2 + 8)
+def leading_size(n: int, percent: int) -> int:
+    """How many of these it enters as the smaller set of a pair, which shares more of it."""
+    return n - -(-2 * percent * n // (100 + percent)) + meetings(n, percent)
 
 
 def partner_sizes(n: int, percent: int) -> range:
@@ -127,16 +130,22 @@ def subset_keys(own: np.ndarray, light: int, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def list_keys(own: np.ndarray, light: int, percent: int, long_keys: np.ndarray) -> np.ndarray:
-    """Keys of the inverted lists that a sorted set enters; none if all its partners are light like itself."""
+def short_name(own: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle, by which lists are counted. They only order shingles, so those that share a name do no harm."""
+    return (own >> np.uint64(32)).astype(np.uint32)
+
+
+def list_keys(own: np.ndarray, light: int, percent: int, long_lists: np.ndarray) -> np.ndarray:
+    """Keys of the inverted lists that a sorted set enters, in order; none if all its partners are light like itself."""
     n = len(own)
     if 100 * n // percent <= light:
         return own[:0]
     size = prefix_size(n, percent)
-    if not len(long_keys):
+    if not len(long_lists):
         return own[:size]
-    at = np.minimum(np.searchsorted(long_keys, own), len(long_keys) - 1)
-    long = long_keys[at] == own
+    name = short_name(own)
+    at = np.minimum(np.searchsorted(long_lists, name), len(long_lists) - 1)
+    long = long_lists[at] == name
     return np.concatenate([own[~long], own[long]])[:size] if long[:size].any() else own[:size]
 
 
@@ -171,114 +180,163 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: its set's size and identity and, at the first sight of the set in a task, the shingles that are counted for the order."""
+def list_lengths(docs: DataFrame, size: int, parts: int | None = None) -> DataFrame:
+    """(name, n, met): lengths of the lists above LONG_LIST; a row without a name has a part's entries in shorter lists of several sets (n) and the sum of what each of them meets (met).
 
-    def sign(batches):
+    A task counts a set that it meets again once. It sends its counts by ranges of names, as sorted steps of 32 bits:
+    a row a range and not a row a shingle. A range is a bounded share of all names.
+    """
+    spark = docs.sparkSession
+    parts = parts or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = (np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)
+
+    def count(batches):
         shared.own_worker("jaccard")
         seen: set[int] = set()
-        for batch in batches:
-            n, ids, low = [], [], []
-            for _, own in _sets(batch, 2, size):
-                one = identity(own) if len(own) else None
-                n.append(len(own))
-                ids.append(one)
-                low.append(own[: counted_size(len(own), percent)] if one is not None and one not in seen else own[:0])
-                seen.add(one)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), _lists(low)], names=["doc_id", "text_key", "n_shingles", "set_id", "low"])
+        held: list[np.ndarray] = []
+        total = 0
 
-    return _rows(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, set_id long, low array<long>")
+        def flush():
+            names, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.concatenate([[0], np.searchsorted(names, bounds.astype(np.uint32)), [len(names)]])
+            rows = [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+            steps = [np.diff(names[i:j], prepend=np.uint32(0)).tobytes() for _, i, j in rows]
+            n = n.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int32()), pa.array(steps, pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in rows], pa.binary())], names=["part", "steps", "n"])
 
+        for batch in batches:
+            for _, own in _sets(batch, 0, size):
+                if len(own) and (one := identity(own)) not in seen:
+                    seen.add(one)
+                    held.append(short_name(own))
+                    total += len(own)
+                    if total > 2_000_000:
+                        yield from flush()
+                        held, total = [], 0
+        if held:
+            yield from flush()
+
+    def merge(batches):
+        shared.own_worker("jaccard")
+        own, names, counts = -1, [], []
 
-def long_lists(sets: DataFrame) -> tuple[np.ndarray, float]:
-    """Sorted keys of the lists above LONG_LIST, the longest ones if there are more than MOST_LONG, and the mean length of the list that an entry of the others is in."""
-    counted = sets.select(F.explode("low").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    counted = shared.materialize(counted, "list-lengths")
-    entries = sets.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).cast("double")).first()[0]
-    least, held, met, longer = 0, 0, 0.0, 0.0
-    for r in counted.groupBy(F.floor(8 * F.log2("n")).alias("at")).agg(F.count("*").alias("keys"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("met")).orderBy(F.desc("at")).collect():
-        if 2 ** (r["at"] / 8) > LONG_LIST and held + r["keys"] <= MOST_LONG and not least < 0:
-            least, held, longer = r["at"], held + r["keys"], longer + r["n"]
-        else:
-            least, met = -abs(least), met + r["met"] - r["n"]
-    least = abs(least)
-    if not held:
-        return np.zeros(0, np.uint64), 1.0 + met / max(1.0, entries)
-    keys = counted.where(F.floor(8 * F.log2("n")) >= least).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
-    return np.sort(keys), 1.0 + met / max(1.0, entries - longer)
+        def flush():
+            name, where = np.unique(np.concatenate(names), return_inverse=True)
+            n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
+            long, some = n > LONG_LIST, (n > 1) & (n <= LONG_LIST)
+            found = pa.array(name[long].view(np.int32)), pa.array(n[long])
+            yield pa.RecordBatch.from_arrays([*found, pa.array(np.zeros(int(long.sum()), np.int64))], names=["name", "n", "met"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([int(n[some].sum())]), pa.array([int((n[some] ** 2).sum())])], names=["name", "n", "met"])
+
+        for batch in batches:
+            for part, steps, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != own and names:
+                    yield from flush()
+                    names, counts = [], []
+                own = part
+                names.append(np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.uint32))
+                counts.append(np.frombuffer(n, np.uint32))
+        if names:
+            yield from flush()
+
+    made = docs.select(shared.text_or_empty().alias("text")).mapInArrow(count, "part int, steps binary, n binary")
+    return made.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "name int, n long, met long")
+
+
+def long_lists(lengths: DataFrame) -> tuple[np.ndarray, float]:
+    """Sorted names of the long lists, the longest ones if there are more than MOST_LONG, and the mean length of the list that an entry of the others is in."""
+    lengths = shared.materialize(lengths, "list-lengths")
+    at = F.floor(8 * F.log2("n"))
+    classes = lengths.where("name IS NOT NULL").groupBy(at.alias("at")).agg(F.count("*").alias("names")).collect()
+    least, held = 1 << 30, 0
+    for r in sorted(classes, key=lambda r: -r["at"]):
+        if held + r["names"] > MOST_LONG:
+            break
+        least, held = r["at"], held + r["names"]
+    mean = lengths.where("name IS NULL").agg((F.sum("met") / F.sum("n")).alias("mean")).first()["mean"]
+    found = lengths.where(at >= least).where("name IS NOT NULL").select("name").toArrow().column("name").to_numpy().astype(np.int32).view(np.uint32)
+    return np.sort(found), float(mean or 1.0)
 
 
-def postings(docs: DataFrame, size: int, percent: int, light: int, long_keys: np.ndarray) -> DataFrame:
-    """(set_id, n, lists, keys) of each set of a task: the first ``lists`` keys are of inverted lists, the others of subsets."""
-    held = docs.sparkSession.sparkContext.broadcast(long_keys)
+def signatures(docs: DataFrame, size: int, percent: int, light: int, long: np.ndarray) -> DataFrame:
+    """A row per document: its set's size and identity and, at the first sight of the set in a task, its keys: ``lists`` of inverted lists, of which it leads ``leads``, then those of subsets."""
+    held = docs.sparkSession.sparkContext.broadcast(long)
+    names = ["doc_id", "text_key", "n_shingles", "set_id", "lists", "leads", "keys"]
 
-    def emit(batches):
+    def sign(batches):
         shared.own_worker("jaccard")
         seen: set[int] = set()
         for batch in batches:
-            ids, n, lists, keys = [], [], [], []
+            n, ids, lists, leads, keys = [], [], [], [], []
             for _, own in _sets(batch, 2, size):
                 one = identity(own) if len(own) else None
-                if one is None or one in seen:
-                    continue
+                first = one is not None and one not in seen
                 seen.add(one)
-                entered, subsets = list_keys(own, light, percent, held.value), subset_keys(own, light, percent)
-                ids.append(one)
+                entered, subsets = (list_keys(own, light, percent, held.value), subset_keys(own, light, percent)) if first else (own[:0], own[:0])
                 n.append(len(own))
+                ids.append(one)
                 lists.append(len(entered))
+                leads.append(min(len(entered), leading_size(len(own), percent)))
                 keys.append(np.concatenate([entered, subsets]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(lists, pa.int32()), _lists(keys)], names=["set_id", "n", "lists", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(lists, pa.int32()), pa.array(leads, pa.int32()), _lists(keys)], names=names)
 
-    return _rows(docs).mapInArrow(emit, "set_id long, n int, lists int, keys array<long>")
+    return _rows(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, set_id long, lists int, leads int, keys array<long>")
 
 
-def shared_lists(posted: DataFrame) -> DataFrame:
-    """(key, set_id, n, weight) of all keys that two sets have. A subset weighs as much as all lists that a pair must share.
+def shared_lists(sets: DataFrame) -> DataFrame:
+    """(key, set_id, n, place, leads, weight) of all keys that two sets have, one of them leading. A subset weighs as much as all lists that a pair must share.
 
     Which keys those are is known from sums that start before the shuffle, and the join with them can be split at a hot key.
     """
-    rows = posted.select("set_id", "n", "lists", F.posexplode("keys").alias("at", "key"))
-    rows = rows.select("key", "set_id", "n", F.when(F.col("at") < F.col("lists"), 1).otherwise(SHARED).alias("weight"))
-    several = rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("key")
+    rows = sets.where("size(keys) > 0").select("set_id", F.col("n_shingles").cast("int").alias("n"), "lists", F.col("leads").alias("_leads"), F.posexplode("keys").alias("at", "key"))
+    listed = F.col("at") < F.col("lists")
+    rows = rows.select(
+        "key", "set_id", "n", F.when(listed, F.col("at")).otherwise(0).alias("place"),
+        (~listed | (F.col("at") < F.col("_leads"))).alias("leads"), F.when(listed, 1).otherwise(SHARED).alias("weight"),
+    )
+    several = rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.max("leads").alias("led")).where("lo <> hi AND led").select("key")
     return rows.join(several, "key").distinct()
 
 
-def _near(n, m, percent: int):
-    """Sizes that can link."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if percent else F.lit(True)
-
-
 def _enough(percent: int, n, m):
     """The summed weight that a pair of these sizes has if it links."""
     return F.least(F.lit(SHARED), F.ceil(F.least(n, m) * percent / 100))
 
 
+def _can_link(percent: int, n, m, place, other):
+    """Whether two sets that meet at these places can link. One of their first SHARED common shingles is there, and what comes behind bounds the overlap."""
+    need = F.ceil((n + m) * percent / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - place, m - other) >= need - _enough(percent, n, m) + 1)
+
+
 def _open(now: DataFrame, turn: int) -> DataFrame:
-    """Lists whose sets have several labels: key, rows, those without the most frequent label (rest), that label (major), and the hash of the leader."""
-    per_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.xxhash64("set_id", F.lit(turn))).alias("first"))
-    per_key = per_label.groupBy("key").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"), F.min("first").alias("first"))
-    return per_key.where("rows > most").select("key", "rows", (F.col("rows") - F.col("most")).alias("rest"), "major", "first")
+    """Lists in which sets of several labels meet: key, pairs (at most), the most frequent label (major), and the hash of the leader."""
+    per_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.count_if("leads").alias("led"), F.min(F.when(F.col("leads"), F.xxhash64("set_id", F.lit(turn)))).alias("first"))
+    own = F.col("n").cast("double") * F.col("led")
+    per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum("led").alias("led"), F.sum(own).alias("own"), F.max_by("label", "n").alias("major"), F.min("first").alias("first"))
+    return per_key.withColumn("pairs", F.col("n").cast("double") * F.col("led") - F.col("own")).where("pairs > 0").select("key", "pairs", "major", "first")
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b, weight) that share enough lists, from rows (a, b, n, m, weight) of lists."""
-    met = met.where(_near(F.col("n"), F.col("m"), percent))
     return met.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= _enough(percent, F.col("n"), F.col("m")))
 
 
 def _led(now: DataFrame, opened: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each set and a list's leader with another label."""
-    first = now.join(opened.select("key", "first"), "key").where(F.xxhash64("set_id", F.lit(turn)) == F.col("first"))
-    leaders = first.select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("label").alias("leading"))
-    met = now.join(leaders, "key").where("label <> leading").select("a", F.col("set_id").alias("b"), F.col("n"), "m", "weight")
-    return _pairs(met, percent)
+    first = now.join(opened.select("key", "first"), "key").where(F.col("leads") & (F.xxhash64("set_id", F.lit(turn)) == F.col("first")))
+    leaders = first.select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("label").alias("leading"), F.col("place").alias("other"))
+    met = now.join(leaders, "key").where((F.col("label") != F.col("leading")) & _can_link(percent, F.col("n"), F.col("m"), F.col("place"), F.col("other")))
+    return _pairs(met.select("a", F.col("set_id").alias("b"), "n", "m", "weight"), percent)
 
 
 def _apart(now: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets that meet in a list and have different labels."""
+    """All pairs of sets that meet in lists at places that allow a link, and have different labels."""
     marked = now.join(opened.select("key", "major"), "key")
-    rest = marked.where("label <> major").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    met = marked.join(rest, "key").where((F.col("label") != F.col("other")) & ((F.col("label") == F.col("major")) | (F.col("set_id") < F.col("b"))))
+    rest = marked.where("label <> major").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("theirs"), F.col("place").alias("other"), F.col("leads").alias("leading"))
+    once = (F.col("label") == F.col("major")) | (F.col("set_id") < F.col("b"))
+    smaller = F.when(F.col("n") <= F.col("m"), F.col("leads")).otherwise(F.col("leading")) | ((F.col("n") == F.col("m")) & F.col("leading"))
+    met = marked.join(rest, "key").where((F.col("label") != F.col("theirs")) & once & smaller & _can_link(percent, F.col("n"), F.col("m"), F.col("place"), F.col("other")))
     swap = F.col("set_id") > F.col("b")
     met = met.select(
         F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"),
@@ -312,7 +370,8 @@ def linked_pairs(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int,
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "hashes"])
 
-    sent = text.mapInArrow(expand, "set_id long, hashes binary").join(F.broadcast(to) if few and dealt.count() <= 4 * BROADCAST_ROWS else to, "set_id")
+    # Where pairs are many, sets are exchanged by their ids first.
+    sent = text.mapInArrow(expand, "set_id long, hashes binary").join(F.broadcast(to) if dealt.count() <= BROADCAST_ROWS else to, "set_id")
 
     def compare(batches):
         held, centre = None, None
@@ -335,42 +394,44 @@ def linked_pairs(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int,
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, rounds: int = 3, light: int | None = None) -> DataFrame:
+def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, rounds: int = 4, light: int | None = None) -> DataFrame:
     """Each row's doc_id, text_key, n_shingles, set_id, component (a set_id) and component_id over texts in ``docs`` (doc_id, text).
 
     ``light`` sets the boundary by hand. Results depend on neither it nor ``rounds``.
     """
-    sets = shared.materialize(signatures(docs, size, percent), "sets")
-    long_keys, mean_list = long_lists(sets)
-    light = boundary(mean_list, percent) if light is None else light
-    posted = shared.materialize(postings(docs, size, percent, light, long_keys), "postings")
-    lists = shared.materialize(shared_lists(posted), "lists")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
-    known = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(first).select("set_id", "first.doc_id", "first.text_key")
-    known = shared.materialize(known, "known")
-
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    links = checked = spark.createDataFrame([], "a long, b long")
-    entries = lists.count()
-    for turn in range(rounds + 1):
-        now = lists.join(labels, lists.set_id == labels.node, "left").select("key", "set_id", "n", "weight", F.coalesce("label", "set_id").alias("label"))
-        opened = shared.materialize(_open(now, turn), "open")
-        left = opened.agg(F.coalesce(F.sum(F.col("rows").cast("double") * F.col("rest")), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        last = turn == rounds or (turn > 0 and left <= 4 * entries)
-        asked = _apart(now, opened, percent) if last else _led(now, opened, turn, percent)
-        asked = asked.select("a", "b", "weight").join(checked, ["a", "b"], "left_anti")
-        if not last:
-            best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
-            asked = asked.withColumn("best", F.row_number().over(best)).where("best = 1")
-        asked = shared.materialize(asked.select("a", "b"), "asked")
-        links = shared.materialize(links.union(linked_pairs(docs, known, asked, size, percent)), "links")
-        checked = checked.union(asked).union(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = shared.materialize(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "labels")
-        if last:
-            break
+    with shared.scratch(docs.sparkSession) as kept:
+        long, mean_list = long_lists(list_lengths(docs, size))
+        light = boundary(mean_list, percent) if light is None else light
+        sets = shared.materialize(signatures(docs, size, percent, light, long), "sets")
+        lists = shared.materialize(shared_lists(sets), "lists")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+        known = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(first).select("set_id", "first.doc_id", "first.text_key")
+        known = shared.materialize(known, "known")
+
+        spark = docs.sparkSession
+        labels = spark.createDataFrame([], "node long, label long")
+        links = checked = spark.createDataFrame([], "a long, b long")
+        entries = lists.count()
+        for turn in range(rounds + 1):
+            now = lists.join(labels, lists.set_id == labels.node, "left").select("key", "set_id", "n", "place", "leads", "weight", F.coalesce("label", "set_id").alias("label"))
+            opened = shared.materialize(_open(now, turn), "open")
+            left = opened.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+            if not left:
+                break
+            last = turn == rounds or (turn > 0 and (left <= entries or left > 0.9 * before))
+            before = left
+            asked = _apart(now, opened, percent) if last else _led(now, opened, turn, percent)
+            asked = asked.select("a", "b", "weight").join(checked, ["a", "b"], "left_anti")
+            if not last:
+                best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
+                asked = asked.withColumn("best", F.row_number().over(best)).where("best = 1")
+            asked = shared.materialize(asked.select("a", "b"), "asked")
+            links = shared.materialize(links.union(linked_pairs(docs, known, asked, size, percent)), "links")
+            checked = checked.union(asked).union(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            labels = shared.materialize(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "labels")
+            if last:
+                break
+        kept(sets, known, labels)
 
     named = known.select("set_id", "doc_id").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
     named = named.select("set_id", "doc_id", F.coalesce("label", "set_id").alias("component"))

@@ -7,8 +7,9 @@ of the centroid with the largest cosine. A text is marked as rejected if its cos
 what nearly all training texts of its length have to centroids that were learned without them.
 
 Bounds: training takes at most ``per_language`` texts a language, those with the smallest hash of
-doc_id, and of languages the ``max_languages`` most frequent; both are parameters. All else covers
-all rows. The model is ``(languages x centroids) x dims`` floats.
+doc_id, and fewer of each where there are so many languages that this were more than ``most_texts``;
+both are parameters, and every language is learned. All else covers all rows. The model is
+``(languages x centroids) x dims`` floats.
 
 Cases: a text that is null or without a letter is `und` with score 0 and rejected; null lang never
 trains; without any training row everything is `und`; ties go to the language first in order;
@@ -122,13 +123,23 @@ def _floors(best: np.ndarray, classes: np.ndarray, share: float, quantile: float
     return floors
 
 
-def fit(train: DataFrame, per_language: int = 300, max_languages: int = 200, centroids: int = 4, dims: int = 8192, seed: int = 7, floor_share: float = 0.5) -> Model:
+def training_texts(train: DataFrame, per_language: int, most_texts: int, seed: int) -> DataFrame:
+    """(lang, text) of the bounded sample. Keys are chosen first, so the only texts that move are those of the sample; rows that repeat count once."""
+    known = train.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER))
+    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("_text")).distinct()
+    languages = known.select("lang").distinct().count()
+    most = max(4, min(per_language, most_texts // max(1, languages)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id", "_text")
+    chosen = keys.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most)
+    chosen = shared.materialize(chosen.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), "_text"), "sample")
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    found = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), same)
+    return found.groupBy("lang", "doc_id", "_text").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(train: DataFrame, per_language: int = 300, most_texts: int = 60_000, centroids: int = 4, dims: int = 8192, seed: int = 7, floor_share: float = 0.5) -> Model:
     """Learn from ``train`` (doc_id, text, lang). What reaches the driver is sparse counts of the bounded sample."""
-    known = train.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER)).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id", F.xxhash64("text"))
-    keys = known.select("lang", "text", F.row_number().over(order).alias("at")).where(F.col("at") <= per_language)
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    names.sort()
+    sample = training_texts(train, per_language, most_texts, seed)
 
     def count(batches):
         shared.own_worker("language")
@@ -141,15 +152,16 @@ def fit(train: DataFrame, per_language: int = 300, max_languages: int = 200, cen
                     names=["lang", "places", "counts"],
                 )
 
-    rows = keys.select("lang", "text").mapInArrow(count, "lang string, places binary, counts binary").collect()
-    rows = sorted((r for r in rows if r.lang in set(names)), key=lambda r: (r.lang, bytes(r.places), bytes(r.counts)))
+    rows = sample.mapInArrow(count, "lang string, places binary, counts binary").collect()
+    rows.sort(key=lambda r: (r.lang, bytes(r.places), bytes(r.counts)))
     counts = np.zeros((len(rows), dims), np.float32)
     for c, r in zip(counts, rows, strict=True):
         c[np.frombuffer(r.places, np.uint16)] = np.frombuffer(r.counts, np.uint16)
-    names = [x for x in names if any(r.lang == x for r in rows)]
+    names = sorted({r.lang for r in rows})
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     v = _vectors(counts, idf)
-    langs = np.array([names.index(r.lang) for r in rows], np.int64)
+    number = {x: k for k, x in enumerate(names)}
+    langs = np.array([number[r.lang] for r in rows], np.int64)
     groups = [_cluster(v[langs == k], centroids, seed + k) for k in range(len(names))]
     owner = np.repeat(np.arange(len(names)), [len(g) for g in groups]) if groups else np.zeros(0, np.int64)
     centres = np.concatenate(groups) if groups else np.zeros((0, dims), np.float32)
@@ -163,7 +175,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     """doc_id, lang_pred, score, rejected, and the ``carry`` columns, of each row of ``docs`` (doc_id, text). No shuffle."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    inside = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry or [])]
+    inside = [shared.column(c).alias(f"_carry_{i}") for i, c in enumerate(carry or [])]
     # A text that is carried is scored where it is carried; it goes to Python once.
     own = [] if "text" in (carry or []) else [F.col("text").alias("_text")]
     rows = docs.select("doc_id", *inside, *own, F.coalesce(F.col("text"), F.lit("")).rlike(_LETTER).alias("_letters"))

@@ -5,9 +5,13 @@ dealt into randomised groups of about ``group_pieces`` pieces; inside a group pi
 first, to the first sequence with room, found in a tournament tree whose nodes hold the largest
 room below them. A piece of ``seq_len`` fills a sequence by itself.
 
-Cases: null text is empty text (one piece of one id); null and repeated doc_ids and repeated rows
-are dealt at random like any others; ties of length go by doc_id and start; an empty table gives an
-empty table; further columns of the input are ignored.
+A document's group is a hash of its doc_id and ids, so a second run or another layout of the files
+gives the same sequences.
+
+Cases: null text is empty text (one piece of one id); null and repeated doc_ids are dealt like any
+others, and of rows that repeat in doc_id and text each task numbers its own, so that they spread over
+groups; ties of length go by doc_id, start and crc32; an empty table gives an empty table; further
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,7 +64,6 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0
     go up with it, so an order of the documents (a mix of sources) survives packing at that grain.
     """
     import xxhash
-    from pyspark import TaskContext
 
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("deal", pa.int64()), ("window", pa.int32())]
     fields += [("ids", pa.binary())] if with_ids else []
@@ -69,9 +72,12 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 0
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*rows), fields, strict=True)], names=[k for k, _ in fields])
 
     def cut(batches):
-        task, out = TaskContext.get().partitionId(), []
-        for k, ((doc_id, own), ids) in enumerate(encoded(batches, tokenizer, end_id)):
-            deal = xxhash.xxh64_intdigest(struct.pack("<qqq", -1 if doc_id is None else doc_id, task, k), seed) >> 1
+        out: list[tuple] = []
+        met: dict[int, int] = {}
+        for (doc_id, own), ids in encoded(batches, tokenizer, end_id):
+            deal = xxhash.xxh64_intdigest(struct.pack("<?qQ", doc_id is None, doc_id or 0, xxhash.xxh64_intdigest(ids)), seed)
+            again = met[deal] = met.get(deal, -1) + 1
+            deal = xxhash.xxh64_intdigest(struct.pack("<Qq", deal, again), seed) >> 1
             n, view = len(ids) // 4, memoryview(ids)
             for start in range(0, n, seq_len):
                 part = view[4 * start : 4 * (start + seq_len)]

@@ -37,11 +37,12 @@ ORDER = 6
 END = 10
 #: The key of the end token among word hashes.
 END_WORD = int(mix(np.array([END], np.uint64))[0].view(np.int64))
-#: Values that a task holds before it adds them up.
-_HELD = 1_000_000
+#: Values that a task holds before it adds them up, and bytes of text that it takes apart at once.
+_HELD = 500_000
+_AT_ONCE = 1 << 18
 #: Bytes of a context by which the trie is dealt out, and keys a task gets of it.
 NEAR = 3
-_DEALT = 500_000
+_DEALT = 250_000
 
 
 def stream(octets: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +120,7 @@ def counts(docs: DataFrame, order: int = ORDER, held_out: Column | None = None)
 
         for batch in batches:
             for out in (False, True):
-                for part, octets, offsets in slices(batch.filter(pc.equal(batch.column(1), out)), 0):
+                for part, octets, offsets in slices(batch.filter(pc.equal(batch.column(1), out)), 0, _AT_ONCE):
                     hashes, firsts = words(octets, offsets)
                     found[1 + out].add(grams(*stream(octets, offsets, firsts, order), order)[0])
                     if not out:
@@ -191,29 +192,13 @@ class Trie:
         return out
 
 
-def fit(counted: DataFrame, order: int = ORDER, max_nodes: int = 4_000_000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The levels of a ``Trie`` in memory, of at most ``max_nodes`` nodes above order 0, from a table of ``counts``: a small model, nodes below a count left out. ``probabilities`` keeps all."""
-    levels = [counted.where("kind = 1 AND n > 0").select("key", "n")]
+def fit(counted: DataFrame, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The levels of a ``Trie`` in memory, with every node, from a small table of ``counts``. ``probabilities`` is for tables of any size."""
+    table = counted.where("kind = 1 AND n > 0").select("key", "n").toArrow()
+    keys, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+    found = [_shorter(keys, n, order)]
     for i in range(order - 1, -1, -1):
-        suffix = F.col("key").bitwiseAND((1 << (8 * (i + 1))) - 1).alias("key")
-        levels.insert(0, shared.materialize(levels[0].groupBy(suffix).agg(F.sum("n").alias("n")), f"level-{i}"))
-    # Nodes by eighths of a power of two of their count; the threshold is where all orders fit together.
-    sizes: dict[int, int] = {}
-    for level in levels[1:]:
-        for r in level.groupBy(F.floor(8 * F.log2("n")).alias("at")).count().collect():
-            sizes[r["at"]] = sizes.get(r["at"], 0) + r["count"]
-    least, nodes = 1, 0
-    for at in sorted(sizes, reverse=True):
-        nodes += sizes[at]
-        if nodes > max_nodes:
-            least = int(2 ** ((at + 1) / 8)) + 1
-            break
-    found = []
-    for i, level in enumerate(levels):
-        table = (level.where(F.col("n") >= least) if i else level).toArrow()
-        keys, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.int64)
-        by = np.argsort(keys)
-        found.append((keys[by], n[by]))
+        found.insert(0, _shorter(*found[0], i))
     return found
 
 
@@ -277,7 +262,7 @@ def _trie(number: int, levels: list) -> Trie:
     return _built[number]
 
 
-def score(docs: DataFrame, levels: list | DataFrame, counted: DataFrame, held_out: Column, common: int = 1 << 17, cached: int = 3_000_000, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, levels: list | DataFrame, counted: DataFrame, held_out: Column, common: int = 1 << 17, cached: int = 1_500_000, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     ``levels`` are those of a trie in memory, or the table of ``probabilities`` of order ``order`` over all of ``docs``."""
@@ -306,7 +291,7 @@ def score(docs: DataFrame, levels: list | DataFrame, counted: DataFrame, held_ou
         common_keys, logs = common_keys[sort], logs[sort]
         end_at, end_known = _find(common_keys, np.array([END_WORD], np.int64).view(np.uint64))
         for batch in batches:
-            for part, octets, offsets in slices(batch, 2):
+            for part, octets, offsets in slices(batch, 2, _AT_ONCE):
                 hashes, firsts = words(octets, offsets)
                 keys, begins = grams(*stream(octets, offsets, firsts, order), order)
                 distinct, where = np.unique(keys, return_inverse=True)

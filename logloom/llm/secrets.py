@@ -4,9 +4,11 @@ Patterns find candidates: runs of key-like characters, values assigned to a name
 more, quoted or not, with or without blanks; of 6 or more, and with blanks in quotes, behind a name
 that speaks of secrets), private-key blocks. A forest then decides which are secrets from the candidate's length, its character
 transitions, the share of it that dictionary words cover, the document's source (path), and the
-neighbouring words. It learns from labelled findings (text, start, end, label); those built in are
-made from templates by ``labelled_findings``, with secrets and look-alikes (hashes and ids in
-listings, numbers, words, placeholders). Values leave only as a digest.
+neighbouring words. The dictionary holds the ``most`` words that are most frequent in the documents
+(all are counted). The forest learns from labelled findings: a table (text, start, end, source, label)
+given by ``labelled_table``, of which at most ``most`` rows are taken, or those built in, which
+``labelled_findings`` makes from templates, with secrets and look-alikes (hashes and ids in listings,
+numbers, words, placeholders). Values leave only as a digest.
 
 Cases: null and empty texts have no candidates; repeated rows and doc_ids are scanned each; equal
 candidates at several places are several findings; a candidate is scored whole at any length; an
@@ -36,11 +38,29 @@ _QUICK = re.compile(r"[A-Za-z0-9+/_-]{20}|[=:]>?\s*[\"']?[^\s]{6}")
 _LOUD = re.compile(r"(?i)token|secret|passw|api|key|auth|bearer|credential|private|access")
 _QUIET = re.compile(r"(?i)sha|md5|hash|commit|checksum|digest|uuid|id\b|rev|etag|version|example|sample|test|dummy")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: Words that look-alikes are made of; further words come from the text around a candidate.
+#: Words inside a value, also of names such as getUserName.
+_PART = re.compile(r"[A-Z]?[^\W\d_A-Z]{2,}|[A-Z]{3,}")
+#: Words that look-alikes are made of; the dictionary comes from the documents.
 COMMON = frozenset("the and for with from this that have not are was all any can data file path name user test value type list item index page code line text main build local config default example sample public static final class string number".split())
 
 
-def features(text: str, start: int, end: int, source: str | None) -> list[float]:
+def dictionary(docs: DataFrame, most: int = 50_000) -> frozenset[str]:
+    """The ``most`` most frequent words of three letters or more in all texts, in lower case. What is collected has that bound."""
+    word = F.explode(F.split(F.lower(shared.text_or_empty()), r"[^\p{L}]+")).alias("word")
+    counted = docs.select(word).where(F.length("word").between(3, 30)).groupBy("word").count()
+    return frozenset(r.word for r in counted.orderBy(F.desc("count"), "word").limit(most).collect())
+
+
+def labelled_table(table: DataFrame, most: int = 100_000, around: int = 64) -> list[tuple[str, int, int, str, int]]:
+    """Labelled findings of a table (text, start, end, source, label), at most ``most``, those with the least hash; of each text what is around the value."""
+    known = table.where("text IS NOT NULL AND start >= 0 AND end > start AND label IS NOT NULL")
+    first = F.greatest(F.col("start") - around, F.lit(0))
+    cut = F.substring(F.col("text"), (first + 1).cast("int"), (F.col("end") - first + around).cast("int"))
+    rows = known.select(cut.alias("text"), (F.col("start") - first).alias("start"), (F.col("end") - first).alias("end"), F.coalesce("source", F.lit("")).alias("source"), F.col("label").cast("int").alias("label"))
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("text", "start", "end", "source", "label"), "text", "start").limit(most).collect()]
+
+
+def features(text: str, start: int, end: int, source: str | None, words: frozenset[str] = COMMON) -> list[float]:
     """The 18 numbers that the forest sees."""
     value, n = text[start:end], end - start
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value]
@@ -52,9 +72,9 @@ def features(text: str, start: int, end: int, source: str | None) -> list[float]
     counts = np.array(list(seen.values()), float) / n
     entropy = float(-(counts * np.log2(counts)).sum())
     before, after = text[max(0, start - 40) : start], text[end : end + 40]
-    words = {w.lower() for w in _WORD.findall(before + " " + after)} | COMMON
+    near_words = {w.lower() for w in _WORD.findall(before + " " + after)}
     low = value.lower()
-    covered = sum(len(w) for w in {w.lower() for w in _WORD.findall(value)} if w in words)
+    covered = sum(len(w) for w in {w.lower() for w in _PART.findall(value)} if w in words or w in near_words)
     vowels = sum(c in "aeiouy" for c in low) / max(1, sum(c.isalpha() for c in low))
     repeats = sum(a == b for a, b in zip(value, value[1:], strict=False)) / max(1, n - 1)
     hexes = sum(c in "0123456789abcdef" for c in low) / n
@@ -154,9 +174,9 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def fit(findings: list[tuple[str, int, int, str, int]], trees: int = 40, depth: int = 9, seed: int = 5) -> Forest:
-    """A forest of trees on bootstrap samples, with a random third of the features at each split (Gini)."""
-    x = np.array([features(t, a, b, s) for t, a, b, s, _ in findings], float)
+def fit(findings: list[tuple[str, int, int, str, int]], words: frozenset[str] = COMMON, trees: int = 40, depth: int = 9, seed: int = 5) -> Forest:
+    """A forest of trees on bootstrap samples, with a random third of the features at each split (Gini). ``words`` is the dictionary."""
+    x = np.array([features(t, a, b, s, words) for t, a, b, s, _ in findings], float)
     y = np.array([label for *_, label in findings], float)
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
@@ -209,21 +229,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(found + more)
 
 
-def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
-    """A row per candidate of ``docs`` (doc_id, text, source), with its score. No shuffle; the forest is of fixed size."""
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+def scan(docs: DataFrame, forest: Forest, words: frozenset[str] = COMMON, threshold: float = 0.5) -> DataFrame:
+    """A row per candidate of ``docs`` (doc_id, text, source), with its score. No shuffle; the forest and its dictionary are of bounded size."""
+    held = docs.sparkSession.sparkContext.broadcast((forest, words))
     names = [x.split()[0] for x in FINDINGS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
 
     def run(batches):
+        own, known = held.value
         for batch in batches:
             rows, seen = [], []
             for doc_id, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a, b, kind in candidates(text):
-                    seen.append(features(text, a, b, source))
+                    seen.append(features(text, a, b, source, known))
                     rows.append((doc_id, a, b, kind, b - a, hashlib.sha256(text[a:b].encode()).hexdigest()))
             if rows:
-                scores = held.value.score(np.array(seen))
+                scores = own.score(np.array(seen))
                 scores = np.where([r[3] == "block" for r in rows], 1.0, scores)
                 yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(zip(*rows), types, strict=False)), pa.array(scores), pa.array(scores >= threshold)], names=names)
 
@@ -231,4 +252,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(shared.documents(spark, sf_dir), fit(labelled_findings()))
+    """All candidates of all documents with their scores; the dictionary is learned from the documents, the forest from the built-in findings."""
+    docs = shared.documents(spark, sf_dir)
+    words = dictionary(docs) | COMMON
+    return scan(docs, fit(labelled_findings(), words), words)

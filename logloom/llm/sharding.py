@@ -1,14 +1,19 @@
 """Sharding over fixed virtual slots, with DataFrame functions only.
 
-The hash of a record's text picks one of ``slots`` virtual slots, so equal texts share a shard; a
-slot with more bytes than a shard's even share (a group of copies can be that large) is split by
-doc_id. Bytes are added up per slot, and the largest
-slot first goes to the shard with the fewest bytes so far; that map is stored with a version.
-``rebalance`` edits a stored map after growth or for another number of shards: the next version
-moves only the slots that it has to. Nothing but the map, of ``slots`` rows, is ever broadcast.
+The hash of a record's text picks one of ``slots`` virtual slots, so equal texts share a shard. Only a
+text that is hot, with more than an eighth of a shard's even share of bytes or of rows, is split: into
+parts of about that size, each a slot of its own; other texts of its slot stay where they are. There
+are at most eight parts a shard and law, so slots stay few whatever the table.
+
+Bytes are added up per slot, and the largest slot first goes to the shard with the fewest bytes so far.
+That map is a table with a row per slot, stored by version at a named place. ``rebalance`` edits a stored
+map after growth or for another number of shards: the next version moves only the slots that it has to.
+Nothing but the map and the list of hot texts is ever broadcast.
 
 Cases: null text has no bytes (size 1) and the empty text's slot; null and repeated doc_ids make no
-difference unless their slot is split, when they stay together; an empty table gives an empty table; further columns of the input are ignored.
+difference; places inside a part of a hot text go by the row's number in the stored records, so that
+rows that are equal in all else spread too; an empty table gives an empty table and map; further
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,31 +25,36 @@ from . import shared
 
 SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, n_rows long"
+#: By how much a shard may exceed the even share before an edit moves slots away from it.
+SLACK = 0.0005
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row: what is left of a text after one reading."""
+    """doc_id, size, text_crc32, text_hash, row and virtual_slot of each row: what is left of a text after one reading. Write it before use: ``row`` is a number in this reading."""
     octets = shared.text_or_empty().cast("binary")
     return docs.select(
         "doc_id",
         (F.octet_length(octets) + F.lit(1)).cast("long").alias("size"),
         F.crc32(octets).alias("text_crc32"),
+        F.xxhash64(octets).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
         F.pmod(F.xxhash64(octets), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
-def split_heavy(recs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Deal slots above a shard's even share into parts of an eighth of it, numbered from ``slots`` on.
-
-    The parts number at most 9 a shard, so the map stays small.
-    """
-    sizes = per_slot(recs)
-    share = sizes.agg((F.sum("bytes") / F.lit(shards)).alias("share"))
-    parts = F.when(F.col("bytes") > F.col("share"), F.ceil(8 * F.col("bytes") / F.col("share"))).otherwise(1).cast("int")
-    known = sizes.crossJoin(F.broadcast(share)).select("virtual_slot", parts.alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    dealt = recs.join(F.broadcast(known), "virtual_slot").withColumn("virtual_slot", F.col("virtual_slot") + F.lit(slots) * part)
-    return dealt.select(recs.columns)
+def split_hot(recs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Give the parts of hot texts virtual slots of their own, from ``slots`` on."""
+    whole = recs.agg((F.sum("size") / (8 * shards)).alias("most_bytes"), (F.count("*") / (8 * shards)).alias("most_rows"))
+    per_text = recs.groupBy("text_hash", "text_crc32").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    # A text of a single row can't be split.
+    hot = per_text.where("n > 1").crossJoin(F.broadcast(whole)).where("bytes > most_bytes OR n > most_rows")
+    parts = F.least(F.col("n"), F.ceil(F.greatest(F.col("bytes") / F.col("most_bytes"), F.col("n") / F.col("most_rows")))).cast("int")
+    # At most 16 texts a shard are left, so one window over them is small.
+    before = F.coalesce(F.sum("parts").over(Window.orderBy("text_hash", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hot = hot.select("text_hash", "text_crc32", parts.alias("parts")).withColumn("first", (before + slots).cast("int"))
+    dealt = recs.join(F.broadcast(hot), ["text_hash", "text_crc32"], "left")
+    own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    return dealt.withColumn("virtual_slot", F.coalesce(own, F.col("virtual_slot"))).select(recs.columns)
 
 
 def _least_loaded(sized: Column, loads: Column) -> Column:
@@ -57,8 +67,8 @@ def _least_loaded(sized: Column, loads: Column) -> Column:
     return F.aggregate(sized, start, step)["shards"]
 
 
-def _heaviest_first(per_slot: DataFrame) -> Column:
-    """All slots as one array; there are at most ``slots`` of them."""
+def _heaviest_first() -> Column:
+    """All slots as one array; there are ``slots`` of them and the parts of hot texts."""
     entry = F.struct((-F.col("bytes")).alias("less"), F.col("virtual_slot"), F.col("bytes"), F.col("n_rows"))
     return F.sort_array(F.collect_list(entry))
 
@@ -70,22 +80,22 @@ def per_slot(recs: DataFrame) -> DataFrame:
 def first_map(sizes: DataFrame, shards: int) -> DataFrame:
     """Version 1 of the slot-to-shard map over the slots in use (virtual_slot, bytes, n_rows)."""
     loads = F.array_repeat(F.lit(0).cast("long"), shards)
-    one = sizes.agg(_heaviest_first(sizes).alias("sized")).select("sized", _least_loaded(F.col("sized"), loads).alias("shards"))
+    one = sizes.agg(_heaviest_first().alias("sized")).select("sized", _least_loaded(F.col("sized"), loads).alias("shards"))
     rows = one.select(F.explode(F.arrays_zip("sized", "shards")).alias("x"))
     return rows.select(F.lit(1).alias("version"), F.col("x.sized.virtual_slot").alias("virtual_slot"), F.col("x.shards").alias("shard"), F.col("x.sized.bytes").alias("bytes"), F.col("x.sized.n_rows").alias("n_rows"))
 
 
-def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+def rebalance(old: DataFrame, sizes: DataFrame, shards: int, slack: float = SLACK) -> DataFrame:
     """The next version of ``old`` for present ``sizes`` and ``shards``.
 
-    A shard keeps its slots, smallest first, while they fit into its even share; those above it,
-    slots of shards that are gone and new slots go to the least loaded shard, largest first.
+    A shard keeps its slots, largest first, while they fit into its even share and a little ``slack``;
+    those above it, slots of shards that are gone and new slots go to the least loaded shard, largest first.
     """
     known = old.select("virtual_slot", F.col("shard").alias("held"), "version")
     now = sizes.join(F.broadcast(known), "virtual_slot", "left")
     version = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-    share = sizes.agg((F.sum("bytes") / F.lit(shards)).alias("share"))
-    running = F.sum("bytes").over(Window.partitionBy("held").orderBy("bytes", "virtual_slot"))
+    share = sizes.agg((F.sum("bytes") * F.lit((1 + slack) / shards)).alias("share"))
+    running = F.sum("bytes").over(Window.partitionBy("held").orderBy(F.desc("bytes"), "virtual_slot"))
     marked = now.crossJoin(F.broadcast(share)).withColumn("stays", F.coalesce((F.col("held") < shards) & (running <= F.col("share")), F.lit(False)))
     entry = F.struct((-F.col("bytes")).alias("less"), F.col("virtual_slot"), F.col("bytes"), F.col("n_rows"))
     kept = F.struct(F.col("held").alias("shard"), F.col("virtual_slot"), F.col("bytes"), F.col("n_rows"))
@@ -103,6 +113,31 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(version)).select("version", "x.virtual_slot", "x.shard", "x.bytes", "x.n_rows")
 
 
+class Maps:
+    """Versions of one map, each a folder at ``place``; a version is there once it is written whole, and none is changed."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.place = spark, place
+
+    def latest(self) -> int:
+        """The highest version that was written whole; 0 if there is none."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.place}/v*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return max((int(x.getPath().getParent().getName()[1:]) for x in found or ()), default=0)
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.place}/v{version}")
+
+    def write(self, slot_map: DataFrame, version: int) -> DataFrame:
+        slot_map.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.place}/v{version}")
+        return self.read(version)
+
+    def edit(self, sizes: DataFrame, shards: int) -> DataFrame:
+        """The next version, for present sizes and shards: the first one where there is none yet."""
+        held = self.latest()
+        return self.write(rebalance(self.read(held), sizes, shards) if held else first_map(sizes, shards), held + 1)
+
+
 def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and place in the shard (gapless from 0) of each record under one version of the map.
 
@@ -111,13 +146,23 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     based = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row"))
     return recs.withColumn("rank", rank).join(F.broadcast(based), "virtual_slot").withColumn("slot", F.col("base") + F.col("rank") - 1)
 
 
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = shared.materialize(records(shared.documents(spark, sf_dir)), "records")
-    recs = split_heavy(recs, 16)
-    stored = shared.materialize(first_map(per_slot(recs), 16), "slot-map")
-    placed = assign(recs, stored)
+    """Every document's shard of 16 under the law ``bytes``.
+
+    The table's map is kept under its path's hash. A first load makes version 1 for 15 shards and grows it
+    to 16 by an edit; a later run edits what it finds. Versions differ only where sizes or shards do.
+    """
+    docs = shared.documents(spark, sf_dir)
+    recs = shared.materialize(records(docs), "records")
+    recs = split_hot(recs, 16)
+    sizes = shared.materialize(per_slot(recs), "slot-sizes")
+    place = spark.range(1).select(F.hex(F.xxhash64(F.lit(sf_dir)))).first()[0]
+    maps = Maps(spark, f"{shared.shared_dir(spark)}/logloom/slot-maps/{place}")
+    if not maps.latest():
+        maps.edit(sizes, 15)
+    placed = assign(recs, maps.edit(sizes, 16))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

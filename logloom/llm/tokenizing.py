@@ -2,7 +2,9 @@
 
 A byte-level BPE never merges across the places where its splitting pattern cuts, and that pattern
 always cuts before a space which a non-space follows. So a text is cut at those places, each
-distinct chunk is encoded once per Python worker, and a text's ids are the concatenation.
+distinct chunk is encoded once per Python worker, and a text's ids are the concatenation. A text that
+holds an added token of the vocabulary (such as ``<|endoftext|>``) is encoded whole: the library gives
+that token its own id and splits the rest around it.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes for one token wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.led: dict[str, bytes] = {"": b""}
         space = self._raw([" "])[0]
@@ -62,6 +65,11 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.led) > CACHE_CHUNKS:
             self.led = {"": b""}
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if whole:
+            found = dict(zip(whole, self._raw([texts[k] for k in whole]), strict=True))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in found]))
+            return [found[k] if k in found else next(rest) for k in range(len(texts))]
         get = self.led.get
         cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) for t in texts]
         heads = self._raw([x[0] for x in cut])

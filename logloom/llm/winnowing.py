@@ -3,7 +3,7 @@
 Every ``k``-gram of code points has a rolling hash; each window of ``window`` hashes selects its
 least, the rightmost one on ties, and a selected (hash, position) is recorded once. Any passage of
 ``k + window - 1`` code points that two texts share leaves a common fingerprint in both, and the
-positions say where. A text with fewer k-grams than a window is one window; one shorter than ``k``
+positions, which the result holds beside the hashes, say where. A text with fewer k-grams than a window is one window; one shorter than ``k``
 is hashed whole.
 
 Cases: null text is empty, with an empty fingerprint; likeness of two empty ones is 1; rows are in
@@ -88,19 +88,19 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return docs.select("doc_id", shared.text_or_empty().alias("text")).mapInArrow(emit, "doc_id long, hashes array<long>, positions array<long>")
 
 
-ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hashes array<long>, positions array<long>"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def compare(row: tuple, following: tuple) -> tuple:
-    """A row of the result from (doc_id, text, distinct hashes) and the next such document."""
-    doc_id, text, own = row
-    _, other, others = following
+    """A row of the result from (doc_id, text, distinct hashes, recorded hashes, their positions) and the next such document."""
+    doc_id, text, own, hashes, positions = row
+    _, other, others, *_ = following
     n = len(text) // 4
     edited = text[: len(text) - n] + other[:n] if n else text
     new = np.unique(winnow(edited)[0]) if edited != text else own
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, others)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, others), hashes.astype(np.int64), positions
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -144,7 +144,8 @@ def compare_edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for _, copy, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = (doc_id, text, np.unique(winnow(text)[0]))
+                recorded = winnow(text)
+                row = (doc_id, text, np.unique(recorded[0]), *recorded)
                 if held is not None:
                     out.append(compare(held, row))
                 held = None if copy else row

@@ -42,8 +42,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def slices(batch: pa.RecordBatch, column: int):
-    """(slice of the batch, bytes of its texts, offsets) of about AT_ONCE bytes each. Null is empty."""
+def slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE):
+    """(slice of the batch, bytes of its texts, offsets) of about ``at_once`` bytes each. Null is empty."""
     texts = batch.column(column)
     if texts.null_count:
         texts = texts.fill_null("")
@@ -53,7 +53,7 @@ def slices(batch: pa.RecordBatch, column: int):
     octets = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + AT_ONCE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + at_once, "right")) - 1)
         j = min(j, len(texts))
         yield batch.slice(i, j - i), octets[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
