@@ -48,7 +48,7 @@ from .words import mix, shingles, slices, words
 
 _SALT = np.uint64(0xA0761D6478BD642F)
 #: Lists that a linked pair of large sets shares at least.
-SHARED = 4
+SHARED = 2
 #: A list longer than this goes to the end of the order.
 LONG_LIST = 16
 #: Long lists that are known to all tasks, 4 bytes each; where there are more, the longest are.
