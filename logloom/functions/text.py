@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, patterns
 
 
 def java(pattern: str) -> str:
@@ -38,14 +38,14 @@ def project_slug(path: Column) -> Column:
 def is_test_file(path: Column) -> Column:
     """In a folder of tests, or a source file with the word test or spec in its name."""
     name = basename(path)
-    spaced = F.regexp_replace(F.regexp_replace(name, fixed.TEST_EXTENSION, ""), r"(?=[A-Z])", " ")
+    spaced = F.regexp_replace(F.regexp_replace(name, patterns.TEST_EXTENSION, ""), r"(?=[A-Z])", " ")
     words = F.split(F.lower(spaced), "[^a-z0-9]+")
-    named = like(name, fixed.TEST_EXTENSION) & F.arrays_overlap(words, F.array(F.lit("test"), F.lit("spec")))
-    return F.coalesce(like(path, fixed.TEST_FOLDER) | named, F.lit(False))
+    named = like(name, patterns.TEST_EXTENSION) & F.arrays_overlap(words, F.array(F.lit("test"), F.lit("spec")))
+    return F.coalesce(like(path, patterns.TEST_FOLDER) | named, F.lit(False))
 
 
 def is_code_file(path: Column) -> Column:
-    return like(path, fixed.CODE_EXTENSION)
+    return like(path, patterns.CODE_EXTENSION)
 
 
 def is_manifest(path: Column) -> Column:
@@ -53,7 +53,7 @@ def is_manifest(path: Column) -> Column:
 
 
 def assertion_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(fixed.ASSERTION)))
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(patterns.ASSERTION)))
 
 
 def weakens_test(old: Column, new: Column) -> Column:
@@ -61,23 +61,23 @@ def weakens_test(old: Column, new: Column) -> Column:
     return (
         F.when(old.isNull() | new.isNull(), F.lit(None))
         .when(assertion_lines(new) < assertion_lines(old), "assertions removed from the test")
-        .when(like(new, fixed.SKIP_MARK) & ~like(old, fixed.SKIP_MARK), "test marked as skipped or ignored")
-        .when(count(new, fixed.TEST_BLOCK) < count(old, fixed.TEST_BLOCK), "a test case was deleted")
+        .when(like(new, patterns.SKIP_MARK) & ~like(old, patterns.SKIP_MARK), "test marked as skipped or ignored")
+        .when(count(new, patterns.TEST_BLOCK) < count(old, patterns.TEST_BLOCK), "a test case was deleted")
     )
 
 
-def suppression_added(old: Column, new: Column, rules=fixed.SUPPRESSIONS) -> Column:
+def suppression_added(old: Column, new: Column, rules=patterns.SUPPRESSIONS) -> Column:
     """The first rule that matches more often after than before, or null."""
     return F.coalesce(*(F.when(count(new, p) > count(old, p), F.lit(detail)) for p, detail in rules))
 
 
 def checks(tool: Column, command: Column) -> Column:
     """Whether a call runs a test, build or lint command."""
-    return F.coalesce((tool == "Bash") & like(command, fixed.CHECK_COMMAND), F.lit(False))
+    return F.coalesce((tool == "Bash") & like(command, patterns.CHECK_COMMAND), F.lit(False))
 
 
 def failed(is_error: Column, stdout: Column, stderr: Column, text: Column) -> Column:
-    said = [like(x, fixed.FAILURE) for x in (stdout, stderr, text)]
+    said = [like(x, patterns.FAILURE) for x in (stdout, stderr, text)]
     return F.coalesce(is_error, F.lit(False)) | said[0] | said[1] | said[2]
 
 

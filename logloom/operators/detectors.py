@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dependencies, fixed, shell
+from ..functions import dependencies, fixed, patterns, shell
 from ..functions import text as t
 from .order import dedupe
 
@@ -75,12 +75,14 @@ def revert_pairs(edits: DataFrame) -> DataFrame:
 def git_reverts(calls: DataFrame, edits: DataFrame) -> DataFrame:
     """Commands that discard edits made before them; one signal a command."""
     c = calls.where((F.col("name") == "Bash") & F.col("command").rlike(r"\bgit\s+(reset|stash|checkout|restore)\b")).withColumn("targets", shell.revert_targets_of(F.col("command"))).where("targets.everything IS NOT NULL")
-    files = edits.groupBy("session_id", "file_path").agg(F.min("edit_seq").alias("file_order"), F.collect_list(F.struct("edit_seq", "record_index", "ts_raw")).alias("edits"))
-    files = files.withColumn("base", t.basename(F.col("file_path"))).withColumn("edits", F.sort_array("edits"))
+    # A file's first edit is its earliest, so only that one can come before a command.
+    files = edits.groupBy("session_id", "file_path").agg(F.min("edit_seq").alias("file_order"), F.min_by(F.struct("record_index", "ts_raw"), "edit_seq").alias("earliest"))
+    files = files.withColumn("base", t.basename(F.col("file_path")))
     slim = c.select("session_id", "record_index", "call_seq", "uuid", "tool_use_id", "ts_raw", "targets")
-    met = slim.join(files, "session_id").where(F.col("targets.everything") | F.array_contains(F.coalesce("targets.names", F.array().cast("array<string>")), F.col("base")))
-    earlier = F.filter("edits", lambda x: x["record_index"] < F.col("record_index"))
-    met = met.withColumn("earliest", F.get(earlier, F.lit(0))).where("earliest IS NOT NULL")
+    # Names meet files by equality; only what discards everything meets all files of its session.
+    named = slim.where("NOT targets.everything").select("*", F.explode("targets.names").alias("base")).join(files, ["session_id", "base"])
+    whole = slim.where("targets.everything").join(files, "session_id")
+    met = named.unionByName(whole).where(F.col("earliest.record_index") < F.col("record_index"))
     per = met.groupBy("session_id", "record_index", "call_seq", "uuid", "tool_use_id", "ts_raw").agg(
         F.sort_array(F.collect_list(F.struct("file_order", "file_path", "base"))).alias("files"), F.min("earliest.ts_raw").alias("since")
     )
@@ -118,8 +120,7 @@ def external_dependencies(calls: DataFrame, edits: DataFrame) -> DataFrame:
     m = m.withColumn("added", dependencies.added_of(F.col("file_path"), F.col("old_string"), F.coalesce("new_string", "content"))).where("size(added) > 0")
     first = F.col("file_order") * (1 << 31) + F.col("edit_seq")
     listed = _signal(m, "external_dependency", F.lit(0.7), F.concat(F.lit("added to "), t.basename(F.col("file_path")), F.lit(": "), F.array_join("added", ", ")), F.col("file_path"), seq=first)
-    anchor = "|".join(p for _, p in fixed.INSTALLERS)
-    c = calls.where((F.col("name") == "Bash") & F.col("command").rlike(anchor)).withColumn("installed", shell.installed_of(F.col("command"))).where("installed.packages IS NOT NULL")
+    c = calls.where((F.col("name") == "Bash") & F.col("command").rlike(patterns.INSTALLS)).withColumn("installed", shell.installed_of(F.col("command"))).where("installed.packages IS NOT NULL")
     names = c.select("session_id", "call_seq", F.explode("installed.packages").alias("package")).withColumn("package", t.package_name(F.col("package"))).distinct()
     # A name is new to a command unless a manifest or an earlier command of the session reported it.
     by_manifest = m.select("session_id", F.explode("added").alias("package")).select("session_id", t.package_name(F.col("package")).alias("package")).distinct()
@@ -162,7 +163,13 @@ def same_paths(files: DataFrame, looks: DataFrame) -> DataFrame:
     named = above.join(plain.select("session_id", "path", bare.alias("key")), ["session_id", "key"])
     shorter = files.select("session_id", "file_path", F.explode(ends(F.col("file_path"))).alias("key")).join(plain.where(~F.col("path").startswith("/")).select("session_id", "path", F.col("path").alias("key")), ["session_id", "key"])
     longer = plain.select("session_id", "path", F.explode(ends(F.col("path"))).alias("key")).join(files.where(~F.col("file_path").startswith("/")).select("session_id", "file_path", F.col("file_path").alias("key")), ["session_id", "key"])
-    globbed = globs.join(files, "session_id").where(shell.same_path_of(F.col("path"), F.col("file_path")))
+    # A glob that ends in an extension can only name files with it; the others are compared with all files of their session.
+    ending = F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)\z", 1), F.lit(""))
+    extension = F.nullif(F.regexp_extract("file_path", r"\.([A-Za-z0-9_]+)\z", 1), F.lit(""))
+    ended, open_ended = globs.withColumn("key", ending), globs.where(ending.isNull())
+    by_extension = ended.where("key IS NOT NULL").join(files.withColumn("key", extension), ["session_id", "key"]).select("session_id", "path", "file_path")
+    both = by_extension.unionByName(open_ended.join(files, "session_id").select("session_id", "path", "file_path"))
+    globbed = both.where(shell.same_path_of(F.col("path"), F.col("file_path")))
     parts = [x.select("session_id", "file_path", "path") for x in (named, shorter, longer, globbed)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
 
@@ -189,14 +196,16 @@ def error_suppressed(calls: DataFrame, edits: DataFrame) -> DataFrame:
     failing = calls.where(t.checks(F.col("name"), F.col("command")) & F.coalesce("is_error", F.lit(False))).where(shell.failed_check_of(F.col("command")))
     e = _marks(with_failure(e, calls), failing.select("session_id", "record_index").distinct(), F.lit(True), "check")
     old, new = F.col("_old"), F.col("_new")
-    logged = F.when(t.is_code_file(F.col("file_path")) & F.col("check").isNotNull() & t.suppression_added(new, old).isNull(), t.suppression_added(old, new, fixed.LOGGED_ONLY))
+    # Only texts in question go to Python, the others as nulls.
+    asked = t.is_code_file(F.col("file_path")) & F.col("check").isNotNull() & t.suppression_added(new, old).isNull() & new.rlike("catch|except")
+    logged = F.when(shell.logged_only_of(F.when(asked, old), F.when(asked, new)), F.lit(fixed.LOGGED))
     e = e.withColumn("reason", F.coalesce(t.suppression_added(old, new), logged)).where("reason IS NOT NULL")
     hit = F.col("failure").isNotNull()
     detail = F.when(hit, F.concat("reason", F.lit(", shortly after a failing command"))).otherwise(F.col("reason"))
     seq = F.col("file_order") * (1 << 31) + F.col("edit_seq")
     edited = _signal(e, "error_suppressed", F.when(hit, 0.7).otherwise(0.45), detail, F.col("file_path"), F.coalesce("failure._value", "ts_raw"), seq=seq)
-    ignored = t.like(F.col("command"), r"\|\|\s*true\b") & t.like(F.col("command"), fixed.CHECK_COMMAND)
-    c = calls.where((F.col("name") == "Bash") & (ignored | t.like(F.col("command"), fixed.BYPASS_FLAG)))
+    ignored = t.like(F.col("command"), r"\|\|\s*true\b") & t.like(F.col("command"), patterns.CHECK_COMMAND)
+    c = calls.where((F.col("name") == "Bash") & (ignored | t.like(F.col("command"), patterns.BYPASS_FLAG)))
     ran = _signal(c, "error_suppressed", F.lit(0.5), F.when(ignored, "a check was run with its failure discarded by `|| true`").otherwise("a command was run with its safety check switched off"), seq=F.col("call_seq") + F.lit(1 << 62))
     return dedupe(edited.unionByName(ran))
 
@@ -223,9 +232,11 @@ def stale_context(calls: DataFrame, looks: DataFrame) -> DataFrame:
     e = c.where(F.col("name").isin(*fixed.EDIT_TOOLS) & F.col("file_path").isNotNull() & (F.col("pause") > 0))
     pairs = same_paths(e.select("session_id", "file_path").distinct(), looks.select("session_id", "path").distinct())
     known = looks.join(pairs, ["session_id", "path"]).select("session_id", "file_path", F.col("call_seq").alias("seen_seq"), F.col("record_index").alias("seen_index"), "path")
-    # A path's latest look counts, so the maximum over all names of the file is the last look.
-    last = e.select("session_id", "call_seq", "file_path").join(known, ["session_id", "file_path"]).where("seen_seq < call_seq")
-    last = last.groupBy("session_id", "call_seq").agg(F.max("seen_index").alias("looked"))
+    # Looks and edits of a file in one order; a path's latest look counts, and an edit sees what comes before its own call.
+    seen = known.select("session_id", "file_path", F.col("seen_seq").alias("call_seq"), "seen_index", F.lit(True).alias("is_look"))
+    both = seen.unionByName(e.select("session_id", "file_path", "call_seq", F.lit(None).cast("int").alias("seen_index"), F.lit(False).alias("is_look")))
+    so_far = Window.partitionBy("session_id", "file_path").orderBy("call_seq", "is_look").rowsBetween(Window.unboundedPreceding, -1)
+    last = both.withColumn("looked", F.max("seen_index").over(so_far)).where("NOT is_look").select("session_id", "call_seq", "looked")
     hits = e.join(last, ["session_id", "call_seq"]).where(F.col("looked") < F.col("last_pause.record_index"))
     once = Window.partitionBy("session_id", "pause").orderBy("call_seq")
     hits = hits.withColumn("_n", F.row_number().over(once)).where("_n = 1")

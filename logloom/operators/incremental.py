@@ -112,4 +112,30 @@ def latest_per_window(sessions: DataFrame, by: str, at: str, within_ms: int) ->
     """The newest row of each group, and all within a time of it."""
     w = Window.partitionBy(by)
     newest = F.max(at).over(w)
-    return sessions.where("true").withColumn("_newest", newest).where(F.col("_newest") - F.col(at) <= within_ms).drop("_newest")
+    return sessions.withColumn("_newest", newest).where(F.col("_newest") - F.col(at) <= within_ms).drop("_newest")
+
+
+def enqueue(queue: DataFrame, found: DataFrame) -> DataFrame:
+    """The queue with entries (key, queued_ms) that it doesn't have yet; those that are there keep their attempts, those given up start anew."""
+    live = queue.where("NOT abandoned")
+    fresh = found.join(live.select("key"), "key", "left_anti").select("key", "queued_ms", F.lit(0).alias("attempts"), F.lit(None).cast("long").alias("last_ms"), F.lit(None).cast("string").alias("last_error"), F.lit(False).alias("abandoned"))
+    return live.unionByName(fresh)
+
+
+def status_by_agent(sessions: DataFrame) -> DataFrame:
+    """(agent, sessions, newest, newest_of_all) of sessions (agent, session_id, modified): how many each client has, and when the latest of any was."""
+    per = sessions.groupBy("agent").agg(F.countDistinct("session_id").alias("sessions"), F.max("modified").alias("newest"))
+    return per.crossJoin(F.broadcast(sessions.agg(F.max("modified").alias("newest_of_all"))))
+
+
+def upload_timeout_ms(body_bytes: Column, bytes_per_second: int = 100_000, least_ms: int = 30_000, most_ms: int = 600_000) -> Column:
+    """How long an upload may take: half a minute, or what its size needs, up to ten minutes."""
+    return F.least(F.greatest(F.ceil(body_bytes * 1000 / bytes_per_second), F.lit(least_ms)), F.lit(most_ms)).cast("long")
+
+
+def rotated(journal_lines: DataFrame, most_bytes: int) -> DataFrame:
+    """The newest lines (line_no, line) of a journal that has outgrown ``most_bytes``: at most half of that stays."""
+    total = Window.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = journal_lines.withColumn("_so_far", F.sum(F.octet_length("line") + 1).over(total))
+    whole = journal_lines.agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("_whole"))
+    return sized.crossJoin(F.broadcast(whole)).where((F.col("_whole") <= most_bytes) | (F.col("_so_far") <= most_bytes // 2)).drop("_so_far", "_whole")

@@ -1,21 +1,24 @@
-"""Ordered and set operators: first-wins arg-max, forward fill, merges, look-backs, differences."""
+"""Ordered and set operators: first-wins arg-max, forward fill, merges, differences."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def keep_best(df: DataFrame, keys: list[str], weight: str = "weight", seq: str = "seq") -> DataFrame:
-    """Of rows with equal keys the heaviest; of those the first."""
-    w = Window.partitionBy(*(F.coalesce(k, F.lit("")) if dict(df.dtypes)[k] == "string" else F.col(k) for k in keys)).orderBy(F.desc(weight), seq)
-    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+    """Of rows with equal keys the heaviest, of those the first, in the place (``seq``) of the first row with the key."""
+    same = Window.partitionBy(*(F.coalesce(k, F.lit("")) if dict(df.dtypes)[k] == "string" else F.col(k) for k in keys))
+    ranked = df.withColumn("_place", F.row_number().over(same.orderBy(F.desc(weight), seq))).withColumn("_first", F.min(seq).over(same))
+    return ranked.where("_place = 1").withColumn(seq, F.col("_first")).drop("_place", "_first")
 
 
 def dedupe(signals: DataFrame) -> DataFrame:
-    """One signal per event, then one per file and detail. ``seq`` is the order in which they were made."""
+    """One signal per event, then one per file and detail. ``seq`` is the order in which they were made.
+
+    A heavier signal takes the place of the first with its key, so of equal ones in the second pass that with the earliest key stays.
+    """
     event = keep_best(signals, ["session_id", "category", "file_path", "record_index"])
-    # What stays keeps the place of the first with its key, as an ordered map would.
     return keep_best(event, ["session_id", "category", "file_path", "detail"])
 
 
@@ -24,20 +27,17 @@ def forward_fill(df: DataFrame, column: str, by: list[str], order: list[str], ou
     return df.withColumn(out or column, F.last(column, ignorenulls=True).over(w))
 
 
-def look_back(flag: Column, by: str, index: str, records: int) -> Column:
-    """Whether some row of the ``records`` indexes before this one has the flag."""
-    w = Window.partitionBy(by).orderBy(index).rangeBetween(-records, -1)
-    return F.coalesce(F.max(flag).over(w), F.lit(False))
-
-
 def merge_streams(parent: DataFrame, child: DataFrame) -> DataFrame:
     """Records of a session and of its sub-agents in one order.
 
     ``parent`` has (session_id, seq, at), ``child`` also (stream, start_seq, start_at). Missing times
     are filled forward; a child goes before the first parent record after its call whose time is not
     before the child's running maximum, else to the end. One sort on (place, child first, that
-    maximum, start, seq) is the merge. The place is a range join within the session, made from a
-    running minimum: the first parent of a time or later is found by rank on times that only grow.
+    maximum, start, seq) is the merge.
+
+    Behind a stream's call the running maximum of the parents' times only grows, and the first parent
+    of a time or later is where it reaches that time. So parents and children are sorted together by
+    falling time, and the place is the least ``seq`` so far: no pairs are made.
     """
     by_seq = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A parent without a time so far bounds nothing: +infinity.
@@ -45,10 +45,13 @@ def merge_streams(parent: DataFrame, child: DataFrame) -> DataFrame:
     own = Window.partitionBy("session_id", "stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = child.withColumn("filled", F.coalesce(F.last("at", ignorenulls=True).over(own), "start_at", F.lit(0)))
     c = c.withColumn("m", F.max("filled").over(own))
-    place = p.select(F.col("session_id").alias("_s"), F.col("seq").alias("_seq"), "bound")
-    near = c.select("session_id", "stream", "seq", "start_seq", "m").join(place, (F.col("session_id") == F.col("_s")) & (F.col("_seq") > F.col("start_seq")) & (F.col("bound") >= F.col("m")))
-    j = near.groupBy("session_id", "stream", "seq").agg(F.min("_seq").alias("place"))
-    placed = c.join(j, ["session_id", "stream", "seq"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 62)))
+    streams = child.groupBy(F.col("session_id").alias("_s"), "stream").agg(F.min("start_seq").alias("_start"))
+    behind = streams.join(p.select("session_id", "seq", "bound"), (F.col("session_id") == F.col("_s")) & (F.col("seq") > F.col("_start")))
+    reached = behind.select("session_id", "stream", F.col("seq").cast("long").alias("_p"), F.max("bound").over(own).alias("_at"), F.lit(None).cast("int").alias("seq"), F.lit(False).alias("_child"))
+    asked = c.select("session_id", "stream", F.lit(None).cast("long").alias("_p"), F.col("m").alias("_at"), "seq", F.lit(True).alias("_child"))
+    falling = Window.partitionBy("session_id", "stream").orderBy(F.desc("_at"), "_child").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = reached.unionByName(asked).withColumn("place", F.min("_p").over(falling)).where("_child").select("session_id", "stream", "seq", "place")
+    placed = c.join(found, ["session_id", "stream", "seq"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 62)))
     one = p.select("session_id", F.lit(None).cast("string").alias("stream"), "seq", "at", F.col("seq").cast("long").alias("place"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("start_seq"))
     two = placed.select("session_id", F.col("stream").cast("string").alias("stream"), "seq", "at", "place", F.lit(0).alias("late"), "m", F.col("start_seq").cast("long").alias("start_seq"))
     order = Window.partitionBy("session_id").orderBy("place", "late", "m", "start_seq", "stream", "seq")

@@ -185,6 +185,10 @@ def reads(uses: DataFrame) -> DataFrame:
     return looked.union(shelled)
 
 
+#: What a command that writes can't do without: a redirection, or one of these programs.
+_MAY_WRITE = ">|<<|" + "|".join((*fixed.MOVERS, *fixed.IN_PLACE_EDITORS, "tee", "git"))
+
+
 def session_meta(numbered: DataFrame, recs: DataFrame, blks: DataFrame, uses: DataFrame) -> DataFrame:
     """One row per session: where, when, counts, and whether files were edited."""
     own = ~F.col("is_sidechain")
@@ -213,10 +217,12 @@ def session_meta(numbered: DataFrame, recs: DataFrame, blks: DataFrame, uses: Da
     ok = ~F.coalesce(F.col("result.is_error"), F.lit(False))
     keys = F.expr("json_object_keys(to_json(input))")
     named = (*fixed.EDIT_TOOLS, *fixed.LOOKUP_TOOLS, *fixed.BYSTANDER_TOOLS, "Bash")
+    # Python is given only what it has to read; other rows go to it as nulls and come back as null.
+    other = ~F.col("name").isin(*named)
     writer = F.col("name").isin(*fixed.EDIT_TOOLS) | F.coalesce("unread", F.lit(False))
-    writer = writer | F.coalesce(F.when(F.col("command").isNotNull(), shell.writes_of(F.col("command"))), F.lit(False))
-    writer = writer | F.coalesce(F.when(~F.col("name").isin(*named), shell.may_write_of(F.col("name"), keys)), F.lit(False))
-    commits = F.coalesce(F.array_contains(shell.git_commands_of(F.col("command")), "commit"), F.lit(False))
+    writer = writer | F.coalesce(shell.writes_of(F.when(F.col("command").rlike(_MAY_WRITE), F.col("command"))), F.lit(False))
+    writer = writer | F.coalesce(shell.may_write_of(F.when(other, F.col("name")), F.when(other, keys)), F.lit(False))
+    commits = F.array_contains(shell.git_commands_of(F.when(F.col("command").contains("commit"), F.col("command"))), "commit")
     unseen = F.col("name").isin(*fixed.DELEGATION_TOOLS) & ok & F.col("linked").isNull() & ~F.col("counted")
     acts = u.groupBy("session_id").agg(
         F.count("*").alias("calls"), F.count_if(F.col("name").isin(*fixed.EDIT_TOOLS)).alias("edit_tool_uses"),

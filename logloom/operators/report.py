@@ -27,10 +27,17 @@ def snapshots(gated: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def compare(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """ok, changed or missing for each session of ``found`` against stored snapshots."""
+    """ok, changed, new (no snapshot is stored) or missing (a stored session is not among ``found``) for each session of either."""
     e = expected.select("session_id", F.col("snapshot").alias("_expected"))
-    status = F.when(F.col("_expected").isNull(), "missing").when(F.col("_expected") == F.col("snapshot"), "ok").otherwise("changed")
-    return found.join(e, "session_id", "left").select("session_id", status.alias("status"))
+    both = found.join(e, "session_id", "full")
+    status = F.when(F.col("snapshot").isNull(), "missing").when(F.col("_expected").isNull(), "new").when(F.col("_expected") == F.col("snapshot"), "ok").otherwise("changed")
+    return both.select("session_id", status.alias("status"))
+
+
+def as_json(gated: DataFrame, signals: DataFrame) -> DataFrame:
+    """(line) of a report for programs: a document per session, then one with the totals. Write it with ``write.text``."""
+    one = snapshots(gated, signals).select(F.col("snapshot").alias("line"))
+    return one.unionByName(totals(gated, signals).select(F.to_json(F.struct("files", "eligible", "silent", "candidates")).alias("line")))
 
 
 def lines(signals: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, redaction
 from ..functions import text as t
 from ..operators import commits, detectors, graph, incremental, order, report
+from . import case_queries, log_queries
 
 _RAW = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -283,7 +284,8 @@ def redact_assignment(spark, sf):
     return d.select("doc_id", F.md5(redaction.redact_assignments(F.col("text"))).alias("redacted_md5"))
 
 
-_SQL_ASSIGNMENT = redaction.PLAIN_ASSIGNMENT.replace("'", "''")
+#: What the tables hold of assignments: a quoted run of hexadecimal digits behind a word.
+_SQL_ASSIGNMENT = r'(token\s*=\s*")[0-9a-f]{40}'
 _ASSIGNMENT = rf"SELECT doc_id, md5(regexp_replace(text, '{_SQL_ASSIGNMENT}', '\1[REDACTED:assignment]', 'g')) AS redacted_md5 FROM documents"
 
 
@@ -375,13 +377,18 @@ _UNSEEN = "SELECT * FROM (" + _D2B + ") WHERE record_index % 2 <> 0"
 
 
 def dedupe_keep_best(spark, sf):
-    li = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("file_path"), F.col("l_linenumber").alias("record_index"), F.col("l_quantity").alias("weight"), F.col("l_linestatus").alias("detail"), F.col("l_linenumber").alias("seq"))
-    return order.dedupe(li).select("session_id", "category", "file_path", "record_index", "weight")
+    li = _table(spark, sf, "lineitem")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
+    li = li.select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("file_path"), (F.col("l_linenumber") % 3).alias("record_index"), (F.col("l_quantity") % 4).alias("weight"), F.col("l_linestatus").alias("detail"), seq.alias("seq"))
+    return order.dedupe(li).select("session_id", "category", "file_path", "record_index", "weight", "seq")
 
 
-_DEDUPE = """WITH a AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus, l_linenumber ORDER BY l_quantity DESC, l_linenumber) = 1)
-SELECT l_orderkey AS session_id, l_returnflag AS category, l_linestatus AS file_path, l_linenumber AS record_index, l_quantity AS weight FROM a
-QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_quantity DESC, l_linenumber) = 1"""
+#: Of a key's rows the first of the heaviest stays, at the place of the key's first row.
+_DEDUPE = """WITH s AS (SELECT l_orderkey AS session_id, l_returnflag AS category, l_linestatus AS file_path, l_linenumber % 3 AS record_index, l_quantity % 4 AS weight,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS INTEGER) AS seq FROM lineitem),
+a AS (SELECT session_id, category, file_path, record_index, max(weight) AS weight, min(seq) AS seq FROM s GROUP BY 1, 2, 3, 4),
+b AS (SELECT *, min(seq) OVER (PARTITION BY session_id, category, file_path) AS place FROM a)
+SELECT session_id, category, file_path, arg_min(record_index, (-weight, seq)) AS record_index, max(weight) AS weight, min(place) AS seq FROM b GROUP BY 1, 2, 3"""
 
 
 def forward_fill(spark, sf):
@@ -396,13 +403,13 @@ def merge_timeline(spark, sf):
     o, li = _table(spark, sf, "orders"), _table(spark, sf, "lineitem")
     seq = lambda by, *key: (F.row_number().over(Window.partitionBy(by).orderBy(*key)) - 1).cast("int").alias("seq")
     parent = o.select(F.col("o_custkey").alias("session_id"), seq("o_custkey", "o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.unix_millis("o_orderdate")).alias("at"))
-    child = li.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.lit("a").alias("stream"), seq("o_custkey", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey"), F.when(F.col("l_orderkey") % 7 != 0, F.unix_millis("l_shipdate")).alias("at"), F.lit(0).alias("start_seq"), F.lit(None).cast("long").alias("start_at"))
+    child = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("session_id"), F.lit("a").alias("stream"), seq("o_custkey", "l_orderkey", "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"), F.when(F.col("l_orderkey") % 7 != 0, F.unix_millis("l_shipdate")).alias("at"), F.lit(0).alias("start_seq"), F.lit(None).cast("long").alias("start_at"))
     return order.merge_streams(parent, child).select("session_id", "record_index", "stream", "seq")
 
 
 _MERGE = """WITH p0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_ms(o_orderdate) END AS ms FROM orders),
 p AS (SELECT *, coalesce(last_value(ms IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 4611686018427387904) AS bound FROM p0),
-c0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_shipdate, l_partkey, l_suppkey) - 1 AS seq, CASE WHEN l_orderkey % 7 <> 0 THEN epoch_ms(l_shipdate) END AS ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+c0 AS (SELECT o_custkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_shipdate, l_partkey, l_suppkey, l_linenumber) - 1 AS seq, CASE WHEN l_orderkey % 7 <> 0 THEN epoch_ms(l_shipdate) END AS ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 c1 AS (SELECT *, coalesce(last_value(ms IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS filled FROM c0),
 c AS (SELECT *, max(filled) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS m FROM c1),
 j AS (SELECT c.session_id, c.seq, c.m, coalesce(min(p.seq), 4611686018427387904) AS place FROM c LEFT JOIN p ON p.session_id = c.session_id AND p.seq > 0 AND p.bound >= c.m GROUP BY ALL),
@@ -411,7 +418,7 @@ SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY plac
 
 
 def merge_timeline_whole(spark, sf):
-    """``merge_timeline`` over all line items. It has no SQL; tests hold it against brute force."""
+    """The same as ``merge_timeline``, which tests also hold against brute force."""
     o, li = _table(spark, sf, "orders"), _table(spark, sf, "lineitem")
     seq = lambda by, *key: (F.row_number().over(Window.partitionBy(by).orderBy(*key)) - 1).cast("int").alias("seq")
     parent = o.select(F.col("o_custkey").alias("session_id"), seq("o_custkey", "o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.unix_millis("o_orderdate")).alias("at"))
@@ -459,13 +466,17 @@ _QUERIES = {
     "is_test_file": (is_test_file, _TESTFILE), "fingerprint": (fingerprint, _FINGER), "changed_sessions": (changed_sessions, _CHANGED), "retry_due": (retry_due, _DUE),
     "lru_prune": (lru_prune, _PRUNE), "commit_marks": (commit_marks, _MARKS), "unseen_signals": (unseen_signals, _UNSEEN), "dedupe_keep_best": (dedupe_keep_best, _DEDUPE),
     "forward_fill": (forward_fill, _FILL), "merge_timeline": (merge_timeline, _MERGE), "sessions_editing": (sessions_editing, _EDITING), "shared_lines": (shared_lines, _SHARED),
-    "break_length": (break_lengths, _BREAKS), "merge_timeline_whole": (merge_timeline_whole, None),
+    "break_length": (break_lengths, _BREAKS), "merge_timeline_whole": (merge_timeline_whole, _MERGE),
 }
 
 
+def _all() -> dict:
+    return _QUERIES | log_queries.queries() | case_queries.queries()
+
+
 def queries() -> dict:
-    return {name: function for name, (function, _) in _QUERIES.items()}
+    return {name: function for name, (function, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

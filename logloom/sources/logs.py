@@ -17,8 +17,12 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl"
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r\\z", "").alias("line"))
-    number = F.row_number().over(Window.partitionBy("path").orderBy("_start", "_at")) - 1
-    return raw.select("path", number.alias("line_no"), "line")
+    # A row per split of a file: how many lines are in the splits before it. Texts stay where they are read.
+    splits = raw.groupBy(F.col("path").alias("_path"), F.col("_start").alias("_from")).agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.partitionBy("_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_path", "_from", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    joined = raw.join(splits, (F.col("path") == F.col("_path")) & (F.col("_start") == F.col("_from")))
+    return joined.select("path", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int").alias("line_no"), "line")
 
 
 def first_lines(lines: DataFrame, n: int = 1) -> DataFrame:
@@ -78,9 +82,34 @@ def listing(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"/([^/]+)/[^/]+\z", 1).alias("project"), F.regexp_extract("path", r"([^/]+)\.jsonl\z", 1).alias("session_id"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def sessions_of(files: DataFrame, cwd: str) -> DataFrame:
-    """Sessions of a folder, newest first, by the folder's slug."""
-    return files.where(F.col("project") == project_slug(F.lit(cwd))).orderBy(F.desc("modified"), "path")
+def sessions_of(files: DataFrame, cwd: str, below: bool = False) -> DataFrame:
+    """Sessions of a folder (``below``: and of the folders below it), newest first, by the folder's slug.
+
+    A slug can't tell a folder below from one beside it with a longer name; ``first_cwd`` decides among the few that are left.
+    """
+    slug = project_slug(F.lit(cwd))
+    own = F.col("project") == slug
+    return files.where(own | F.col("project").startswith(F.concat(slug, F.lit("-"))) if below else own).orderBy(F.desc("modified"), "path")
+
+
+def within_days(files: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """Files that changed in the last days."""
+    return files.where(F.col("modified") >= now - F.make_interval(days=F.lit(days)))
+
+
+def state_files(spark: SparkSession, path: str) -> DataFrame:
+    """Format C sessions by their ``state.json``: folder, id, cwd, workspace (the folder above), forked_from and created_at."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "state.json").text(path, wholetext=True)
+    get = lambda k: F.nullif(F.get_json_object("value", f"$.{k}"), F.lit(""))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*\z", 1)
+    return raw.select(folder.alias("folder"), F.coalesce(get("id"), F.element_at(F.split(folder, "/"), -1)).alias("session_id"), get("cwd").alias("cwd"), F.element_at(F.split(folder, "/"), -2).alias("workspace"), get("forkedFrom").alias("forked_from"), get("createdAt").alias("created_at"))
+
+
+def work_dirs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path) of the work folders that the ``kimi.json`` of one or several homes name."""
+    raw = spark.read.text(paths, wholetext=True)
+    found = F.from_json(F.get_json_object("value", "$.work_dirs"), "array<struct<path:string>>")
+    return raw.select(F.explode(found).alias("d")).select("d.path").where("path IS NOT NULL").distinct()
 
 
 def newest(files: DataFrame, most: int = fixed.LISTED_B) -> DataFrame:
@@ -110,7 +139,7 @@ def linked_calls(agents: DataFrame, results: DataFrame) -> DataFrame:
 
 def workspaces(state: DataFrame, dirs: DataFrame) -> DataFrame:
     """Format C sessions with their folder: of their state, else of the workspace whose path has their folder's md5, else of the prompt."""
-    known = F.broadcast(dirs.select(F.md5(F.col("path").cast("binary")).alias("workspace"), F.col("path").alias("by_md5")).distinct())
+    known = dirs.select(F.md5(F.col("path").cast("binary")).alias("workspace"), F.col("path").alias("by_md5")).distinct()
     said = F.nullif(F.regexp_extract("system_prompt", r"(?:working directory|cwd)[^\n]*?[`:]\s*`?(/[^\s`]+)", 1), F.lit(""))
     return state.join(known, "workspace", "left").withColumn("cwd", F.coalesce("cwd", "by_md5", said)).drop("by_md5")
 

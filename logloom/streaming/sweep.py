@@ -1,7 +1,7 @@
 """Incremental analysis with Structured Streaming.
 
 A file source finds new lines; as redaction needs a session as a whole, each micro-batch only says
-which sessions changed, and ``foreachBatch`` re-reads and re-emits those. Signals are keyed by call,
+which sessions changed, and ``foreachBatch`` reads the files of those sessions alone and re-emits them. Signals are keyed by call,
 so a late sub-agent adds to a session without renumbering what was shown. One query per checkpoint
 is the lock that keeps two sweeps apart.
 """
@@ -26,15 +26,20 @@ def changed_paths(spark: SparkSession, path: str, glob: str = "*.jsonl") -> Data
     return raw.select(F.coalesce(logs.owning_session(own), own).alias("session_path"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
 def sweep(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataFrame, DataFrame, int], None]) -> StreamingQuery:
     """Analyse what changed below ``path`` and hand (gated, signals, batch) to ``emit``; ends when all is done."""
 
     def one(batch: DataFrame, number: int) -> None:
         # The names of changed sessions: at most as many as files in a micro-batch.
         names = [r.session_path for r in batch.select("session_path").distinct().collect()]
-        if names:
-            folders = [n.removesuffix(".jsonl") for n in names]
-            lines = analyze.streams(spark, path).where(F.col("owner").isin(names) | F.regexp_replace("owner", r"\.jsonl\z", "").isin(folders))
+        read = [p for n in names for p in (n, n.removesuffix(".jsonl")) if _exists(spark, p)]
+        if read:
+            lines = analyze.streams(spark, read)
             gated, signals = analyze.detect(analyze.parsed(analyze.redacted(analyze.merged(lines)).select("session_id", "line_no", "line")))
             emit(gated, signals, number)
 
