@@ -52,7 +52,7 @@ def formats(lines: DataFrame) -> DataFrame:
 
 def owning_session(path: Column) -> Column:
     """The session file that a sub-agent's file belongs to, or null for a session's own file."""
-    hit = F.regexp_extract(path, r"^(.*)/(?:subagents/)?agent-[^/]+\.jsonl\z", 1)
+    hit = F.regexp_extract(path, r"^(.*?)/(?:subagents/)?agent-[^/]+\.jsonl\z", 1)
     return F.when(hit != "", F.concat(hit, F.lit(".jsonl")))
 
 
