@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contents, detectors, graph, parse
 from . import analyze
+from .normalise import canonical
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +218,64 @@ def _d2d_sql() -> str:
     return _ABANDONED.replace(shown, "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS record_index, conv_id || '-' || turn AS uuid, 0.4::DOUBLE AS weight, 'edit sits on a conversation branch the session did not continue' AS detail FROM off WHERE turn % 3 = 0")
 
 
+# --- other formats: each user's events as a log of another client --------------------------------
+def _shown_records(made: DataFrame) -> DataFrame:
+    get = lambda path: F.get_json_object("line", path)
+    block = "$.message.content[0]"
+    said = F.coalesce(*(get(f"{block}.{k}") for k in ("text", "thinking", "input.command", "input.file_path", "tool_use_id")))
+    return made.where("line IS NOT NULL").select("path", "seq", get("$.type").alias("type"), get(f"{block}.type").alias("block"), get(f"{block}.name").alias("tool"), said.alias("said"))
+
+
+def _as_lines(e: DataFrame, head: str, body, kind: str) -> DataFrame:
+    """(path, format, session_id, line_no, line): a header, then a line for each event."""
+    first = e.groupBy("session_id").agg(F.lit(0).alias("line_no")).select("session_id", "line_no", F.lit(head).alias("line"))
+    rest = e.select("session_id", (F.col("i") + 1).cast("int").alias("line_no"), body.alias("line"))
+    return first.unionByName(rest).select(F.concat(F.lit("/"), "session_id").alias("path"), F.lit(kind).alias("format"), "session_id", "line_no", "line")
+
+
+def normalised_b(spark, sf):
+    """Rollouts: messages, calls with their shell unwrapped, patches as edits, reasoning, results."""
+    k, kind = F.col("event_id").cast("string"), F.col("event_type")
+    wrap = lambda payload: F.concat(F.lit('{"timestamp": "2026-08-16T09:00:00Z", "type": "response_item", "payload": '), payload, F.lit("}"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    body = (
+        F.when(kind == "view", wrap(text('{"type": "message", "role": "user", "content": [{"text": "hello ', k, '"}]}')))
+        .when(kind == "click", wrap(text('{"type": "function_call", "name": "shell", "call_id": "c', k, '", "arguments": "{\\"command\\": [\\"bash\\", \\"-lc\\", \\"ls ', k, '\\"]}"}')))
+        .when(kind == "purchase", wrap(text('{"type": "custom_tool_call", "name": "apply_patch", "call_id": "p', k, '", "input": "*** Begin Patch\\n*** Add File: n', k, '.py\\n+a\\n*** End Patch"}')))
+        .when(kind == "error", wrap(text('{"type": "function_call_output", "call_id": "c', k, '", "output": "Process exited with code 1"}')))
+        .otherwise(wrap(text('{"type": "reasoning", "summary": [{"text": "why ', k, '"}]}')))
+    )
+    made = canonical(_as_lines(_events(spark, sf), '{"type": "session_meta", "payload": {"id": "x", "cwd": "/w"}}', body, "b"))
+    return _shown_records(made)
+
+
+_OTHER = "WITH e AS (SELECT '/' || user_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_id AS k, event_type AS kind FROM events)"
+_B = _OTHER + """SELECT path, CAST(i AS INTEGER) AS seq, CASE WHEN kind IN ('view', 'error') THEN 'user' ELSE 'assistant' END AS type, CASE kind WHEN 'view' THEN 'text' WHEN 'error' THEN 'tool_result' WHEN 'signup' THEN 'thinking' ELSE 'tool_use' END AS block,
+  CASE kind WHEN 'click' THEN 'Bash' WHEN 'purchase' THEN 'Write' END AS tool, CASE kind WHEN 'view' THEN 'hello ' || k WHEN 'click' THEN 'ls ' || k WHEN 'purchase' THEN 'n' || k || '.py' WHEN 'error' THEN 'c' || k ELSE 'why ' || k END AS said FROM e"""
+
+
+def normalised_c(spark, sf):
+    """Event logs: turns of the person, calls under their common names; what the client put in is left out."""
+    k, kind = F.col("event_id").cast("string"), F.col("event_type")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    body = (
+        F.when(kind == "view", text('{"type": "context.append_message", "time": 1.7e9, "message": {"role": "user", "content": "hi ', k, '"}}'))
+        .when(kind == "click", text('{"type": "context.append_loop_event", "time": 1.7e12, "event": {"type": "tool.call", "toolCallId": "', k, '", "name": "StrReplaceFile", "args": {"path": "a', k, '.py", "edit": {"old": "x", "new": "y"}}}}'))
+        .when(kind == "purchase", text('{"type": "context.append_loop_event", "time": 1.7e12, "event": {"type": "tool.call", "toolCallId": "', k, '", "name": "WriteFile", "args": {"path": "b', k, '.py", "content": "z"}}}'))
+        .when(kind == "error", text('{"type": "context.append_message", "time": 1.7e9, "message": {"role": "user", "content": "no", "origin": {"kind": "injection"}}}'))
+        .otherwise(F.lit('{"type": "llm.request", "model": "m"}'))
+    )
+    made = canonical(_as_lines(_events(spark, sf), '{"type": "metadata", "protocol_version": 1}', body, "c_events"))
+    return _shown_records(made)
+
+
+_C = _OTHER + """SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INTEGER) AS seq, CASE kind WHEN 'view' THEN 'user' ELSE 'assistant' END AS type, CASE kind WHEN 'view' THEN 'text' ELSE 'tool_use' END AS block,
+  CASE kind WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Write' END AS tool, CASE kind WHEN 'view' THEN 'hi ' || k WHEN 'click' THEN 'a' || k || '.py' ELSE 'b' || k || '.py' END AS said FROM e WHERE kind IN ('view', 'click', 'purchase')"""
+
+
 def queries() -> dict:
     return {
         "log_lines": (log_lines, _LINES), "log_records": (log_records, _RECORDS), "log_blocks": (log_blocks, _BLOCKS), "log_calls": (log_calls, _CALLS), "log_edits": (log_edits, _EDITS), "log_reads": (log_reads, _READS), "log_meta": (log_meta, _LOG_META),
         "log_unknown_types": (log_unknown_types, _UNKNOWN), "log_main_path": (log_main_path, _MAIN), "d2a_returned_states": (log_returned_states, _RETURNED), "log_unverified_fixes": (log_signal_counts, _FIXES), "d3_dependencies": (d3_dependencies, _D3), "d2d_branch_edits": (d2d_branch_edits, _d2d_sql()),
+        "normalised_b": (normalised_b, _B), "normalised_c": (normalised_c, _C),
     }
