@@ -309,9 +309,14 @@ def _can_link(percent: int, n, m, place, other):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - place, m - other) >= need - _enough(percent, n, m) + 1)
 
 
+def _rank(turn: int):
+    """Who leads a list: of the sets that may, the one with the fewest shingles of its own before the shared one, for of near copies it is the nearest to what they are copies of."""
+    return F.shiftleft(F.col("place").cast("long"), 32) + F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(1 << 32))
+
+
 def _open(now: DataFrame, turn: int) -> DataFrame:
-    """Lists in which sets of several labels meet: key, pairs (at most), the most frequent label (major), and the hash of the leader."""
-    per_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.count_if("leads").alias("led"), F.min(F.when(F.col("leads"), F.xxhash64("set_id", F.lit(turn)))).alias("first"))
+    """Lists in which sets of several labels meet: key, pairs (at most), the most frequent label (major), and the rank of the leader."""
+    per_label = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.count_if("leads").alias("led"), F.min(F.when(F.col("leads"), _rank(turn))).alias("first"))
     own = F.col("n").cast("double") * F.col("led")
     per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum("led").alias("led"), F.sum(own).alias("own"), F.max_by("label", "n").alias("major"), F.min("first").alias("first"))
     return per_key.withColumn("pairs", F.col("n").cast("double") * F.col("led") - F.col("own")).where("pairs > 0").select("key", "pairs", "major", "first")
@@ -324,7 +329,7 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
 
 def _led(now: DataFrame, opened: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each set and a list's leader with another label."""
-    first = now.join(opened.select("key", "first"), "key").where(F.col("leads") & (F.xxhash64("set_id", F.lit(turn)) == F.col("first")))
+    first = now.join(opened.select("key", "first"), "key").where(F.col("leads") & (_rank(turn) == F.col("first")))
     leaders = first.select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("label").alias("leading"), F.col("place").alias("other"))
     met = now.join(leaders, "key").where((F.col("label") != F.col("leading")) & _can_link(percent, F.col("n"), F.col("m"), F.col("place"), F.col("other")))
     return _pairs(met.select("a", F.col("set_id").alias("b"), "n", "m", "weight"), percent)
