@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bitplanes, exact_dedup, jaccard_join, language, mixing, packing, ppm, secrets, sharding, winnowing
+from . import bitplanes, decontaminate, exact_dedup, jaccard_join, language, mixing, packing, periodic, ppm, secrets, sharding, vector_codes, winnowing
 
 
 def queries() -> dict:
@@ -17,9 +17,12 @@ def queries() -> dict:
         "op8_language_id": language.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_decontaminate": decontaminate.op11_decontaminate,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op11_decontaminate": decontaminate.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
