@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import shared
 from .periodic import slices
@@ -119,7 +120,7 @@ class Automaton:
         keys = np.array([v * m + c for v, follow in enumerate(self.next) for c in follow], np.int64)
         to = np.array([q for follow in self.next for q in follow.values()], np.int32)
         arrays = [np.array(x, np.int32) for x in (self.link, self.length, at_window, to_short)]
-        ones = np.array(sorted({ids[0] for ids, _ in self.ends if len(ids) == 1}), np.int64)
+        ones = np.array(sorted({c for ids, _ in self.ends if min(len(ids), w) == 1 for c in ids}), np.int64)
         return pickle.dumps((w, words, pairs, ones, keys, to, arrays, items, short), protocol=5)
 
 
@@ -141,7 +142,7 @@ class Scanner:
         return np.concatenate(parts)
 
     def _stretches(self, ids: np.ndarray):
-        """(first, one past the last) word of stretches whose neighbours are all neighbours in items, or that are an item of one word."""
+        """(first, one past the last) word of stretches whose neighbours are all neighbours in items, or that are a window of one word."""
         if not len(self.numbers) or not len(ids):
             return []
         known = ids >= 0
@@ -252,7 +253,15 @@ def _without(octets: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, octets[at:]])
 
 
-_FOUND = "n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>, cleaned string"
+_FOUND = StructType(
+    [
+        StructField("n_words", LongType()),
+        StructField("n_hit", LongType()),
+        StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))),
+        StructField("items", ArrayType(StringType())),
+        StructField("cleaned", StringType()),
+    ]
+)
 
 
 def _answer(octets: bytes, n: int, spans: list[tuple[int, int]], items, longest: int | None) -> tuple:
@@ -291,9 +300,9 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
     numbers = [r.block for r in blocks.select("block").orderBy("block").collect()]
     names = [f"_{i}" for i in range(len(carry))]
     rows = docs.select("text", *(shared.column(c).alias(n) for c, n in zip(carry, names, strict=True)))
-    fields = ", ".join(f"{n} {t}" for n, t in dict(rows.dtypes).items() if n != "text")
+    fields = rows.drop("text").schema.fields
 
-    def over(rows: DataFrame, block: int, only_hit: bool, fields: str, names: list[str]) -> DataFrame:
+    def over(rows: DataFrame, block: int, only_hit: bool, fields: list[StructField], names: list[str]) -> DataFrame:
         held, name = spark.sparkContext.broadcast(bytes(blocks.where(F.col("block") == block).first().automaton)), uuid.uuid4().hex
 
         def found(batches):
@@ -306,7 +315,7 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
 
             return _emit(batches, answer, names)
 
-        return rows.mapInArrow(found, f"{fields}, {_FOUND}")
+        return rows.mapInArrow(found, StructType([*fields, *_FOUND.fields]))
 
     if len(numbers) == 1:
         out = over(rows, numbers[0], False, fields, names)
@@ -324,7 +333,7 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
         rows = shared.materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         hits = None
         for block in numbers:
-            one = over(rows.select("text", "_row"), block, True, "_row long", ["_row"]).select("_row", "spans", "items")
+            one = over(rows.select("text", "_row"), block, True, [StructField("_row", LongType())], ["_row"]).select("_row", "spans", "items")
             one = shared.materialize(one, f"hits-{block}")
             hits = one if hits is None else hits.union(one)
         if hits is None:
@@ -332,7 +341,7 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
         # Items are told apart across blocks, and a null one, which counts once, among them.
         hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         all_rows = rows.join(hits, "_row", "left").select("text", *names, "spans", "items")
-        out = all_rows.mapInArrow(merge, f"{fields}, {_FOUND}")
+        out = all_rows.mapInArrow(merge, StructType([*fields, *_FOUND.fields]))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "n_words", "n_hit", "spans", "items", "cleaned")
 
 

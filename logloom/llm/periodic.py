@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import shared
 
@@ -233,11 +234,11 @@ def find(docs: DataFrame, text: Column | None = None, carry: list[str] | None =
                     yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns[:2], columns[2].cast(pa.string())], names=[*names, "runs", "steepest", "collapsed"])
                     at, held, size = k + 1, [], 0
 
-    types = dict(docs.dtypes)
-    fields = "start: long, length: long, period: long"
-    schema = ", ".join([*(f"{n} {types[c]}" for n, c in zip(names, carry, strict=True)), f"runs array<struct<{fields}>>, steepest struct<{fields}>, collapsed string"])
     text = F.col("text") if text is None else text
-    out = docs.select(text.alias("_text"), *(shared.column(c) for c in carry)).mapInArrow(answers, schema)
+    rows = docs.select(text.alias("_text"), *(shared.column(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    of_run = StructType([StructField(k, LongType()) for k in ("start", "length", "period")])
+    schema = StructType([*rows.schema.fields[1:], StructField("runs", ArrayType(of_run)), StructField("steepest", of_run), StructField("collapsed", StringType())])
+    out = rows.mapInArrow(answers, schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "runs", "steepest", "collapsed")
 
 

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import shared
 
@@ -84,8 +85,8 @@ def first_books(rows: DataFrame, parts: int, entries: int, scale: int) -> np.nda
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([piece.column(1).take(pa.array(rows)), values], names=["vec_id", "x"])
 
-    ids = dict(rows.dtypes)["vec_id"]
-    found = rows.select("embedding", "vec_id").mapInArrow(kept, f"vec_id {ids}, x array<long>")
+    schema = StructType([rows.select("vec_id").schema.fields[0], StructField("x", ArrayType(LongType()))])
+    found = rows.select("embedding", "vec_id").mapInArrow(kept, schema)
     first = [r.x for r in found.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).collect()]
     if len({len(x) for x in first}) > 1:
         raise ValueError(f"vectors need one length that {parts} divides")
@@ -159,11 +160,10 @@ def encode(rows: DataFrame, books: np.ndarray, carry: list[str], scale: int = SC
     if entries > 256:
         raise ValueError("two hex digits name at most 256 entries")
     names = [f"_{i}" for i in range(len(carry))]
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{n} {types[c]}" for n, c in zip(names, carry, strict=True))
     if not entries:
         rows = rows.limit(0)
-    out = rows.select("embedding", *(shared.column(c) for c in carry)).mapInArrow(coded, f"{schema}, code string, error long")
+    rows = rows.select("embedding", *(shared.column(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    out = rows.mapInArrow(coded, StructType([*rows.schema.fields[1:], StructField("code", StringType()), StructField("error", LongType())]))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "code", "error")
 
 
