@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, redaction
+from ..functions import fixed
 from ..functions.paths import in_tree_of
-from ..operators import contents, detectors, graph, order, parse
+from ..operators import contents, detectors, graph, order, parse, redact
 from ..sources import logs
 from ..tables import keep
 from .normalise import canonical
 
-REDACTED = "session_id string, line_no int, line string, counts map<string,int>"
-
 
 @dataclass
 class Session:
@@ -61,34 +58,6 @@ def merged(made: DataFrame) -> DataFrame:
     return joined.select("p.session_id", F.col("p.record_index").alias("line_no"), "t.line")
 
 
-def redacted(lines: DataFrame, extra_patterns: list[str] | None = None) -> DataFrame:
-    """(session_id, line_no, line, counts): each session's lines redacted, in two passes inside its group; the first row has the counts.
-
-    Learned values need the whole session before any line can leave, so a session is one group.
-    """
-    rules, invalid = redaction.compile_extra(extra_patterns or [])
-    if invalid:
-        raise ValueError(f"patterns that don't compile: {invalid}")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("line_no")
-        session = table.column("session_id")[0].as_py()
-        out, counts = redaction.redact_session(table.column("line").to_pylist(), rules)
-        counted = [list(counts.items())] + [None] * (len(out) - 1) if out else []
-        return pa.table({
-            "session_id": pa.array([session] * len(out), pa.string()), "line_no": pa.array(range(len(out)), pa.int32()), "line": pa.array(out, pa.string()),
-            "counts": pa.array(counted, pa.map_(pa.string(), pa.int32())),
-        })
-
-    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "line").groupBy("session_id").applyInArrow(run, REDACTED)
-
-
-def redaction_summary(lines: DataFrame) -> DataFrame:
-    """(type, n) over all sessions."""
-    return lines.where("counts IS NOT NULL").select(F.explode("counts").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("n"))
-
-
 def parsed(lines: DataFrame) -> Session:
     """The derived tables of lines (session_id, line_no, line); eight detectors read them, so they are written once."""
     numbered = keep(parse.lines(lines.repartition("session_id")), "lines")
@@ -145,5 +114,5 @@ def detect(s: Session) -> tuple[DataFrame, DataFrame]:
 
 def analyze(spark: SparkSession, path: str | list[str], extra_patterns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Gate and signals of all sessions below a path."""
-    lines = redacted(merged(streams(spark, path)), extra_patterns)
+    lines = redact.redacted(merged(streams(spark, path)), extra_patterns)
     return detect(parsed(lines.select("session_id", "line_no", "line")))

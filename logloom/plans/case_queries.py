@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dependencies, fixed, patch, paths, patterns, redaction, shell
+from ..functions import dependencies, dotenv, fixed, patch, paths, patterns, redaction, shell
 from ..functions import text as t
 
 
@@ -133,11 +133,11 @@ CASES: dict = {
     "sensitive_keys": (("key", "value"), lambda k, v: _udf(lambda a, b: str(redaction.sensitive(a, b)).lower(), k, v), [
         ("password", "hunter22", "true"), ("apiKey", "hunter22", "true"), ("tokenHash", "hunter22", "false"), ("max_tokens", "hunter22", "false"), ("SECRET_KEY_BASE", "hunter22", "true"), ("PASSWORD_FILE", "/run/secret", "false"), ("password", "short", "false"), ("STRIPE_KEY", "abc123def456", "true"), ("SORT_KEY", "created_at", "false"), ("bypass", "hunter22", "false"), ("dbPass", "hunter22", "true"), ("accessToken2", "hunter22", "true"), ("token0", "hunter22", "false"), ("token_2022", "hunter22", "false"),
     ]),
-    "dotenv_paths": (("path",), lambda p: _udf(lambda x: str(redaction.is_dotenv(x)).lower(), p), [
-        (".env", "true"), ("app/.env.local", "true"), (".env.example", "false"), ("x.env", "false"), (".env*", "true"), (".environment", "false"), ("a/.env.sample", "false"),
+    "dotenv_paths": (("path",), lambda p: _udf(lambda x: str(dotenv.is_dotenv(x)).lower(), p), [
+        (".env", "true"), ("app/.env.local", "true"), (".env.example", "true"), ("x.env", "true"), (".env*", "true"), (".environment", "true"), ("process.env", "false"), ("a/env", "false"), ("src/foo.env.ts", "false"),
     ]),
-    "learned_values": (("text",), lambda x: _udf(lambda v: ",".join(redaction.learned_values(v)), x), [
-        ("DB=longsecretvalue", "longsecretvalue"), ("export A='quoted value 1'\nB=\"two words\"", "quoted value 1,two words"), ("PORT=8080\nMODE=production", ""), ("URL=https://a.b/c", ""), ("A=short", ""), ("K = spaced-value # why", "spaced-value"),
+    "learned_values": (("text",), lambda x: _udf(lambda v: ",".join(dotenv.learned(v)), x), [
+        ("DB=longsecretval9", "longsecretval9"), ("export A_TOKEN='quoted value 1'\nB=\"two words\"", "quoted value 1"), ("PORT=8080\nMODE=production", ""), ("URL=https://a.b/c", ""), ("A=short", ""), ("DB_PASSWORD=hunter22x; ls", "hunter22x"),
     ]),
     "parsed_patches": (("text",), lambda x: _udf(lambda v: json.dumps(patch.parse_patch(v), sort_keys=True), x), [
         ("*** Begin Patch\n*** Add File: n.py\n+a\n*** End Patch", '[{"input": {"content": "a\\n", "file_path": "n.py"}, "name": "Write"}]'),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import incremental
+from ..operators import incremental, redact
 from ..plans import analyze
 from ..sources import logs
 
@@ -40,7 +40,7 @@ def sweep(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataF
         read = [p for n in names for p in (n, n.removesuffix(".jsonl")) if _exists(spark, p)]
         if read:
             lines = analyze.streams(spark, read)
-            gated, signals = analyze.detect(analyze.parsed(analyze.redacted(analyze.merged(lines)).select("session_id", "line_no", "line")))
+            gated, signals = analyze.detect(analyze.parsed(redact.redacted(analyze.merged(lines)).select("session_id", "line_no", "line")))
             emit(gated, signals, number)
 
     stream = changed_paths(spark, path)

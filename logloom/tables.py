@@ -27,11 +27,12 @@ def folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written and read again; ``by`` names a column of few values that gets a folder each, so that one of them can be read alone."""
     spark = df.sparkSession
     path = f"{folder(spark)}/logloom/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

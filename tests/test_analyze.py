@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from logloom.operators import parse
+from logloom.operators import parse, redact
 from logloom.plans import analyze
 
 from .build import Builder, table
@@ -213,7 +213,7 @@ def test_files_end_to_end(spark, tmp_path):
     ])]
     (tmp_path / "p" / "rollout-two.jsonl").write_text("\n".join(map(json.dumps, b)) + "\n")
     made = analyze.streams(spark, str(tmp_path))
-    lines = analyze.redacted(analyze.merged(made)).cache()
+    lines = redact.redacted(analyze.merged(made)).cache()
     text = "\n".join(r.line for r in lines.collect())
     assert "a.b@c.org" not in text and "/home/ann" not in text
     order = [json.loads(r.line)["uuid"] for r in lines.where("session_id = 'one'").orderBy("line_no").collect()]
