@@ -29,11 +29,8 @@ def _true(v: Column | str, path: str) -> Column:
     return F.coalesce((F.schema_of_variant(at) == "BOOLEAN") & _get(v, path, "boolean"), F.lit(False))
 
 
-def lines(raw: DataFrame) -> DataFrame:
-    """(session_id, line_no, line) with status (blank, malformed, not_an_object, record), the record as VARIANT and its index.
-
-    A record's index counts the records before it.
-    """
+def read(raw: DataFrame) -> DataFrame:
+    """Lines (line) with status (blank, malformed, not_an_object, record) and the record as VARIANT; each line by itself."""
     # The trimmed set is fixed: what JSON and line readers call white space.
     trimmed = F.regexp_replace("line", r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+\z", "")
     parsed = F.when(F.length(trimmed) <= fixed.LINE_CHARS, F.try_parse_json(trimmed))
@@ -42,7 +39,12 @@ def lines(raw: DataFrame) -> DataFrame:
         F.when(trimmed == "", "blank").when(F.col("raw").isNull(), "malformed")
         .when(~F.schema_of_variant("raw").startswith("OBJECT"), "not_an_object").otherwise("record")
     )
-    out = out.withColumn("status", status).withColumn("oversize", F.length("line") > fixed.LINE_CHARS)
+    return out.withColumn("status", status).withColumn("oversize", F.length("line") > fixed.LINE_CHARS)
+
+
+def lines(raw: DataFrame) -> DataFrame:
+    """(session_id, line_no, line) as ``read`` tells them, and each record's index, which counts the records before it."""
+    out = read(raw)
     before = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     index = F.when(F.col("status") == "record", F.count_if(F.col("status") == "record").over(before) - 1)
     return out.withColumn("record_index", index.cast("int"))
@@ -77,13 +79,32 @@ def _joined_parts(content: Column) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(kind.startswith("ARRAY"), joined).otherwise("")
 
 
-def blocks(recs: DataFrame) -> DataFrame:
-    """Content blocks; a string is one text block, items that are no objects are left out, requests have none."""
-    r = recs.where(~F.col("type").isin(*fixed.REQUEST_RECORDS))
+def _items() -> Column:
+    """The items of a record's content; a string is one text item."""
     content = _get("raw", "$.message.content", "variant")
     kind = F.schema_of_variant(content)
     whole = F.to_json(F.struct(F.lit("text").alias("type"), _get("raw", "$.message.content").alias("text")))
-    items = F.when(kind == "STRING", F.array(F.parse_json(whole))).when(kind.startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+    return F.when(kind == "STRING", F.array(F.parse_json(whole))).when(kind.startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+
+
+def time_of() -> Column:
+    return as_string(_text("raw", "$.timestamp"))
+
+
+def call_events() -> Column:
+    """Of a line as ``read`` tells it: (block, uses, id) of its calls with id and name and of its results with an id, in order."""
+    of = lambda x: as_string(_text(x, "$.type"))
+    numbered = F.transform(_items(), lambda x, i: F.struct(i.alias("block"), (of(x) == "tool_use").alias("uses"), of(x).alias("kind"), as_string(_text(x, "$.id")).alias("id"), as_string(_text(x, "$.name")).alias("name"), as_string(_text(x, "$.tool_use_id")).alias("target")))
+    told = F.filter(numbered, lambda e: ((e["kind"] == "tool_use") & e["id"].isNotNull() & e["name"].isNotNull()) | ((e["kind"] == "tool_result") & e["target"].isNotNull()))
+    events = F.transform(told, lambda e: F.struct(e["block"].alias("block"), e["uses"].alias("uses"), F.coalesce(F.when(e["uses"], e["id"]), e["target"]).alias("id")))
+    counts = (F.col("status") == "record") & ~F.coalesce(_text("raw", "$.type"), F.lit("")).isin(*fixed.REQUEST_RECORDS)
+    return F.when(counts, events)
+
+
+def blocks(recs: DataFrame) -> DataFrame:
+    """Content blocks; a string is one text block, items that are no objects are left out, requests have none."""
+    r = recs.where(~F.col("type").isin(*fixed.REQUEST_RECORDS))
+    items = _items()
     out = r.select("*", F.posexplode(items).alias("block_index", "block")).where(F.schema_of_variant("block").startswith("OBJECT"))
     out = out.withColumn("block_type", F.coalesce(as_string(_text("block", "$.type")), F.lit("unknown")))
     text = (
@@ -126,6 +147,11 @@ def last_result_per_call(uses: DataFrame, found: DataFrame) -> DataFrame:
     u = uses.select("session_id", "tool_use_id", "record_index", "block_index", "call_seq")
     hits = found.join(u, ["session_id", "tool_use_id"]).where(place(F.col("record_index"), F.col("block_index")) < place(F.col("result_index"), F.col("result_block")))
     latest = hits.groupBy("session_id", "tool_use_id", "result_index", "result_block").agg(F.max("call_seq").alias("call_seq"), F.first("result").alias("result"), F.first("edited_files").alias("edited_files"))
+    return with_last(uses, latest)
+
+
+def with_last(uses: DataFrame, latest: DataFrame) -> DataFrame:
+    """Calls with the last of the results (session_id, call_seq, result_index, result_block, result, edited_files) that are theirs."""
     own = latest.groupBy("session_id", "call_seq").agg(
         F.max_by("result", F.struct("result_index", "result_block")).alias("result"),
         F.max(F.col("edited_files").isNotNull()).alias("counted"),
@@ -135,19 +161,25 @@ def last_result_per_call(uses: DataFrame, found: DataFrame) -> DataFrame:
 
 def calls(blks: DataFrame) -> DataFrame:
     """Tool calls with id and name, numbered in order, with their final result."""
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("record_index", "block_index")) - 1
+    return last_result_per_call(with_arguments(uses_in(blks).withColumn("call_seq", seq)), results(blks))
+
+
+def uses_in(blks: DataFrame) -> DataFrame:
     b = blks.where("block_type = 'tool_use'")
     given = _get("block", "$.input", "variant")
     given = F.when(F.schema_of_variant(given).startswith("OBJECT"), given).otherwise(F.parse_json(F.lit("{}")))
-    uses = b.select(
+    return b.select(
         "session_id", "record_index", "block_index", as_string(_text("block", "$.id")).alias("tool_use_id"), as_string(_text("block", "$.name")).alias("name"),
         given.alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
     ).where("tool_use_id IS NOT NULL AND name IS NOT NULL")
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("record_index", "block_index")) - 1
-    uses = uses.withColumn("call_seq", seq)
+
+
+def with_arguments(uses: DataFrame) -> DataFrame:
+    """Calls with their command, unless it is too long to be read, and their file."""
     command = F.when(F.col("name") == "Bash", _text("input", "$.command"))
     uses = uses.withColumn("command", F.when(F.length(command) <= fixed.COMMAND_CHARS, command)).withColumn("unread", F.length(command) > fixed.COMMAND_CHARS)
-    uses = uses.withColumn("file_path", as_string(_text("input", "$.file_path")))
-    return last_result_per_call(uses, results(blks))
+    return uses.withColumn("file_path", as_string(_text("input", "$.file_path")))
 
 
 def edits(uses: DataFrame) -> DataFrame:
