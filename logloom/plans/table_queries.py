@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commits, detectors, incremental, order, report
 from ..sources import logs
 from ..streaming import sweep
+from ..tables import folder
+from ..versions import Versions
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -316,8 +320,27 @@ def compared_snapshots(spark, sf):
 _COMPARED = """SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'missing' WHEN c_custkey % 2 = 1 THEN 'new' WHEN c_custkey % 5 = c_custkey % 10 THEN 'ok' ELSE 'changed' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0"""
 
 
+def committed_states(spark, sf):
+    """Upload states after commits of two writers, each on top of what the other made of them."""
+    e = _table(spark, sf, "events")
+    e = e.select((F.col("user_id") % 97).cast("string").alias("path"), F.unix_millis("ts").alias("touched_ms"), "event_id")
+    table = Versions(spark, f"{folder(spark)}/logloom/states-{uuid.uuid4().hex}")
+    for k in range(3):
+        part = e.where(F.col("event_id") % 3 == k).groupBy("path").agg(F.max("touched_ms").alias("touched_ms"), F.count("*").alias("calls"))
+        table.commit(lambda held, part=part: part if held is None else incremental.upsert(held, part, most=60))
+    return table.table().select("path", "touched_ms", "calls")
+
+
+_COMMITTED = """WITH e AS (SELECT CAST(user_id % 97 AS VARCHAR) AS path, epoch_ms(ts) AS touched_ms, event_id % 3 AS k FROM events),
+p AS (SELECT k, path, max(touched_ms) AS touched_ms, count(*) AS calls FROM e GROUP BY k, path),
+s1 AS (SELECT path, touched_ms, calls FROM (SELECT path, touched_ms, calls FROM p WHERE k = 1 UNION ALL SELECT path, touched_ms, calls FROM p WHERE k = 0 AND path NOT IN (SELECT path FROM p WHERE k = 1)) x ORDER BY touched_ms DESC, path LIMIT 60),
+s2 AS (SELECT path, touched_ms, calls FROM p WHERE k = 2 UNION ALL SELECT * FROM s1 WHERE path NOT IN (SELECT path FROM p WHERE k = 2))
+SELECT * FROM s2 ORDER BY touched_ms DESC, path LIMIT 60"""
+
+
 def queries() -> dict:
     return {
+        "committed_states": (committed_states, _COMMITTED),
         "expanded_files": (expanded_files, _EXPANDED), "owning_sessions": (owning_sessions, _OWNERS), "rollout_ids": (rollout_ids, _ROLLOUTS), "file_formats": (file_formats, _FORMATS), "first_folders": (first_folders, _FOLDERS),
         "sessions_of_folder": (sessions_of_folder, _OF_FOLDER), "sessions_of_days": (sessions_of_days, _OF_DAYS), "survey_of_projects": (survey_of_projects, _SURVEY), "linked_calls": (linked_calls, _LINKED), "last_runs": (last_runs, _RUNS),
         "after_copy": (after_copy, _AFTER), "workspaces": (workspaces, _WORKSPACES), "first_spellings": (first_spellings, _SPELLINGS), "common_lines": (common_lines, _COMMON), "moved_blobs": (moved_blobs, _MOVED), "chosen_sessions": (chosen_sessions, _CHOSEN),

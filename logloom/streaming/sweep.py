@@ -2,8 +2,8 @@
 
 A file source finds new lines; as redaction needs a session as a whole, each micro-batch only says
 which sessions changed, and ``foreachBatch`` reads the files of those sessions alone and re-emits them. Signals are keyed by call,
-so a late sub-agent adds to a session without renumbering what was shown. One query per checkpoint
-is the lock that keeps two sweeps apart.
+so a late sub-agent adds to a session without renumbering what was shown. ``sweep_alone`` keeps two sweeps
+apart by a lock beside the checkpoint, which a sweep that died loses after five minutes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import incremental, redact
 from ..plans import analyze
 from ..sources import logs
+from ..versions import Lock
 
 
 def changed_paths(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -31,10 +32,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
 
 
-def sweep(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataFrame, DataFrame, int], None]) -> StreamingQuery:
-    """Analyse what changed below ``path`` and hand (gated, signals, batch) to ``emit``; ends when all is done."""
+def sweep(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataFrame, DataFrame, int], None], lock: Lock | None = None) -> StreamingQuery:
+    """Analyse what changed below ``path`` and hand (gated, signals, batch) to ``emit``; ends when all is done. A ``lock`` is renewed with each batch, or ends the sweep."""
 
     def one(batch: DataFrame, number: int) -> None:
+        if lock is not None and not lock.take():
+            raise TimeoutError("another sweep took the lock")
         # The names of changed sessions: at most as many as files in a micro-batch.
         names = [r.session_path for r in batch.select("session_path").distinct().collect()]
         read = [p for n in names for p in (n, n.removesuffix(".jsonl")) if _exists(spark, p)]
@@ -47,6 +50,15 @@ def sweep(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataF
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sweep_alone(spark: SparkSession, path: str, checkpoint: str, emit: Callable[[DataFrame, DataFrame, int], None], expiry: float = 300) -> bool:
+    """A whole sweep unless another one is under way, also on another machine; whether it ran."""
+    lock = Lock(spark, f"{checkpoint.rstrip('/')}-lock", expiry)
+    with lock.held() as mine:
+        if mine:
+            sweep(spark, path, checkpoint, emit, lock).awaitTermination()
+    return mine
+
+
 def activity_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Work between pauses as session windows of a stream or table (session_id, ts)."""
     return events.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("calls")).select("session_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "calls")

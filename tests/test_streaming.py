@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from logloom.streaming import sweep
+from logloom.versions import Lock
 
 from .build import Builder
 
@@ -22,6 +23,16 @@ def test_sweep_sees_only_what_changed(spark, tmp_path):
     assert ("two", "unverified_fix") in got[1][1]
 
 
+def test_one_sweep_at_a_time(spark, tmp_path):
+    logs, check, got = tmp_path / "logs", f"file://{tmp_path}/check", []
+    logs.mkdir()
+    (logs / "one.jsonl").write_text("\n".join(Builder("one").padded(6).lines()) + "\n")
+    other = Lock(spark, f"{check}-lock")
+    assert other.take() and not sweep.sweep_alone(spark, str(logs), check, lambda *x: got.append(x)) and got == []
+    other.release()
+    assert sweep.sweep_alone(spark, str(logs), check, lambda *x: got.append(x)) and len(got) == 1 and other.take()
+
+
 def test_activity_windows(spark):
     events = spark.createDataFrame([("s", 0), ("s", 10), ("s", 50), ("t", 0)], "session_id string, m int").select("session_id", (F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_interval(mins="m")).alias("ts"))
     got = sweep.activity_windows(events).orderBy("session_id", "since").collect()
