@@ -331,15 +331,31 @@ def committed_states(spark, sf):
     return table.table().select("path", "touched_ms", "calls")
 
 
-_COMMITTED = """WITH e AS (SELECT CAST(user_id % 97 AS VARCHAR) AS path, epoch_ms(ts) AS touched_ms, event_id % 3 AS k FROM events),
+_COMMITTED = """WITH e AS (SELECT CAST(user_id % 97 AS VARCHAR) AS path, epoch_us(ts) // 1000 AS touched_ms, event_id % 3 AS k FROM events),
 p AS (SELECT k, path, max(touched_ms) AS touched_ms, count(*) AS calls FROM e GROUP BY k, path),
 s1 AS (SELECT path, touched_ms, calls FROM (SELECT path, touched_ms, calls FROM p WHERE k = 1 UNION ALL SELECT path, touched_ms, calls FROM p WHERE k = 0 AND path NOT IN (SELECT path FROM p WHERE k = 1)) x ORDER BY touched_ms DESC, path LIMIT 60),
 s2 AS (SELECT path, touched_ms, calls FROM p WHERE k = 2 UNION ALL SELECT * FROM s1 WHERE path NOT IN (SELECT path FROM p WHERE k = 2))
 SELECT * FROM s2 ORDER BY touched_ms DESC, path LIMIT 60"""
 
 
+def written_lines(spark, sf):
+    """Lines of files written from ``events``, a file a user: some with a carriage return, some blank, some with signs that end no line."""
+    e, k = _table(spark, sf, "events"), F.col("event_id")
+    said = F.when(k % 5 == 0, F.concat(F.lit("a\u2028b"), k)).when(k % 5 == 1, F.concat(F.lit("c\r\r"), F.lit(""))).when(k % 5 == 2, F.lit("")).when(k % 5 == 3, F.concat(k.cast("string"), F.lit("\r"))).otherwise(F.concat(F.lit("d\x0b\x85"), k))
+    place = f"{folder(spark)}/logloom/files-{uuid.uuid4().hex}"
+    # One task a user writes the user's one file, in order.
+    e.select("user_id", "ts", k, said.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value").write.partitionBy("user_id").text(place)
+    lines = logs.read_lines(spark, place, glob="part-*")
+    return lines.select(F.regexp_extract("path", r"user_id=(\d+)/", 1).cast("long").alias("user_id"), "line_no", "line")
+
+
+_WRITTEN = """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS line_no,
+  CASE event_id % 5 WHEN 0 THEN 'a' || chr(8232) || 'b' || event_id WHEN 1 THEN 'c' || chr(13) WHEN 2 THEN '' WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE 'd' || chr(11) || chr(133) || event_id END AS line FROM events"""
+
+
 def queries() -> dict:
     return {
+        "written_lines": (written_lines, _WRITTEN),
         "committed_states": (committed_states, _COMMITTED),
         "expanded_files": (expanded_files, _EXPANDED), "owning_sessions": (owning_sessions, _OWNERS), "rollout_ids": (rollout_ids, _ROLLOUTS), "file_formats": (file_formats, _FORMATS), "first_folders": (first_folders, _FOLDERS),
         "sessions_of_folder": (sessions_of_folder, _OF_FOLDER), "sessions_of_days": (sessions_of_days, _OF_DAYS), "survey_of_projects": (survey_of_projects, _SURVEY), "linked_calls": (linked_calls, _LINKED), "last_runs": (last_runs, _RUNS),

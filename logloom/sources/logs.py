@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import project_slug
+from ..tables import keep
+
+
+#: Splits of files up to which their list is sent to all tasks: 128 TB of logs at Spark's usual 128 MB a split.
+MOST_SPLITS = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """(path, line_no, line) of all files below a path. Only ``\\n`` ends a line; one ``\\r`` before it goes.
 
-    Files may be split between tasks: a line's number comes from the place of its split in the file
-    and its place in the split, so a file of any size is read in parallel and never held whole.
+    Files may be split between tasks. The text is read once and written as a table in the order of the splits; a line's number is its
+    place in its split and the lines of the splits before, of which there is a row a split: that list is counted and sent to the tasks, and
+    no text is exchanged. With more splits than ``MOST_SPLITS`` the list is joined.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r\\z", "").alias("line"))
-    # A row per split of a file: how many lines are in the splits before it. Texts stay where they are read.
+    # Places are numbers of one scan, so the scan is written: a second one could be cut otherwise.
+    raw = keep(raw, "lines-read")
     splits = raw.groupBy(F.col("path").alias("_path"), F.col("_start").alias("_from")).agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
     before = Window.partitionBy("_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_path", "_from", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    splits = keep(splits.select("_path", "_from", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")), "splits-read")
+    splits = F.broadcast(splits) if splits.count() <= MOST_SPLITS else splits
     joined = raw.join(splits, (F.col("path") == F.col("_path")) & (F.col("_start") == F.col("_from")))
     return joined.select("path", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int").alias("line_no"), "line")
 
