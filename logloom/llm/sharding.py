@@ -1,13 +1,16 @@
 """Sharding over fixed virtual slots, with DataFrame functions only.
 
-The hash of a record's text picks one of ``slots`` virtual slots, so equal texts share a shard. Only a
-text that is hot, with more than an eighth of a shard's even share of bytes or of rows, is split: into
-parts of about that size, each a slot of its own; other texts of its slot stay where they are. There
-are at most eight parts a shard and law, so slots stay few whatever the table.
+The hash of a record's text picks one of ``slots`` virtual slots, so equal texts share a shard. Only a text that no shard can
+hold is split: one of several rows with more than a shard's even share of all bytes or rows, and more than ``FLOOR_BYTES`` or ``FLOOR_ROWS``, so
+that a small table's copies stay together. Its parts are slots of their own, named by a hash of text and part; other texts of its slot
+stay where they are. There are at most eight parts a shard and law, so slots stay few whatever the table. Where a text has many rows but
+one shard, only the numbering of its rows is dealt out, which its shard doesn't show.
 
 Bytes are added up per slot, and the largest slot first goes to the shard with the fewest bytes so far.
 That map is a table with a row per slot, stored by version at a named place. ``rebalance`` edits a stored
-map after growth or for another number of shards: the next version moves only the slots that it has to.
+map after growth or for another number of shards: the next version moves only the slots that it has to. Slots larger than an even share
+have a shard to themselves, and the others share what shards are left. An edit that moves nothing makes no version; of two editors at
+once one makes the next version and the other edits that one (``logloom.versions``).
 Nothing but the map and the list of hot texts is ever broadcast.
 
 Cases: null text has no bytes (size 1) and the empty text's slot; null and repeated doc_ids make no
@@ -21,12 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.versions import Versions
+
 from . import shared
 
 SLOTS = 4096
-MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 #: By how much a shard may exceed the even share before an edit moves slots away from it.
 SLACK = 0.0005
+#: A text of fewer bytes and rows is never split, nor the numbering of its rows.
+FLOOR_BYTES, FLOOR_ROWS = 1 << 20, 1000
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -43,18 +49,21 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def split_hot(recs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Give the parts of hot texts virtual slots of their own, from ``slots`` on."""
-    whole = recs.agg((F.sum("size") / (8 * shards)).alias("most_bytes"), (F.count("*") / (8 * shards)).alias("most_rows"))
+    """``rank_part``, by which the rows of a slot are numbered, and for the parts of hot texts virtual slots of their own, from ``slots`` on."""
+    whole = recs.agg((F.sum("size") / shards).alias("most_bytes"), (F.count("*") / shards).alias("most_rows"))
     per_text = recs.groupBy("text_hash", "text_crc32").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     # A text of a single row can't be split.
-    hot = per_text.where("n > 1").crossJoin(F.broadcast(whole)).where("bytes > most_bytes OR n > most_rows")
-    parts = F.least(F.col("n"), F.ceil(F.greatest(F.col("bytes") / F.col("most_bytes"), F.col("n") / F.col("most_rows")))).cast("int")
-    # At most 16 texts a shard are left, so one window over them is small.
-    before = F.coalesce(F.sum("parts").over(Window.orderBy("text_hash", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hot = hot.select("text_hash", "text_crc32", parts.alias("parts")).withColumn("first", (before + slots).cast("int"))
-    dealt = recs.join(F.broadcast(hot), ["text_hash", "text_crc32"], "left")
-    own = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    return dealt.withColumn("virtual_slot", F.coalesce(own, F.col("virtual_slot"))).select(recs.columns)
+    heavy = per_text.where("n > 1").crossJoin(F.broadcast(whole))
+    many = (F.col("bytes") > F.greatest(F.col("most_bytes") / 8, F.lit(FLOOR_BYTES))) | (F.col("n") > F.greatest(F.col("most_rows") / 8, F.lit(FLOOR_ROWS)))
+    hot = (F.col("bytes") > F.greatest(F.col("most_bytes"), F.lit(FLOOR_BYTES))) | (F.col("n") > F.greatest(F.col("most_rows"), F.lit(FLOOR_ROWS)))
+    parts = F.least(F.col("n"), F.ceil(8 * F.greatest(F.col("bytes") / F.col("most_bytes"), F.col("n") / F.col("most_rows")))).cast("int")
+    # At most 16 texts a shard.
+    heavy = heavy.where(many).select("text_hash", "text_crc32", parts.alias("parts"), hot.alias("hot"))
+    dealt = recs.join(F.broadcast(heavy), ["text_hash", "text_crc32"], "left")
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = dealt.withColumn("rank_part", F.when(F.col("parts").isNull(), 0).otherwise(1 + part))
+    own = slots + F.pmod(F.xxhash64("text_hash", "text_crc32", "rank_part"), F.lit((1 << 31) - 1 - slots)).cast("int")
+    return dealt.withColumn("virtual_slot", F.when(F.col("hot"), own).otherwise(F.col("virtual_slot"))).select(*recs.columns, "rank_part")
 
 
 def _least_loaded(sized: Column, loads: Column) -> Column:
@@ -73,6 +82,14 @@ def _heaviest_first() -> Column:
     return F.sort_array(F.collect_list(entry))
 
 
+def _even_share(shards: int, slack: float) -> Column:
+    """What a shard should hold, over all slots: those above it are taken out, each with a shard, until the others fit."""
+    step = lambda acc, x: F.when((acc["left"] > 1) & (-x * acc["left"] > acc["rest"]), F.struct((acc["rest"] + x).alias("rest"), (acc["left"] - 1).alias("left"))).otherwise(acc)
+    start = F.struct(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("rest"), F.lit(shards).cast("long").alias("left"))
+    # Negated sizes sort as the largest first.
+    return F.aggregate(F.sort_array(F.collect_list(-F.col("bytes"))), start, step, lambda acc: acc["rest"] * (1 + slack) / acc["left"])
+
+
 def per_slot(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
@@ -94,9 +111,11 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int, slack: float = SLAC
     known = old.select("virtual_slot", F.col("shard").alias("held"), "version")
     now = sizes.join(F.broadcast(known), "virtual_slot", "left")
     version = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-    share = sizes.agg((F.sum("bytes") * F.lit((1 + slack) / shards)).alias("share"))
-    running = F.sum("bytes").over(Window.partitionBy("held").orderBy(F.desc("bytes"), "virtual_slot"))
-    marked = now.crossJoin(F.broadcast(share)).withColumn("stays", F.coalesce((F.col("held") < shards) & (running <= F.col("share")), F.lit(False)))
+    share = sizes.agg(_even_share(shards, slack).alias("share"))
+    largest_first = Window.partitionBy("held").orderBy(F.desc("bytes"), "virtual_slot")
+    # A slot above the share stays where it is the largest.
+    fits = (F.sum("bytes").over(largest_first) <= F.col("share")) | ((F.row_number().over(largest_first) == 1) & (F.col("bytes") > F.col("share")))
+    marked = now.crossJoin(F.broadcast(share)).withColumn("stays", F.coalesce((F.col("held") < shards) & fits, F.lit(False)))
     entry = F.struct((-F.col("bytes")).alias("less"), F.col("virtual_slot"), F.col("bytes"), F.col("n_rows"))
     kept = F.struct(F.col("held").alias("shard"), F.col("virtual_slot"), F.col("bytes"), F.col("n_rows"))
     one = marked.agg(
@@ -113,56 +132,45 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int, slack: float = SLAC
     return rows.crossJoin(F.broadcast(version)).select("version", "x.virtual_slot", "x.shard", "x.bytes", "x.n_rows")
 
 
-class Maps:
-    """Versions of one map, each a folder at ``place``; a version is there once it is written whole, and none is changed."""
-
-    def __init__(self, spark: SparkSession, place: str):
-        self.spark, self.place = spark, place
+class Maps(Versions):
+    """Versions of one map at ``place``."""
 
-    def latest(self) -> int:
-        """The highest version that was written whole; 0 if there is none."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.place}/v*/_SUCCESS")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return max((int(x.getPath().getParent().getName()[1:]) for x in found or ()), default=0)
-
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.place}/v{version}")
+    def edit(self, sizes: DataFrame, shards: int) -> DataFrame:
+        """The map for present sizes and shards: the first version where there is none, the last where nothing changes, else the next."""
 
-    def write(self, slot_map: DataFrame, version: int) -> DataFrame:
-        slot_map.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.place}/v{version}")
-        return self.read(version)
+        def change(held: DataFrame | None) -> DataFrame | None:
+            if held is None:
+                return first_map(sizes, shards).withColumn("shards", F.lit(shards))
+            new = shared.materialize(rebalance(held, sizes, shards).withColumn("shards", F.lit(shards)), "slot-map")
+            kept = held.drop("version").exceptAll(new.drop("version")).isEmpty() and new.count() == held.count()
+            return None if kept else new
 
-    def edit(self, sizes: DataFrame, shards: int) -> DataFrame:
-        """The next version, for present sizes and shards: the first one where there is none yet."""
-        held = self.latest()
-        return self.write(rebalance(self.read(held), sizes, shards) if held else first_map(sizes, shards), held + 1)
+        return self.commit(change).withColumn("version", F.lit(self.latest()[0]))
 
 
 def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and place in the shard (gapless from 0) of each record under one version of the map.
 
-    Places are a prefix sum over the map and a rank inside each virtual slot, so the work is split
-    over thousands of slots and never over shards.
+    Places are a prefix sum over the parts of the map's slots and a rank inside each part, so the work is split
+    over thousands of parts and never over shards.
     """
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    based = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row"))
-    return recs.withColumn("rank", rank).join(F.broadcast(based), "virtual_slot").withColumn("slot", F.col("base") + F.col("rank") - 1)
+    parts = recs.groupBy("virtual_slot", "rank_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    based = parts.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    based = based.select("virtual_slot", "rank_part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "rank_part").orderBy("doc_id", "text_crc32", "size", "row"))
+    return recs.withColumn("rank", rank).join(F.broadcast(based), ["virtual_slot", "rank_part"]).withColumn("slot", F.col("base") + F.col("rank") - 1)
 
 
 def op6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 16 under the law ``bytes``.
+    """Every document's shard of 16 under the law ``bytes``: a map for 15 shards, grown to 16 by an edit.
 
-    The table's map is kept under its path's hash. A first load makes version 1 for 15 shards and grows it
-    to 16 by an edit; a later run edits what it finds. Versions differ only where sizes or shards do.
+    The map is this run's own, so the result follows from the table alone; ``Maps`` at a place of your choice keeps one over runs.
     """
-    docs = shared.documents(spark, sf_dir)
-    recs = shared.materialize(records(docs), "records")
-    recs = split_hot(recs, 16)
+    recs = shared.materialize(records(shared.documents(spark, sf_dir)), "records")
+    recs = shared.materialize(split_hot(recs, 16), "dealt")
     sizes = shared.materialize(per_slot(recs), "slot-sizes")
-    place = spark.range(1).select(F.hex(F.xxhash64(F.lit(sf_dir)))).first()[0]
-    maps = Maps(spark, f"{shared.shared_dir(spark)}/logloom/slot-maps/{place}")
-    if not maps.latest():
-        maps.edit(sizes, 15)
+    maps = Maps(spark, shared.new_path(spark, "slot-map"))
+    maps.edit(sizes, 15)
     placed = assign(recs, maps.edit(sizes, 16))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
