@@ -207,17 +207,16 @@ def edited_file(statement: str) -> str | None:
         return next((x for x in shell.edit_words(_FOLDER.sub("", text).replace("\\\n", " ")) if is_dotenv(x)), None)
 
     for m in _EDITOR.finditer(statement):
-        before, call = statement[: m.start()], statement[m.start() :]
-        if _is_text(before.rpartition("|")[2]):
-            break
-        head = call[:2000].replace("\\\n", " ")
+        head = statement[m.start() : m.start() + 2000].replace("\\\n", " ")
         flags = takewhile(lambda x: x.startswith("-"), head.split()[1:18])
         if not any(re.match(r"-[a-zA-Z0-9]*[iI]|--in-place|--include", x) for x in flags):
             continue
-        found = given(call) or (next((x for x in _BREAKS.split(before) if is_dotenv(x)), None) if _FEEDS.search(before) else None)
-        if found:
-            return found
-    return given(statement) if "sed" in statement or "awk" in statement or "perl" in statement or "ruby" in statement else None
+        # The first one that edits in place decides, so a statement is read on from one place only.
+        before = statement[: m.start()]
+        if _is_text(before.rpartition("|")[2]):
+            break
+        return given(statement[m.start() :]) or (next((x for x in _BREAKS.split(before) if is_dotenv(x)), None) if _FEEDS.search(before) else None)
+    return given(statement) if any(x in statement for x in ("sed", "awk", "perl", "ruby")) else None
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""Patterns made from the plain tables of ``fixed``: phrases of commands, words, marks and extensions."""
+"""Handlers that only log, and patterns of tokens made from the tables of ``fixed``."""
 
 from __future__ import annotations
 
@@ -7,51 +7,6 @@ import re
 from . import fixed
 
 
-def _token(token: str) -> str:
-    """``a|b`` are alternatives; ``*`` stands for what may be glued on at that end."""
-    out = []
-    for word in token.split("|"):
-        before, after = (r"\S*" if word.startswith("*") else ""), (r"[0-9.]*" if word.endswith("*") else "")
-        out.append(before + re.escape(word.strip("*")).replace(r"\-", "-") + after)
-    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
-
-
-def phrase(spec: str) -> str:
-    """The pattern of a phrase: tokens with blanks between, those in brackets may be missing."""
-    out, optional = "", []
-    for token in re.findall(r"\[[^\]]*\]|\S+", spec):
-        if token.startswith("["):
-            optional.append(r"(?:" + r"\s+".join(_token(x) for x in token[1:-1].split()) + r"\s+)?")
-        else:
-            out += (r"\s+" if out else "") + "".join(optional) + _token(token)
-            optional = []
-    return out
-
-
-def any_phrase(specs) -> str:
-    """Any of several phrases, as whole words."""
-    return r"\b(?:" + "|".join(phrase(x) for x in specs) + r")\b"
-
-
-def mark(literal: str) -> str:
-    """A literal in which a blank stands for any run of blanks; a letter at its end ends a word, a ``*`` leaves that open."""
-    body = r"\s*".join(re.escape(x).replace(r"\-", "-").replace(r"\#", "#") for x in literal.rstrip("*").split(" "))
-    return body + (r"\b" if re.match(r"\w", literal[-1]) else "")
-
-
-def word_mark(literal: str) -> str:
-    """A mark that is a word of its own where it begins with a letter."""
-    return (r"\b" if re.match(r"\w", literal[0]) else "") + mark(literal)
-
-
-def any_case(body: str) -> str:
-    return f"(?i)(?:{body})"
-
-
-def extension(names) -> str:
-    return any_case(r"\.(?:" + "|".join(names) + r")\z")
-
-
 def loggers(owners, calls, more: str = "") -> str:
     return rf"(?:(?:{'|'.join(owners)})\.(?:{'|'.join(calls)}){more})"
 
@@ -61,27 +16,6 @@ def token(begins, alphabet: str, least: int, exactly: bool) -> str:
     return rf"\b(?:{'|'.join(map(re.escape, begins))})".replace(r"\-", "-") + rf"[{alphabet}]{{{least}{'}' + chr(92) + 'b' if exactly else ',}'}"
 
 
-CHECK_COMMAND = any_phrase(fixed.CHECK_COMMANDS)
-ASSERTION = any_case("|".join(rf"\b{x}\b" for x in fixed.ASSERTION_WORDS))
-SKIP_MARK = any_case("|".join(word_mark(x) for x in fixed.SKIP_MARKS))
-TEST_BLOCK = any_case("|".join(map(word_mark, fixed.TEST_MARKS))).replace(r"def\s*", r"def\s+")
-FAILURE = "|".join(fixed.FAILURE_WORDS)
-TEST_EXTENSION, CODE_EXTENSION = extension(fixed.TEST_EXTENSIONS), extension(fixed.CODE_EXTENSIONS)
-TEST_FOLDER = any_case(rf"(?:\A|/)(?:{'|'.join(fixed.TEST_FOLDERS)})/")
-BYPASS_FLAG = "|".join(map(mark, fixed.BYPASS_FLAGS))
-INSTALLERS = tuple((manager, rf"\b{phrase(spec)}\b") for manager, spec in fixed.INSTALLERS)
-INSTALLS = "|".join(pattern for _, pattern in INSTALLERS)
-
-#: Runs have a bound or take what they match for good, so a hostile text costs a bounded walk at each start.
-_BLANKS = r"\s{0,200}+"
-_EMPTY_HANDLERS = (
-    r"except(?:(?!except)[^\n:]){0,1000}+:[ \t\r]{0,200}+(?:#[^\n]{0,1000}+)?\n" + _BLANKS + r"pass\b",
-    rf"catch{_BLANKS}(?:\([^()]*+\){_BLANKS})?\{{{_BLANKS}\}}",
-    rf"rescue[ \t]{{0,200}}+(?:=>{_BLANKS}\w{{1,200}}+[ \t]{{0,200}}+)?\n{_BLANKS}end\b",
-)
-#: (pattern, detail) in the order in which they count.
-SUPPRESSIONS = (*((("|".join(mark(x) for x in marks)), detail) for detail, marks in fixed.SILENCERS), *((x, fixed.DROPPED) for x in _EMPTY_HANDLERS))
-
 _LOGGED_ARGUMENTS = 400
 _CATCH = re.compile(r"\bcatch\b")
 _OPENED = re.compile(r"\s*(?:\([^)]{0,200}\)\s*)?\{")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import fixed, patterns
+from . import fixed
 
 
 def java(pattern: str) -> str:
@@ -38,47 +38,38 @@ def project_slug(path: Column) -> Column:
 def is_test_file(path: Column) -> Column:
     """In a folder of tests, or a source file with the word test or spec in its name."""
     name = basename(path)
-    spaced = F.regexp_replace(F.regexp_replace(name, patterns.TEST_EXTENSION, ""), r"(?=[A-Z])", " ")
-    words = F.split(F.lower(spaced), "[^a-z0-9]+")
-    named = like(name, patterns.TEST_EXTENSION) & F.arrays_overlap(words, F.array(F.lit("test"), F.lit("spec")))
-    return F.coalesce(like(path, patterns.TEST_FOLDER) | named, F.lit(False))
+    dotted = F.split(name, r"\.")
+    stem = F.array_join(F.slice(dotted, 1, F.size(dotted) - 1), ".")
+    words = F.split(F.lower(F.regexp_replace(stem, r"(?=[A-Z])", " ")), "[^a-z0-9]+")
+    named = extension(name).isin(*fixed.TEST_EXTENSIONS) & F.arrays_overlap(words, F.array(F.lit("test"), F.lit("spec")))
+    parts = F.split(F.lower(path), "/")
+    below = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*(F.lit(x) for x in fixed.TEST_FOLDERS)))
+    return F.coalesce(below, F.lit(False)) | F.coalesce(named, F.lit(False))
+
+
+def extension(path: Column) -> Column:
+    """What stands behind the last dot, in lower case; null without a dot."""
+    parts = F.split(F.lower(path), r"\.")
+    return F.when(F.size(parts) > 1, F.element_at(parts, -1))
 
 
 def is_code_file(path: Column) -> Column:
-    return like(path, patterns.CODE_EXTENSION)
+    return F.coalesce(extension(path).isin(*fixed.CODE_EXTENSIONS), F.lit(False))
 
 
 def is_manifest(path: Column) -> Column:
     return basename(path).isin(*fixed.MANIFESTS)
 
 
-def assertion_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(patterns.ASSERTION)))
-
-
-def weakens_test(old: Column, new: Column) -> Column:
-    """Why the new text of a test is weaker than the old one, or null."""
-    return (
-        F.when(old.isNull() | new.isNull(), F.lit(None))
-        .when(assertion_lines(new) < assertion_lines(old), "assertions removed from the test")
-        .when(like(new, patterns.SKIP_MARK) & ~like(old, patterns.SKIP_MARK), "test marked as skipped or ignored")
-        .when(count(new, patterns.TEST_BLOCK) < count(old, patterns.TEST_BLOCK), "a test case was deleted")
-    )
-
-
-def suppression_added(old: Column, new: Column, rules=patterns.SUPPRESSIONS) -> Column:
-    """The first rule that matches more often after than before, or null."""
-    return F.coalesce(*(F.when(count(new, p) > count(old, p), F.lit(detail)) for p, detail in rules))
-
-
-def checks(tool: Column, command: Column) -> Column:
-    """Whether a call runs a test, build or lint command."""
-    return F.coalesce((tool == "Bash") & like(command, patterns.CHECK_COMMAND), F.lit(False))
+def says_it_failed(text: Column) -> Column:
+    found = F.lit(False)
+    for word in fixed.FAILURE_WORDS:
+        found = found | F.coalesce(text.contains(word), F.lit(False))
+    return found
 
 
 def failed(is_error: Column, stdout: Column, stderr: Column, text: Column) -> Column:
-    said = [like(x, patterns.FAILURE) for x in (stdout, stderr, text)]
-    return F.coalesce(is_error, F.lit(False)) | said[0] | said[1] | said[2]
+    return F.coalesce(is_error, F.lit(False)) | says_it_failed(stdout) | says_it_failed(stderr) | says_it_failed(text)
 
 
 def normalised(content: Column) -> Column:

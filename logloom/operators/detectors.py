@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dependencies, fixed, patterns, shell
+from ..functions import dependencies, fixed, marks, shell
 from ..functions import text as t
 from .order import dedupe
 
@@ -55,7 +55,7 @@ def test_modified(calls: DataFrame, edits: DataFrame) -> DataFrame:
     e = with_failure(edits.where(t.is_test_file(F.col("file_path"))), calls)
     hit = F.col("failure").isNotNull()
     shelled = (F.col("tool") == "Bash") & hit
-    reason = F.when(F.col("tool") != "Bash", t.weakens_test(F.col("old_string"), F.col("new_string")))
+    reason = F.when(F.col("tool") != "Bash", marks.weakened_of(F.col("old_string"), F.col("new_string")))
     e = e.withColumn("reason", reason).where(shelled | F.col("reason").isNotNull())
     weight = F.when(F.col("tool") == "Bash", 0.5).when(hit, 0.9).otherwise(0.6)
     detail = F.when(F.col("tool") == "Bash", "test rewritten in place by a shell command shortly after a failing command").when(hit, F.concat("reason", F.lit(", shortly after a failing command"))).otherwise(F.col("reason"))
@@ -120,7 +120,7 @@ def external_dependencies(calls: DataFrame, edits: DataFrame) -> DataFrame:
     m = m.withColumn("added", dependencies.added_of(F.col("file_path"), F.col("old_string"), F.coalesce("new_string", "content"))).where("size(added) > 0")
     first = F.col("file_order") * (1 << 31) + F.col("edit_seq")
     listed = _signal(m, "external_dependency", F.lit(0.7), F.concat(F.lit("added to "), t.basename(F.col("file_path")), F.lit(": "), F.array_join("added", ", ")), F.col("file_path"), seq=first)
-    c = calls.where((F.col("name") == "Bash") & F.col("command").rlike(patterns.INSTALLS)).withColumn("installed", shell.installed_of(F.col("command"))).where("installed.packages IS NOT NULL")
+    c = calls.where((F.col("name") == "Bash") & F.col("command").rlike(r"\b(?:install|i|add|get)\b")).withColumn("installed", shell.installed_of(F.col("command"))).where("installed.packages IS NOT NULL")
     names = c.select("session_id", "call_seq", F.explode("installed.packages").alias("package")).withColumn("package", t.package_name(F.col("package"))).distinct()
     # A name is new to a command unless a manifest or an earlier command of the session reported it.
     by_manifest = m.select("session_id", F.explode("added").alias("package")).select("session_id", t.package_name(F.col("package")).alias("package")).distinct()
@@ -176,7 +176,7 @@ def same_paths(files: DataFrame, looks: DataFrame) -> DataFrame:
 
 def unverified_fix(calls: DataFrame, edits: DataFrame) -> DataFrame:
     """Code whose last edit comes after the last check: one signal a session."""
-    checks = calls.where(t.checks(F.col("name"), F.col("command"))).groupBy("session_id").agg(F.max("record_index").alias("last_check"))
+    checks = calls.where(marks.checks(F.col("name"), F.col("command"))).groupBy("session_id").agg(F.max("record_index").alias("last_check"))
     code = edits.where(t.is_code_file(F.col("file_path")) & ~t.is_test_file(F.col("file_path")))
     last = F.max_by(F.struct("record_index", "uuid", "tool_use_id", "ts_raw"), "edit_seq").alias("last")
     per = code.groupBy("session_id", "file_path").agg(last, F.min("edit_seq").alias("file_order")).join(checks, "session_id", "left")
@@ -193,19 +193,21 @@ def unverified_fix(calls: DataFrame, edits: DataFrame) -> DataFrame:
 def error_suppressed(calls: DataFrame, edits: DataFrame) -> DataFrame:
     before, after = F.coalesce("old_string", F.lit("")), F.coalesce("new_string", "content", F.lit(""))
     e = edits.where(~t.is_test_file(F.col("file_path"))).withColumn("_old", before).withColumn("_new", after).where("_new <> ''")
-    failing = calls.where(t.checks(F.col("name"), F.col("command")) & F.coalesce("is_error", F.lit(False))).where(shell.failed_check_of(F.col("command")))
+    failing = calls.where(marks.checks(F.col("name"), F.col("command")) & F.coalesce("is_error", F.lit(False))).where(shell.failed_check_of(F.col("command")))
     e = _marks(with_failure(e, calls), failing.select("session_id", "record_index").distinct(), F.lit(True), "check")
     old, new = F.col("_old"), F.col("_new")
     # Only texts in question go to Python, the others as nulls.
-    asked = t.is_code_file(F.col("file_path")) & F.col("check").isNotNull() & t.suppression_added(new, old).isNull() & new.rlike("catch|except")
+    asked = t.is_code_file(F.col("file_path")) & F.col("check").isNotNull() & marks.silenced_of(new, old).isNull() & new.rlike("catch|except")
     logged = F.when(shell.logged_only_of(F.when(asked, old), F.when(asked, new)), F.lit(fixed.LOGGED))
-    e = e.withColumn("reason", F.coalesce(t.suppression_added(old, new), logged)).where("reason IS NOT NULL")
+    e = e.withColumn("reason", F.coalesce(marks.silenced_of(old, new), logged)).where("reason IS NOT NULL")
     hit = F.col("failure").isNotNull()
     detail = F.when(hit, F.concat("reason", F.lit(", shortly after a failing command"))).otherwise(F.col("reason"))
     seq = F.col("file_order") * (1 << 31) + F.col("edit_seq")
     edited = _signal(e, "error_suppressed", F.when(hit, 0.7).otherwise(0.45), detail, F.col("file_path"), F.coalesce("failure._value", "ts_raw"), seq=seq)
-    ignored = t.like(F.col("command"), r"\|\|\s*true\b") & t.like(F.col("command"), patterns.CHECK_COMMAND)
-    c = calls.where((F.col("name") == "Bash") & (ignored | t.like(F.col("command"), patterns.BYPASS_FLAG)))
+    discards = (F.col("name") == "Bash") & t.like(F.col("command"), r"\|\|\s*true\b")
+    ran_past = (F.col("name") == "Bash") & F.coalesce(marks.bypasses_of(F.col("command")), F.lit(False))
+    c = calls.withColumn("_ignored", F.coalesce(marks.runs_check_of(F.when(discards, F.col("command"))), F.lit(False))).withColumn("_past", ran_past).where("_ignored OR _past")
+    ignored = F.col("_ignored")
     ran = _signal(c, "error_suppressed", F.lit(0.5), F.when(ignored, "a check was run with its failure discarded by `|| true`").otherwise("a command was run with its safety check switched off"), seq=F.col("call_seq") + F.lit(1 << 62))
     return dedupe(edited.unionByName(ran))
 

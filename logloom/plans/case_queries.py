@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dependencies, dotenv, fixed, patch, paths, patterns, redaction, shell
+from ..functions import dependencies, dotenv, fixed, marks, patch, paths, redaction, shell
 from ..functions import text as t
 
 
@@ -96,10 +96,10 @@ CASES: dict = {
     "shell_revert_targets": (("command",), lambda c: F.concat_ws("|", shell.revert_targets_of(c)["everything"].cast("string"), _joined(shell.revert_targets_of(c)["names"])), [
         ("git reset --hard", "true|"), ("git stash", "true|"), ("git stash pop", ""), ("git checkout -- src/a.py ./b.py", "false|a.py,b.py"), ("git checkout .", "true|."), ("git restore src/x.ts && ls", "false|x.ts"), ("git checkout main", "false|main"), ("git status", ""), ("git reset --soft HEAD", ""),
     ]),
-    "check_commands": (("command",), lambda c: _said(t.checks(F.lit("Bash"), c)), [
+    "check_commands": (("command",), lambda c: _said(marks.checks(F.lit("Bash"), c)), [
         ("npm run build", "true"), ("node --test", "true"), ("npx jest", "true"), ("python3.11 -m pytest", "true"), ("cargo clippy", "true"), ("echo hi", "false"), ("make install", "false"), ("bundle exec rspec", "true"), ("latest", "false"), ("go vet ./...", "true"), ("pnpm lint", "true"), ("gradle :app:test", "true"), ("cmake --build .", "true"), ("testing npm", "false"),
     ]),
-    "suppression_added": (("old", "new"), lambda a, b: t.suppression_added(a, b), [
+    "suppression_added": (("old", "new"), lambda a, b: marks.silenced_of(a, b), [
         ("x", "x  # noqa", "a lint error was suppressed"), ("// @ts-ignore", "// @ts-ignore\n// @ts-ignore", "a TypeScript error was suppressed"), ("try {} catch (e) { f() }", "try {} catch (e) { }", "an exception is caught and dropped"), ("", "except ValueError:\n    pass", "an exception is caught and dropped"),
         ("", "rescue => e\nend", "an exception is caught and dropped"), ("# noqa", "x", None), ("", "#[allow(dead_code)]", "a Rust lint was allowed"), ("", '@SuppressWarnings("x")', "a compiler warning was suppressed"), ("", "/* eslint-disable-next-line */", "an ESLint rule was disabled"), ("", "x: ignore", None),
         ("", "x = f()  # type: ignore", "a type error was suppressed"), ("", "#pylint:disable=x", "a pylint rule was disabled"),
@@ -108,7 +108,7 @@ CASES: dict = {
         ("", "try { f() } catch (e) { console.error(e); }", "true"), ("", 'const s = "catch (e) { console.log(e) }"', "false"), ("", "catch (e) {\n  console.error(\n    e,\n  );\n}", "true"), ("", "catch (e) { log.warn(e); return null; }", "true"), ("", "catch (e) { log.warn(e); throw e; }", "false"),
         ("", "except E as e:\n    logger.error(e)\n    return None\n", "true"), ("", "except E:\n    print(1)\n    raise", "false"), ("catch (e) { console.log(e) }", "catch (e) { console.log(e) }", "false"), ("", "catch {\n  // never mind\n  this.logger.info('x');\n}", "true"),
     ]),
-    "weakened_tests": (("old", "new"), lambda a, b: t.weakens_test(a, b), [
+    "weakened_tests": (("old", "new"), lambda a, b: marks.weakened_of(a, b), [
         ("expect(a)\nexpect(b)", "expect(a)", "assertions removed from the test"), ("a", "it.only('x')", "test marked as skipped or ignored"), ("it(1)\nit(2)", "it(1)", "a test case was deleted"), ("x", "y", None), ("def test_a():\n  1", "pass", "a test case was deleted"), ("a", "@pytest.mark.skipif(x)", "test marked as skipped or ignored"), ("assert x", "assert y", None),
     ]),
     "masked_paths": (("text", "cwd"), lambda x, c: paths.mask_text_of(x, c), [
@@ -166,7 +166,7 @@ CASES: dict = {
     ]),
     "failed_checks": (("command",), lambda c: _said(shell.failed_check_of(c)), [("npm test | tail -5", "true"), ("grep -rn 'npm test' .", "false"), ("echo npm test", "false"), ("cd a && cargo build", "true"), ("ls", "false")]),
     "known_record_types": (("kind",), lambda k: _said(t.known_type(k)), [("user", "true"), ("tools-used", "true"), ("martian", "false"), ("api-request-blob", "true"), ("", "false")]),
-    "patterns_silenced": (("text",), lambda x: t.count(x, patterns.ASSERTION).cast("string"), [("assert expect should", "3"), ("asserted", "0"), ("EXPECT(x)", "1")]),
+    "patterns_silenced": (("text",), lambda x: _udf(lambda v: str(marks.assertions(v)), x), [("assert expect should", "3"), ("asserted", "0"), ("EXPECT(x)", "1")]),
 }
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.functions import dependencies, fixed, patch, paths, redaction, shell
+from logloom.functions import dependencies, fixed, marks, patch, paths, redaction, shell
 from logloom.functions import text as t
 from logloom.operators import commits, contents, graph, incremental, order, redact
 from logloom.plans import normalise, queries
@@ -150,9 +150,9 @@ def test_scalar_expressions(spark):
     lit = F.lit
     assert one(spark, t.is_test_file(lit("src/a.test.ts"))) and one(spark, t.is_test_file(lit("x/tests/readme"))) and one(spark, t.is_test_file(lit("UserSpec.java")))
     assert not one(spark, t.is_test_file(lit("src/latest.py"))) and not one(spark, t.is_test_file(lit("test.md")))
-    assert one(spark, t.weakens_test(lit("it(1)\nit(2)"), lit("it(1)"))) == "a test case was deleted"
-    assert one(spark, t.weakens_test(lit("a"), lit("a.only"))) == "test marked as skipped or ignored"
-    assert one(spark, t.suppression_added(lit("try {} catch (e) { f() }"), lit("try {} catch (e) { }"))) == "an exception is caught and dropped"
+    assert one(spark, marks.weakened_of(lit("it(1)\nit(2)"), lit("it(1)"))) == "a test case was deleted"
+    assert one(spark, marks.weakened_of(lit("a"), lit("a.only"))) == "test marked as skipped or ignored"
+    assert one(spark, marks.silenced_of(lit("try {} catch (e) { f() }"), lit("try {} catch (e) { }"))) == "an exception is caught and dropped"
     assert [one(spark, t.break_length(lit(ms))) for ms in (47 * 60000, 125 * 60000, 90000)] == ["47m", "2h05", "2m"]
     assert one(spark, t.remote_name(lit("git@host.org:own/name.git"))) == "own/name" and one(spark, t.remote_name(lit("https://u@host.org/own/name/"))) == "own/name"
     assert one(spark, t.is_newer(lit("1.10.0"), lit("1.9"))) and not one(spark, t.is_newer(lit("1.0"), lit("1.0.0")))

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from logloom.functions import dependencies, paths, patterns, redaction, shell
+from logloom.functions import dependencies, dotenv, marks, paths, patterns, redaction, shell
 
 N = 200_000
 RUNS = ["a", " ", "\n", "=", ":", "'", '"', "(", "$(", "/", "\\", "-", ".", "<", ">", "*", "ab ", "a=", "a.", "a-b_", "--a ", "token", "token ", "token=", "password: ", "key=key", "KEY=", "pass", "auth:", "eyJ", "ghp_", "sk-", "://a:", "a@", "a@b.", "curl -u ", "mongo -u a ", "mysql ", "<<<", "<a>", "Bearer ", "cookie=", "machine a ", "&sig=", "-----BEGIN PRIVATE KEY", "[REDACTED:x]", "1.", "AA:", "a" * 23 + "."]
@@ -33,10 +33,15 @@ def test_every_rule_and_mask(part):
 @pytest.mark.parametrize("part", [*COMMANDS, "a", " ", "'", "(", "a=", "<", "a b "])
 def test_every_question_of_a_command(part):
     text = filled(part)
-    for ask in (shell.segments, shell.writes, shell.git_commands, shell.only_looks, shell.read_paths, shell.edit_words, shell.installed, shell.destruction, shell.failed_check, shell.revert_targets):
+    for ask in (shell.segments, shell.writes, shell.git_commands, shell.only_looks, shell.read_paths, shell.edit_words, shell.installed, shell.destruction, shell.failed_check, shell.revert_targets, marks.runs_check, marks.test_blocks, marks.skips, dotenv.reads, dotenv.learned):
         assert seconds(ask, text) < 1.5, ask.__name__
 
 
+@pytest.mark.parametrize("part", [*COMMANDS, ".env ", "> .env\n", "<<E\n.env\nE\n", "A=.env;", "$A ", "open('.env','w') ", "sed -i .env ", "tee ", "for f in "])
+def test_writes_of_dotenv_files(part):
+    assert seconds(dotenv.cut_writes, ".env " + filled(part)[: N // 4]) < 2
+
+
 @pytest.mark.parametrize("part", SOURCES)
 def test_handlers_that_only_log(part):
     assert seconds(patterns.logged_only, filled(part)) < 1
@@ -56,8 +61,6 @@ def test_globs_with_many_stars():
 def test_suppression_patterns(spark):
     from pyspark.sql import functions as F
 
-    from logloom.functions import text as t
-
     rows = spark.createDataFrame([(filled(x),) for x in SOURCES], "text string").cache()
     rows.count()
-    assert seconds(lambda _: rows.select(t.suppression_added(F.lit(""), F.col("text"))).collect(), None) < 2 * len(SOURCES)
+    assert seconds(lambda _: rows.select(marks.silenced_of(F.lit(""), F.col("text"))).collect(), None) < 2 * len(SOURCES)
