@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dependencies, fixed, marks, shell
 from ..functions import text as t
+from ..functions.globs import matched
 from .order import dedupe
 
 SIGNAL = ("session_id", "category", "file_path", "record_index", "uuid", "tool_use_id", "started_at", "ended_at", "weight", "detail", "seq")
@@ -142,7 +143,7 @@ def never_read(edits: DataFrame, reads: DataFrame) -> DataFrame:
     """Files whose first edit wasn't a Write and that no look of the session names.
 
     Looks that equal a path, end like it or start it are joined by equality of the path or of its
-    ending folders; globs are the rest, compared inside their session only.
+    ending folders; a session's globs are one index, which each of its files walks once.
     """
     per = first_and_last(edits).where(F.col("first.tool").isin("Edit", "MultiEdit", "Bash"))
     seen = same_paths(per.select("session_id", "file_path").distinct(), reads.select("session_id", "path").distinct())
@@ -163,13 +164,7 @@ def same_paths(files: DataFrame, looks: DataFrame) -> DataFrame:
     named = above.join(plain.select("session_id", "path", bare.alias("key")), ["session_id", "key"])
     shorter = files.select("session_id", "file_path", F.explode(ends(F.col("file_path"))).alias("key")).join(plain.where(~F.col("path").startswith("/")).select("session_id", "path", F.col("path").alias("key")), ["session_id", "key"])
     longer = plain.select("session_id", "path", F.explode(ends(F.col("path"))).alias("key")).join(files.where(~F.col("file_path").startswith("/")).select("session_id", "file_path", F.col("file_path").alias("key")), ["session_id", "key"])
-    # A glob that ends in an extension can only name files with it; the others are compared with all files of their session.
-    ending = F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)\z", 1), F.lit(""))
-    extension = F.nullif(F.regexp_extract("file_path", r"\.([A-Za-z0-9_]+)\z", 1), F.lit(""))
-    ended, open_ended = globs.withColumn("key", ending), globs.where(ending.isNull())
-    by_extension = ended.where("key IS NOT NULL").join(files.withColumn("key", extension), ["session_id", "key"]).select("session_id", "path", "file_path")
-    both = by_extension.unionByName(open_ended.join(files, "session_id").select("session_id", "path", "file_path"))
-    globbed = both.where(shell.same_path_of(F.col("path"), F.col("file_path")))
+    globbed = matched(globs, files)
     parts = [x.select("session_id", "file_path", "path") for x in (named, shorter, longer, globbed)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
 
@@ -269,12 +264,12 @@ def gate(meta: DataFrame) -> DataFrame:
     return meta.select("session_id", "cwd", reason.alias("reason"), "thinking_blocks", (F.col("thinking_blocks") > 0).alias("known_gap_reachable"))
 
 
-def too_many_pairs(meta: DataFrame, edits: DataFrame, reads: DataFrame) -> DataFrame:
+def too_many_pairs(meta: DataFrame, edits: DataFrame, reads: DataFrame, most: int = fixed.SESSION_PAIRS) -> DataFrame:
     n = edits.groupBy("session_id").agg(F.count("*").alias("n_edits"))
     r = reads.groupBy("session_id").agg(F.countDistinct("path").alias("n_reads"))
     m = meta.join(n, "session_id", "left").join(r, "session_id", "left")
     both = F.col("edit_tool_uses") + F.coalesce("n_edits", F.lit(0))
-    return m.where(both * (both + F.col("calls") + F.coalesce("n_reads", F.lit(0)) + F.col("records")) > fixed.SESSION_PAIRS).select("session_id")
+    return m.where(both * (both + F.col("calls") + F.coalesce("n_reads", F.lit(0)) + F.col("records")) > most).select("session_id")
 
 
 def without_reported(destructions: DataFrame, reported: DataFrame) -> DataFrame:

@@ -30,16 +30,21 @@ def _true(v: Column | str, path: str) -> Column:
 
 
 def read(raw: DataFrame) -> DataFrame:
-    """Lines (line) with status (blank, malformed, not_an_object, record) and the record as VARIANT; each line by itself."""
+    """Lines (line) with status (blank, malformed, not_an_object, record) and the record as VARIANT; each line by itself.
+
+    A line that is too long, or that a budget has ``refused``, isn't parsed.
+    """
     # The trimmed set is fixed: what JSON and line readers call white space.
     trimmed = F.regexp_replace("line", r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+\z", "")
-    parsed = F.when(F.length(trimmed) <= fixed.LINE_CHARS, F.try_parse_json(trimmed))
+    unread = F.length("line") > fixed.LINE_CHARS
+    unread = unread | F.col("refused") if "refused" in raw.columns else unread
+    parsed = F.when((F.length(trimmed) <= fixed.LINE_CHARS) & ~unread, F.try_parse_json(trimmed))
     out = raw.withColumn("raw", parsed)
     status = (
         F.when(trimmed == "", "blank").when(F.col("raw").isNull(), "malformed")
         .when(~F.schema_of_variant("raw").startswith("OBJECT"), "not_an_object").otherwise("record")
     )
-    return out.withColumn("status", status).withColumn("oversize", F.length("line") > fixed.LINE_CHARS)
+    return out.withColumn("status", status).withColumn("oversize", unread)
 
 
 def lines(raw: DataFrame) -> DataFrame:

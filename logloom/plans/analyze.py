@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.paths import in_tree_of
-from ..operators import contents, detectors, graph, order, parse, redact
+from ..operators import budget, contents, detectors, graph, order, parse, redact
 from ..sources import logs
 from ..tables import keep
 from .normalise import canonical
@@ -60,7 +60,8 @@ def merged(made: DataFrame) -> DataFrame:
 
 def parsed(lines: DataFrame) -> Session:
     """The derived tables of lines (session_id, line_no, line); eight detectors read them, so they are written once."""
-    numbered = keep(parse.lines(lines.repartition("session_id")), "lines")
+    lines = keep(lines.repartition("session_id"), "to-parse")
+    numbered = keep(parse.lines(budget.parseable(lines)), "lines")
     records = parse.records(numbered)
     blocks = parse.blocks(records)
     calls = keep(parse.calls(blocks), "calls")

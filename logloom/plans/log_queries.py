@@ -7,10 +7,15 @@ SQL never sees JSON and derives its answers from ``events``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import contents, detectors, graph, parse
+from ..operators import budget, contents, detectors, graph, parse
+from ..sources import tail
+from ..streaming import growth
+from ..tables import folder, keep
 from . import analyze
 from .normalise import canonical
 
@@ -273,8 +278,50 @@ _C = _OTHER + """SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY
   CASE kind WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Write' END AS tool, CASE kind WHEN 'view' THEN 'hi ' || k WHEN 'click' THEN 'a' || k || '.py' ELSE 'b' || k || '.py' END AS said FROM e WHERE kind IN ('view', 'click', 'purchase')"""
 
 
+def log_too_many_pairs(spark, sf):
+    """Sessions with more pairs of edits and what they are held up to than the limit, here a small one."""
+    s = _parsed(spark, sf)
+    return detectors.too_many_pairs(s.meta, s.edits, s.reads, most=20_000)
+
+
+_PAIRS = LOG + """, n AS (SELECT session_id, (SELECT count(*) FROM calls c WHERE c.session_id = s.session_id AND c.name IN ('Edit', 'Write')) + (SELECT count(*) FROM edits x WHERE x.session_id = s.session_id) AS edits,
+    (SELECT count(*) FROM calls c WHERE c.session_id = s.session_id) AS calls, (SELECT count(*) FROM l r WHERE r.session_id = s.session_id AND type IN ('assistant', 'user', 'martian')) AS records,
+    (SELECT count(DISTINCT CASE WHEN name = 'Read' THEN file_path WHEN command = 'cat' THEN 'src/f1.py' END) FROM calls c WHERE c.session_id = s.session_id) AS reads FROM (SELECT DISTINCT session_id FROM e) s)
+SELECT session_id FROM n WHERE edits * (edits + calls + reads + records) > 20000"""
+
+
+def refused_by_budget(spark, sf):
+    """Lines of a log that a session's budget of parsed structures doesn't cover, here a small one."""
+    rows = lines(spark, sf).where("line_no % 3 = 2").withColumn("cost", budget.structures(F.col("line")) + F.col("line_no") % 7)
+    return budget.refused(rows, "session_id", "line_no", "cost", 40)
+
+
+#: A line's cost follows from its kind: nothing for a word, three for each bracket, one for a key.
+_REFUSED = LOG.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, c AS (SELECT session_id, i * 3 + 2 AS line_no, row_number() OVER (PARTITION BY session_id ORDER BY i) AS r,
+    CASE k % 11 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END + (i * 3 + 2) % 7 AS cost FROM e WHERE k % 11 < 4),
+walk AS (SELECT session_id, r, line_no, cost > 40 AS no, CASE WHEN cost > 40 THEN 40 ELSE 40 - cost END AS rest FROM c WHERE r = 1
+  UNION ALL SELECT c.session_id, c.r, c.line_no, c.cost > rest, CASE WHEN c.cost > rest THEN rest ELSE rest - c.cost END FROM walk JOIN c ON c.session_id = walk.session_id AND c.r = walk.r + 1)
+SELECT session_id, CAST(line_no AS INTEGER) AS line_no FROM walk WHERE no"""
+
+
+def grown_calls(spark, sf):
+    """The calls of logs that were read in two parts, each once it was written, with the first part's counts and open calls kept as state."""
+    place = f"{folder(spark)}/logloom/grown-{uuid.uuid4().hex}"
+    log = keep(lines(spark, sf), "log")
+    # The first part ends between a call and its result.
+    for part in (log.where("line_no < 151"), log.where("line_no >= 151")):
+        ordered = part.repartition("session_id").sortWithinPartitions("session_id", "line_no").select("session_id", F.col("line").alias("value"))
+        ordered.write.mode("append").partitionBy("session_id").text(f"{place}/logs")
+        stream = tail.read_stream(spark, f"{place}/logs", suffix=".txt").select(F.regexp_extract("path", r"session_id=([^/]+)/", 1).alias("session_id"), "offset", "line")
+        growth.follow(stream, f"{place}/table", f"{place}/check").awaitTermination()
+    c = growth.calls(growth.lines(spark, f"{place}/table"))
+    return c.select("session_id", "record_index", F.col("call_seq").cast("int").alias("call_seq"), "tool_use_id", "name", "file_path", F.col("result.is_error").alias("is_error"), F.col("result.text").alias("text"), F.col("result.record_index").alias("answered_at"))
+
+
 def queries() -> dict:
     return {
+        "grown_calls": (grown_calls, _CALLS),
+        "log_too_many_pairs": (log_too_many_pairs, _PAIRS), "refused_by_budget": (refused_by_budget, _REFUSED),
         "log_lines": (log_lines, _LINES), "log_records": (log_records, _RECORDS), "log_blocks": (log_blocks, _BLOCKS), "log_calls": (log_calls, _CALLS), "log_edits": (log_edits, _EDITS), "log_reads": (log_reads, _READS), "log_meta": (log_meta, _LOG_META),
         "log_unknown_types": (log_unknown_types, _UNKNOWN), "log_main_path": (log_main_path, _MAIN), "d2a_returned_states": (log_returned_states, _RETURNED), "log_unverified_fixes": (log_signal_counts, _FIXES), "d3_dependencies": (d3_dependencies, _D3), "d2d_branch_edits": (d2d_branch_edits, _d2d_sql()),
         "normalised_b": (normalised_b, _B), "normalised_c": (normalised_c, _C),

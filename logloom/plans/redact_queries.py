@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dotenv
+from ..functions import dotenv, redaction
 from ..functions.paths import marker
 from ..operators import redact
 
@@ -118,5 +118,28 @@ SELECT event_id, CASE f WHEN 0 THEN m || ' > cfg' || r || '/.env' WHEN 1 THEN 'c
 FROM (SELECT event_id, event_id % 12 AS f, CAST(event_id % 9 AS VARCHAR) AS r, '{_M}' AS m FROM events) t"""
 
 
+#: Commands by which clients take a password: what stands before it and behind it, with ``{r}`` for a digit of the event's.
+_CLIENT_FORMS = (
+    ("htpasswd -nb bob ", ""), ("htpasswd -b pw{r} bob ", ""), ("sqlplus u{r}/", ""), ("smbclient //h/s{r} ", " -c ls"), ("net use Z: /user:u{r} ", ""), ("composer config http-basic.h{r} u ", ""), ("poetry config pypi-token.p{r} ", ""),
+    ("aws configure set aws_secret_access_key ", ""), ("npm config set //r{r}/:_authToken ", ""), ("setx DB_PASSWORD ", ""), ("cd a && ./run{r}.sh --key ", " prod"), ("echo ", " | docker login --password-stdin"), ("mysql -p", " db{r}"), ("sshpass -p ", " ssh h{r}"),
+    ("setx EDITOR ", ""), ("npm config set registry ", ""), ("./run{r}.sh --name ", ""), ("net view ", ""), ("htpasswd -c f{r} ", ""),
+)
+_KEPT_FROM = 14
+
+
+def client_passwords(spark: SparkSession, sf: str) -> DataFrame:
+    """An event's command with a password at the place where its client takes one, or a word where none does; all rules are run."""
+    e, k = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    put = lambda x: F.replace(F.lit(x), F.lit("{r}"), (k % 9).cast("string"))
+    forms = [F.concat(put(a), F.lit("hunter2abcd12efgh"), k.cast("string"), put(b)) for a, b in _CLIENT_FORMS]
+    made = F.coalesce(*(F.when(k % len(forms) == n, x) for n, x in enumerate(forms)))
+    return e.select("event_id", redaction.redacted_by(redaction.RULES)(made).alias("command"))
+
+
+_CLIENTS = "SELECT event_id, CASE event_id % " + str(len(_CLIENT_FORMS)) + "".join(
+    f" WHEN {n} THEN replace('{a}', '{{r}}', r) || {chr(39) + marker('assignment') + chr(39) if n < _KEPT_FROM else chr(39) + 'hunter2abcd12efgh' + chr(39) + ' || event_id'} || replace('{b}', '{{r}}', r)" for n, (a, b) in enumerate(_CLIENT_FORMS)
+) + " END AS command FROM (SELECT event_id, CAST(event_id % 9 AS VARCHAR) AS r FROM events) t"
+
+
 def queries() -> dict:
-    return {"log_dotenv_cuts": (log_dotenv_cuts, _CUTS), "log_redactions": (log_redactions, _COUNTS), "dotenv_commands": (dotenv_commands, _COMMANDS)}
+    return {"log_dotenv_cuts": (log_dotenv_cuts, _CUTS), "log_redactions": (log_redactions, _COUNTS), "dotenv_commands": (dotenv_commands, _COMMANDS), "client_passwords": (client_passwords, _CLIENTS)}

@@ -102,7 +102,16 @@ def test_rules_find_and_keep_markers(text, kind):
     assert redaction.apply_rules(out) == out
 
 
-@pytest.mark.parametrize("text", ["token = getToken(request)", "max_tokens: 4096000000", "the password is checked below", "tokenizer: fast", "auth: described elsewhere", "secret = $SECRET_FROM_ENV"])
+@pytest.mark.parametrize("text", [
+    "htpasswd -nb bob @", "htpasswd -cb .htpasswd bob @", "sqlplus -S scott/@", "smbclient //h/share @ -c ls", "net use Z: \\\\h\\s /user:ann @", "poetry config --local pypi-token.pypi @", "composer config http-basic.repo.x ann @", "aws configure set aws_secret_access_key @",
+    "npm config set //reg/:_authToken '@'", "setx DB_PASSWORD @", "set -gx API_TOKEN @", '[Environment]::SetEnvironmentVariable("DB_PASSWORD", "@", "User")', "./deploy.sh --key @ prod", "echo @ | docker login --password-stdin", "ls; sudo htpasswd -nb bob @ | cat",
+])
+def test_passwords_by_their_place(text):
+    out = redaction.apply_rules(text.replace("@", "abcd12efgh34ij"))
+    assert out == text.replace("@", paths.marker("assignment")) and redaction.apply_rules(out) == out
+
+
+@pytest.mark.parametrize("text", ["htpasswd -c f bob", "net use", "the net use of it", "set -x; ls", "setenv PATH /usr/bin", "npm config set registry https://x", "./run -p 8080", "smbclient -L h", "sqlplus -V", "token = getToken(request)", "max_tokens: 4096000000", "the password is checked below", "tokenizer: fast", "auth: described elsewhere", "secret = $SECRET_FROM_ENV"])
 def test_rules_leave_plain_text(text):
     assert redaction.apply_rules(text) == text
 
