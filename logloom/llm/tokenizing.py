@@ -1,8 +1,9 @@
-"""Token ids of whole texts through the tokenizers library, with a cache of space-led chunks.
+"""Token ids of whole texts through the tokenizers library, with a cache of chunks.
 
 A byte-level BPE never merges across the places where its splitting pattern cuts, and that pattern
-always cuts before a space which a non-space follows. So a text is cut at those places, each
-distinct chunk is encoded once per Python worker, and a text's ids are the concatenation. A text that
+always cuts before a space which a non-space follows, around a line end between two non-spaces, and between letters and the signs behind
+them. So a text is cut at those places, each distinct chunk is encoded once per Python worker while it is remembered, and a text's
+ids are the concatenation. A text that
 holds an added token of the vocabulary (such as ``<|endoftext|>``) is encoded whole: the library gives
 that token its own id and splits the rest around it.
 """
@@ -15,17 +16,52 @@ import struct
 
 from . import shared
 
-#: Chunks that a worker remembers, about 200 bytes each; at this size the cache starts anew.
-CACHE_CHUNKS = 800_000
+#: Chunks that a worker remembers, about 200 bytes each: half of them in use, half from before, of which those that come up again are kept.
+CACHE_CHUNKS = 1_200_000
 _SPACES = re.compile(r" (?=\s|\Z)")
+_RUNS = re.compile(r"\s\s|\s\Z")
 _CUT = re.compile(r" (?=\S)")
-#: Marks that the splitting pattern always parts from a letter before them, at the end of a chunk.
-_MARKS = ".,:;!?|"
+#: Signs at a chunk's end, which the splitting pattern always parts from letters before them; an apostrophe may begin a part of its own.
+_SIGNS_BEHIND = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 _encoders: dict[str, "Encoder"] = {}
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_signs() -> dict[int, int]:
+    """The characters that byte-level vocabularies write for bytes that aren't printable; other bytes are written as themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_SIGNS = _byte_signs()
+#: Letters below this code point are letters in every version of the tables that tell letters apart.
+_LATIN_END = "\u0250"
+
+
+class _Chunks(dict):
+    """Ids of chunks; one that isn't there is taken from those of before, or encoded, when it is asked for."""
+
+    def __init__(self, encode, before: dict | None = None):
+        super().__init__({"": b""})
+        self._encode, self._before = encode, before or {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._before.get(chunk)
+        if ids is None:
+            ids = self._encode(chunk)
+        self[chunk] = ids
+        return ids
+
+    def renewed(self) -> _Chunks:
+        self._before = {}
+        return _Chunks(self._encode, self)
 
 
 class Encoder:
@@ -37,51 +73,49 @@ class Encoder:
         #: Strings that the library takes for one token wherever they stand.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.led: dict[str, bytes] = {"": b""}
+        self.led, self.tails = _Chunks(self._chunk), _Chunks(lambda x: self._raw([x])[0])
         space = self._raw([" "])[0]
         #: The sign that a space becomes inside the model; None if the file isn't byte-level.
         self.sign = next((x for x in ("\u0120",) if _pack([t.id for t in self.model.tokenize(x)]) == space), None)
-        self.marks = dict(zip(_MARKS, self._raw(list(_MARKS)), strict=True))
+        self.line_end = self._raw(["\n"])[0]
 
     def _raw(self, chunks: list[str]) -> list[bytes]:
         return [_pack(x.ids) for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Add chunks to the cache. ASCII letters are one part of the splitting pattern, so they go to the model at once."""
-        led, other = self.led, []
-        for x in fresh:
-            stem, mark = (x[:-1], x[-1]) if x[-1] in self.marks else (x, "")
-            if not (self.sign and stem.isalpha() and stem.isascii()):
-                other.append(x)
-                continue
-            ids = led.get(stem)
-            if ids is None:
-                ids = led[stem] = _pack([t.id for t in self.model.tokenize(self.sign + stem)])
-            if mark:
-                led[x] = ids + self.marks[mark]
-        led.update(zip(other, self._raw([" " + x for x in other]), strict=True))
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk behind a space, or behind a line end that it begins with. Latin letters are one part of the splitting pattern and go to the model at once."""
+        if self.sign and chunk.isascii() and chunk.isalpha():  # the usual case
+            return _pack([t.id for t in self.model.tokenize(self.sign + chunk)])
+        behind = chunk[0] == "\n"
+        body = chunk[1:] if behind else chunk
+        signs = _SIGNS_BEHIND.search(body)
+        stem = body[: signs.start()] if signs else body
+        if not (self.sign and stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END)):
+            return self.line_end + self._raw([body])[0] if behind else self._raw([" " + body])[0]
+        if signs:
+            tail = signs.group()
+            return self.led[chunk[: len(chunk) - len(tail)]] + (self.tails[tail] if len(tail) < 9 else self._raw([tail])[0])
+        written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SIGNS)
+        ids = _pack([t.id for t in self.model.tokenize(written if behind else self.sign + written)])
+        return self.line_end + ids if behind else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.led) > CACHE_CHUNKS:
-            self.led = {"": b""}
+        if 2 * len(self.led) > CACHE_CHUNKS:
+            self.led = self.led.renewed()
+        if len(self.tails) > 100_000:
+            self.tails = self.tails.renewed()
         whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
         if whole:
             found = dict(zip(whole, self._raw([texts[k] for k in whole]), strict=True))
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in found]))
             return [found[k] if k in found else next(rest) for k in range(len(texts))]
-        get = self.led.get
-        cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) for t in texts]
-        heads = self._raw([x[0] for x in cut])
-        found = []
-        for x in cut:
-            x[0] = ""
-            found.append(list(map(get, x)))
-        fresh = {x for xs, ids in zip(cut, found, strict=True) if None in ids for x, y in zip(xs, ids, strict=True) if y is None}
-        if fresh:
-            self._learn(fresh)
-            found = [list(map(get, xs)) if None in ids else ids for xs, ids in zip(cut, found, strict=True)]
-        return [head + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
+        get, out = self.led.__getitem__, []
+        cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) if _RUNS.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        for head, chunks in zip(self._raw([x[0] for x in cut]), cut, strict=True):
+            chunks[0] = ""
+            out.append(head + b"".join(map(get, chunks)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
