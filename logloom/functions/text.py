@@ -94,9 +94,9 @@ def break_length(ms: Column) -> Column:
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(hours)
 
 
-def listed(names: Column, most: int) -> Column:
-    """"a, b and 2 more" of an array of names."""
-    more = F.size(names) - most
+def listed(names: Column, most: int, of: Column | None = None) -> Column:
+    """"a, b and 2 more" of an array of names, or of ``of`` names that it begins."""
+    more = (F.size(names) if of is None else of) - most
     return F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
 
 

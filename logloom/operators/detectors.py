@@ -80,15 +80,22 @@ def git_reverts(calls: DataFrame, edits: DataFrame) -> DataFrame:
     files = edits.groupBy("session_id", "file_path").agg(F.min("edit_seq").alias("file_order"), F.min_by(F.struct("record_index", "ts_raw"), "edit_seq").alias("earliest"))
     files = files.withColumn("base", t.basename(F.col("file_path")))
     slim = c.select("session_id", "record_index", "call_seq", "uuid", "tool_use_id", "ts_raw", "targets")
-    # Names meet files by equality; only what discards everything meets all files of its session.
+    # Names meet files by equality.
     named = slim.where("NOT targets.everything").select("*", F.explode("targets.names").alias("base")).join(files, ["session_id", "base"])
-    whole = slim.where("targets.everything").join(files, "session_id")
-    met = named.unionByName(whole).where(F.col("earliest.record_index") < F.col("record_index"))
-    per = met.groupBy("session_id", "record_index", "call_seq", "uuid", "tool_use_id", "ts_raw").agg(
-        F.sort_array(F.collect_list(F.struct("file_order", "file_path", "base"))).alias("files"), F.min("earliest.ts_raw").alias("since")
-    )
-    n = F.size("files")
-    many = F.concat(F.lit("edits to "), n.cast("string"), F.lit(" files were discarded by a git command: "), t.listed(F.transform("files", lambda x: x["base"]), 5))
+    met = named.where(F.col("earliest.record_index") < F.col("record_index"))
+    call = ["session_id", "record_index", "call_seq", "uuid", "tool_use_id", "ts_raw"]
+    some = met.groupBy(*call).agg(F.sort_array(F.collect_list(F.struct("file_order", "file_path", "base"))).alias("files"), F.min("earliest.ts_raw").alias("since")).withColumn("n", F.size("files"))
+    # What discards everything meets the files that were edited before it, and those are the first ones of its session: how many, and since when, are
+    # running values over files and commands together, and the names that are listed are among the session's first five.
+    first = files.withColumn("_rank", F.row_number().over(Window.partitionBy("session_id").orderBy("file_order"))).where(F.col("_rank") <= 5)
+    first = first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("file_order", "file_path", "base"))).alias("files"))
+    marks_ = files.select("session_id", F.col("earliest.record_index").alias("record_index"), F.lit(True).alias("_file"), F.col("earliest.ts_raw").alias("_since"))
+    both = slim.where("targets.everything").select(*call, F.lit(False).alias("_file")).unionByName(marks_, allowMissingColumns=True)
+    so_far = Window.partitionBy("session_id").orderBy("record_index", "_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = both.withColumn("n", F.count_if("_file").over(so_far).cast("int")).withColumn("since", F.min("_since").over(so_far)).where("NOT _file AND n > 0")
+    whole = whole.join(first, "session_id").select(*call, F.slice("files", F.lit(1), F.least("n", F.lit(5))).alias("files"), "since", "n")
+    per, n = some.select(*call, "files", "since", "n").unionByName(whole), F.col("n")
+    many = F.concat(F.lit("edits to "), n.cast("string"), F.lit(" files were discarded by a git command: "), t.listed(F.transform("files", lambda x: x["base"]), 5, n))
     detail = F.when(n == 1, "edits to this file were discarded by a git command").otherwise(many)
     return _signal(per, "abandoned_approach", F.lit(0.75), detail, F.when(n == 1, F.get("files", F.lit(0))["file_path"]), F.col("since"))
 
@@ -176,13 +183,20 @@ def unverified_fix(calls: DataFrame, edits: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("record_index", "uuid", "tool_use_id", "ts_raw"), "edit_seq").alias("last")
     per = code.groupBy("session_id", "file_path").agg(last, F.min("edit_seq").alias("file_order")).join(checks, "session_id", "left")
     stale = per.where(F.col("last.record_index") > F.coalesce("last_check", F.lit(-1)))
-    one = stale.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("last.record_index", "file_order", "file_path", "last"))).alias("s"), F.max("last_check").alias("last_check"))
-    names = F.array_distinct(F.transform("s", lambda x: t.basename(x["file_path"])))
+    # Only the first three names, the first file and the last one are told, so no list of all files is made.
+    place = F.struct("last.record_index", "file_order")
+    bases = stale.groupBy("session_id", t.basename(F.col("file_path")).alias("base")).agg(F.min(place).alias("place"))
+    ranked = bases.withColumn("_rank", F.row_number().over(Window.partitionBy("session_id").orderBy("place", "base"))).where(F.col("_rank") <= 3)
+    names = ranked.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "base"))), lambda x: x["base"]).alias("names"))
+    counted = bases.groupBy("session_id").agg(F.count("*").cast("int").alias("n_names"))
+    file = F.struct("last.record_index", "file_order", "file_path", "last")
+    one = stale.groupBy("session_id").agg(F.min(file).alias("start"), F.max(file).alias("end"), F.count("*").alias("n"), F.max("last_check").alias("last_check"))
+    one = one.join(names, "session_id").join(counted, "session_id")
     none = F.col("last_check").isNull()
-    detail = F.concat(F.when(none, "no test, build or lint command ran in the whole session: ").otherwise("edited after the last test or build run, never checked again: "), t.listed(names, 3))
+    detail = F.concat(F.when(none, "no test, build or lint command ran in the whole session: ").otherwise("edited after the last test or build run, never checked again: "), t.listed(F.col("names"), 3, F.col("n_names")))
     # Of equal record indexes the later file comes last, as a stable sort leaves it.
-    e = one.withColumn("end", F.element_at("s", -1)).select("session_id", "s", "last_check", "end.last.*", F.col("end.file_path").alias("end_path"), detail.alias("why"))
-    return _signal(e, "unverified_fix", F.when(F.col("last_check").isNull(), 0.5).otherwise(0.6), F.col("why"), F.when(F.size("s") == 1, F.col("end_path")), F.get("s", F.lit(0))["last"]["ts_raw"], seq=F.lit(0))
+    e = one.select("session_id", "start", "n", "last_check", "end.last.*", F.col("end.file_path").alias("end_path"), detail.alias("why"))
+    return _signal(e, "unverified_fix", F.when(F.col("last_check").isNull(), 0.5).otherwise(0.6), F.col("why"), F.when(F.col("n") == 1, F.col("end_path")), F.col("start.last.ts_raw"), seq=F.lit(0))
 
 
 def error_suppressed(calls: DataFrame, edits: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, redaction
 from ..functions import text as t
 from ..operators import commits, detectors, graph, incremental, order, report
-from . import case_queries, log_queries, redact_queries, table_queries
+from . import case_queries, form_queries, log_queries, redact_queries, table_queries
 
 _RAW = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -472,7 +472,7 @@ _QUERIES = {
 
 def _all() -> dict:
     # Some of them are built from what is defined above.
-    return _QUERIES | log_queries.queries() | redact_queries.queries() | table_queries.queries() | case_queries.queries()
+    return _QUERIES | log_queries.queries() | redact_queries.queries() | table_queries.queries() | form_queries.queries() | case_queries.queries()
 
 
 def queries() -> dict:
