@@ -73,7 +73,9 @@ class Encoder:
         #: Strings that the library takes for one token wherever they stand.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.led, self.tails = _Chunks(self._chunk), _Chunks(lambda x: self._raw([x])[0])
+        self.led = _Chunks(self._chunk)
+        #: Of a text's beginning, and of signs behind letters: what is no chunk behind a space.
+        self.heads, self.tails = _Chunks(lambda x: self._raw([x])[0]), _Chunks(lambda x: self._raw([x])[0])
         space = self._raw([" "])[0]
         #: The sign that a space becomes inside the model; None if the file isn't byte-level.
         self.sign = next((x for x in ("\u0120",) if _pack([t.id for t in self.model.tokenize(x)]) == space), None)
@@ -103,17 +105,21 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if 2 * len(self.led) > CACHE_CHUNKS:
             self.led = self.led.renewed()
-        if len(self.tails) > 100_000:
-            self.tails = self.tails.renewed()
+        for name in ("heads", "tails"):
+            if len(getattr(self, name)) > 50_000:
+                setattr(self, name, getattr(self, name).renewed())
         whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
         if whole:
             found = dict(zip(whole, self._raw([texts[k] for k in whole]), strict=True))
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in found]))
             return [found[k] if k in found else next(rest) for k in range(len(texts))]
         get, out = self.led.__getitem__, []
-        cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) if _RUNS.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        for head, chunks in zip(self._raw([x[0] for x in cut]), cut, strict=True):
-            chunks[0] = ""
+        for t in texts:
+            if not _RUNS.search(t):
+                chunks = t.replace("\n", " \n").split(" ")
+            else:
+                chunks = _CUT.split(t) if _SPACES.search(t) else t.split(" ")
+            head, chunks[0] = self.heads[chunks[0]], ""
             out.append(head + b"".join(map(get, chunks)))
         return out
 
