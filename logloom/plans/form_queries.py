@@ -125,7 +125,7 @@ def queries() -> dict:
     made = {f"command_{q}": (_query(_ASK[q], _columns(COMMANDS, 0)[0]), _sql(_columns(COMMANDS, n + 1)[0])) for n, q in enumerate(_QUESTIONS)}
     tools = lambda v: ",".join(f"{c['name']} {c['input']['file_path']}" for c in patch.parse_patch(v))
     plain = {
-        "redacted_forms": (redaction.redacted_by(redaction.RULES), SECRETS), "masked_forms": (lambda x: paths.mask_text_of(x, _put("/home/ann/p{r}")), PATHS), "learned_forms": (lambda x: _udf(lambda v: ",".join(sorted(set(dotenv.learned(v)))), x), LINES),
+        "redacted_forms": (lambda x: redaction.redacted_by(redaction.RULES)(x), SECRETS), "masked_forms": (lambda x: paths.mask_text_of(x, _put("/home/ann/p{r}")), PATHS), "learned_forms": (lambda x: _udf(lambda v: ",".join(sorted(set(dotenv.learned(v)))), x), LINES),
         "remote_forms": (t.remote_name, REMOTES), "argv_forms": (lambda x: _udf(lambda v: shell.argv_command(v.split("|")), x), ARGV), "patch_forms": (lambda x: _udf(tools, x), PATCHES),
         "secret_keys": (lambda x: _udf(lambda k, v: str(redaction.sensitive(k, v)).lower(), x, _put("hunter2{k}")), KEYS),
     }
