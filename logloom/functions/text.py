@@ -87,6 +87,11 @@ def sides(old: Column, new: Column) -> Column:
     return F.sha1(F.concat(F.length(old).cast("string"), F.lit(":"), old, new).cast("binary"))
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since the epoch, rounded to the nearest, halves away from it."""
+    return F.call_function("div", F.round(F.unix_micros(ts), -3), F.lit(1000))
+
+
 def break_length(ms: Column) -> Column:
     """47m, or 2h05; halves are rounded up."""
     minutes = F.floor(ms / 60000 + 0.5)

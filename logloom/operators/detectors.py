@@ -227,7 +227,7 @@ def pauses(calls: DataFrame) -> DataFrame:
     A gap is to the call before, even one without a time, which hides it.
     """
     by = Window.partitionBy("session_id").orderBy("call_seq")
-    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(by))
+    gap = t.millis(F.col("ts")) - t.millis(F.lag("ts").over(by))
     c = calls.withColumn("gap", gap).withColumn("paused_at", F.lag("ts_raw").over(by)).withColumn("opens", F.coalesce(F.col("gap") >= fixed.PAUSE_MS, F.lit(False)))
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.withColumn("pause", F.count_if("opens").over(running))

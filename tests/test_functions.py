@@ -241,3 +241,11 @@ def test_commits(spark):
     assert [r.session_id for r in commits.moved_blobs(head, marked).collect()] == ["s"]
     tiers = spark.createDataFrame([("c", "s", 2, 9), ("c", "t", 1, 5), ("c", "u", 1, 7)], "sha string, session_id string, tier int, active_at int")
     assert commits.choose_session(tiers).first().session_id == "u"
+
+
+def test_milliseconds_are_rounded(spark):
+    """Cut to whole milliseconds, this gap of 52 229 999.7 ms would be 52 230 000 and so a minute more."""
+    at = lambda x: t.millis(F.to_timestamp(F.lit(x)))
+    gap = at("2024-01-11 16:28:15.474490") - at("2024-01-11 01:57:45.474781")
+    assert one(spark, gap) == 52_229_999 and one(spark, t.break_length(gap)) == "14h30"
+    assert one(spark, at("1970-01-01 00:00:00.0005")) == 1 and one(spark, at("1969-12-31 23:59:59.9995")) == -1
