@@ -1,11 +1,14 @@
 """From lines to records, blocks, calls, edits, reads and one row of metadata per session.
 
 Every table carries (session_id, record_index, ...), for Spark rows have no order of their own. All
-joins and windows are on session_id, so one exchange by session serves them.
+joins and windows are on session_id, so one exchange by session serves them. A table derived from another
+reads it once: what a line, a call or a session is told by is gathered in one pass, not by joining passes.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +32,39 @@ def _true(v: Column | str, path: str) -> Column:
     return F.coalesce((F.schema_of_variant(at) == "BOOLEAN") & _get(v, path, "boolean"), F.lit(False))
 
 
+def _is_object(v: Column | str) -> Column:
+    """Whether a value is an object, without spelling out the schema of all that it holds."""
+    return _get(v, "$", "struct<type:variant>").isNotNull()
+
+
+#: What JSON and line readers call white space.
+_BLANK = (" ", "\t", "\n", "\x0b", "\f", "\r", "\ufeff", "\xa0")
+
+
+def _trimmed(line: Column) -> Column:
+    """A line without the white space around it; most have none and never meet the pattern."""
+    blank = functools.reduce(lambda a, b: a | b, (line.startswith(x) | line.endswith(x) for x in _BLANK))
+    return F.when(blank, F.regexp_replace(line, r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+\z", "")).otherwise(line)
+
+
 def read(raw: DataFrame) -> DataFrame:
     """Lines (line) with status (blank, malformed, not_an_object, record) and the record as VARIANT; each line by itself.
 
     A line that is too long, or that a budget has ``refused``, isn't parsed.
     """
-    # The trimmed set is fixed: what JSON and line readers call white space.
-    trimmed = F.regexp_replace("line", r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+\z", "")
     unread = F.length("line") > fixed.LINE_CHARS
     unread = unread | F.col("refused") if "refused" in raw.columns else unread
-    parsed = F.when((F.length(trimmed) <= fixed.LINE_CHARS) & ~unread, F.try_parse_json(trimmed))
-    out = raw.withColumn("raw", parsed)
+    own = F.col("_trimmed")
+    parsed = F.when((F.length(own) <= fixed.LINE_CHARS) & ~unread, F.try_parse_json(own))
+    # Exploded, for a filter moves below what explodes only without its columns; below a projection it would parse each line anew for each use.
+    out = raw.withColumn("_trimmed", _trimmed(F.col("line"))).withColumn("_read", F.explode_outer(F.array(F.struct(own.alias("trimmed"), parsed.alias("raw")))))
+    out, trimmed = out.withColumn("raw", F.col("_read.raw")), F.col("_read.trimmed")
+    # JSON that begins with a brace is an object.
     status = (
         F.when(trimmed == "", "blank").when(F.col("raw").isNull(), "malformed")
-        .when(~F.schema_of_variant("raw").startswith("OBJECT"), "not_an_object").otherwise("record")
+        .when(~trimmed.startswith("{"), "not_an_object").otherwise("record")
     )
-    return out.withColumn("status", status).withColumn("oversize", unread)
+    return out.withColumn("status", status).withColumn("oversize", unread).drop("_trimmed", "_read")
 
 
 def lines(raw: DataFrame) -> DataFrame:
@@ -56,10 +76,11 @@ def lines(raw: DataFrame) -> DataFrame:
 
 
 def records(numbered: DataFrame) -> DataFrame:
-    r = numbered.where("status = 'record'")
-    return r.select(
-        "session_id",
-        "record_index",
+    return numbered.where("status = 'record'").select("session_id", "record_index", *_fields(), "raw")
+
+
+def _fields() -> list[Column]:
+    return [
         F.coalesce(as_string(_text("raw", "$.type")), F.lit("unknown")).alias("type"),
         _text("raw", "$.uuid").alias("uuid"),
         F.coalesce(_text("raw", "$.parentUuid"), _text("raw", "$.logicalParentUuid")).alias("parent"),
@@ -71,25 +92,23 @@ def records(numbered: DataFrame) -> DataFrame:
         as_string(_text("raw", "$.gitBranch")).alias("git_branch"),
         as_string(_text("raw", "$.version")).alias("version"),
         _text("raw", "$.parentToolUseID").alias("parent_call"),
-        "raw",
-    )
+    ]
 
 
 def _joined_parts(content: Column) -> Column:
     """Text of a result's content: a string, or the strings and texts of its parts by line."""
-    kind = F.schema_of_variant(content)
     parts = F.try_variant_get(content, "$", "array<variant>")
     texts = F.transform(parts, lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(_text(p, "$.text")))
     joined = F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
-    return F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(kind.startswith("ARRAY"), joined).otherwise("")
+    return F.when(parts.isNotNull(), joined).when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise("")
 
 
 def _items() -> Column:
     """The items of a record's content; a string is one text item."""
     content = _get("raw", "$.message.content", "variant")
-    kind = F.schema_of_variant(content)
+    listed = _get("raw", "$.message.content", "array<variant>")
     whole = F.to_json(F.struct(F.lit("text").alias("type"), _get("raw", "$.message.content").alias("text")))
-    return F.when(kind == "STRING", F.array(F.parse_json(whole))).when(kind.startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+    return F.when(listed.isNotNull(), listed).when(F.schema_of_variant(content) == "STRING", F.array(F.parse_json(whole)))
 
 
 def time_of() -> Column:
@@ -109,8 +128,13 @@ def call_events() -> Column:
 def blocks(recs: DataFrame) -> DataFrame:
     """Content blocks; a string is one text block, items that are no objects are left out, requests have none."""
     r = recs.where(~F.col("type").isin(*fixed.REQUEST_RECORDS))
-    items = _items()
-    out = r.select("*", F.posexplode(items).alias("block_index", "block")).where(F.schema_of_variant("block").startswith("OBJECT"))
+    # An outer explode, for an inner one would make the items again to see whether there are any.
+    out = r.select("*", F.posexplode_outer(_items()).alias("block_index", "block")).where(_is_object("block"))
+    return _told(out)
+
+
+def _told(out: DataFrame) -> DataFrame:
+    """Blocks with their type and text."""
     out = out.withColumn("block_type", F.coalesce(as_string(_text("block", "$.type")), F.lit("unknown")))
     text = (
         F.when(F.col("block_type") == "text", as_string(_text("block", "$.text")))
@@ -123,36 +147,30 @@ def blocks(recs: DataFrame) -> DataFrame:
 def results(blks: DataFrame) -> DataFrame:
     """Tool results: target, flags, output, and a file's content where all of it was read."""
     b = blks.where("block_type = 'tool_result'")
-    detail, said = "$.toolUseResult", _text("raw", "$.toolUseResult")
-    first, n, total = (_get("raw", f"{detail}.file.{k}", "bigint") for k in ("startLine", "numLines", "totalLines"))
     return b.select(
-        "session_id",
-        F.col("record_index").alias("result_index"),
-        F.col("block_index").alias("result_block"),
-        as_string(_text("block", "$.tool_use_id")).alias("tool_use_id"),
-        F.struct(
-            "record_index",
-            _true("block", "$.is_error").alias("is_error"),
-            F.coalesce(as_string(F.col("text")), said, F.lit("")).alias("text"),
-            _text("raw", f"{detail}.stdout").alias("stdout"),
-            _text("raw", f"{detail}.stderr").alias("stderr"),
-            F.when((first == 1) & (n == total), _text("raw", f"{detail}.file.content")).alias("file_content"),
-            _true("raw", f"{detail}.interrupted").alias("interrupted"),
-        ).alias("result"),
-        _get("raw", f"{detail}.toolStats.editFileCount", "double").alias("edited_files"),
-    )
+        "session_id", F.col("record_index").alias("result_index"), F.col("block_index").alias("result_block"), as_string(_text("block", "$.tool_use_id")).alias("tool_use_id"),
+        _result().alias("result"), _edited_files().alias("edited_files"),
+    )
 
 
-def last_result_per_call(uses: DataFrame, found: DataFrame) -> DataFrame:
-    """Each call with the last result that names it and comes after it.
+_DETAIL = "$.toolUseResult"
 
-    A result goes to the latest call of its id before it; of a call's results the last one stays.
-    """
-    place = lambda r, b: F.struct(r.alias("r"), b.alias("b"))
-    u = uses.select("session_id", "tool_use_id", "record_index", "block_index", "call_seq")
-    hits = found.join(u, ["session_id", "tool_use_id"]).where(place(F.col("record_index"), F.col("block_index")) < place(F.col("result_index"), F.col("result_block")))
-    latest = hits.groupBy("session_id", "tool_use_id", "result_index", "result_block").agg(F.max("call_seq").alias("call_seq"), F.first("result").alias("result"), F.first("edited_files").alias("edited_files"))
-    return with_last(uses, latest)
+
+def _result() -> Column:
+    first, n, total = (_get("raw", f"{_DETAIL}.file.{k}", "bigint") for k in ("startLine", "numLines", "totalLines"))
+    return F.struct(
+        "record_index",
+        _true("block", "$.is_error").alias("is_error"),
+        F.coalesce(as_string(F.col("text")), _text("raw", _DETAIL), F.lit("")).alias("text"),
+        _text("raw", f"{_DETAIL}.stdout").alias("stdout"),
+        _text("raw", f"{_DETAIL}.stderr").alias("stderr"),
+        F.when((first == 1) & (n == total), _text("raw", f"{_DETAIL}.file.content")).alias("file_content"),
+        _true("raw", f"{_DETAIL}.interrupted").alias("interrupted"),
+    )
+
+
+def _edited_files() -> Column:
+    return _get("raw", f"{_DETAIL}.toolStats.editFileCount", "double")
 
 
 def with_last(uses: DataFrame, latest: DataFrame) -> DataFrame:
@@ -165,18 +183,37 @@ def with_last(uses: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def calls(blks: DataFrame) -> DataFrame:
-    """Tool calls with id and name, numbered in order, with their final result."""
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("record_index", "block_index")) - 1
-    return last_result_per_call(with_arguments(uses_in(blks).withColumn("call_seq", seq)), results(blks))
+    """Tool calls with id and name, numbered in order, with their final result.
+
+    A result goes to the latest call of its id before it; of a call's results the last one stays. Calls and results are read in one pass and
+    stay where their session is: running counts of calls, over the session and over an id, tell which results are whose.
+    """
+    of = F.col("block_type")
+    b = blks.where(of.isin("tool_use", "tool_result")).withColumn("uses", of == "tool_use")
+    asked = lambda c: F.when(F.col("uses"), c)
+    e = b.select(
+        "session_id", "record_index", "block_index", "uses", as_string(F.when(F.col("uses"), _text("block", "$.id")).otherwise(_text("block", "$.tool_use_id"))).alias("tool_use_id"),
+        asked(as_string(_text("block", "$.name"))).alias("name"), asked(_input()).alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
+        F.when(~F.col("uses"), _result()).alias("result"), F.when(~F.col("uses"), _edited_files().isNotNull()).alias("counted"),
+    ).where("tool_use_id IS NOT NULL AND (name IS NOT NULL OR NOT uses)")
+    within = lambda *by: Window.partitionBy("session_id", *by).orderBy("record_index", "block_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("call_seq", (F.count_if("uses").over(within()) - 1).cast("int"))
+    e = e.withColumn("turn", F.count_if("uses").over(within("tool_use_id"))).where("turn > 0")
+    whole = within("tool_use_id", "turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = e.withColumn("result", F.last("result", ignorenulls=True).over(whole)).withColumn("counted", F.coalesce(F.max("counted").over(whole), F.lit(False)))
+    return with_arguments(e.where("uses").drop("uses", "turn"))
+
+
+def _input() -> Column:
+    given = _get("block", "$.input", "variant")
+    return F.when(_is_object(given), given).otherwise(F.parse_json(F.lit("{}")))
 
 
 def uses_in(blks: DataFrame) -> DataFrame:
     b = blks.where("block_type = 'tool_use'")
-    given = _get("block", "$.input", "variant")
-    given = F.when(F.schema_of_variant(given).startswith("OBJECT"), given).otherwise(F.parse_json(F.lit("{}")))
     return b.select(
         "session_id", "record_index", "block_index", as_string(_text("block", "$.id")).alias("tool_use_id"), as_string(_text("block", "$.name")).alias("name"),
-        given.alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
+        _input().alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
     ).where("tool_use_id IS NOT NULL AND name IS NOT NULL")
 
 
@@ -189,22 +226,22 @@ def with_arguments(uses: DataFrame) -> DataFrame:
 
 def edits(uses: DataFrame) -> DataFrame:
     """File edits: of edit tools, one per step, and of shell commands that rewrite files in place, without sides."""
-    path = F.coalesce("file_path", as_string(_text("input", "$.notebook_path")))
-    tool = uses.where(F.col("name").isin(*fixed.EDIT_TOOLS)).withColumn("path", path).where("path IS NOT NULL")
-    steps = F.try_variant_get("input", "$.edits", "array<variant>")
-    listed = F.schema_of_variant(_get("input", "$.edits", "variant")).startswith("ARRAY")
-    many = tool.where(listed).select("*", F.posexplode(steps).alias("step", "edit")).where(F.schema_of_variant("edit").startswith("OBJECT"))
-    common = ["session_id", "record_index", "block_index", "call_seq", "tool_use_id", F.col("name").alias("tool"), "uuid", "ts_raw", "ts", F.col("path").alias("file_path")]
-    several = many.select(*common, "step", as_string(_text("edit", "$.old_string")).alias("old_string"), _text("edit", "$.new_string").alias("new_string"), F.lit(None).cast("string").alias("content"))
-    single = tool.where(~F.coalesce(listed, F.lit(False))).select(
-        *common, F.lit(0).alias("step"), as_string(_text("input", "$.old_string")).alias("old_string"),
-        F.coalesce(_text("input", "$.new_string"), _text("input", "$.new_source")).alias("new_string"), as_string(_text("input", "$.content")).alias("content"),
-    )
-    bash = uses.where("command IS NOT NULL").where(F.col("command").rlike("sed|awk|perl|ruby"))
-    shelled = bash.select("*", F.posexplode(shell.edit_paths_of(F.col("command"), F.coalesce("cwd", F.lit("")))).alias("step", "path"))
+    tool = F.col("name").isin(*fixed.EDIT_TOOLS)
+    path = F.when(tool, F.coalesce("file_path", as_string(_text("input", "$.notebook_path"))))
+    # Python is given only what it has to read; other rows go to it as nulls and come back as null.
+    shelled = F.when(~tool & F.col("command").rlike("sed|awk|perl|ruby"), F.col("command"))
+    found = uses.withColumn("_path", path).withColumn("_shelled", shelled).where("_path IS NOT NULL OR _shelled IS NOT NULL")
+    found = found.withColumn("_paths", shell.edit_paths_of(F.col("_shelled"), F.when(F.col("_shelled").isNotNull(), F.coalesce("cwd", F.lit("")))))
     none = F.lit(None).cast("string")
-    in_place = shelled.select(*common, "step", none.alias("old_string"), none.alias("new_string"), none.alias("content"))
-    return order_edits(several.unionByName(single).unionByName(in_place))
+    side = lambda step, file, old, new, content: F.struct(step.cast("int").alias("step"), file.alias("file_path"), old.alias("old_string"), new.alias("new_string"), content.alias("content"))
+    steps = F.try_variant_get("input", "$.edits", "array<variant>")
+    numbered = F.filter(F.transform(steps, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: _is_object(s["x"]))
+    several = F.transform(numbered, lambda s: side(s["i"], F.col("_path"), as_string(_text(s["x"], "$.old_string")), _text(s["x"], "$.new_string"), none))
+    single = F.array(side(F.lit(0), F.col("_path"), as_string(_text("input", "$.old_string")), F.coalesce(_text("input", "$.new_string"), _text("input", "$.new_source")), as_string(_text("input", "$.content"))))
+    in_place = F.transform("_paths", lambda p, i: side(i, p, none, none, none))
+    made = F.when(F.col("_path").isNull(), in_place).when(steps.isNotNull(), several).otherwise(single)
+    made = found.select("session_id", "record_index", "block_index", "call_seq", "tool_use_id", F.col("name").alias("tool"), "uuid", "ts_raw", "ts", F.explode_outer(made).alias("e")).where("e IS NOT NULL")
+    return order_edits(made.select(*(c for c in made.columns if c != "e"), "e.*"))
 
 
 def order_edits(found: DataFrame) -> DataFrame:
@@ -216,41 +253,42 @@ def order_edits(found: DataFrame) -> DataFrame:
 
 def reads(uses: DataFrame) -> DataFrame:
     """(session_id, path, record_index) of everything that a call looked at; commands by their words."""
-    looked = uses.where(F.col("name").isin(*fixed.LOOKUP_TOOLS)).select("session_id", F.coalesce("file_path", as_string(_text("input", "$.path"))).alias("path"), "record_index").where("path IS NOT NULL")
-    bash = uses.where("command IS NOT NULL").where(F.col("command").rlike(r"\b(cat|head|tail|less|more|bat|nl|wc|sed|awk|rg|grep|egrep|fgrep|jq|yq|xxd|od|file|stat|diff|git)\b"))
-    shelled = bash.select("session_id", F.explode(shell.read_paths_of(F.col("command"))).alias("path"), "record_index")
-    return looked.union(shelled)
+    looked = F.when(F.col("name").isin(*fixed.LOOKUP_TOOLS), F.coalesce("file_path", as_string(_text("input", "$.path"))))
+    asked = F.when(F.col("command").rlike(r"\b(cat|head|tail|less|more|bat|nl|wc|sed|awk|rg|grep|egrep|fgrep|jq|yq|xxd|od|file|stat|diff|git)\b"), F.col("command"))
+    found = uses.select("session_id", "record_index", looked.alias("looked"), asked.alias("asked")).where("looked IS NOT NULL OR asked IS NOT NULL")
+    found = found.withColumn("paths", shell.read_paths_of(F.col("asked")))
+    own = F.when(F.col("looked").isNotNull(), F.array("looked")).otherwise(F.col("paths"))
+    return found.select("session_id", F.explode_outer(own).alias("path"), "record_index").where("path IS NOT NULL")
 
 
 #: What a command that writes can't do without: a redirection, or one of these programs.
 _MAY_WRITE = ">|<<|" + "|".join((*fixed.MOVERS, *fixed.IN_PLACE_EDITORS, "tee", "git"))
 
 
-def session_meta(numbered: DataFrame, recs: DataFrame, blks: DataFrame, uses: DataFrame) -> DataFrame:
+def session_meta(numbered: DataFrame, uses: DataFrame) -> DataFrame:
     """One row per session: where, when, counts, and whether files were edited."""
     own = ~F.col("is_sidechain")
     last = lambda c: F.coalesce(F.max_by(c, F.when(own & F.col(c).isNotNull(), F.col("record_index"))), F.min_by(c, F.when(F.col(c).isNotNull(), F.col("record_index"))))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("record_index")))
-    base = recs.groupBy("session_id").agg(
+    # One pass over the lines: a row a block, and one for a line without blocks. Lines and records count at their first row.
+    told = numbered.select("session_id", "record_index", "status", "oversize", "raw", *_fields())
+    items = F.when((F.col("status") == "record") & ~F.col("type").isin(*fixed.REQUEST_RECORDS), _items())
+    told = _told(told.select("*", F.posexplode_outer(items).alias("block_index", "block")))
+    head, record = F.coalesce(F.col("block_index") == 0, F.lit(True)), F.col("status") == "record"
+    counted, is_block = (lambda c: F.count_if(head & c)), _is_object("block")
+    thinking = is_block & (F.col("block_type") == "thinking")
+    shown = thinking & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    base = told.groupBy("session_id").agg(
         first("own_session").alias("own_session"), last("cwd").alias("cwd"), last("git_branch").alias("git_branch"), last("version").alias("version"),
-        first("ts_raw").alias("started_at"), F.max("ts_raw").alias("ended_at"), F.count_if(F.col("type") == "assistant").alias("assistant_records"),
-        F.count_if("is_sidechain").alias("sidechain_records"), F.count("*").alias("records"),
-        F.coalesce(F.max(F.when((F.col("type") == "cost-state") & own, F.col("record_index"))), F.lit(-1)).alias("last_stop"),
-    )
-    thinking = F.col("block_type") == "thinking"
-    told = thinking & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    counts = blks.groupBy("session_id").agg(
-        F.count_if(told).alias("thinking_blocks"),
-        F.count_if((thinking & ~told) | (F.col("block_type") == "redacted_thinking")).alias("hidden_thinking_blocks"),
-    )
-    skips = numbered.groupBy("session_id").agg(
-        F.count("*").alias("lines"), F.count_if(F.col("status") == "blank").alias("blank"), F.count_if(F.col("status") == "malformed").alias("malformed"),
-        F.count_if(F.col("status") == "not_an_object").alias("not_an_object"), F.max("oversize").alias("opaque"),
+        first("ts_raw").alias("started_at"), F.max("ts_raw").alias("ended_at"), counted(record & (F.col("type") == "assistant")).alias("assistant_records"),
+        counted(record & ~own).alias("sidechain_records"), counted(record).alias("records"), counted(F.lit(True)).alias("lines"),
+        *(counted(F.col("status") == kind).alias(kind) for kind in ("blank", "malformed", "not_an_object")), F.max("oversize").alias("opaque"),
+        F.max(F.when(record & (F.col("type") == "cost-state") & own, F.col("record_index"))).alias("stop"),
+        F.count_if(shown).alias("thinking_blocks"), F.count_if((thinking & ~shown) | (is_block & (F.col("block_type") == "redacted_thinking"))).alias("hidden_thinking_blocks"),
+        F.max(is_block & (F.col("block_type") == "tool_result") & F.coalesce(_edited_files() > 0, F.lit(False))).alias("delegated_edits"),
+        F.collect_set(F.when(record & ~own, F.col("parent_call"))).alias("linked"),
     )
-    linked = recs.where("is_sidechain AND parent_call IS NOT NULL").select("session_id", F.col("parent_call").alias("tool_use_id"), F.lit(True).alias("linked")).distinct()
-    edited = results(blks).groupBy("session_id").agg(F.max(F.coalesce(F.col("edited_files") > 0, F.lit(False))).alias("delegated_edits"))
-    u = uses.join(base.select("session_id", "last_stop"), "session_id").join(linked, ["session_id", "tool_use_id"], "left")
-    ran = F.col("result").isNotNull() | F.col("is_sidechain") | (F.col("record_index") > F.col("last_stop"))
+    base = base.withColumn("last_stop", F.when(F.col("records") > 0, F.coalesce("stop", F.lit(-1))))
     ok = ~F.coalesce(F.col("result.is_error"), F.lit(False))
     keys = F.expr("json_object_keys(to_json(input))")
     named = (*fixed.EDIT_TOOLS, *fixed.LOOKUP_TOOLS, *fixed.BYSTANDER_TOOLS, "Bash")
@@ -260,14 +298,21 @@ def session_meta(numbered: DataFrame, recs: DataFrame, blks: DataFrame, uses: Da
     writer = writer | F.coalesce(shell.writes_of(F.when(F.col("command").rlike(_MAY_WRITE), F.col("command"))), F.lit(False))
     writer = writer | F.coalesce(shell.may_write_of(F.when(other, F.col("name")), F.when(other, keys)), F.lit(False))
     commits = F.array_contains(shell.git_commands_of(F.when(F.col("command").contains("commit"), F.col("command"))), "commit")
-    unseen = F.col("name").isin(*fixed.DELEGATION_TOOLS) & ok & F.col("linked").isNull() & ~F.col("counted")
+    u = uses.withColumn("_wrote", writer | (commits & ok)).withColumn("_away", F.col("name").isin(*fixed.DELEGATION_TOOLS) & ok & ~F.col("counted"))
+    # Calls that ran as far as they tell themselves; the others ran if they come after the last stop, which the other pass knows.
+    ran = F.col("result").isNotNull() | F.col("is_sidechain")
     acts = u.groupBy("session_id").agg(
         F.count("*").alias("calls"), F.count_if(F.col("name").isin(*fixed.EDIT_TOOLS)).alias("edit_tool_uses"),
-        F.max(ran & (writer | unseen | (commits & ok))).alias("wrote"),
+        F.max(ran & F.col("_wrote")).alias("wrote"), F.max(F.when(F.col("_wrote"), F.col("record_index"))).alias("last_write"),
+        F.collect_list(F.when(F.col("_away"), F.struct("tool_use_id", ran.alias("ran"), "record_index"))).alias("away"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = skips.join(base, "session_id", "left").join(counts, "session_id", "left").join(acts, "session_id", "left").join(edited, "session_id", "left")
-    flag = F.coalesce("wrote", F.lit(False)) | F.coalesce("opaque", F.lit(False)) | F.coalesce("delegated_edits", F.lit(False))
+    out = base.join(acts, "session_id", "left")
+    # Delegations whose sub-agent's records aren't in the session.
+    ran_away = F.transform(F.filter("away", lambda d: d["ran"] | (d["record_index"] > F.col("last_stop"))), lambda d: d["tool_use_id"])
+    unseen = F.size(F.array_except(ran_away, F.col("linked"))) > 0
+    parts = (F.col("wrote"), F.col("last_write") > F.col("last_stop"), F.when(F.size("away") > 0, unseen), F.col("opaque"), F.col("delegated_edits"))
+    flag = functools.reduce(lambda a, b: a | b, (F.coalesce(p, F.lit(False)) for p in parts))
     return out.select(
         "session_id", "own_session", "cwd", "git_branch", "version", "started_at", "ended_at", "last_stop",
         *(zero(c) for c in ("records", "assistant_records", "sidechain_records", "thinking_blocks", "hidden_thinking_blocks", "calls", "edit_tool_uses", "lines", "blank", "malformed", "not_an_object")),

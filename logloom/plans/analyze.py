@@ -66,7 +66,7 @@ def parsed(lines: DataFrame) -> Session:
     blocks = parse.blocks(records)
     calls = keep(parse.calls(blocks), "calls")
     edits, reads = keep(parse.edits(calls), "edits"), keep(parse.reads(calls), "reads")
-    return Session(numbered, records, blocks, calls, edits, reads, keep(parse.session_meta(numbered, records, blocks, calls), "meta"))
+    return Session(numbered, records, blocks, calls, edits, reads, keep(parse.session_meta(numbered, calls), "meta"))
 
 
 def flat(calls: DataFrame) -> DataFrame:
