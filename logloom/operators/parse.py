@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import fixed, shell
@@ -75,8 +75,8 @@ def lines(raw: DataFrame) -> DataFrame:
     return out.withColumn("record_index", index.cast("int"))
 
 
-def records(numbered: DataFrame) -> DataFrame:
-    return numbered.where("status = 'record'").select("session_id", "record_index", *_fields(), "raw")
+def records(numbered: DataFrame, *more: str) -> DataFrame:
+    return numbered.where("status = 'record'").select("session_id", "record_index", *_fields(), "raw", *more)
 
 
 def _fields() -> list[Column]:
@@ -144,15 +144,6 @@ def _told(out: DataFrame) -> DataFrame:
     return out.withColumn("text", text)
 
 
-def results(blks: DataFrame) -> DataFrame:
-    """Tool results: target, flags, output, and a file's content where all of it was read."""
-    b = blks.where("block_type = 'tool_result'")
-    return b.select(
-        "session_id", F.col("record_index").alias("result_index"), F.col("block_index").alias("result_block"), as_string(_text("block", "$.tool_use_id")).alias("tool_use_id"),
-        _result().alias("result"), _edited_files().alias("edited_files"),
-    )
-
-
 _DETAIL = "$.toolUseResult"
 
 
@@ -173,35 +164,35 @@ def _edited_files() -> Column:
     return _get("raw", f"{_DETAIL}.toolStats.editFileCount", "double")
 
 
-def with_last(uses: DataFrame, latest: DataFrame) -> DataFrame:
-    """Calls with the last of the results (session_id, call_seq, result_index, result_block, result, edited_files) that are theirs."""
-    own = latest.groupBy("session_id", "call_seq").agg(
-        F.max_by("result", F.struct("result_index", "result_block")).alias("result"),
-        F.max(F.col("edited_files").isNotNull()).alias("counted"),
-    )
-    return uses.join(own, ["session_id", "call_seq"], "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
-
-
 def calls(blks: DataFrame) -> DataFrame:
     """Tool calls with id and name, numbered in order, with their final result.
 
     A result goes to the latest call of its id before it; of a call's results the last one stays. Calls and results are read in one pass and
     stay where their session is: running counts of calls, over the session and over an id, tell which results are whose.
     """
+    e = call_rows(blks)
+    within = lambda *by: Window.partitionBy("session_id", *by).orderBy("record_index", "block_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("call_seq", (F.count_if("uses").over(within()) - 1).cast("int"))
+    e = e.withColumn("turn", F.count_if("uses").over(within("tool_use_id"))).where("turn > 0")
+    return with_arguments(with_results(e, within("tool_use_id", "turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).drop("turn"))
+
+
+def call_rows(blks: DataFrame, *more: Column) -> DataFrame:
+    """Calls with id and name (``uses``) and results with an id, a row each."""
     of = F.col("block_type")
     b = blks.where(of.isin("tool_use", "tool_result")).withColumn("uses", of == "tool_use")
     asked = lambda c: F.when(F.col("uses"), c)
-    e = b.select(
+    return b.select(
         "session_id", "record_index", "block_index", "uses", as_string(F.when(F.col("uses"), _text("block", "$.id")).otherwise(_text("block", "$.tool_use_id"))).alias("tool_use_id"),
         asked(as_string(_text("block", "$.name"))).alias("name"), asked(_input()).alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
-        F.when(~F.col("uses"), _result()).alias("result"), F.when(~F.col("uses"), _edited_files().isNotNull()).alias("counted"),
+        F.when(~F.col("uses"), _result()).alias("result"), F.when(~F.col("uses"), _edited_files().isNotNull()).alias("counted"), *more,
     ).where("tool_use_id IS NOT NULL AND (name IS NOT NULL OR NOT uses)")
-    within = lambda *by: Window.partitionBy("session_id", *by).orderBy("record_index", "block_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("call_seq", (F.count_if("uses").over(within()) - 1).cast("int"))
-    e = e.withColumn("turn", F.count_if("uses").over(within("tool_use_id"))).where("turn > 0")
-    whole = within("tool_use_id", "turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def with_results(e: DataFrame, whole: WindowSpec) -> DataFrame:
+    """The calls of such rows with the last of the results that ``whole`` puts beside each."""
     e = e.withColumn("result", F.last("result", ignorenulls=True).over(whole)).withColumn("counted", F.coalesce(F.max("counted").over(whole), F.lit(False)))
-    return with_arguments(e.where("uses").drop("uses", "turn"))
+    return e.where("uses").drop("uses")
 
 
 def _input() -> Column:
@@ -209,14 +200,6 @@ def _input() -> Column:
     return F.when(_is_object(given), given).otherwise(F.parse_json(F.lit("{}")))
 
 
-def uses_in(blks: DataFrame) -> DataFrame:
-    b = blks.where("block_type = 'tool_use'")
-    return b.select(
-        "session_id", "record_index", "block_index", as_string(_text("block", "$.id")).alias("tool_use_id"), as_string(_text("block", "$.name")).alias("name"),
-        _input().alias("input"), "uuid", "ts_raw", "ts", "is_sidechain", "cwd",
-    ).where("tool_use_id IS NOT NULL AND name IS NOT NULL")
-
-
 def with_arguments(uses: DataFrame) -> DataFrame:
     """Calls with their command, unless it is too long to be read, and their file."""
     command = F.when(F.col("name") == "Bash", _text("input", "$.command"))

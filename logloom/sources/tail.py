@@ -2,7 +2,7 @@
 
 A row is a line with its file and the byte at which it begins, which orders a file's lines and never changes. A partition is a range of
 bytes and holds the lines that begin in it, so a file of any size is read in parallel, its text is never exchanged and nobody counts
-lines first. The stream's offset is how far each file was read, always up to a line's end: a file that grew costs its growth, and a
+lines first. Small files share a partition, so many of them are few tasks. The stream's offset is how far each file was read, always up to a line's end: a file that grew costs its growth, and a
 half-written last line waits until it is whole. The batch reader also gives a last line without an end.
 
 Options: ``path`` (a file or folder, or several with commas; any store that pyarrow reads), ``suffix`` (``.jsonl``), ``range_bytes``.
@@ -14,6 +14,7 @@ is longer than before. The offset has an entry a file, on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "path string, offset long, line string"
 RANGE_BYTES, BLOCK = 64 << 20, 1 << 20
+#: What opening a file counts as where ranges share a partition, how many partitions small files may be, and how many files the driver looks into at once.
+OPEN_BYTES, SHARES, LOOKS = 128 << 10, 256, 16
 
 
 class Range(InputPartition):
@@ -31,6 +34,27 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.whole = path, start, end, whole
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
+def packed(parts: list[Range], step: int) -> list[Ranges]:
+    """Ranges in order, several to a partition where ``step`` bytes hold them and there are many; one at least."""
+    out: list[list[Range]] = []
+    costs = [r.end - r.start + OPEN_BYTES for r in parts]
+    most, held = min(step + OPEN_BYTES, max(sum(costs) // SHARES, 8 * OPEN_BYTES)), 0
+    for r, cost in zip(parts, costs, strict=True):
+        if not out or held + cost > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += cost
+    return [Ranges(x) for x in out]
+
+
 def _opened(path: str):
     where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     return where, name
@@ -136,11 +160,11 @@ class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.step = options, int(options.get("range_bytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size in sorted(sizes(self.options).items()) for r in ranges(path, 0, size, self.step, True)] or [Range("", 0, 0, False)]
+    def partitions(self) -> list[Ranges]:
+        return packed([r for path, size in sorted(sizes(self.options).items()) for r in ranges(path, 0, size, self.step, True)], self.step) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return batches(partition) if partition.path else iter(())
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return (b for r in partition.parts for b in batches(r))
 
 
 class _Growth(DataSourceStreamReader):
@@ -151,20 +175,18 @@ class _Growth(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for path, size in sizes(self.options).items():
-            before = self.seen.get(path, 0)
-            if size > before:
-                end = last_end(path, before, size)
-                if end:
-                    self.seen[path] = end
+        grown = [(path, self.seen.get(path, 0), size) for path, size in sizes(self.options).items() if size > self.seen.get(path, 0)]
+        with ThreadPoolExecutor(LOOKS) as pool:
+            ends = list(pool.map(lambda g: last_end(*g), grown))
+        self.seen |= {path: end for (path, _, _), end in zip(grown, ends, strict=True) if end}
         return dict(self.seen)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         self.seen = {k: max(v, self.seen.get(k, 0)) for k, v in end.items()} | {k: v for k, v in self.seen.items() if k not in end}
-        return [r for path, to in sorted(end.items()) for r in ranges(path, start.get(path, 0), to, self.step, False)]
+        return packed([r for path, to in sorted(end.items()) for r in ranges(path, start.get(path, 0), to, self.step, False)], self.step)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return batches(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return (b for r in partition.parts for b in batches(r))
 
 
 class GrowingLines(DataSource):

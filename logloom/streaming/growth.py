@@ -1,7 +1,8 @@
 """Incremental parse: of a log that grows, only what was added is read, parsed and numbered.
 
 A record's index, a call's number and the call that a result belongs to depend on all lines before. That much is kept as state by session:
-how many lines, records and calls there were, the last time, and the latest call of each call id (a map in the state store, on disk). The
+how many lines, records and calls there were, the last time, and the latest call of each call id (a map in the state store, on disk, whose
+entries hold about ``BUCKET`` ids each, as every entry that is read or written costs a message). The
 state operator is given a line's narrow facts, which Catalyst has parsed; it numbers them and passes the line on. What it appends never
 changes later, so the tables below are those of ``operators.parse`` over the whole log, however it was cut into micro-batches.
 
@@ -12,7 +13,9 @@ A session's growth in one micro-batch is held by one task; sessions are spread o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,53 +27,75 @@ from ..operators import parse
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TOTALS = StructType([StructField(k, LongType()) for k in ("lines", "records", "calls")] + [StructField("last_time", StringType())])
-_ID, _CALL = StructType([StructField("id", StringType())]), StructType([StructField("call_seq", LongType())])
-_ANSWER = StructType([StructField("block", IntegerType()), StructField("call_seq", IntegerType())])
+#: Calls of a session that the first entry of its map holds. The next twice as many calls are dealt over two entries by their id, then four times as many over four.
+BUCKET = 64
+_PLACE = StructType([StructField("age", IntegerType()), StructField("part", IntegerType())])
+_SEQS = StructType([StructField("seqs", StringType())])  # an object of ids and numbers in JSON
 NUMBERED = StructType(
     [StructField("session_id", StringType()), StructField("offset", LongType()), StructField("line", StringType()), StructField("status", StringType())]
-    + [StructField(k, IntegerType()) for k in ("line_no", "record_index", "first_call")]
-    + [StructField("answers", ArrayType(_ANSWER)), StructField("filled_time", StringType())]
+    + [StructField(k, IntegerType()) for k in ("line_no", "record_index")]
+    + [StructField("call_of", ArrayType(IntegerType())), StructField("filled_time", StringType())]
 )
 
 
+def age_of(seq: int) -> int:
+    """The age of a call's number: ``BUCKET`` times 2^age calls are of one age."""
+    return (seq // BUCKET + 1).bit_length() - 1
+
+
+def place_of(name: str, age: int) -> tuple[int, int]:
+    return age, crc32(name.encode()) % (1 << age)
+
+
 class Numbering(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", _TOTALS)
-        self.calls = handle.getMapState("calls", _ID, _CALL)
+        self.calls = handle.getMapState("calls", _PLACE, _SEQS)
+
+    def _held(self, place: tuple[int, int], cache: dict[tuple[int, int], dict[str, int]]) -> dict[str, int]:
+        if place not in cache:
+            cache[place] = json.loads(self.calls.getValue(place)[0]) if self.calls.containsKey(place) else {}
+        return cache[place]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lines, records, calls, last = self.totals.get() if self.totals.exists() else (0, 0, 0, None)
+        lines, records, calls, last = self.totals.get() or (0, 0, 0, None)
         found = sorted((r for frame in rows for r in frame[["offset", "line", "status", "time", "events"]].itertuples(index=False)), key=lambda r: (r.offset, r.line or ""))
         seen: dict[str, int] = {}
+        before, cache = calls, {}
         out, size = [], 0
         for r in found:
             record = r.status == "record"
             last = r.time if isinstance(r.time, str) else last
-            answers, first = [], calls
+            call_of: list[int | None] = []
             for e in r.events if record and r.events is not None else ():
+                target = seen.get(e["id"])
                 if e["uses"]:
-                    seen[e["id"]] = calls
+                    target = seen[e["id"]] = calls
                     calls += 1
-                    continue
-                target = seen.get(e["id"])
-                if target is None and self.calls.containsKey((e["id"],)):
-                    target = seen[e["id"]] = self.calls.getValue((e["id"],))[0]
-                if target is not None:
-                    answers.append({"block": e["block"], "call_seq": target})
-            out.append((key[0], r.offset, r.line, r.status, lines, records if record else None, first if record else None, answers, last))
+                elif target is None and before:
+                    # The latest call of an id is the one of the latest age.
+                    held = (self._held(place_of(e["id"], age), cache).get(e["id"]) for age in range(age_of(before - 1), -1, -1))
+                    target = next((n for n in held if n is not None), None)
+                call_of += [None] * (e["block"] - len(call_of)) + [target]
+            out.append((key[0], r.offset, r.line, r.status, lines, records if record else None, call_of, last))
             lines, records, size = lines + 1, records + record, size + len(r.line or "")
             if size > 4 << 20:
                 yield self._made(out)
                 out, size = [], 0
+        changed = set()
         for name, seq in seen.items():
-            self.calls.updateValue((name,), (seq,))
+            place = place_of(name, age_of(seq))
+            self._held(place, cache)[name] = seq
+            changed.add(place)
+        for place in changed:
+            self.calls.updateValue(place, (json.dumps(cache[place]),))
         self.totals.update((lines, records, calls, last))
         if out:
             yield self._made(out)
 
     def _made(self, rows: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(rows, columns=NUMBERED.names)
-        for k in ("line_no", "record_index", "first_call"):
+        for k in ("line_no", "record_index"):
             made[k] = made[k].astype("Int32")
         return made
 
@@ -102,12 +127,11 @@ def lines(spark: SparkSession, table: str) -> DataFrame:
 
 
 def calls(appended: DataFrame) -> DataFrame:
-    """The calls of appended lines with their last results, as ``parse.calls`` gives them; no session is gathered, a call's results meet by its number."""
-    blks = parse.blocks(parse.records(appended))
-    first = appended.where("first_call IS NOT NULL").select("session_id", "record_index", "first_call")
-    uses = parse.uses_in(blks).join(first, ["session_id", "record_index"])
-    rank = F.row_number().over(Window.partitionBy("session_id", "record_index").orderBy("block_index")) - 1
-    uses = uses.withColumn("call_seq", F.col("first_call") + rank).drop("first_call")
-    answers = appended.select("session_id", F.col("record_index").alias("result_index"), F.explode("answers").alias("a")).select("session_id", "result_index", F.col("a.block").alias("result_block"), "a.call_seq")
-    latest = parse.results(blks).join(answers, ["session_id", "result_index", "result_block"])
-    return parse.with_last(parse.with_arguments(uses), latest)
+    """The calls of appended lines with their last results, as ``parse.calls`` gives them; no session is gathered, a call's results meet by its number.
+
+    Lines are read in one pass: the call that each block makes or answers is in their row.
+    """
+    of = F.get("call_of", F.col("block_index"))
+    e = parse.call_rows(parse.blocks(parse.records(appended, "call_of")), of.alias("call_seq")).where("call_seq IS NOT NULL")
+    own = Window.partitionBy("session_id", "call_seq").orderBy("record_index", "block_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return parse.with_arguments(parse.with_results(e, own))

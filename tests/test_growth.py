@@ -93,3 +93,60 @@ def test_appended_tables_equal_the_batch_parse_after_every_cut(spark, tmp_path):
         said = json.loads(r.line).get("timestamp") if r.status == "record" else None
         filled = said or filled
         assert r.filled_time == filled
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"s{k}.jsonl").write_text(f"first {k}\nlast {k}\n")
+    got = tail.read(spark, str(tmp_path))
+    assert got.count() == 600 and got.rdd.getNumPartitions() <= 60
+    parts = tail.ranges("a", 0, 1000, 10, True) + [tail.Range("b", 0, 5, True)]
+    assert [r for p in tail.packed(parts, 10) for r in p.parts] == parts and len(tail.packed(parts, 10)) == len(parts) and tail.packed([], 10) == []
+
+
+class Held:
+    """A state's value or map as the processor sees it, with the messages that it costs."""
+
+    def __init__(self):
+        self.rows, self.messages = {}, 0
+
+    def get(self):
+        return self.rows.get(None)
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def containsKey(self, key):
+        self.messages += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.messages += 1
+        self.rows[key] = value
+
+
+def test_call_ids_of_a_session_are_held_together():
+    import pandas as pd
+
+    processor, rng = growth.Numbering(), random.Random(5)
+    processor.totals, processor.calls = Held(), Held()
+    latest, calls, at = {}, 0, 0
+    for _ in range(40):
+        rows, want = [], []
+        for _ in range(100):
+            name, uses = f"c{rng.randrange(900)}é", rng.random() < 0.6
+            if uses:
+                latest[name], calls = calls, calls + 1
+            rows.append((at, "{}", "record", None, [{"block": 1, "uses": uses, "id": name}]))
+            want.append([None, latest.get(name)])
+            at += 1
+        out = pd.concat(processor.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["offset", "line", "status", "time", "events"])]), None))
+        assert out["call_of"].tolist() == want
+    assert calls > 2000 and max(len(json.loads(v[0])) for v in processor.calls.rows.values()) < 4 * growth.BUCKET
+    few = growth.Numbering()
+    few.totals, few.calls = Held(), Held()
+    list(few.handleInputRows(("s",), iter([pd.DataFrame([(k, "{}", "record", None, [{"block": 0, "uses": True, "id": f"c{k}"}]) for k in range(60)], columns=["offset", "line", "status", "time", "events"])]), None))
+    assert few.calls.messages == 2
