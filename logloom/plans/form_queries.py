@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dependencies, dotenv, marks, patch, paths, redaction, shell
 from ..functions import text as t
+from ..tables import spread
 from .case_queries import _udf
 
 _QUESTIONS = ("segments", "writes", "git", "looks", "reads", "edits", "installed", "destroyed", "reverted", "checks")
@@ -70,7 +71,7 @@ PATCHES = (
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    return spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type"), "event_id")
 
 
 def _put(text: str) -> Column:

@@ -42,3 +42,9 @@ def drop_kept(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Narrow rows dealt out over all tasks, by columns if any. Where a row costs much more than its bytes tell, or becomes many times as wide, the size
+    of a file or of an exchange says too little: a given number of partitions is neither joined nor cut by it."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *by)
