@@ -3,7 +3,8 @@
 Pass one reads each line by itself: the folder it names, the values that its commands write into dotenv files, and an event a call,
 result and background task. Which results show a dotenv file is a fixpoint over call and task ids: a call that touches such
 a file taints its id, a result of a tainted call taints the task that it started, and a later call that follows the task is tainted
-too. A round is one join of the newly tainted ids with the events, so there are as many rounds as links in the longest chain.
+too. A session's calls and tasks of usual number are walked in one group; of longer sessions a round is one join of the newly tainted ids with the events, so
+there are as many rounds as links in the longest chain.
 Pass two redacts each line by itself again, given its session's folder, its tainted blocks, and an automaton of its session's learned
 values. A session may be of any size and lie in any number of tasks. What tasks are sent is learned values, in portions of bounded bytes.
 
@@ -31,6 +32,8 @@ from ..tables import keep
 
 #: The first so many values of a session are cut, as every reader of these logs does it.
 MOST_LEARNED = 500
+#: Tainted calls and tasks of a session up to which it is one group: about 100 MB.
+MOST_IN_GROUP = 1_000_000
 #: Rows up to which a narrow table is sent to all tasks, and bytes of learned values that are sent at once.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 _ACCOUNT = frozenset(fixed.ACCOUNT_FIELDS)
@@ -290,14 +293,74 @@ def facts(lines: DataFrame) -> DataFrame:
     return lines.select("session_id", F.col("line_no").cast("int"), "line").mapInArrow(run, _FACTS)
 
 
-def tainted_ids(events: DataFrame) -> DataFrame:
+_ID_TYPE = "session_id string, id string, since struct<line_no:int,block:int>"
+_PLACE_TYPE = pa.struct([("line_no", pa.int32()), ("block", pa.int32())])
+
+
+def taint(known: dict[str, tuple], edges: Iterable[tuple[str, str, tuple]]) -> dict[str, tuple]:
+    """Ids of one session with the place from which they are tainted; ``edges`` are (id, other, at), ``known`` those that are by themselves.
+
+    A place spreads only to later ones, so one walk over the edges by place tells all.
+    """
+    known = dict(known)
+    ordered = sorted(edges, key=lambda e: e[2])
+    k = 0
+    while k < len(ordered):
+        end = k
+        while end < len(ordered) and ordered[end][2] == ordered[k][2]:
+            end += 1
+        # Edges of one place don't follow each other.
+        reached = [other for name, other, at in ordered[k:end] if name in known and known[name] < at]
+        for other in reached:
+            known[other] = min(known.get(other, ordered[k][2]), ordered[k][2])
+        k = end
+    return known
+
+
+def _taint_in_groups(known: DataFrame, edges: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        starts, links = {}, []
+        for name, other, at in zip(*(table.column(c).to_pylist() for c in ("id", "other", "at")), strict=True):
+            at = (at["line_no"], at["block"])
+            if other is None:
+                starts[name] = at
+            else:
+                links.append((name, other, at))
+        found = taint(starts, links)
+        places = pa.array([{"line_no": n, "block": k} for n, k in found.values()], _PLACE_TYPE)
+        session = pa.array([table.column("session_id")[0].as_py()] * len(found), pa.string())
+        return pa.table({"session_id": session, "id": pa.array(list(found), pa.string()), "since": places})
+
+    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    rows = known.select("session_id", "id", F.lit(None).cast("string").alias("other"), F.col("since").alias("at")).unionByName(edges)
+    return rows.groupBy("session_id").applyInArrow(run, _ID_TYPE)
+
+
+def tainted_ids(events: DataFrame, most: int | None = None) -> DataFrame:
     """(session_id, id, since) of calls and tasks that show a dotenv file, from the place (line, block) where that is known.
 
-    ``events`` has session_id, at (line, block), kind, id and other. A place spreads only to later ones, so the rounds end.
+    ``events`` has session_id, at (line, block), kind, id and other. Only sessions that have both a tainted call and tasks are looked through: those of up to
+    ``most`` such ids and tasks, about 100 bytes each, as a group each in one walk, longer ones all together in rounds of joins; both give the same.
     """
+    most = MOST_IN_GROUP if most is None else most
     known = keep(events.where("kind = 'taints'").groupBy("session_id", "id").agg(F.min("at").alias("since")), "tainted")
-    edges = events.where("kind IN ('starts', 'follows')").select("session_id", "id", "other", "at")
+    edges = events.where("kind IN ('starts', 'follows')").select("session_id", "id", "other", "at").where("session_id IS NOT NULL")
     edges = keep(edges.join(known.select("session_id").distinct(), "session_id", "left_semi"), "task-events")
+    counts = edges.select("session_id").unionByName(known.select("session_id")).groupBy("session_id").count()
+    long = keep(counts.where(F.col("count") > most).select("session_id"), "long-sessions")
+    with_tasks = edges.select("session_id").distinct()
+    alone = known.join(with_tasks, "session_id", "left_anti")
+    linked = known.join(with_tasks, "session_id", "left_semi")
+    if long.isEmpty():
+        return keep(alone.unionByName(_taint_in_groups(linked, edges)), "tainted")
+    of = lambda df, how: df.join(long, "session_id", how)
+    grouped = _taint_in_groups(of(linked, "left_anti"), of(edges, "left_anti"))
+    rounds = _taint_by_rounds(keep(of(linked, "left_semi"), "tainted"), keep(of(edges, "left_semi"), "task-events"))
+    return keep(alone.unionByName(grouped).unionByName(rounds), "tainted")
+
+
+def _taint_by_rounds(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by joins of the newly tainted ids with the tasks, as many as the longest chain has links."""
     fresh = known
     while True:
         reached = fresh.join(edges, ["session_id", "id"]).where("at > since").groupBy("session_id", F.col("other").alias("id")).agg(F.min("at").alias("since"))

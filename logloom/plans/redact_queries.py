@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dotenv, redaction
 from ..functions.paths import marker
 from ..operators import redact
+from ..tables import spread
 
 _M = marker("dotenv")
 
@@ -24,7 +25,7 @@ def _value(k: Column) -> Column:
 
 def dotenv_logs(spark: SparkSession, sf: str) -> DataFrame:
     """(session_id, line_no, line)"""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type"), "user_id")
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.select(
         F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(by) - 1).alias("i"), F.col("event_id").alias("k"), F.col("event_type").alias("kind"),
@@ -97,7 +98,7 @@ def cut_of(command: Column) -> Column:
 
 def dotenv_commands(spark: SparkSession, sf: str) -> DataFrame:
     """An event's command in one of twelve forms, with its names and values from the event."""
-    e, k = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    e, k = spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id"), "event_id"), F.col("event_id")
     r, v = (k % 9).cast("string"), _value(k)
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     forms = [
@@ -129,7 +130,7 @@ _KEPT_FROM = 14
 
 def client_passwords(spark: SparkSession, sf: str) -> DataFrame:
     """An event's command with a password at the place where its client takes one, or a word where none does; all rules are run."""
-    e, k = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    e, k = spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id"), "event_id"), F.col("event_id")
     put = lambda x: F.replace(F.lit(x), F.lit("{r}"), (k % 9).cast("string"))
     forms = [F.concat(put(a), F.lit("hunter2abcd12efgh"), k.cast("string"), put(b)) for a, b in _CLIENT_FORMS]
     made = F.coalesce(*(F.when(k % len(forms) == n, x) for n, x in enumerate(forms)))
