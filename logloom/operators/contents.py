@@ -1,12 +1,13 @@
 """Following a file's content through a session, to see it return to an earlier state.
 
 Content is a fold over the file's own calls: each depends on the text that the one before left, so
-it can't be a window. The calls of one file in one session are one Arrow group.
+it can't be a window. A task goes through its files one after another, each in the order of its calls.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,38 +36,58 @@ def apply_edit(text: str, old: str | None, new: str | None, every: bool) -> str
     return out if len(out) <= MOST_CHARS else None
 
 
-def returns(calls: list[dict]) -> list[dict]:
-    """The calls of one file that bring it back to a state that it had at an earlier record."""
-    text, seen, last, edited, found = None, {}, None, False, []
-    for c in calls:
+class _File:
+    """A file's content and states as its calls go by."""
+
+    def __init__(self) -> None:
+        self.text, self.seen, self.last, self.edited = None, {}, None, False
+
+    def step(self, c: dict) -> bool:
+        """Whether a call brings the file back to a state that it had at an earlier record."""
         if c["name"] == "Read" and c["file_content"] is not None:
-            text, is_edit = c["file_content"], False
+            self.text, is_edit = c["file_content"], False
         elif c["name"] == "Write" and c["content"] is not None:
-            text, edited, is_edit = c["content"], True, True
+            self.text, self.edited, is_edit = c["content"], True, True
         elif c["name"] in ("Edit", "MultiEdit"):
-            edited = is_edit = True
+            self.edited = is_edit = True
             for old, new in zip(c["olds"] or [], c["news"] or [], strict=True):
-                text = None if text is None else apply_edit(text, old, new, bool(c["replace_all"]))
+                self.text = None if self.text is None else apply_edit(self.text, old, new, bool(c["replace_all"]))
         else:
-            continue
-        if text is None:
-            continue
-        key = digest(text)
-        first, unchanged, last = seen.get(key), key == last, key
-        if is_edit and edited and not unchanged and first is not None and first < c["record_index"]:
-            found.append(c)
-        elif first is None:
-            seen[key] = c["record_index"]
-    return found
+            return False
+        if self.text is None:
+            return False
+        key = digest(self.text)
+        first, unchanged, self.last = self.seen.get(key), key == self.last, key
+        if is_edit and self.edited and not unchanged and first is not None and first < c["record_index"]:
+            return True
+        if first is None:
+            self.seen[key] = c["record_index"]
+        return False
 
 
-def returned(steps: DataFrame) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        rows = returns(table.sort_by("call_seq").to_pylist())
-        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in (("session_id", pa.string()), ("file_path", pa.string()), ("record_index", pa.int32()), ("call_seq", pa.int32()))})
+def returns(calls: list[dict]) -> list[dict]:
+    """The calls of one file that bring it back to a state that it had at an earlier record."""
+    file = _File()
+    return [c for c in calls if file.step(c)]
 
-    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return steps.groupBy("session_id", "file_path").applyInArrow(run, RETURNED)
+
+def returned(steps: DataFrame) -> DataFrame:
+    """The calls that bring their file back, in a task's order of files: many files share a batch, and only the present file is held."""
+    key = ("session_id", "file_path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, file = None, _File()
+        for batch in batches:
+            found = []
+            for k, c in enumerate(batch.to_pylist()):
+                own = (c["session_id"], c["file_path"])
+                if own != here:
+                    here, file = own, _File()
+                if file.step(c):
+                    found.append(k)
+            yield batch.select([*key, "record_index", "call_seq"]).take(pa.array(found, pa.int32()))
+
+    return steps.repartition(*key).sortWithinPartitions(*key, "call_seq").mapInArrow(run, RETURNED)
 
 
 def steps_of(uses: DataFrame) -> DataFrame:
