@@ -7,7 +7,7 @@ A session is thousands of records deep, so a join per level won't do. The parent
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import keep
@@ -107,9 +107,7 @@ def graph(recs: DataFrame, most: int = MOST_IN_GROUP) -> DataFrame:
     Sessions of up to ``most`` records are walked in a group each, longer ones by doubling; both give the same.
     """
     narrow = recs.select(F.col("session_id").cast("string"), F.col("record_index").cast("int"), "uuid", "parent", "is_sidechain")
-    long = narrow.groupBy("session_id").count().where(F.col("count") > most).select(F.col("session_id").alias("_long"))
-    if long.isEmpty():
-        return _in_groups(narrow)
-    long = keep(long, "long-sessions")
-    same = F.col("session_id").eqNullSafe(F.col("_long"))
-    return _in_groups(narrow.join(long, same, "left_anti")).unionByName(by_doubling(narrow.join(long, same, "left_semi")))
+    # Written with its session's length, for what records are read from may cost much more than to read these again.
+    narrow = keep(narrow.withColumn("_n", F.count("*").over(Window.partitionBy("session_id"))), "graph-narrow")
+    short, long = narrow.where(F.col("_n") <= most).drop("_n"), narrow.where(F.col("_n") > most).drop("_n")
+    return _in_groups(short) if long.isEmpty() else _in_groups(short).unionByName(by_doubling(long))
