@@ -24,8 +24,10 @@ def sessions_editing(commit_files: DataFrame, edits: DataFrame) -> DataFrame:
 def moved_blobs(head: DataFrame, marked: DataFrame) -> DataFrame:
     """(sha, session_id) where a commit holds a blob that a session's marked commits hold; a zero blob counts only in the same file."""
     zero = F.col("blob").rlike(r"^0+\z")
-    by_blob = head.where(~zero).join(marked.select("session_id", "blob").distinct(), "blob").select("sha", "session_id")
-    by_file = head.join(marked.select("session_id", "file", "blob").distinct(), ["file", "blob"]).select("sha", "session_id")
+    # Each side once for what it is joined by; a blob that isn't zero meets by itself what it would meet in its file.
+    once = lambda side, name, *by: side.select(name, *by).distinct()
+    by_blob = once(head.where(~zero), "sha", "blob").join(once(marked.where(~zero), "session_id", "blob"), "blob").select("sha", "session_id")
+    by_file = once(head.where(zero), "sha", "file", "blob").join(once(marked.where(zero), "session_id", "file", "blob"), ["file", "blob"]).select("sha", "session_id")
     return by_blob.union(by_file).distinct()
 
 

@@ -29,3 +29,59 @@ def _plan(df) -> str:
 
 def test_lines_of_a_log_are_made_once(spark):
     assert "Filter (size(" not in _plan(log_queries.lines(spark, "/root/testdata/sf0.001"))
+
+
+def test_returned_states_read_their_log_once(spark):
+    """The calls are written once, and files share batches, also where a file goes on in the next batch."""
+    import random
+
+    from logloom.operators import contents
+
+    found = log_queries.log_returned_states(spark, "/root/testdata/sf0.001")
+    assert "StructsToJson" not in _plan(found) and "FlatMapGroupsInArrow" not in _plan(found)
+    rng, steps = random.Random(5), []
+    for k in range(300):
+        name = rng.choice(["Read", "Write", "Edit", "Edit"])
+        text = rng.choice(["a", "b", "ab ", "c"])
+        steps.append((rng.choice(["s", "t", None]), rng.choice(["f", "g", "h"]), k // 2, k, name, text if name == "Read" else None, text if name == "Write" else None, [rng.choice("abc")] if name == "Edit" else None, [rng.choice("abc")] if name == "Edit" else None, k % 2 == 0))
+    table = spark.createDataFrame(steps, contents.STEPS)
+    names = [f.name for f in table.schema]
+    want = set()
+    for key in {x[:2] for x in steps}:
+        want |= {(*key, c["record_index"], c["call_seq"]) for c in contents.returns([dict(zip(names, x, strict=True)) for x in steps if x[:2] == key])}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(r) for r in contents.returned(table).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(want) > 10 and set(got) == want
+
+
+def test_a_graph_reads_its_records_once(spark):
+    from pyspark.sql import functions as F
+
+    from logloom.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    recs = spark.range(50).select(counted.asNondeterministic()(F.lit("s")).alias("session_id"), F.col("id").cast("int").alias("record_index"), F.concat(F.lit("u"), "id").alias("uuid"), F.concat(F.lit("u"), F.col("id") - 1).alias("parent"), F.lit(False).alias("is_sidechain"))
+    assert graph.graph(recs).where("on_main").count() == 50 and seen.value == 50
+
+
+def test_equal_blobs_are_not_paired(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from logloom.operators import commits
+
+    rows = spark.range(200_000).select(F.concat(F.lit("x"), F.col("id") % 3).alias("who"), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "000").otherwise("b").alias("blob"))
+    began = time.perf_counter()
+    assert commits.moved_blobs(rows.withColumnRenamed("who", "sha"), rows.withColumnRenamed("who", "session_id")).count() == 9
+    assert time.perf_counter() - began < 30
