@@ -164,20 +164,20 @@ def _edited_files() -> Column:
     return _get("raw", f"{_DETAIL}.toolStats.editFileCount", "double")
 
 
-def calls(blks: DataFrame) -> DataFrame:
+def calls(blks: DataFrame, *more: str) -> DataFrame:
     """Tool calls with id and name, numbered in order, with their final result.
 
     A result goes to the latest call of its id before it; of a call's results the last one stays. Calls and results are read in one pass and
     stay where their session is: running counts of calls, over the session and over an id, tell which results are whose.
     """
-    e = call_rows(blks)
+    e = call_rows(blks, *more)
     within = lambda *by: Window.partitionBy("session_id", *by).orderBy("record_index", "block_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = e.withColumn("call_seq", (F.count_if("uses").over(within()) - 1).cast("int"))
     e = e.withColumn("turn", F.count_if("uses").over(within("tool_use_id"))).where("turn > 0")
     return with_arguments(with_results(e, within("tool_use_id", "turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).drop("turn"))
 
 
-def call_rows(blks: DataFrame, *more: Column) -> DataFrame:
+def call_rows(blks: DataFrame, *more: Column | str) -> DataFrame:
     """Calls with id and name (``uses``) and results with an id, a row each."""
     of = F.col("block_type")
     b = blks.where(of.isin("tool_use", "tool_result")).withColumn("uses", of == "tool_use")

@@ -81,7 +81,33 @@ def test_equal_blobs_are_not_paired(spark):
 
     from logloom.operators import commits
 
-    rows = spark.range(200_000).select(F.concat(F.lit("x"), F.col("id") % 3).alias("who"), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "000").otherwise("b").alias("blob"))
+    rows = spark.range(1_000_000).select(F.concat(F.lit("x"), F.col("id") % 3).alias("who"), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "000").otherwise("b").alias("blob"))
     began = time.perf_counter()
     assert commits.moved_blobs(rows.withColumnRenamed("who", "sha"), rows.withColumnRenamed("who", "session_id")).count() == 9
     assert time.perf_counter() - began < 30
+
+
+def test_pairs_are_counted_in_one_pass_over_the_log(spark, monkeypatch):
+    kept = []
+    keep = log_queries.keep
+    monkeypatch.setattr("logloom.plans.analyze.keep", lambda df, name, **k: kept.append(name) or keep(df, name, **k))
+    monkeypatch.setattr(log_queries, "keep", lambda df, name, **k: kept.append(name) or keep(df, name, **k))
+    found = log_queries.log_too_many_pairs(spark, "/root/testdata/sf0.001")
+    assert kept == ["calls"] and "StructsToJson" not in _plan(found)
+
+
+def test_written_lines_are_as_many_files_as_tasks(spark, monkeypatch):
+    from logloom.plans import table_queries
+    from logloom.sources import logs
+
+    files = []
+    read = logs.read_lines
+
+    def seen(spark, place, glob):
+        files.append(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(place).inputFiles())
+        return read(spark, place, glob)
+
+    monkeypatch.setattr(table_queries.logs, "read_lines", seen)
+    lines = table_queries.written_lines(spark, "/root/testdata/sf0.001")
+    users = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    assert len(files[0]) <= max(4, spark.sparkContext.defaultParallelism) < users == lines.where("line_no = 0").count()
