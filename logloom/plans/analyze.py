@@ -60,8 +60,8 @@ def merged(made: DataFrame) -> DataFrame:
 
 def parsed(lines: DataFrame) -> Session:
     """The derived tables of lines (session_id, line_no, line); eight detectors read them, so they are written once."""
-    lines = keep(lines.repartition("session_id"), "to-parse")
-    numbered = keep(parse.lines(budget.parseable(lines)), "lines")
+    lines = keep(lines, "to-parse")
+    numbered = keep(parse.lines(budget.parseable(lines)).select("session_id", "line_no", "record_index", "status", "oversize", "raw"), "lines")
     records = parse.records(numbered)
     blocks = parse.blocks(records)
     calls = keep(parse.calls(blocks), "calls")

@@ -111,3 +111,10 @@ def test_written_lines_are_as_many_files_as_tasks(spark, monkeypatch):
     lines = table_queries.written_lines(spark, "/root/testdata/sf0.001")
     users = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
     assert len(files[0]) <= max(4, spark.sparkContext.defaultParallelism) < users == lines.where("line_no = 0").count()
+
+
+def test_parsed_lines_are_kept_without_their_text(spark):
+    from logloom.plans import analyze
+
+    s = analyze.parsed(spark.createDataFrame([("s", 0, '{"type": "user"}'), ("s", 1, "no")], "session_id string, line_no int, line string"))
+    assert "line" not in s.numbered.columns and {r.status for r in s.numbered.collect()} == {"record", "malformed"}
