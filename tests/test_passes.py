@@ -81,9 +81,9 @@ def test_equal_blobs_are_not_paired(spark):
 
     from logloom.operators import commits
 
-    rows = spark.range(1_000_000).select(F.concat(F.lit("x"), F.col("id") % 3).alias("who"), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "000").otherwise("b").alias("blob"))
+    rows = lambda who, n: spark.range(400_000).select(F.concat(F.lit("x"), F.col("id") % n).alias(who), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "000").otherwise("b").alias("blob"))
     began = time.perf_counter()
-    assert commits.moved_blobs(rows.withColumnRenamed("who", "sha"), rows.withColumnRenamed("who", "session_id")).count() == 9
+    assert commits.moved_blobs(rows("sha", 3), rows("session_id", 50_000)).count() == 150_000
     assert time.perf_counter() - began < 30
 
 
