@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..tables import keep
+#: A place behind all records.
+_FAR = 1 << 62
 
 
 def keep_best(df: DataFrame, keys: list[str], weight: str = "weight", seq: str = "seq") -> DataFrame:
@@ -34,38 +37,33 @@ def forward_fill(df: DataFrame, column: str, by: list[str], order: list[str], ou
     return df.withColumn(out or column, F.last(column, ignorenulls=True).over(w))
 
 
-def _next_at_least(parents: DataFrame, asked: DataFrame) -> DataFrame:
-    """For questions (session_id, start, m, q): the first parent (session_id, seq, bound) behind ``start`` whose bound is ``m`` or more, by a group a session.
+def _with_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``place`` of rows (session_id, at_seq, parent, m, place) that come a session at a time, by falling ``at_seq``, children before the parent there: a parent's own
+    position, or the first parent behind a child's start whose bound is ``m`` or more.
 
-    Positions whose bound no later one up to them exceeds form a falling stack, built from the end; a question is a binary search in the stack as it was at its start.
+    Of the parents behind, those whose bound no nearer one reaches form a stack; a child is a binary search in it. 16 bytes for each of them are held of one session.
     """
-    def run(table: pa.Table) -> pa.Table:
-        asks = pc.is_null(table["seq"])
-        left, right = table.filter(pc.invert(asks)).sort_by("seq"), table.filter(asks)
-        seq, bound = left["seq"].to_numpy(), left["bound"].to_numpy()
-        start, m = right["start"].to_numpy(), right["m"].to_numpy()
-        place = np.full(len(start), -1, np.int64)
-        stack_bound: list[int] = []  # rising from the top: the top is the nearest parent
-        stack_seq: list[int] = []
-        at = len(seq) - 1
-        for k in np.argsort(-start, kind="stable").tolist():
-            while at >= 0 and seq[at] > start[k]:
-                while stack_bound and stack_bound[-1] >= -bound[at]:
-                    stack_bound.pop()
-                    stack_seq.pop()
-                # Bounds are kept as their negatives, so that the list rises and can be searched.
-                stack_bound.append(int(-bound[at]))
-                stack_seq.append(int(seq[at]))
-                at -= 1
-            hit = bisect_right(stack_bound, -int(m[k])) - 1
-            if hit >= 0:
-                place[k] = stack_seq[hit]
-        return pa.table({"session_id": right["session_id"], "q": right["q"], "place": pa.array(place, mask=place < 0)})
-
-    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    kinds = dict(asked.dtypes)
-    rows = parents.select("session_id", "seq", "bound").unionByName(asked, allowMissingColumns=True)
-    return rows.groupBy("session_id").applyInArrow(run, f"session_id {kinds['session_id']}, q {kinds['q']}, place long")
+    last, behind, bounds = None, array("q"), array("q")  # the top is the nearest; bounds as their negatives, so that they rise and can be searched
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch.column("session_id")
+        other = [ids[0].as_py() != last, *pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True).to_numpy(zero_copy_only=False).tolist()]
+        last, place = ids[-1].as_py(), []
+        for new, at, parent, m in zip(other, *(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("at_seq", "parent", "m"))):
+            if new:
+                del behind[:], bounds[:]
+            if parent:
+                while bounds and bounds[-1] >= -m:
+                    bounds.pop()
+                    behind.pop()
+                bounds.append(-m)
+                behind.append(at)
+                place.append(at)
+            else:
+                hit = bisect_right(bounds, -m)
+                place.append(behind[hit - 1] if hit else _FAR)
+        yield batch.set_column(batch.schema.get_field_index("place"), "place", pa.array(place, pa.int64()))
 
 
 def merge_streams(parent: DataFrame, child: DataFrame) -> DataFrame:
@@ -76,41 +74,28 @@ def merge_streams(parent: DataFrame, child: DataFrame) -> DataFrame:
     before the child's running maximum, else to the end. One sort on (place, child first, that
     maximum, start, seq) is the merge.
 
-    No parent is paired with a stream. The first parent of a time or later in the whole session is where the session's running maximum
-    reaches it: parents and children are sorted together by falling time, and the place is the least ``seq`` so far. Where that lies behind
-    the call it is the answer; else the record right behind the call is, if it is late enough. What is left are children of a
-    session whose clock went back at the call: only such sessions, with 16 bytes a record, are a group each.
+    No parent is paired with a stream and no side is made twice: both are sorted together by session and falling position, and one pass over
+    each task's sorted rows gives every child its place.
     """
-    far = F.lit((1 << 62)).cast("long")
+    far = F.lit(_FAR).cast("long")
     by_seq = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    child = child.withColumn("stream", F.col("stream").cast("string"))
     # A parent without a time so far bounds nothing: +infinity.
-    p = parent.withColumn("filled", F.last("at", ignorenulls=True).over(by_seq)).withColumn("bound", F.coalesce("filled", far))
-    own = Window.partitionBy("session_id", "stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = child.withColumn("filled", F.coalesce(F.last("at", ignorenulls=True).over(own), "start_at", F.lit(0)))
-    c = c.withColumn("m", F.max("filled").over(own)).withColumn("_start", F.min("start_seq").over(Window.partitionBy("session_id", "stream")))
-    # A stream asks once for each time and start.
-    none = F.lit(None).cast("long")
-    asked = c.groupBy("session_id", "stream", "m").agg(F.coalesce(F.min("_start").cast("long"), far).alias("start"))
-    marks = p.select("session_id", F.lit(None).cast("string").alias("stream"), F.col("bound").alias("m"), none.alias("start"), F.col("seq").cast("long").alias("_p"))
-    falling = Window.partitionBy("session_id").orderBy(F.desc("m"), F.col("_p").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = marks.unionByName(asked.withColumn("_p", none)).withColumn("_first", F.min("_p").over(falling)).where("_p IS NULL").drop("_p")
-    # The record right behind each start, by the same sort of both sides by place.
-    behind = Window.partitionBy("session_id").orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sides = p.select("session_id", F.col("seq").cast("long").alias("_at"), F.lit(False).alias("_asks"), F.struct(F.col("seq").cast("long").alias("seq"), "bound").alias("_r"), F.lit(None).cast("string").alias("stream"), none.alias("m"), none.alias("_first"))
-    asks = first.select("session_id", F.col("start").alias("_at"), F.lit(True).alias("_asks"), F.lit(None).cast("struct<seq:long,bound:long>").alias("_r"), "stream", "m", "_first")
-    told = sides.unionByName(asks).withColumn("_next", F.last("_r", ignorenulls=True).over(behind)).where("_asks")
-    easy = F.when(F.col("_first") > F.col("_at"), F.col("_first")).when(F.col("_next.bound") >= F.col("m"), F.col("_next.seq"))
-    told = told.select("session_id", "stream", "m", F.col("_at").alias("start"), easy.alias("place"), (F.col("_first").isNotNull() & F.col("_next").isNotNull() & easy.isNull()).alias("_hard"))
-    told = keep(told, "places")  # read twice
-    hard = told.where("_hard").select("session_id", "start", "m", F.struct("stream", "m").alias("q"))
-    found = _next_at_least(p.join(hard.select("session_id").distinct(), "session_id", "left_semi").select("session_id", F.col("seq").cast("long").alias("seq"), "bound"), hard)
-    places = told.where("NOT _hard").select("session_id", "stream", "m", "place").unionByName(found.select("session_id", "q.stream", "q.m", "place"))
-    placed = c.drop("_start").join(places, ["session_id", "stream", "m"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 62)))
-    one = p.select("session_id", F.lit(None).cast("string").alias("stream"), "seq", "at", F.col("seq").cast("long").alias("place"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("start_seq"))
-    two = placed.select("session_id", "stream", "seq", "at", "place", F.lit(0).alias("late"), "m", F.col("start_seq").cast("long").alias("start_seq"))
-    order = Window.partitionBy("session_id").orderBy("place", "late", "m", "start_seq", "stream", "seq")
-    return one.union(two).withColumn("record_index", F.row_number().over(order) - 1).select("session_id", "record_index", "stream", "seq", "at")
+    p = parent.withColumn("m", F.coalesce(F.last("at", ignorenulls=True).over(by_seq), far))
+    stream = Window.partitionBy("session_id", "stream").orderBy("seq")
+    own = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = child.withColumn("stream", F.col("stream").cast("string")).withColumn("filled", F.coalesce(F.last("at", ignorenulls=True).over(own), "start_at", F.lit(0)))
+    c = c.withColumn("m", F.max("filled").over(own)).withColumn("at_seq", F.min("start_seq").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # Without a start, or of no session, a child has no parent behind it.
+    at_seq = F.when(F.col("session_id").isNotNull() & F.col("stream").isNotNull(), F.col("at_seq").cast("long"))
+    one = p.select("session_id", F.lit(None).cast("string").alias("stream"), "seq", "at", F.col("seq").cast("long").alias("at_seq"), F.lit(True).alias("parent"), "m", F.lit(0).cast("long").alias("start_seq"))
+    two = c.select("session_id", "stream", "seq", "at", F.coalesce(at_seq, far).alias("at_seq"), F.lit(False).alias("parent"), F.col("m").cast("long").alias("m"), F.col("start_seq").cast("long").alias("start_seq"))
+    # The window, not a repartition, brings a session's rows together: over two sides that are dealt alike Spark leaves a repartition out, but may then join
+    # each side's small partitions by itself, and a function over Arrow batches asks for nothing that would tell. The sort is the window's own.
+    back = F.desc("at_seq")
+    rows = one.union(two).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(back, "parent")).cast("long")).sortWithinPartitions("session_id", back, "parent")
+    placed = rows.mapInArrow(_with_place, T.StructType([T.StructField(c.name, c.dataType) for c in rows.schema]))
+    order = Window.partitionBy("session_id").orderBy("place", "parent", "m", "start_seq", "stream", "seq")
+    return placed.withColumn("record_index", F.row_number().over(order) - 1).select("session_id", "record_index", "stream", "seq", "at")
 
 
 def lines_in_common(a: DataFrame, b: DataFrame, column: str = "line") -> DataFrame:

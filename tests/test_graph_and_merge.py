@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from logloom.operators import graph, order
 
 RECORDS = "session_id string, record_index int, uuid string, parent string, is_sidechain boolean"
@@ -75,3 +78,47 @@ def test_merge_equals_a_scan_of_all_parents(spark):
         got.setdefault(r.session_id, []).append((r.stream, r.seq))
     assert got == want and dict(merged.dtypes)["session_id"] == "bigint"
     assert order.merge_streams(p, c.limit(0)).count() == len(parents)
+
+
+PARENT, CHILD = "session_id long, seq int, at long", "session_id long, stream string, seq int, at long, start_seq int, start_at long"
+
+
+def test_merge_makes_each_side_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    p = spark.createDataFrame([(s, k, 10 - k if s % 2 else k) for s in range(6) for k in range(9)], PARENT).mapInArrow(counted, PARENT)
+    c = spark.createDataFrame([(s, "a", k, 3 + k, 4, 3) for s in range(6) for k in range(5)], CHILD).mapInArrow(counted, CHILD)
+    assert len(order.merge_streams(p, c).collect()) == made.value == 6 * 14
+
+
+def test_merge_of_sides_dealt_alike_over_small_batches_and_partitions(spark):
+    """Both sides come clustered by session and are of unlike size, so that Spark could join the small partitions of each by itself."""
+    rng, parents, children, want = random.Random(5), [], [], {}
+    for s in range(300):
+        own = [(seq, rng.choice([rng.randrange(50), None])) for seq in range(rng.randrange(1, 4))]
+        times = [rng.choice([rng.randrange(50), None]) for _ in range(rng.randrange(20, 40))]
+        want[s] = plain_merge(own, {"a": (0, None, times)})
+        parents += [(s, seq, at) for seq, at in own]
+        children += [(s, "a", seq, at, 0, None) for seq, at in enumerate(times)]
+    # Rows without a session are merged with nothing.
+    parents, children = [*parents, (None, 0, 1), (None, 1, 90)], [*children, (None, "a", 0, 5, 0, None)]
+    want[None] = [(None, 0), (None, 1), ("a", 0)]
+    numbered = lambda rows, kinds: spark.createDataFrame(rows, kinds).withColumn("seq", (F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1).cast("int"))
+    given = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        rows = order.merge_streams(numbered(parents, PARENT), numbered(children, CHILD)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(rows, key=lambda r: r.record_index):
+        got.setdefault(r.session_id, []).append((r.stream, r.seq))
+    assert got == want
