@@ -11,6 +11,8 @@ weight, detail, and seq, the order in which ties are broken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,13 +223,13 @@ def error_suppressed(calls: DataFrame, edits: DataFrame) -> DataFrame:
     return dedupe(edited.unionByName(ran))
 
 
-def pauses(calls: DataFrame) -> DataFrame:
+def pauses(calls: DataFrame, millis: Callable[[Column], Column] = t.millis) -> DataFrame:
     """Calls with the number, first record, length and start of the last pause before them.
 
-    A gap is to the call before, even one without a time, which hides it.
+    A gap is to the call before, even one without a time, which hides it; ``millis`` says how a time becomes whole milliseconds.
     """
     by = Window.partitionBy("session_id").orderBy("call_seq")
-    gap = t.millis(F.col("ts")) - t.millis(F.lag("ts").over(by))
+    gap = millis(F.col("ts")) - millis(F.lag("ts").over(by))
     c = calls.withColumn("gap", gap).withColumn("paused_at", F.lag("ts_raw").over(by)).withColumn("opens", F.coalesce(F.col("gap") >= fixed.PAUSE_MS, F.lit(False)))
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = c.withColumn("pause", F.count_if("opens").over(running))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.functions import dependencies, fixed, marks, patch, paths, redaction, shell
 from logloom.functions import text as t
 from logloom.operators import commits, contents, graph, incremental, order, redact
-from logloom.plans import normalise, queries
+from logloom.plans import normalise, queries, table_queries
 from logloom.sources import logs
 
 
@@ -263,3 +263,13 @@ def test_assignment_queries_answer_what_their_sql_asks(spark, tmp_path):
     got = {r.doc_id: r.redacted_md5 for r in queries.redact_assignment(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()}
     assert [tuple(r) for r in queries.redact_counts(spark, str(tmp_path)).collect()] == [("assignment", 1)]
+
+
+def test_pauses_are_told_by_times_cut_to_milliseconds(spark, tmp_path):
+    """Rounded, the first gap would be a millisecond short of a pause and the last one 3 600 000 ms."""
+    stamps = ["1969-12-31 22:00:00.000600", "1969-12-31 22:30:00.000400", "1969-12-31 23:30:00.000000", "1970-01-01 00:29:59.999600"]
+    rows = [(k, x, 1, "view") for k, x in enumerate(stamps)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = table_queries.pauses(spark, f"file://{tmp_path}").orderBy("call_seq")
+    assert [(r.pause, r.gap) for r in got.collect()] == [(0, None), (1, 1_800_000), (2, 3_600_000), (3, 3_599_999)]
