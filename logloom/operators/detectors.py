@@ -275,12 +275,13 @@ def destructive(calls: DataFrame) -> DataFrame:
 
 
 def gate(meta: DataFrame) -> DataFrame:
-    """session_id, reason (null: eligible), known_gap_reachable; a session with too many pairs is eligible and silent."""
+    """session_id, reason (null: eligible), known_gap_reachable."""
     reason = F.when(~F.col("has_file_edits"), "no-file-edits").when(F.col("calls") < fixed.LEAST_CALLS, "too-short")
     return meta.select("session_id", "cwd", reason.alias("reason"), "thinking_blocks", (F.col("thinking_blocks") > 0).alias("known_gap_reachable"))
 
 
 def too_many_pairs(meta: DataFrame, edits: DataFrame, reads: DataFrame, most: int = fixed.SESSION_PAIRS) -> DataFrame:
+    """Sessions with more pairs of edits and what they are held up to; the analysis leaves none of them out."""
     n = edits.groupBy("session_id").agg(F.count("*").alias("n_edits"))
     r = reads.groupBy("session_id").agg(F.countDistinct("path").alias("n_reads"))
     m = meta.join(n, "session_id", "left").join(r, "session_id", "left")

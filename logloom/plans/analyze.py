@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.paths import in_tree_of
-from ..operators import budget, contents, detectors, graph, order, parse, redact
+from ..operators import contents, detectors, graph, order, parse, redact
 from ..sources import logs
 from ..tables import keep
 from .normalise import canonical
@@ -59,9 +59,8 @@ def merged(made: DataFrame) -> DataFrame:
 
 
 def parsed(lines: DataFrame) -> Session:
-    """The derived tables of lines (session_id, line_no, line); eight detectors read them, so they are written once."""
-    lines = keep(lines, "to-parse")
-    numbered = keep(parse.lines(budget.parseable(lines)).select("session_id", "line_no", "record_index", "status", "oversize", "raw"), "lines")
+    """The derived tables of lines (session_id, line_no, line), all of them; eight detectors read them, so they are written once."""
+    numbered = keep(parse.lines(lines).select("session_id", "line_no", "record_index", "status", "oversize", "raw"), "lines")
     records = parse.records(numbered)
     blocks = parse.blocks(records)
     calls = keep(parse.calls(blocks), "calls")
@@ -87,10 +86,9 @@ def looks(calls: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def detect(s: Session) -> tuple[DataFrame, DataFrame]:
-    """(gated sessions, signals in order). Only eligible sessions reach the detectors."""
+    """(gated sessions, signals in order). Only eligible sessions reach the detectors, of whatever size."""
     gated = detectors.gate(s.meta)
-    silent = detectors.too_many_pairs(s.meta, s.edits, s.reads)
-    eligible = gated.where("reason IS NULL").join(silent, "session_id", "left_anti").select("session_id")
+    eligible = gated.where("reason IS NULL").select("session_id")
     calls = flat(s.calls).join(eligible, "session_id", "left_semi")
     edits = s.edits.join(eligible, "session_id", "left_semi")
     reads = s.reads.join(eligible, "session_id", "left_semi")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from logloom.operators import parse, redact
+from logloom.operators import budget, detectors, parse, redact
 from logloom.plans import analyze
 
 from .build import Builder, table
@@ -190,6 +190,16 @@ def test_empty_table(spark):
     assert gated.count() == 0 and signals.count() == 0
 
 
+def test_no_session_is_too_large_for_signals(spark, monkeypatch):
+    """Neither the limit of pairs nor the budget of structures, here so small that any session passes them, leaves anything out."""
+    monkeypatch.setattr(detectors.too_many_pairs, "__defaults__", (1,))
+    monkeypatch.setattr(budget.parseable, "__defaults__", (1,))
+    s = Builder("large").padded()
+    s.edit("src/b.py", "x = 1", "x = 2")
+    gated, found = signals_of(spark, ("large", s.lines()))
+    assert gated["large"].reason is None and [x[0] for x in found["large"]] == ["unverified_assumption", "unverified_fix"]
+
+
 def test_files_end_to_end(spark, tmp_path):
     """Files in two formats, a sub-agent, redaction and detection."""
     own = Builder("one").padded()
