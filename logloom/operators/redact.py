@@ -30,8 +30,8 @@ from ..functions import dotenv, fixed, paths, redaction
 from ..functions.paths import Roots, marker
 from ..tables import keep
 
-#: The first so many values of a session are cut, as every reader of these logs does it.
-MOST_LEARNED = 500
+#: All values of a session are cut; a number here would keep its first so many.
+MOST_LEARNED: int | None = None
 #: Tainted calls and tasks of a session up to which it is one group: about 100 MB.
 MOST_IN_GROUP = 1_000_000
 #: Rows up to which a narrow table is sent to all tasks, and bytes of learned values that are sent at once.
@@ -389,10 +389,7 @@ def marks(facts_: DataFrame) -> DataFrame:
 
 
 def learned_values(lines: DataFrame, facts_: DataFrame, marked: DataFrame) -> DataFrame:
-    """(session_id, value): the first ``MOST_LEARNED`` values that each session's dotenv files showed.
-
-    The limit is taken in each task before any exchange, so a session with more values is no larger group.
-    """
+    """(session_id, value): the values that each session's dotenv files showed, each once."""
 
     def run(batches):
         for batch in batches:
@@ -406,7 +403,10 @@ def learned_values(lines: DataFrame, facts_: DataFrame, marked: DataFrame) -> Da
     rows = lines.join(_small(marked, BROADCAST_ROWS), ["session_id", "line_no"]).select("session_id", "line_no", "line", "blocks", "output")
     seen = rows.mapInArrow(run, "session_id string, line_no int, n int, value string").select("session_id", F.struct("line_no", F.lit(1).alias("how"), "n").alias("at"), "value")
     written = facts_.where("size(written) > 0").select("session_id", "line_no", F.posexplode("written").alias("n", "value")).select("session_id", F.struct("line_no", F.lit(0).alias("how"), "n").alias("at"), "value")
-    first = seen.union(written).groupBy("session_id", "value").agg(F.min("at").alias("at"))
+    both = seen.union(written)
+    if MOST_LEARNED is None:
+        return both.select("session_id", "value").distinct()
+    first = both.groupBy("session_id", "value").agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("at", "value"))
     return first.withColumn("_rank", rank).where(F.col("_rank") <= MOST_LEARNED).select("session_id", "value")
 

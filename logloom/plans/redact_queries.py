@@ -66,7 +66,7 @@ root AS (SELECT *, max(CASE WHEN kind <> 'error' THEN i END) OVER (PARTITION BY
 t AS (
   SELECT root.*, CASE root.kind WHEN 'error' THEN coalesce(o.kind = 'purchase' AND o.k % 3 = 0, false) WHEN 'purchase' THEN root.k % 3 = 0 WHEN 'view' THEN root.k % 4 = 0 ELSE true END AS shows
   FROM root LEFT JOIN e o ON o.s = root.s AND o.i = root.j),
-known AS (SELECT s, k FROM (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY i) AS n FROM t WHERE shows) x WHERE n <= {redact.MOST_LEARNED}),
+known AS (SELECT s, k FROM t WHERE shows),
 first AS (
   SELECT t.s, 2 * t.i AS line_no, CASE t.kind WHEN 'signup' THEN 'cat .env' WHEN 'click' THEN '{_M} > .env' WHEN 'purchase' THEN CASE WHEN t.k % 3 = 0 THEN 'tail -f .env' ELSE 'npm run dev' END WHEN 'error' THEN 'bg' || before
     ELSE CASE t.k % 4 WHEN 0 THEN '<bash-input>cat .env</bash-input>' WHEN 1 THEN '<bash-input>ls</bash-input>' ELSE 'use ' || CASE WHEN known.k IS NULL THEN 'Zq8v' || later || 'R2mK9xLp' ELSE '{_M}' END || ' for it' END END AS said

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logloom.functions import dotenv
 from logloom.operators import redact
+from logloom.plans import redact_queries
 
 M = dotenv.MARK
 V = "Hq7wT3nB5zRk"
@@ -149,6 +151,21 @@ def test_a_session_with_more_values_keeps_the_first(spark, monkeypatch):
     assert [r.line for r in redact.redacted(table).orderBy("line_no").collect()] == want and want[-1] == json.dumps({"said": f"{M} {M} {M} {V}3 {V}4 {V}5"}, separators=(",", ":"))
 
 
+@pytest.fixture(scope="module")
+def many_values(spark, tmp_path_factory):
+    """Events of a session whose log shows 524 values; a line says the last of them before it is written."""
+    place = f"file://{tmp_path_factory.mktemp('values')}"
+    rows = [(k, f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", 7, "view" if k == 522 else "click") for k in range(525)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{place}/events.parquet")
+    return place
+
+
+def test_all_values_of_a_session_are_cut(spark, many_values):
+    said = {r.line_no: r.said for r in redact_queries.log_dotenv_cuts(spark, many_values).collect()}
+    assert len(said) == 1050 and said[1044] == f"use {M} for it" and not any("Zq8v" in x for x in said.values())
+
+
 def test_empty_tables_and_own_patterns(spark):
     empty = spark.createDataFrame([], "session_id string, line_no int, line string")
     assert redact.redacted(empty).collect() == []
