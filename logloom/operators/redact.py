@@ -36,6 +36,8 @@ MOST_LEARNED: int | None = None
 MOST_IN_GROUP = 1_000_000
 #: Rows up to which a narrow table is sent to all tasks, and bytes of learned values that are sent at once.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Characters of learned values that are looked for at once: an automaton of about 200 MB.
+AUTOMATON_CHARS = 4 << 20
 _ACCOUNT = frozenset(fixed.ACCOUNT_FIELDS)
 _SAYS_WHAT = frozenset((*fixed.SAYS_WHAT, *fixed.PATH_KEYS))
 _INPUT = re.compile(r"\s*<bash-input>(.*)</bash-input>\s*\Z", re.S)
@@ -204,6 +206,31 @@ def cut_values(value, values: dotenv.Values, counts: Counter, key: str | None =
     return value
 
 
+class _Found:
+    """Takes down where values are in each text of a line; cuts nothing."""
+
+    def __init__(self, values: dotenv.Values):
+        self.values, self.n, self.hits = values, 0, []
+
+    def cut(self, text: str) -> tuple[str, int]:
+        self.hits += [(self.n, a, b) for a, b in self.values.hits(text)]
+        self.n += 1
+        return text, 0
+
+
+class _Told:
+    """Cuts what several ``_Found`` took down together, as one automaton of all their values would."""
+
+    def __init__(self, hits: Iterable[tuple[int, int, int]]):
+        self.n, self.hits = 0, {}
+        for n, a, b in sorted(hits, key=lambda h: (h[1], -h[2])):
+            self.hits.setdefault(n, []).append((a, b))
+
+    def cut(self, text: str) -> tuple[str, int]:
+        self.n += 1
+        return dotenv.cut_at(text, dotenv.apart(self.hits.get(self.n - 1, ())))
+
+
 def parse(line: str | None):
     """(whether there is anything, what it holds as JSON or None)."""
     line = (line or "").strip()
@@ -215,6 +242,11 @@ def parse(line: str | None):
         return True, None
 
 
+def dumped(value) -> str:
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return text if _written_out(text) == text else json.dumps(value, separators=(",", ":"))
+
+
 def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output: bool, rules, values: dotenv.Values | None, counts: Counter) -> str:
     """One line that isn't blank."""
     if not isinstance(value, dict):
@@ -227,8 +259,7 @@ def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output:
             value = stripped(_without_dotenv(value, blocks, output, counts), counts)
         value = redaction.redact_value(value, roots, rules, counts)
         value = cut_values(value, values, counts) if values else value
-        text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-        return text if _written_out(text) == text else json.dumps(value, separators=(",", ":"))
+        return dumped(value)
     except RecursionError:  # nested too deep to be looked through
         counts["oversized"] += 1
         return marker("oversized")
@@ -412,14 +443,23 @@ def learned_values(lines: DataFrame, facts_: DataFrame, marked: DataFrame) -> Da
 
 
 _OUT = "session_id string, line_no int, line string, counts map<string,int>"
+_OUT_TYPES = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int32()))
+
+
+def _out(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OUT_TYPES, strict=True)], names=["session_id", "line_no", "line", "counts"])
+
+
+def _sent(values: DataFrame):
+    """Values by session, sent to all tasks; the caller bounds them."""
+    by_session = {r.session_id: r["values"] for r in values.groupBy("session_id").agg(F.collect_list("value").alias("values")).collect()}
+    return values.sparkSession.sparkContext.broadcast(by_session)
 
 
 def _redact(rows: DataFrame, values: DataFrame, rules) -> DataFrame:
     """Rows (session_id, line_no, line, cwd, blocks, output) redacted, with the sessions' values sent to all tasks."""
-    by_session: dict[str, list[str]] = {}
-    for r in values.groupBy("session_id").agg(F.collect_list("value").alias("values")).collect():  # bounded by BROADCAST_BYTES
-        by_session[r.session_id] = r["values"]
-    sent = rows.sparkSession.sparkContext.broadcast(by_session)
+    sent = _sent(values)
 
     def run(batches):
         own: dict[str, dotenv.Values | None] = {}
@@ -441,13 +481,78 @@ def _redact(rows: DataFrame, values: DataFrame, rules) -> DataFrame:
                 counts: Counter = Counter()
                 text = redact_line(line, record, folders[cwd], frozenset(blocks or ()), bool(output), rules, own[session], counts)
                 out.append((session, line_no, text, [(k, n) for k, n in counts.items() if n]))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int32())), strict=True)], names=["session_id", "line_no", "line", "counts"])
+            yield _out(out)
 
     return rows.mapInArrow(run, _OUT)
 
 
-def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion: int = BROADCAST_BYTES) -> DataFrame:
+def _is_json(text: str, value) -> bool:
+    """Whether a line was redacted as JSON, and wasn't nested too deep for that."""
+    return value is not None and text != marker("oversized")
+
+
+def _cut_in_parts(rows: DataFrame, values: DataFrame, rules, parts: int) -> DataFrame:
+    """Rows of sessions with more values than one automaton holds: redacted first, then looked through for each part of the values, then cut."""
+
+    def first(batches):
+        for batch in batches:
+            out = []
+            for session, line_no, line, cwd, blocks, output in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                given, record = parse(line)
+                if given:
+                    counts: Counter = Counter()
+                    text = redact_line(line, record, Roots.of(cwd) if cwd else Roots(), frozenset(blocks or ()), bool(output), rules, None, counts)
+                    out.append((session, line_no, text, [(k, n) for k, n in counts.items() if n], _is_json(text, record), record is None))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*_OUT_TYPES, pa.bool_(), pa.bool_()), strict=True)], names=["session_id", "line_no", "line", "counts", "json", "text"])
+
+    base = keep(rows.mapInArrow(first, f"{_OUT}, json boolean, text boolean").withColumn("row", F.monotonically_increasing_id()), "redacted-lines")
+    values = keep(values.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int")), "parts", by="_part")
+    found = None
+    for k in range(parts):
+        sent = _sent(values.where(F.col("_part") == k))
+
+        def look(batches, sent=sent):
+            own: dict[str, dotenv.Values] = {}
+            for batch in batches:
+                out = []
+                for row, session, line, json_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if session not in sent.value:
+                        continue
+                    if session not in own:
+                        own = {session: dotenv.Values(sent.value[session])}
+                    seen = _Found(own[session])
+                    try:
+                        cut_values(json.loads(line) if json_ else line, seen, Counter())
+                    except RecursionError:  # goes whole below
+                        continue
+                    out += [(row, *hit) for hit in seen.hits]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["row", "n", "a", "b"])
+
+        one = base.where("json OR text").select("row", "session_id", "line", "json").mapInArrow(look, "row long, n int, a int, b int")
+        found = one if found is None else found.union(one)
+    hits = found.groupBy("row").agg(F.collect_list(F.struct("n", "a", "b")).alias("hits"))
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for session, line_no, line, counts, json_, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hits or json_:
+                    n, told = Counter(dict(counts)), _Told((h["n"], h["a"], h["b"]) for h in hits or ())
+                    try:
+                        line = dumped(cut_values(json.loads(line), told, n)) if json_ else cut_values(line, told, n)
+                    except RecursionError:
+                        n["oversized"] += 1
+                        line = marker("oversized")
+                    counts = [(k, x) for k, x in n.items() if x]
+                out.append((session, line_no, line, counts))
+            yield _out(out)
+
+    return base.join(hits, "row", "left").select("session_id", "line_no", "line", "counts", "json", "hits").mapInArrow(cut, _OUT)
+
+
+def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion: int = BROADCAST_BYTES, at_once: int = AUTOMATON_CHARS) -> DataFrame:
     """(session_id, line_no, line, counts) of lines (session_id, line_no, line): all but blank ones, redacted, with what was replaced in each by type."""
     rules, invalid = redaction.compile_extra(extra_patterns or [])
     if invalid:
@@ -455,6 +560,11 @@ def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion:
     rules = (*redaction.RULES, *rules)
     # Three reads of the texts must see the same lines.
     lines = keep(lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "line"), "to-redact")
+    return _by_tables(lines, rules, portion, at_once)
+
+
+def _by_tables(lines: DataFrame, rules, portion: int, at_once: int) -> DataFrame:
+    """The same of written lines of sessions of any length."""
     told = keep(facts(lines), "facts")
     marked = keep(marks(told), "marks")
     values = keep(learned_values(lines, told, marked), "values")
@@ -462,6 +572,17 @@ def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion:
     rows = lines.join(_small(roots, BROADCAST_ROWS), "session_id", "left").join(_small(marked, BROADCAST_ROWS), ["session_id", "line_no"], "left")
     # Before the first line that names a folder there is none.
     rows = rows.select("session_id", "line_no", "line", F.when(F.col("line_no") >= F.col("root.line_no"), F.col("root.cwd")).alias("cwd"), "blocks", "output")
+    many = values.groupBy(F.col("session_id").alias("_s")).agg(F.sum(F.length("value")).alias("chars")).where(F.col("chars") > at_once)
+    many = keep(many, "many-values")
+    chars = many.agg(F.sum("chars")).first()[0]
+    if not chars:
+        return _in_portions(rows, values, rules, portion)
+    of = lambda df, how: df.join(_small(many.select("_s"), BROADCAST_ROWS), F.col("session_id").eqNullSafe(F.col("_s")), how)
+    whole = _cut_in_parts(of(rows, "left_semi"), of(values, "left_semi"), rules, -(-chars // at_once))
+    return whole.union(_in_portions(of(rows, "left_anti"), of(values, "left_anti"), rules, portion))
+
+
+def _in_portions(rows: DataFrame, values: DataFrame, rules, portion: int) -> DataFrame:
     size = values.agg(F.sum(F.octet_length("value") + F.octet_length("session_id") + F.lit(100))).first()[0] or 0
     portions = -(-size // portion)
     if portions <= 1:

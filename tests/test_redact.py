@@ -151,6 +151,22 @@ def test_a_session_with_more_values_keeps_the_first(spark, monkeypatch):
     assert [r.line for r in redact.redacted(table).orderBy("line_no").collect()] == want and want[-1] == json.dumps({"said": f"{M} {M} {M} {V}3 {V}4 {V}5"}, separators=(",", ":"))
 
 
+def test_a_session_with_more_values_than_are_held_is_cut_in_parts(spark, many_values):
+    """Values that overlap lie in different parts; the counts are those of all values together."""
+    got, given_ = defaultdict(list), {s: x for s, x in sessions(4).items() if s in ("s1", "s2", "s5")}
+    given_["t"] = [use("1", "Bash", {"command": "cat .env"}), result("1", f"A={V}\nB={V}99\nC=99{V}\nD=x9#{V}"), f"{V}99{V}x9#{V}\\ {{", json.dumps({"a": [f"{V}9", f"x99{V}9"], "type": V})]
+    rows = [(s, n, line) for s, lines in given_.items() for n, line in enumerate(lines)]
+    table = spark.createDataFrame(rows, "session_id string, line_no int, line string").repartition(3)
+    counts = defaultdict(Counter)
+    for r in redact.redacted(table, at_once=60).orderBy("session_id", "line_no").collect():
+        got[r.session_id].append(r.line)
+        counts[r.session_id].update(r.counts)
+    for s, lines in given_.items():
+        want, n = redact.redact_session(lines)
+        assert got[s] == want and +counts[s] == +n
+    assert [tuple(r) for r in redact_queries.log_redactions(spark, many_values).collect()] == [("dotenv", 524 + 524 + 1)]
+
+
 @pytest.fixture(scope="module")
 def many_values(spark, tmp_path_factory):
     """Events of a session whose log shows 524 values; a line says the last of them before it is written."""
