@@ -1,6 +1,7 @@
-"""Redaction of whole sessions without gathering a session: what needs the session is worked out from narrow tables first.
+"""Redaction of whole sessions. One of usual length is read in order and redacted in one go; a longer one is never gathered: what needs the session is worked out
+from narrow tables first. Both give the same lines.
 
-Pass one reads each line by itself: the folder it names, the values that its commands write into dotenv files, and an event a call,
+For long sessions pass one reads each line by itself: the folder it names, the values that its commands write into dotenv files, and an event a call,
 result and background task. Which results show a dotenv file is a fixpoint over call and task ids: a call that touches such
 a file taints its id, a result of a tainted call taints the task that it started, and a later call that follows the task is tainted
 too. A session's calls and tasks of usual number are walked in one group; of longer sessions a round is one join of the newly tainted ids with the events, so
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dotenv, fixed, paths, redaction
 from ..functions.paths import Roots, marker
-from ..tables import keep
+from ..tables import keep, spread
 
 #: All values of a session are cut; a number here would keep its first so many.
 MOST_LEARNED: int | None = None
@@ -36,6 +37,8 @@ MOST_LEARNED: int | None = None
 MOST_IN_GROUP = 1_000_000
 #: Rows up to which a narrow table is sent to all tasks, and bytes of learned values that are sent at once.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Characters of a session up to which it is held and redacted in one go: about 40 MB with all that is made of it.
+HELD_CHARS = 4 << 20
 #: Characters of learned values that are looked for at once: an automaton of about 200 MB.
 AUTOMATON_CHARS = 4 << 20
 _ACCOUNT = frozenset(fixed.ACCOUNT_FIELDS)
@@ -101,19 +104,25 @@ def _written_out(text: str) -> str:
 
 
 def facts_of(record: dict) -> tuple[str | None, bool | None, list[str], list[tuple]]:
-    """(folder, typed, values written, events): ``typed`` is whether a typed command touches a dotenv file, None if there is none;
+    return _facts_and_cuts(record)[:4]
+
+
+def _facts_and_cuts(record: dict) -> tuple[str | None, bool | None, list[str], list[tuple], dict[int, tuple[dict, int]]]:
+    """(folder, typed, values written, events, what ``cut_call`` changes by block): ``typed`` is whether a typed command touches a dotenv file, None if there is none;
     an event is (block, kind, id, other id): ``taints`` by itself, ``follows`` a task, ``starts`` a task, ``answers`` a call.
     """
     cwd = record.get("cwd")
     cwd = cwd if isinstance(cwd, str) and paths.is_absolute(cwd) else None
-    typed, values, events = None, [], []
+    typed, values, events, cuts = None, [], [], {}
     command = typed_command(record)
     if command is not None:
         cut, values = dotenv.cut_writes(command)
         typed = cut != command or dotenv.reads(command)
     for k, block in _calls_and_results(record):
         if block["type"] == "tool_use":
-            _, more, _, touches = cut_call(block)
+            cut, more, n, touches = cut_call(block)
+            if n:
+                cuts[k] = cut, n
             values = values + more
             name = block.get("id")
             if isinstance(name, str):
@@ -125,7 +134,7 @@ def facts_of(record: dict) -> tuple[str | None, bool | None, list[str], list[tup
             if isinstance(task, str):
                 events.append((k, "starts", block["tool_use_id"], task))
     events = [(k, kind, _written_out(a), b and _written_out(b)) for k, kind, a, b in events]
-    return cwd and _written_out(cwd), typed, [v for v in values if v == _written_out(v)], events
+    return cwd and _written_out(cwd), typed, [v for v in values if v == _written_out(v)], events, cuts
 
 
 def shown(record: dict, blocks: Iterable[int], output: bool) -> list[str]:
@@ -140,7 +149,8 @@ def shown(record: dict, blocks: Iterable[int], output: bool) -> list[str]:
     return [v for v in values if v == _written_out(v)]
 
 
-def _without_dotenv(record: dict, blocks: frozenset[int], output: bool, counts: Counter) -> dict:
+def _without_dotenv(record: dict, blocks: frozenset[int], output: bool, counts: Counter, cuts: dict[int, tuple[dict, int]] | None = None) -> dict:
+    """``cuts``: what ``_facts_and_cuts`` told, if it was asked before."""
     content = _content(record)
     command = typed_command(record)
     if command is not None:
@@ -155,7 +165,10 @@ def _without_dotenv(record: dict, blocks: frozenset[int], output: bool, counts:
     new = None
     for k, block in _calls_and_results(record):
         if block["type"] == "tool_use":
-            changed, _, n, _ = cut_call(block)
+            if cuts is None:
+                changed, _, n, _ = cut_call(block)
+            else:
+                changed, n = cuts.get(k, (block, 0))
         else:
             changed, n = ({**block, "content": dotenv.MARK}, 1) if k in blocks else (block, 0)
         if n:
@@ -247,7 +260,7 @@ def dumped(value) -> str:
     return text if _written_out(text) == text else json.dumps(value, separators=(",", ":"))
 
 
-def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output: bool, rules, values: dotenv.Values | None, counts: Counter) -> str:
+def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output: bool, rules, values: dotenv.Values | None, counts: Counter, cuts: dict[int, tuple[dict, int]] | None = None) -> str:
     """One line that isn't blank."""
     if not isinstance(value, dict):
         counts["unparsed_lines"] += 1
@@ -256,29 +269,35 @@ def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output:
         return cut_values(text, values, counts) if values else text
     try:
         if isinstance(value, dict):
-            value = stripped(_without_dotenv(value, blocks, output, counts), counts)
+            value = stripped(_without_dotenv(value, blocks, output, counts, cuts), counts)
         value = redaction.redact_value(value, roots, rules, counts)
-        value = cut_values(value, values, counts) if values else value
-        return dumped(value)
+        text = dumped(value)
+        # Where nothing is escaped, a value that one of its texts holds stands in the line too.
+        return dumped(cut_values(value, values, counts)) if values and ("\\" in text or values.within(text)) else text
     except RecursionError:  # nested too deep to be looked through
         counts["oversized"] += 1
         return marker("oversized")
 
 
-def redact_session(lines: Iterable[str], extra: Iterable[redaction.Rule] = ()) -> tuple[list[str], Counter]:
-    """The redacted lines of one session in order, and counts by type."""
-    rules, counts, roots = (*redaction.RULES, *extra), Counter(), Roots()
-    tainted, touched = set(), False
+def _with(extra: Iterable[redaction.Rule]) -> tuple[redaction.Rule, ...]:
+    """The rules with own ones; without any the rules themselves, which are known by sight."""
+    return (*redaction.RULES, *extra) if extra else redaction.RULES
+
+
+def in_order(lines: Iterable[str | None], rules, most: int | None = None) -> Iterator[tuple[int, str, Counter]]:
+    """(place, redacted line, counts by type) of one session's lines in order, but for blank ones; ``most`` values are cut, or all."""
+    roots, rooted, tainted, touched = Roots(), False, set(), False
     learned: dict[str, None] = {}
     held = []
-    for line in lines:
+    for n, line in enumerate(lines):
         given, record = parse(line)
         if not given:
             continue
-        blocks, output = set(), False
+        blocks, output, cuts = set(), False, None
         if isinstance(record, dict):
-            cwd, typed, written, events = facts_of(record)
-            roots = Roots.of(cwd) if cwd and not roots.cwd else roots
+            cwd, typed, written, events, cuts = _facts_and_cuts(record)
+            if cwd and not rooted:
+                roots, rooted = Roots.of(cwd), True
             if typed is not None:
                 touched = typed
             elif touched and typed_output(record):
@@ -291,10 +310,22 @@ def redact_session(lines: Iterable[str], extra: Iterable[redaction.Rule] = ()) -
                         blocks.add(k)
                     else:
                         tainted.add(other)
-            learned |= dict.fromkeys([*written, *shown(record, sorted(blocks), output)])
-        held.append((line, record, roots, frozenset(blocks), output))
-    values = dotenv.Values(list(learned)[:MOST_LEARNED]) if learned else None
-    return [redact_line(line, record, r, blocks, output, rules, values, counts) for line, record, r, blocks, output in held], counts
+            if written or blocks or output:
+                learned |= dict.fromkeys([*written, *shown(record, sorted(blocks), output)])
+        held.append((n, line, record, roots, frozenset(blocks), output, cuts))
+    values = dotenv.Values(list(learned)[:most]) if learned else None
+    for n, line, record, r, blocks, output, cuts in held:
+        counts: Counter = Counter()
+        yield n, redact_line(line, record, r, blocks, output, rules, values, counts, cuts), counts
+
+
+def redact_session(lines: Iterable[str], extra: Iterable[redaction.Rule] = ()) -> tuple[list[str], Counter]:
+    """The redacted lines of one session in order, and counts by type."""
+    out, counts = [], Counter()
+    for _, line, n in in_order(lines, _with(extra), MOST_LEARNED):
+        out.append(line)
+        counts.update(n)
+    return out, counts
 
 
 # --- tables ------------------------------------------------------------------------------------
@@ -451,18 +482,23 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OUT_TYPES, strict=True)], names=["session_id", "line_no", "line", "counts"])
 
 
+def _done(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*_OUT_TYPES, pa.bool_()), strict=True)], names=["session_id", "line_no", "line", "counts", "done"])
+
+
 def _sent(values: DataFrame):
     """Values by session, sent to all tasks; the caller bounds them."""
     by_session = {r.session_id: r["values"] for r in values.groupBy("session_id").agg(F.collect_list("value").alias("values")).collect()}
     return values.sparkSession.sparkContext.broadcast(by_session)
 
 
-def _redact(rows: DataFrame, values: DataFrame, rules) -> DataFrame:
+def _redact(rows: DataFrame, values: DataFrame, extra: list[redaction.Rule]) -> DataFrame:
     """Rows (session_id, line_no, line, cwd, blocks, output) redacted, with the sessions' values sent to all tasks."""
     sent = _sent(values)
 
     def run(batches):
-        own: dict[str, dotenv.Values | None] = {}
+        rules, own = _with(extra), {}
         folders: dict[str | None, Roots] = {}
         for batch in batches:
             out = []
@@ -491,10 +527,11 @@ def _is_json(text: str, value) -> bool:
     return value is not None and text != marker("oversized")
 
 
-def _cut_in_parts(rows: DataFrame, values: DataFrame, rules, parts: int) -> DataFrame:
+def _cut_in_parts(rows: DataFrame, values: DataFrame, extra: list[redaction.Rule], parts: int) -> DataFrame:
     """Rows of sessions with more values than one automaton holds: redacted first, then looked through for each part of the values, then cut."""
 
     def first(batches):
+        rules = _with(extra)
         for batch in batches:
             out = []
             for session, line_no, line, cwd, blocks, output in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -552,18 +589,57 @@ def _cut_in_parts(rows: DataFrame, values: DataFrame, rules, parts: int) -> Data
     return base.join(hits, "row", "left").select("session_id", "line_no", "line", "counts", "json", "hits").mapInArrow(cut, _OUT)
 
 
-def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion: int = BROADCAST_BYTES, at_once: int = AUTOMATON_CHARS) -> DataFrame:
+def redacted(lines: DataFrame, extra_patterns: list[str] | None = None, portion: int = BROADCAST_BYTES, at_once: int = AUTOMATON_CHARS, held: int = HELD_CHARS) -> DataFrame:
     """(session_id, line_no, line, counts) of lines (session_id, line_no, line): all but blank ones, redacted, with what was replaced in each by type."""
-    rules, invalid = redaction.compile_extra(extra_patterns or [])
+    extra, invalid = redaction.compile_extra(extra_patterns or [])
     if invalid:
         raise ValueError(f"patterns that don't compile: {invalid}")
-    rules = (*redaction.RULES, *rules)
-    # Three reads of the texts must see the same lines.
-    lines = keep(lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "line"), "to-redact")
-    return _by_tables(lines, rules, portion, at_once)
+    # The lines are read once, and later steps must see the same ones.
+    lines = lines.select("session_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    first = keep(_by_sessions(lines, extra, held), "redacted")
+    left = first.where("NOT done").select("session_id", "line_no", "line")
+    done = first.where("done").select("session_id", "line_no", "line", "counts")
+    return done if left.isEmpty() else done.union(_by_tables(left, extra, portion, at_once))
+
 
+def _by_sessions(lines: DataFrame, extra: list[redaction.Rule], held: int) -> DataFrame:
+    """Lines redacted a session at a time, ``done``; those of sessions of more than ``held`` characters, of none, and of those whose lines share a number come back as they were."""
+    most = MOST_LEARNED
 
-def _by_tables(lines: DataFrame, rules, portion: int, at_once: int) -> DataFrame:
+    def run(batches):
+        # Only the own patterns are sent, so that the rules are those of this process and known by sight.
+        rules, out, chars = _with(extra), [], 0
+        session, places, texts, size, whole = None, [], [], 0, False
+
+        def finished():
+            return [(session, places[n], text, [(k, x) for k, x in counts.items() if x], True) for n, text, counts in in_order(texts, rules, most)]
+
+        for batch in batches:
+            for s, place, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != session:
+                    out += finished() if whole else []
+                    session, places, texts, size, whole = s, [], [], 0, True
+                if whole and (size > held or place is None or (places and place <= places[-1])):
+                    out += [(session, n, text, None, False) for n, text in zip(places, texts, strict=True)]
+                    places, texts, whole = [], [], False
+                if whole:
+                    places.append(place)
+                    texts.append(line)
+                    size += len(line or "")
+                else:
+                    out.append((s, place, line, None, False))
+                chars += len(line or "")
+                if len(out) >= 10_000 or chars > 4 * HELD_CHARS:
+                    yield _done(out)
+                    out, chars = [], 0
+        yield _done(out + (finished() if whole else []))
+
+    # Lines of no session are dealt out; all others of a session meet.
+    one = spread(lines, "session_id", F.when(F.col("session_id").isNull(), F.xxhash64("line_no", "line")))
+    return one.sortWithinPartitions("session_id", "line_no").mapInArrow(run, f"{_OUT}, done boolean")
+
+
+def _by_tables(lines: DataFrame, extra: list[redaction.Rule], portion: int, at_once: int) -> DataFrame:
     """The same of written lines of sessions of any length."""
     told = keep(facts(lines), "facts")
     marked = keep(marks(told), "marks")
@@ -576,23 +652,23 @@ def _by_tables(lines: DataFrame, rules, portion: int, at_once: int) -> DataFrame
     many = keep(many, "many-values")
     chars = many.agg(F.sum("chars")).first()[0]
     if not chars:
-        return _in_portions(rows, values, rules, portion)
+        return _in_portions(rows, values, extra, portion)
     of = lambda df, how: df.join(_small(many.select("_s"), BROADCAST_ROWS), F.col("session_id").eqNullSafe(F.col("_s")), how)
-    whole = _cut_in_parts(of(rows, "left_semi"), of(values, "left_semi"), rules, -(-chars // at_once))
-    return whole.union(_in_portions(of(rows, "left_anti"), of(values, "left_anti"), rules, portion))
+    whole = _cut_in_parts(of(rows, "left_semi"), of(values, "left_semi"), extra, -(-chars // at_once))
+    return whole.union(_in_portions(of(rows, "left_anti"), of(values, "left_anti"), extra, portion))
 
 
-def _in_portions(rows: DataFrame, values: DataFrame, rules, portion: int) -> DataFrame:
+def _in_portions(rows: DataFrame, values: DataFrame, extra: list[redaction.Rule], portion: int) -> DataFrame:
     size = values.agg(F.sum(F.octet_length("value") + F.octet_length("session_id") + F.lit(100))).first()[0] or 0
     portions = -(-size // portion)
     if portions <= 1:
-        return _redact(rows, values, rules)
+        return _redact(rows, values, extra)
     number = F.pmod(F.xxhash64("session_id"), F.lit(portions)).cast("int")
     rows = keep(rows.withColumn("_portion", number), "portions", by="_portion")
     values = values.withColumn("_portion", number)
     out = None
     for k in range(portions):
-        one = _redact(rows.where(F.col("_portion") == k).drop("_portion"), values.where(F.col("_portion") == k).drop("_portion"), rules)
+        one = _redact(rows.where(F.col("_portion") == k).drop("_portion"), values.where(F.col("_portion") == k).drop("_portion"), extra)
         out = one if out is None else out.union(one)
     return out
 

@@ -158,7 +158,7 @@ def test_a_session_with_more_values_than_are_held_is_cut_in_parts(spark, many_va
     rows = [(s, n, line) for s, lines in given_.items() for n, line in enumerate(lines)]
     table = spark.createDataFrame(rows, "session_id string, line_no int, line string").repartition(3)
     counts = defaultdict(Counter)
-    for r in redact.redacted(table, at_once=60).orderBy("session_id", "line_no").collect():
+    for r in redact.redacted(table, at_once=60, held=-1).orderBy("session_id", "line_no").collect():
         got[r.session_id].append(r.line)
         counts[r.session_id].update(r.counts)
     for s, lines in given_.items():
@@ -167,6 +167,22 @@ def test_a_session_with_more_values_than_are_held_is_cut_in_parts(spark, many_va
     assert [tuple(r) for r in redact_queries.log_redactions(spark, many_values).collect()] == [("dotenv", 524 + 524 + 1)]
 
 
+@pytest.mark.parametrize("held", [-1, 2000])
+def test_long_sessions_are_redacted_by_tables_as_others_in_order(spark, held):
+    """Also a session whose folder is the root, and one whose lines share a number, which is always redacted by tables."""
+    given_ = sessions(6) | {"root": [use("1", "Bash", {"command": "ls"}, cwd=x) for x in ("/", "/home/ann/p")] + [json.dumps({"said": "/home/ann/p/x /srv/y"})]}
+    rows = [(s, n, line) for s, lines in given_.items() for n, line in enumerate(lines)] + [("twice", 0, f"\"{V}\""), ("twice", 0, '"/home/ann/x"'), ("twice", 1, None), (None, 3, "x"), (None, None, "a@b.org")]
+    table = spark.createDataFrame(rows, "session_id string, line_no int, line string").repartition(5)
+    got, counts = defaultdict(list), defaultdict(Counter)
+    for r in redact.redacted(table, held=held, portion=2000).orderBy("session_id", "line_no", "line").collect():
+        got[r.session_id].append(r.line)
+        counts[r.session_id].update(r.counts)
+    assert got["twice"] == [f'"{V}"', '"~/x"'] and got[None] == ["[REDACTED:email]", "x"] and counts[None] == {"unparsed_lines": 2, "email": 1}
+    for s, lines in given_.items():
+        want, n = redact.redact_session(lines)
+        assert got[s] == want and +counts[s] == +n
+
+
 @pytest.fixture(scope="module")
 def many_values(spark, tmp_path_factory):
     """Events of a session whose log shows 524 values; a line says the last of them before it is written."""
