@@ -255,8 +255,11 @@ def parse(line: str | None):
         return True, None
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def dumped(value) -> str:
-    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    text = _encode(value)
     return text if _written_out(text) == text else json.dumps(value, separators=(",", ":"))
 
 
@@ -269,7 +272,9 @@ def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output:
         return cut_values(text, values, counts) if values else text
     try:
         if isinstance(value, dict):
-            value = stripped(_without_dotenv(value, blocks, output, counts, cuts), counts)
+            if cuts is None or cuts or blocks or output:
+                value = _without_dotenv(value, blocks, output, counts, cuts)
+            value = stripped(value, counts)
         value = redaction.redact_value(value, roots, rules, counts)
         text = dumped(value)
         # Where nothing is escaped, a value that one of its texts holds stands in the line too.
@@ -299,7 +304,7 @@ def in_order(lines: Iterable[str | None], rules, most: int | None = None) -> Ite
             if cwd and not rooted:
                 roots, rooted = Roots.of(cwd), True
             if typed is not None:
-                touched = typed
+                touched, cuts = typed, None  # cut as a line of its own
             elif touched and typed_output(record):
                 touched, output = False, True
             for k, kind, name, other in events:
