@@ -271,11 +271,11 @@ def redact_line(line: str, value, roots: Roots, blocks: frozenset[int], output:
         text = paths.mask_text(redaction.apply_rules(line.strip(), rules, counts), roots)
         return cut_values(text, values, counts) if values else text
     try:
+        same = cuts is not None and not (cuts or blocks or output)
         if isinstance(value, dict):
-            if cuts is None or cuts or blocks or output:
-                value = _without_dotenv(value, blocks, output, counts, cuts)
-            value = stripped(value, counts)
-        value = redaction.redact_value(value, roots, rules, counts)
+            value = stripped(value if same else _without_dotenv(value, blocks, output, counts, cuts), counts)
+        if not (same and rules is redaction.RULES and redaction.untouched(line)):
+            value = redaction.redact_value(value, roots, rules, counts)
         text = dumped(value)
         # Where nothing is escaped, a value that one of its texts holds stands in the line too.
         return dumped(cut_values(value, values, counts)) if values and ("\\" in text or values.within(text)) else text

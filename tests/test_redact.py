@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.functions import dotenv
+from logloom.functions import dotenv, redaction
 from logloom.operators import redact
 from logloom.plans import redact_queries
 
@@ -107,6 +107,17 @@ def test_a_background_task_goes_the_way_of_its_command():
     assert contents == [M] * 6 + ["free", "on"] and out[-1] == f'{{"said":"{M} and {V}"}}'
 
 
+def test_a_line_that_nothing_touches_is_not_walked(monkeypatch):
+    walked = []
+    own = redaction.redact_value
+    monkeypatch.setattr(redaction, "redact_value", lambda value, *rest: walked.append(value) or own(value, *rest))
+    plain = json.dumps({"type": "user", "message": {"content": "done"}}, separators=(",", ":"))
+    assert redact.redact_session([plain] * 3) == ([plain] * 3, Counter()) and not walked
+    touched = ['{"a":"/x"}', '{"a":"\\u0040"}', '{"passwd":"abcdefgh12"}', '{"MY_KEY":"abcd1234efgh"}', '{"a":"a@b.org"}', '{"a":' + "[" * 200 + "]" * 200 + "}"]
+    redact.redact_session(touched)
+    assert len(walked) == len(touched) and not any(redaction.untouched(x) for x in touched)
+
+
 def sessions(seed):
     """Sessions of random calls, tasks that follow each other, typed commands, broken lines and payloads."""
     rng, found = random.Random(seed), {}
